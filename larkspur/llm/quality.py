@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 #: What counts as a symbol.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
-FEATURES = ("bias", "log_words", "word_length", "symbols", "pipes", "upper", "digits", "marks", "short", "repeated")
-_SPACE, _UPPER, _DIGIT, _SYMBOL, _PIPE, _MARK, _CONT = 1, 2, 4, 8, 16, 32, 64
+FEATURES = ("bias", "symbols", "many_symbols", "pipes", "many_pipes", "upper", "mostly_upper", "marks", "many_marks", "repeated", "same_words")
+_SPACE, _UPPER, _SYMBOL, _PIPE, _MARK, _CONT = 1, 2, 8, 16, 32, 64
 _CLASS = np.zeros(256, np.uint8)
-for _chars, _bit in ((b" \t\n\x0b\x0c\r", _SPACE), (bytes(range(65, 91)), _UPPER), (b"0123456789", _DIGIT), (SYMBOLS, _SYMBOL), (b"|", _PIPE), (b"!?;:=_~^{}[]/\\@", _MARK), (bytes(range(128, 192)), _CONT)):
+for _chars, _bit in ((b" \t\n\x0b\x0c\r", _SPACE), (bytes(range(65, 91)), _UPPER), (SYMBOLS, _SYMBOL), (b"|", _PIPE), (b"!?;:=_~^{}[]/\\@", _MARK), (bytes(range(128, 192)), _CONT)):
     _CLASS[list(_chars)] |= _bit
 
 
@@ -72,10 +72,16 @@ def lines_of(text: bytes) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int,
     n, chars = per_line(first), per_line(whole & ~space)
     symbol = (c & _SYMBOL) > 0
     safe = np.maximum(chars, 1)
+    sym, pipe, up, mark = per_line(symbol) / safe, per_line((c & _PIPE) > 0) / np.maximum(n, 1), per_line((c & _UPPER) > 0) / safe, per_line((c & _MARK) > 0) / safe
+    # words that repeat the word before them
+    same = np.zeros(len(words) + 1, bool)
+    same[1:-1] = [x == y for x, y in zip(words, words[1:])]
+    line_of_word = np.searchsorted(starts, np.flatnonzero(first), side="right") - 1
+    alike = np.bincount(line_of_word[same[: len(line_of_word)]], minlength=len(lines)) / np.maximum(n, 1)
     f = np.stack([
-        np.ones(len(lines)), np.log1p(n) / 4, np.minimum(chars / np.maximum(n, 1), 30) / 10, per_line(symbol) / safe, per_line((c & _PIPE) > 0) / np.maximum(n, 1),
-        per_line((c & _UPPER) > 0) / safe, per_line((c & _DIGIT) > 0) / safe, per_line((c & _MARK) > 0) / safe, (n < 3) * 1.0, (again & (n > 0)) * 1.0,
-    ], axis=1)
+        np.ones(len(lines)), np.minimum(4 * sym, 2), sym > 0.1, np.minimum(2 * pipe, 2), pipe > 0.2, np.minimum(2 * up, 2), up > 0.4,
+        np.minimum(4 * mark, 2), mark > 0.1, again & (n > 0), np.minimum(2 * alike, 2),
+    ], axis=1).astype(np.float64)
     base = (len(words), int(chars.sum()), int(symbol.sum()), int((again & (n > 0)).sum()), repeat_words(words))
     return f, chars, base
 
@@ -97,7 +103,7 @@ def viterbi(score: np.ndarray, step: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_crf(sequences: list[tuple[np.ndarray, int]], steps: int = 200, rate: float = 0.1, l2: float = 1e-3, window: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def fit_crf(sequences: list[tuple[np.ndarray, int]], steps: int = 300, rate: float = 0.1, l2: float = 1e-5, window: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, 2) and transitions (2, 2) that maximise the labels' conditional likelihood, by full gradients
     (forward-backward over sequences cut to windows of lines) and Adam."""
     parts = [(f[i : i + window], y) for f, y in sequences for i in range(0, len(f), window)]
