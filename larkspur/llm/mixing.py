@@ -92,7 +92,7 @@ def _rounded(cap: int):
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """doc_id, th (with doc_id it names a row), size, source_size, target, copies.
+    """doc_id, th (a hash of the text), source, size, source_size, target, copies.
 
     Null texts have size 0 and take part with 0 words. The null source is a source, last in order. Ties between equal
     documents are broken by hashes of doc_id and text; rows alike in both are interchangeable. A source of empty texts
@@ -129,21 +129,23 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -
     return (
         keyed.withColumn("k", F.row_number().over(inside))
         .join(plan, ["sk", "size", "slice"], "left").join(sources.select("sk", "source_size", "target"), "sk")
-        .select("doc_id", "th", "size", "source_size", "target",
+        .select("doc_id", "th", "source", "size", "source_size", "target",
                 F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("base") + F.when(F.col("k") <= F.col("extra"), 1).otherwise(0)).cast("long").alias("copies"))
     )
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """docs with a column ``copies`` (0 to cap; the name gets underscores where docs has it already)."""
+    """docs with a column ``copies`` (0 to cap; the name gets underscores where docs has it already).
+
+    Rows alike in doc_id, text and source share what they get evenly, rounded."""
     name = unused(docs, "copies")
-    got = mixed(docs, weights, cap).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("copies").alias("_c"))
-    # rows alike in doc_id and text are told apart by their rank, so that none is joined twice
-    mine = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), text_key(F.col("text")).alias("t"), F.col("source").cast("string").alias("s"))
-    mine = mine.withColumn("k", F.row_number().over(Window.partitionBy("d", "t").orderBy("s")))
-    got = got.withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_t").orderBy("_c")))
-    out = mine.join(got, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("k") == F.col("_k")))
-    return out.select("row.*", F.col("_c").alias(name))
+    got = (
+        mixed(docs, weights, cap).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("source").alias("_s"))
+        .agg(F.round(F.avg("copies")).cast("long").alias("_c"))
+    )
+    mine = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("t"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & F.col("row.source").cast("string").eqNullSafe(F.col("_s"))
+    return mine.join(got, same).select("row.*", F.col("_c").alias(name))
 
 
 def op9_mixing(docs: DataFrame) -> DataFrame:

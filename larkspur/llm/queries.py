@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, mixing, quality
+import corpus_pipeline
+
+from . import chat, decontaminate, lines, mixing, near, quality
 from .common import table
 
 
@@ -14,10 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_chat_formatting": lambda s, d: chat.op2_chat(table(s, d, "conversations")),
         "op3_line_dedup": lambda s, d: lines.op3_line_dedup(table(s, d, "documents")),
+        "op5_minhash_near_dedup": lambda s, d: near.op5_near_dedup(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op9_source_mixing": lambda s, d: mixing.op9_mixing(table(s, d, "documents")),
+        "op10_decontamination": lambda s, d: decontaminate.op10_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.OP2_SQL, "op3_line_dedup": lines.OP3_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op3_line_dedup": lines.OP3_SQL, "op5_minhash_near_dedup": near.OP5_SQL}
