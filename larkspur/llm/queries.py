@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontaminate, lines, mixing, near, quality
+from . import chat, decontaminate, lines, mixing, near, quality, repeats
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": lambda s, d: repeats.op1_suffix_dedup(table(s, d, "documents")),
         "op2_chat_formatting": lambda s, d: chat.op2_chat(table(s, d, "conversations")),
         "op3_line_dedup": lambda s, d: lines.op3_line_dedup(table(s, d, "documents")),
         "op5_minhash_near_dedup": lambda s, d: near.op5_near_dedup(table(s, d, "documents")),
