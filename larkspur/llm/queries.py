@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontaminate, lines, mixing, near, quality, repeats
+from . import chat, decontaminate, lines, mixing, near, pii, quality, repeats, tokens
 from .common import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": lambda s, d: lines.op3_line_dedup(table(s, d, "documents")),
         "op5_minhash_near_dedup": lambda s, d: near.op5_near_dedup(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
+        "op7_contextual_pii": lambda s, d: pii.op7_pii(table(s, d, "documents")),
+        "op8_token_counts": lambda s, d: tokens.op8_token_counts(table(s, d, "documents")),
         "op9_source_mixing": lambda s, d: mixing.op9_mixing(table(s, d, "documents")),
         "op10_decontamination": lambda s, d: decontaminate.op10_decontamination(table(s, d, "documents"), table(s, d, "benchmark")),
         "pipeline": corpus_pipeline.run,
