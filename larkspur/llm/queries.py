@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, decontaminate, lines, mixing, near, pii, quality, repeats, tokens
+from . import chat, decontaminate, lines, lm, mixing, near, pii, quality, repeats, tokens
 from .common import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_array_dedup": lambda s, d: repeats.op1_suffix_dedup(table(s, d, "documents")),
         "op2_chat_formatting": lambda s, d: chat.op2_chat(table(s, d, "conversations")),
         "op3_line_dedup": lambda s, d: lines.op3_line_dedup(table(s, d, "documents")),
+        "op4_lm_scoring": lambda s, d: lm.op4_lm_scoring(table(s, d, "documents")),
         "op5_minhash_near_dedup": lambda s, d: near.op5_near_dedup(table(s, d, "documents")),
         "op6_quality_rules": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op7_contextual_pii": lambda s, d: pii.op7_pii(table(s, d, "documents")),
