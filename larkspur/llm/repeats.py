@@ -195,7 +195,7 @@ def _repeats(batches: Iterator) -> Iterator:
 SLICE, MANY = 10, 2000
 
 
-def repeated_spans(docs: DataFrame, shard_bytes: int = 8_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
     """doc_id, th (a hash of the text), spans: array of (a, e), bytes from a to before e repeat. Documents without repeats
     have no row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
