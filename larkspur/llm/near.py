@@ -3,8 +3,8 @@ shingle sets, and connected components by alternating large-star and small-star.
 
 Equal sets collapse to one node first. In a bucket every node is compared with a pivot only, twice with different
 pivots; components of what that confirms are found; then nodes of one bucket in *different* components are paired,
-but only where exact bounds leave a link possible (sizes, the number of shingles shared with anything at all, the
-triangle inequality of the Jaccard distance over the pivot). So no link is lost and no bucket is turned into all its
+but only where exact bounds leave a link possible (sizes, the shingles shared with anything at all, the triangle
+inequality of the Jaccard distance over the pivot, what each lacks of the pivot). So no link is lost and no bucket is turned into all its
 pairs. Bands: 20 of 4 minima; a link at a similarity of 0.85 misses all of them with a chance of 4e-7.
 """
 
@@ -96,11 +96,23 @@ def _signed(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n", "h", "sig"])
 
 
+def _packed(batches: Iterator) -> Iterator:
+    """Texts compressed, so that their shuffle is smaller."""
+    import pyarrow as pa
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(t.as_py() or b"") for t in b.column("text").cast(pa.binary())], pa.binary())], names=["doc_id", "z"])
+
+
 def _sets(batches: Iterator) -> Iterator:
     import pyarrow as pa
+    import zstandard
 
+    z = zstandard.ZstdDecompressor()
     for b in batches:
-        s = [shingles(t.as_py()).view(np.int64) for t in b.column("text").cast(pa.binary())]
+        s = [shingles(z.decompress(t.as_py())).view(np.int64) for t in b.column("z")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
 
@@ -157,7 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shared = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
     m1 = written(buckets.join(shared, "b").select("b", "node", "n", "m", "pivot"), "near-buckets")
     wanted = m1.select("node").distinct()
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    packed = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
+    texts = packed.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets, "node long, n long, s array<long>").dropDuplicates(["node", "s"]), "near-sets")
     held = sigs.join(wanted, "node", "left_semi")
 
@@ -178,21 +191,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     mine = m1.where("m > 2").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     home = mine.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("c", F.struct("k", "c")).alias("home"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     mixed = written(mine.join(home, "b").join(far1.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("i") / F.col("o")).alias("d")), ["node", "pivot"], "left")
-                    .select("b", "node", "n", "c", "home", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "near-mixed")
+                    .select("b", "node", "pivot", "n", "c", "home", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "near-mixed")
     token = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("t"))
     common = token.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t")
-    shared_n = token.join(common, "t", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    bound = mixed.join(shared_n, "node").where(F.col("w") * 100 >= F.col("n") * percent)
+    known = token.join(common, "t", "left_semi").groupBy("node").agg(F.collect_list("t").alias("cs"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("s").alias("ps"))
+    groups = lambda a: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda g: F.size(F.filter(a, lambda t: F.pmod(t, F.lit(64)) == g)))
+    lost = (
+        mixed.where("node <> pivot").select("node", "pivot").distinct().join(known, "node").join(pivots, "pivot")
+        .withColumn("miss", F.array_except("ps", "cs")).withColumn("extra", F.array_except("cs", "ps"))
+        .select("node", "pivot", F.size("ps").alias("np"), F.size("cs").alias("w"), F.size("miss").alias("gone"), F.concat(groups(F.col("miss")), groups(F.col("extra"))).alias("g"))
+    )
+    bound = written(mixed.join(lost, ["node", "pivot"]).where(F.col("w") * 100 >= F.col("n") * percent), "near-bound")
     per = percent / (100 + percent)
     bin_ = lambda x: F.floor(F.log(x) * 25)
-    x = bound.where("c <> home").select("b", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("c").alias("cu"), F.col("w").alias("wu"), F.col("d").alias("du"))
+    of = lambda x: [F.col(k).alias(k + x) for k in ("n", "c", "w", "d", "gone", "g")]
+    x = bound.where("c <> home").select("b", F.col("node").alias("u"), "np", *of("u"))
     low, high = F.col("nu") * percent / 100, F.least(F.col("nu") * 100 / percent, F.col("wu") / per - F.col("nu"))
     x = x.where(high >= low).withColumn("bin", F.explode(F.sequence(bin_(low), bin_(high))))
-    y = bound.select("b", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("c").alias("cv"), F.col("w").alias("wv"), F.col("d").alias("dv"), bin_(F.col("n")).alias("bin"))
+    y = bound.select("b", F.col("node").alias("v"), *of("v"), bin_(F.col("n")).alias("bin"))
+    # no more can be in both than the pivot's shingles that neither lacks (those both lack counted once: at most what both
+    # lack in each of 64 groups) and, of the others found anywhere else, at most what both have in each group
+    both = F.col("np") - F.col("goneu") - F.col("gonev") + F.aggregate(F.zip_with("gu", "gv", lambda i, j: F.least(i, j)), F.lit(0), lambda t, k: t + k)
     possible = (
         (F.col("cu") != F.col("cv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
         & (F.least("wu", "wv") >= (F.col("nu") + F.col("nv")) * per - 1e-6)
         & (F.col("du").isNull() | F.col("dv").isNull() | (F.abs(F.col("du") - F.col("dv")) <= 1 - percent / 100 + 1e-9))
+        & (both >= (F.col("nu") + F.col("nv")) * per - 1e-6)
     )
     cross = x.join(y, ["b", "bin"]).where(possible).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     more = _confirmed(_alike(cross, held, least), sets).where(linked).select("u", "v")
