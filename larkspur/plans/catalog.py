@@ -1,4 +1,4 @@
 """All queries of the engine's own operators."""
 
-from . import invest_queries, spend_queries  # noqa: F401
+from . import corpus_queries, invest_queries, spend_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
