@@ -30,3 +30,32 @@ def ready_set(nodes: DataFrame, deps: DataFrame, finished: DataFrame) -> DataFra
     """Unfinished nodes whose dependencies are all finished."""
     unmet = deps.join(finished.select(F.col("id").alias("needs")), "needs", "left_anti").select("id").distinct()
     return nodes.select("id").join(finished, "id", "left_anti").join(unmet, "id", "left_anti")
+
+
+def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, component (smallest node reachable) over edges (u, v); labels shrink along edges until none changes."""
+    from ..sources.tables import cut
+
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = cut(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
+    for _ in range(rounds):
+        near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("low"))
+        new = cut(label.join(near, label["node"] == near["u"]).select("node", "component", F.least("component", "low").alias("low")))
+        changed = not new.where("low <> component").isEmpty()
+        label = new.select("node", F.col("low").alias("component"))
+        if not changed:
+            return label
+    raise RuntimeError("components did not settle")
+
+
+def cycles(deps: DataFrame, most: int = 200) -> DataFrame:
+    """Nodes of edges (id, needs) that lie on a cycle or lead into one only: what peeling from both ends leaves."""
+    from ..sources.tables import cut
+
+    edges = cut(deps.select("id", "needs").distinct())
+    for _ in range(most):
+        left = cut(edges.join(edges.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(edges.select(F.col("needs").alias("id")).distinct(), "id", "left_semi").select("id", "needs"))
+        if left.count() == edges.count():
+            return left.select("id").distinct()
+        edges = left
+    raise RuntimeError("peeling did not settle")

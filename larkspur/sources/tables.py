@@ -44,7 +44,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
 def read_statement(spark: SparkSession, path: str, header: str, schema: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
     """Statements with a preamble: each file's rows after the line that starts with ``header``, parsed as delimited text."""
     body = F.element_at(F.split("value", rf"(?m)^{header}[^\n]*\n", 2), -1)
-    lines = spark.read.option("encoding", encoding).text(path, wholetext=True).select(F.explode(F.split(body, r"\r?\n")).alias("line"))
+    lines = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value")).select(F.explode(F.split(body, r"\r?\n")).alias("line"))
     return lines.where(F.length(F.trim("line")) > 0).select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
 
 

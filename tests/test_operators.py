@@ -1,0 +1,155 @@
+"""Worked examples of single operators."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.functions import scalar
+from larkspur.operators import corpus, graph, invest, joins, ledger, spend
+from larkspur.sources import tables
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("text,number", [("R$ 1.234,56", 1234.56), ("-1.234,5", -1234.5), ("(12,00)", -12.0), ("−3,1", -3.1), ("x", 0.0), (None, 0.0)])
+def test_ptbr(spark, text, number):
+    assert one(spark, scalar.ptbr_decimal, text) == number
+
+
+@pytest.mark.parametrize("text,day", [("1/2/2024", dt.date(2024, 2, 1)), ("31-12-1999", dt.date(1999, 12, 31)), ("2024-03-05T10", dt.date(2024, 3, 5)), ("31/02/2024", None), ("", None), (None, None)])
+def test_dates(spark, text, day):
+    assert one(spark, scalar.any_date, text) == day
+
+
+def test_names(spark):
+    assert one(spark, scalar.fold_key, "Foo-Bar_2!") == "foobar2"
+    assert one(spark, scalar.url_key, "HTTPS://www.A.com/b/?q#x") == "a.com/b"
+    assert one(spark, scalar.strip_html, "<p>a &amp;<script>x<p></script> b</p><!-- c -->") == "a & b"
+    assert [one(spark, scalar.pluralised, w) for w in ("company", "person", "box", "day", "topic")] == ["companies", "people", "boxes", "days", "topics"]
+
+
+def test_installments(spark):
+    df = spark.createDataFrame([("PARC 2/10",), ("parcela 3 de 4",), ("PARC 5/4",), ("PARC 1/1",), ("none",)], "x string")
+    n, m = scalar.installment(F.col("x"))
+    assert [tuple(r) for r in df.select(n, m).collect()] == [(2, 10), (3, 4), (None, None), (None, None), (None, None)]
+
+
+def test_asof(spark):
+    d = lambda s: dt.date.fromisoformat(s)
+    left = spark.createDataFrame([(1, "a", d("2024-01-01")), (2, "a", d("2024-01-20")), (3, "a", d("2024-03-01")), (4, "a", d("2024-01-15")), (5, "b", d("2024-01-15"))], "id int, k string, date date")
+    right = spark.createDataFrame([("a", d("2024-01-15"), 1.0), ("a", d("2024-02-02"), 2.0)], "k string, date date, rate double")
+    assert {r["id"]: r["rate"] for r in joins.asof_join(left, right, "k", "date", "rate").collect()} == {1: 1.0, 2: 1.0, 3: 2.0, 4: 1.0, 5: None}
+    assert {r["id"]: r["rate"] for r in joins.asof_join(left, right, "k", "date", "rate", False).collect()}[1] is None
+
+
+def test_longest_alias(spark):
+    texts = spark.createDataFrame([(1, "IFD*Pizza Hut store"), (2, "pizza"), (3, "nothing")], "id int, t string")
+    aliases = spark.createDataFrame([("pizza", 1), ("pizza hut", 2)], "alias string, rank int")
+    got = {r["id"]: (r["alias"], r["match"]) for r in joins.longest_alias(texts, aliases, "t").collect()}
+    assert got == {1: ("pizza hut", "partial"), 2: ("pizza", "exact"), 3: (None, None)}
+
+
+def test_snapshot_delta(spark):
+    now = spark.createDataFrame([("a", 120.0), ("b", 121.0), ("c", 0.0), ("d", 5.0)], "id string, v double")
+    before = spark.createDataFrame([("a", 100.0), ("b", 100.0), ("c", 9.0), ("e", 1.0)], "id string, v double")
+    assert {r["id"]: r["kind"] for r in joins.snapshot_delta(now, before, "id", "v").collect()} == {"b": "moved", "c": "zeroed", "d": "new", "e": "zeroed"}
+
+
+def test_tolerance(spark):
+    a = spark.createDataFrame([(1, "x", 100.0), (2, "x", 200.0), (3, "y", 100.0)], "seq int, k string, v double")
+    b = spark.createDataFrame([("x", 100.0), ("x", 100.9), ("x", 102.0)], "k string, v double")
+    assert {r["seq"]: (r["matches"], r["exact"]) for r in joins.tolerance_match(a, b, ["k"], "v", 1.0).collect()} == {1: (2, 1), 2: (0, 0), 3: (0, 0)}
+
+
+def test_spikes_look_at_the_calendar_month_before(spark):
+    t = spark.createDataFrame([("2024-01", "a", 150.0), ("2023-12", "a", 100.0), ("2024-03", "b", 900.0), ("2024-01", "b", 100.0), ("2024-02", "c", 120.0), ("2024-01", "c", 100.0)], "month string, supplier string, spend double")
+    assert [(r["month"], r["supplier"], r["pct"]) for r in spend.spend_spikes(t).collect()] == [("2024-01", "a", 0.5)]
+
+
+def trade(spark, rows):
+    return spark.createDataFrame([(dt.date(2024, 1, i + 1), "T", s, float(q), p, 0.0, "B", i) for i, (s, q, p) in enumerate(rows)], "date date, ticker string, side string, quantity double, total double, tax double, broker string, ord int")
+
+
+def test_average_cost(spark):
+    t = trade(spark, [("C", 10, 100.0), ("C", 10, 200.0), ("V", 5, 90.0), ("V", 20, 1.0)])
+    assert tuple(invest.average_cost(t).first()) == ("T", -5.0, 0.0)
+    assert tuple(invest.average_cost(t.where("ord < 3")).first()) == ("T", 15.0, 225.0)
+
+
+def test_fifo(spark):
+    t = trade(spark, [("C", 10, 100.0), ("C", 100, 2000.0), ("V", 15, 1.0), ("V", 200, 1.0)])
+    assert tuple(invest.fifo_cost(t).first()) == ("T", 110.0, 2100.0)
+
+
+def test_xirr(spark):
+    flow = spark.createDataFrame([("a", dt.date(2023, 1, 1), -100.0), ("b", dt.date(2023, 1, 1), 100.0), ("c", dt.date(2023, 1, 1), -100.0)], "ticker string, date date, flow double")
+    end = spark.createDataFrame([("a", dt.date(2024, 1, 1), 110.0), ("b", dt.date(2024, 1, 1), 5.0), ("c", dt.date(2024, 1, 1), 0.0)], "ticker string, tdate date, value double")
+    got = {r["ticker"]: r["xirr"] for r in invest.xirr(flow, end).collect()}
+    assert got["a"] == pytest.approx(0.10007, abs=2e-5) and got["b"] is None and got["c"] is None
+
+
+def test_corporate_actions(spark):
+    rows = [("A", 1, "C", 10.0, 100.0, None, None), ("A", 2, "desdobramento", None, None, 2.0, None), ("A", 3, "V", 5.0, 60.0, None, None), ("A", 4, "conversao", None, None, 0.5, "B"), ("B", 5, "C", 1.0, 10.0, None, None), ("B", 6, "bonificacao", None, None, 0.1, None), ("C", 7, "C", 4.0, 40.0, None, None), ("C", 8, "expiracao", None, None, None, None)]
+    got = {r["ticker"]: (r["quantity"], r["cost"]) for r in ledger.positions(spark.createDataFrame(rows, "ticker string, seq long, kind string, quantity double, total double, ratio double, target string")).collect()}
+    assert got == {"A": (0.0, 0.0), "B": (pytest.approx(9.35), pytest.approx(85.0)), "C": (0.0, 0.0)}
+
+
+@pytest.mark.parametrize("events,balance,average", [
+    ([("in", 1000, 5.0), ("in", 1000, 6.0)], 2000, 5.5),
+    ([("in", 1000, 5.0), ("in", 1000, 6.0), ("out", 500, None)], 1500, 5.6667),
+    ([("in", 1000, 5.0), ("in", 1000, 6.0), ("out", 1000, None)], 1000, 6.0),
+    ([("in", 100, 5.0), ("income", 50, None)], 150, 5.0),
+])
+def test_fx_account(spark, events, balance, average):
+    rows = [("acc", i, k, float(a), r) for i, (k, a, r) in enumerate(events)]
+    got = ledger.fx_accounts(spark.createDataFrame(rows, "account string, seq long, kind string, amount double, rate double")).first()
+    assert got["balance"] == balance and got["average"] == pytest.approx(average, abs=1e-4)
+
+
+def test_fusion(spark):
+    a, b = (spark.createDataFrame([(1, i, r) for r, i in enumerate(x, 1)], "qid int, id int, rank int") for x in ([1, 2, 3], [2, 9]))
+    top = corpus.fuse(a, b).where("rank = 1").first()
+    assert top["id"] == 2 and top["score"] == pytest.approx(1 / 61 + 1 / 62)
+
+
+@pytest.mark.parametrize("scores,first", [((0.80, 0.70), "concept"), ((0.95, 0.50), "source")])
+def test_boost(spark, scores, first):
+    ranked = spark.createDataFrame([(1, 1, scores[0]), (1, 2, scores[1])], "qid int, id int, score double")
+    kinds = spark.createDataFrame([(1, "source"), (2, "concept")], "id int, kind string")
+    assert corpus.reranked(ranked, kinds, ["concept"]).where("position = 1").join(kinds, "id").first()["kind"] == first
+
+
+def test_waves_and_cycles(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(7)], "id int")
+    deps = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 4), (4, 3), (5, 4), (6, 99)], "id int, needs int")
+    assert {r["id"]: r["wave"] for r in graph.waves(nodes, deps).collect()} == {0: 0, 1: 1, 2: 2, 3: None, 4: None, 5: None, 6: None}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,amount\n2024-01-01,1.5\n2024-01-02,x\n")
+    got = tables.read_csv(spark, f"{tmp_path}/*.csv", "date date, amount double").collect()
+    assert [(r["amount"], r["_source_file"]) for r in got] == [(1.5, "a.csv"), (None, "a.csv")]
+    assert tables.read_csv(spark, f"{tmp_path}/none/*.csv", "date date, amount double").count() == 0
+    (tmp_path / "s.txt").write_bytes("Conta: 1\nExtrato\nData;Valor\n01/02/2024;1,5\n\n02/02/2024;ção\n".encode("latin-1"))
+    got = tables.read_statement(spark, f"{tmp_path}/s.txt", "Data;", "d string, v string", encoding="ISO-8859-1").collect()
+    assert [tuple(r) for r in got] == [("01/02/2024", "1,5"), ("02/02/2024", "ção")]
+    table, rows = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a"), (2, "b")], [(2, "c"), (2, "d"), (3, "e")]))
+    assert sorted(map(tuple, tables.upsert(table, rows, ["k"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_plans_push_filters_and_prune(spark, sf):
+    from larkspur.sources.adapters import table
+
+    plan = spend.top_suppliers(spend_tx(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    li = table(spark, sf, "lineitem").where("l_linestatus = 'F'").select("l_partkey")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_linestatus,F)" in li and "ReadSchema: struct<l_partkey:bigint,l_linestatus:string>" in li
+
+
+def spend_tx(spark, sf):
+    from larkspur.sources.adapters import transactions
+
+    return transactions(spark, sf)
