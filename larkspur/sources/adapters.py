@@ -116,9 +116,9 @@ FX = """fx as (select currency, date, cast(sum(abs(amount)) / 100000 as decimal(
 
 
 def quotes(spark: SparkSession, d: str) -> DataFrame:
-    """A close for each ticker and day: the mean price per unit, in cents."""
-    t = trades(spark, d)
-    return t.groupBy("ticker", "date").agg((F.sum(F.col("total").cast("double")) / F.sum("quantity")).alias("raw")).select("ticker", "date", F.round("raw", 2).alias("close"))
+    """A close for each ticker and day: the mean price per unit, whole cents (cut off, so that both engines agree)."""
+    per = trades(spark, d).groupBy("ticker", "date").agg((F.sum("total") * 100).cast("long").alias("cents"), F.sum("quantity").cast("long").alias("units"))
+    return per.select("ticker", "date", (F.expr("cents div units") / 100).alias("close"))
 
 
-QUOTES = """quotes as (select ticker, date, round(cast(sum(total) as double) / sum(quantity), 2) as close from trades group by all)"""
+QUOTES = """quotes as (select ticker, date, (cast(sum(total) * 100 as bigint) // cast(sum(quantity) as bigint)) / 100 as close from trades group by all)"""
