@@ -62,10 +62,10 @@ query("path_diff", """select path, kind from (select path, case when a.h is null
     lambda s, d: joins.path_diff(table(s, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash")),
                                  table(s, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("hash"))))
 
-query("average_cost_positions", """select ticker, round(q, 4) as quantity, round(c, 2) as cost from (select ticker, q, c, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1""", TRADES, """
-f as (select ticker, cast(0 as bigint) as seq, cast(0 as double) as q, cast(0 as double) as c from (select distinct ticker from trades) union all
+AVERAGE = """f as (select ticker, cast(0 as bigint) as seq, cast(0 as double) as q, cast(0 as double) as c from (select distinct ticker from trades) union all
 select f.ticker, t.seq, case when t.side = 'C' then f.q + t.quantity else f.q - t.quantity end,
-case when t.side = 'C' then f.c + abs(cast(t.total as double)) when f.q > 0 then f.c * (1.0::double - least(t.quantity / f.q, 1.0::double)) else f.c end from f join trades t on t.ticker = f.ticker and t.seq = f.seq + 1)""")(
+case when t.side = 'C' then f.c + abs(cast(t.total as double)) when f.q > 0 then f.c * (1.0::double - least(t.quantity / f.q, 1.0::double)) else f.c end from f join trades t on t.ticker = f.ticker and t.seq = f.seq + 1)"""
+query("average_cost_positions", "select ticker, round(q, 4) as quantity, round(c, 2) as cost from (select ticker, q, c, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1", TRADES, AVERAGE)(
     lambda s, d: invest.average_cost(trades(s, d)))
 
 query("fifo_cost", """select s.ticker, round(sum(least(e, b) - greatest(e0, b0)), 4) as sold, round(sum((least(e, b) - greatest(e0, b0)) * price), 0) as cost
@@ -83,8 +83,19 @@ def terminal(s, d):
     return held.join(invest.latest_close(quotes(s, d), "2002-01-01"), "ticker").select("ticker", F.lit("2002-01-01").cast("date").alias("tdate"), F.round(F.greatest("quantity", F.lit(0.0)) * F.col("close"), 2).alias("value"))
 
 
-query("xirr_by_ticker")(lambda s, d: invest.xirr(invest.flows(trades(s, d)), terminal(s, d)))
-query("irr_band_gate")(lambda s, d: invest.irr_band_gate(invest.xirr(invest.flows(trades(s, d)), terminal(s, d))))
+#: Bisection as a recursion of 60 steps over both brackets; the first that holds a change of sign counts.
+BISECT = """held as (select ticker, round(q, 4) as quantity from (select *, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1),
+ends as (select h.ticker, date '2002-01-01' as date, round(greatest(quantity, 0) * close, 2) as flow from held h join (select ticker, arg_max(close, date) as close from quotes group by ticker) using (ticker)),
+fl0 as (select ticker, date, cast(flow as double) as flow from flows where flow <> 0 and ticker in (select ticker from ends) union all select * from ends where flow <> 0),
+fl as (select ticker, (date - min(date) over (partition by ticker)) / 365.25::double as t, flow from fl0),
+ok as (select ticker, count(*) as n, bool_or(flow > 0) and bool_or(flow < 0) and count(*) >= 2 as ok from fl group by ticker),
+b0 as (select ticker, a, z, sign(sum(flow / pow(1 + a, t))) as sa, sign(sum(flow / pow(1 + z, t))) as sz from fl, (values (-0.99::double, 10.0::double), (-0.5::double, 5.0::double)) v(a, z) group by ticker, a, z),
+bi(ticker, a0, a, z, sa, i) as (select ticker, a, a, z, sa, 0 from b0 where sa <> sz union all
+select ticker, a0, case when s = sa then m else a end, case when s = sa then z else m end, sa, i + 1 from (
+select bi.ticker, a0, a, z, sa, i, (a + z) / 2 as m, sign(sum(flow / pow(1 + (a + z) / 2, t))) as s from bi join fl on fl.ticker = bi.ticker where i < 60 group by bi.ticker, a0, a, z, sa, i)),
+xi as (select ok.ticker, n as n_flows, case when ok then round((select (a + z) / 2 from bi where bi.ticker = ok.ticker and i = 60 order by a0 limit 1), 5) end as xirr from ok)"""
+query("xirr_by_ticker", "select * from xi", TRADES, QUOTES, FLOWS, AVERAGE, BISECT)(lambda s, d: invest.xirr(invest.flows(trades(s, d)), terminal(s, d)))
+query("irr_band_gate", "select ticker, case when xirr is null then 'missing' when abs(xirr) > 2 then 'out_of_band' else 'ok' end as verdict from xi", TRADES, QUOTES, FLOWS, AVERAGE, BISECT)(lambda s, d: invest.irr_band_gate(invest.xirr(invest.flows(trades(s, d)), terminal(s, d))))
 
 query("offset_returns", f"""select q.ticker, l.close as last, {', '.join(f"round(l.close / arg_max(q.close, q.date) filter (where l.date - q.date >= {n}) - 1, 4) as r{n}" for n in (1, 30, 90, 180, 365))},
 round(l.close / arg_min(q.close, q.date) filter (where year(q.date) = year(l.date)) - 1, 4) as ytd from quotes q join (select ticker, arg_max(close, date) as close, max(date) as date from quotes group by ticker) l on q.ticker = l.ticker group by q.ticker, l.close""", TRADES, QUOTES)(
