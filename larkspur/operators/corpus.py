@@ -124,7 +124,6 @@ def coalesced_spans(spans: DataFrame) -> DataFrame:
     """Overlapping spans (id, a, e) as maximal ones."""
     w = Window.partitionBy("id").orderBy("a", "e")
     before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before.isNull() | (F.col("a") > before), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = spans.withColumn("new", F.when(before.isNull() | (F.col("a") > before), 1).otherwise(0))
     return marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy("id", "island").agg(F.min("a").alias("a"), F.max("e").alias("e")).drop("island")
 

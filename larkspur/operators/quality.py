@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,10 @@ def misfiled(income: DataFrame, fixed: DataFrame) -> DataFrame:
 
 def invalid_inputs(rows: DataFrame, kinds: list[str]) -> DataFrame:
     """Rows (id, kind) that an upsert must refuse: empty or repeated ids, unknown kinds."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("id"))
-    why = F.when(F.coalesce("id", F.lit("")) == "", "empty").when(n > 1, "repeated").when(~F.col("kind").isin(*kinds), "unknown_kind")
-    return rows.withColumn("why", why).where("why is not null").groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+    named = rows.where(F.coalesce("id", F.lit("")) != "")
+    repeated = named.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    why = F.when(F.coalesce("id", F.lit("")) == "", "empty").when(F.col("_n") > 1, "repeated").when(~F.col("kind").isin(*kinds), "unknown_kind")
+    return rows.join(repeated, "id", "left").withColumn("why", why).where("why is not null").groupBy("why").agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_label(otc: DataFrame, cut: str) -> DataFrame:
