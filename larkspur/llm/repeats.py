@@ -12,7 +12,6 @@ Texts move compressed, twice: to cut out the segments that are sorted, and to me
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
 from collections.abc import Iterator
 
