@@ -3,9 +3,10 @@
 Each string of LENGTH bytes belongs to one segment, the run of strings that share their leftmost smallest gram; equal
 strings have the same gram at the same place. So only segments whose gram is found twice can hold repeats, and
 segments that are equal as a whole are repeats as a whole: those two cases are counted by hashes, map-side first, and
-copies of any number cost no more. What is left, different segments around one gram, is dealt to shards by gram (and
-by the gram's place where very many differ) and sorted by external induced suffix sorting (induced.py), whose
-common-prefix lengths say which strings repeat. No shard needs what another has.
+copies of any number cost no more. What is left, different segments around one gram, is dealt to shards by gram and
+sorted by external induced suffix sorting (induced.py), whose common-prefix lengths say which strings repeat. No shard
+needs what another has. Where more than MANY segments differ around one gram, their strings are counted by hash too, so
+that a group that is sorted has at most MANY segments, however many documents hold its gram.
 
 Texts move compressed, twice: to cut out the segments that are sorted, and to meet the spans they lose.
 """
@@ -113,31 +114,37 @@ def _packed(batches: Iterator) -> Iterator:
 
 
 def _cut_out(batches: Iterator) -> Iterator:
-    """The bytes of wanted segments; those around a gram with many variants by slices of the gram's place."""
+    """The bytes of wanted segments (x); of those around a gram with many variants a hash of each string (k)."""
     import pyarrow as pa
+    import xxhash
     import zstandard
 
     z = zstandard.ZstdDecompressor()
+
+    def table(b, rows: list[tuple]):
+        at, h, once, s, k, x = zip(*rows)
+        i = pa.array(at)
+        return pa.RecordBatch.from_arrays(
+            [b.column("doc_id").take(i), b.column("th").take(i), pa.array(h, pa.int64()), pa.array(once, pa.bool_()), pa.array(s, pa.int32()), pa.array(k, pa.int64()), pa.array(x, pa.binary())],
+            names=["doc_id", "th", "h", "once", "s", "k", "x"],
+        )
+
     for b in batches:
         rows = []
-        for k, (packed, want) in enumerate(zip(b.column("z"), b.column("want"))):
+        for at, (packed, want) in enumerate(zip(b.column("z"), b.column("want"))):
             text = z.decompress(packed.as_py())
             for w in want.as_py():
-                s, m, o = w["s"], w["m"], w["o"]
-                if not w["split"]:
-                    rows.append((k, w["h"], -1, w["once"], s, text[s : s + m + LENGTH - 1]))
-                    continue
-                for part in range((o - m + 1) // SLICE, o // SLICE + 1):  # strings whose gram is part * SLICE ... after their start
-                    a, e = s + max(0, o - part * SLICE - SLICE + 1), s + min(m - 1, o - part * SLICE)
-                    if a <= e:
-                        rows.append((k, w["h"], part, w["once"], a, text[a : e + LENGTH]))
-        for i in range(0, len(rows), 20_000):
-            k, h, part, once, s, x = zip(*rows[i : i + 20_000])
-            at = pa.array(k)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(at), b.column("th").take(at), pa.array(h, pa.int64()), pa.array(part, pa.int32()), pa.array(once, pa.bool_()), pa.array(s, pa.int32()), pa.array(x, pa.binary())],
-                names=["doc_id", "th", "h", "part", "once", "s", "x"],
-            )
+                s, m, h, once = w["s"], w["m"], w["h"], w["once"]
+                if w["split"]:
+                    k = np.array([xxhash.xxh3_64_intdigest(text[i : i + LENGTH]) for i in range(s, s + m)], _U).view(np.int64).tolist()
+                    rows += [(at, h, once, s + i, y, None) for i, y in enumerate(k)]
+                else:
+                    rows.append((at, h, once, s, None, text[s : s + m + LENGTH - 1]))
+                if len(rows) >= 20_000:
+                    yield table(b, rows)
+                    rows = []
+        if rows:
+            yield table(b, rows)
 
 
 def _repeats(batches: Iterator) -> Iterator:
@@ -190,8 +197,8 @@ def _repeats(batches: Iterator) -> Iterator:
         yield from table.to_batches(max_chunksize=50_000)
 
 
-#: Segments around one gram are split by the gram's place, SLICE places a part, where more than MANY differ.
-SLICE, MANY = 10, 2000
+#: Where more segments than this differ around one gram, their strings are counted by hash and not sorted.
+MANY = 2000
 
 
 def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
@@ -205,7 +212,7 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
     groups = written(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "s", "m", "o")).alias("at")), "seg-groups")
     differ = groups.groupBy("h").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("low")).where("v > 1 and low = 1").select("h", "v")
     wanted = groups.join(differ, "h").select("at.doc_id", "at.th", F.struct("h", F.col("at.s").alias("s"), F.col("at.m").alias("m"), F.col("at.o").alias("o"), (F.col("n") == 1).alias("once"), (F.col("v") > MANY).alias("split")).alias("w"))
-    wanted = written(wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("want"), F.sum(F.col("w.m") + LENGTH).alias("bytes")), "seg-wanted")
+    wanted = written(wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("want"), F.sum(F.when(~F.col("w.split"), F.col("w.m") + LENGTH)).alias("bytes")), "seg-wanted")
     shards = max(1, -(-(wanted.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
     whole = groups.where("n > 1").select("h", "c")
     full = shared.join(whole, ["h", "c"], "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + LENGTH).alias("e"))
@@ -214,9 +221,15 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
     need = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "want")
     strings = (
         texts.join(need, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["th"] == F.col("t"))).select("doc_id", "th", "z", "want")
-        .mapInArrow(_cut_out, f"doc_id {kind}, th long, h long, part int, once boolean, s int, x binary")
+        .mapInArrow(_cut_out, f"doc_id {kind}, th long, h long, once boolean, s int, k long, x binary")
     )
-    part = strings.repartition(int(shards), "h", "part").mapInArrow(_repeats, f"doc_id {kind}, th long, a int, e int")
+    if not differ.where(F.col("v") > MANY).isEmpty():
+        strings = written(strings, "seg-strings")
+        hashed = strings.where("k is not null").select("doc_id", "th", "h", "once", "s", "k")
+        twice = hashed.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "k")
+        full = full.unionByName(hashed.where("once").join(twice, ["h", "k"], "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("e")))
+        strings = strings.where("x is not null")
+    part = strings.select("doc_id", "th", "h", "once", "s", "x").repartition(int(shards), "h").mapInArrow(_repeats, f"doc_id {kind}, th long, a int, e int")
     return full.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
 
 

@@ -74,6 +74,26 @@ def test_repeats(docs, none, texts):
     assert repeats.op1_suffix_dedup(none).count() == 0
 
 
+def test_repeats_around_one_passage(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, before = say(400), say(10)
+    docs = {i: say(300) + (before if i % 3 == 0 else "") + passage + say(300) for i in range(120)}
+    sort = repeats._repeats
+
+    def bounded(batches):
+        held = list(batches)
+        most = Counter(h for b in held for h in b.column("h").to_pylist())
+        assert not most or max(most.values()) <= 20, most.most_common(3)
+        yield from sort(iter(held))
+
+    monkeypatch.setattr(repeats, "MANY", 20)
+    monkeypatch.setattr(repeats, "_repeats", bounded)
+    got = repeats.repeats_removed(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)).collect()
+    want = repeats.brute_force({i: t.encode() for i, t in docs.items()})
+    assert {x["doc_id"]: [(s["a"], s["e"]) for s in x["spans"]] for x in got} == want and all(want.values())
+
+
 def test_repeats_in_split_groups(docs, texts, monkeypatch):
     whole = sorted(map(str, repeats.op1_suffix_dedup(docs).collect()))
     monkeypatch.setattr(repeats, "MANY", 0)
