@@ -45,12 +45,29 @@ def subdivision(docs: DataFrame, least: int = 10) -> DataFrame:
 
 def cross_currency(tx: DataFrame) -> DataFrame:
     """Best counterpart of each funding row on its day: other bank and currency, opposite signs; a plausible rate scores
-    more; ties to the smallest seq."""
-    a = tx.where("amount > 0 and seq % 20 = 0").select(F.col("seq").alias("fund"), "date", F.col("bank").alias("ba"), F.col("currency").alias("ca"), F.col("amount").alias("aa"))
-    both = a.join(tx.where("amount < 0"), "date").where("bank <> ba and currency <> ca")
-    ratio = F.abs(F.col("amount").cast("double") / F.col("aa").cast("double"))
-    score = F.when(F.col("description").contains("URGENT"), 100).otherwise(0) + F.when(ratio.between(3.0, 8.0), 10).otherwise(0)
-    return both.withColumn("score", score).groupBy("fund").agg(F.min_by(F.struct("seq", "score"), F.struct(-F.col("score"), "seq")).alias("b")).select("fund", "b.seq", F.col("b.score").cast("long").alias("score"))
+    more; ties to the smallest seq.
+
+    A funding row meets the smallest seq of each kind of counterpart, and for the rate that of each logarithmic bin of
+    amounts between 3 and 8 times its own; only in the bins at both ends do amounts meet one by one."""
+    width = 0.05
+    bin_ = lambda x: F.floor(F.log(x) / width)
+    a = tx.where("amount > 0").select(F.col("seq").alias("fund"), "date", F.col("bank").alias("ba"), F.col("currency").alias("ca"), F.col("amount").cast("double").alias("aa"))
+    urgent = F.when(F.col("description").contains("URGENT"), 100).otherwise(0).alias("score")
+    b = tx.where("amount < 0").select("seq", "date", "bank", "currency", urgent, F.col("amount").cast("double").alias("amount")).withColumn("bin", bin_(F.abs("amount")))
+    least = F.min("seq").alias("seq")
+    kind = ["date", "bank", "currency", "score"]
+    low, high = bin_(F.col("aa") * 3), bin_(F.col("aa") * 8)
+    inner = a.withColumn("bin", F.explode(F.sequence(low + 2, high - 2)))
+    ends = a.withColumn("bin", F.explode(F.array(*(e + o for e in (low, high) for o in (-1, 0, 1)))))
+    ratio = F.abs(F.col("amount") / F.col("aa"))
+    plausible = (F.col("score") + 10).alias("score")
+    met = (
+        a.join(b.groupBy(*kind).agg(least), "date").where("bank <> ba and currency <> ca").select("fund", "seq", "score")
+        .unionByName(inner.join(b.groupBy(*kind, "bin").agg(least), ["date", "bin"]).where("bank <> ba and currency <> ca").select("fund", "seq", plausible))
+        .unionByName(ends.join(b.groupBy(*kind, "bin", "amount").agg(least), ["date", "bin"]).where("bank <> ba and currency <> ca").where(ratio.between(3.0, 8.0)).select("fund", "seq", plausible))
+    )
+    best = met.groupBy("fund").agg(F.min(F.struct(-F.col("score"), F.col("seq"))).alias("b"))
+    return best.select("fund", "b.seq", (-F.col("b.col1")).cast("long").alias("score"))
 
 
 def name_lookup(rows: DataFrame, names: DataFrame) -> DataFrame:

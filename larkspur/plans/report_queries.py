@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..operators import reports
 from ..sources.adapters import INCOME, OTC, QUOTES, TRADES, TX, income, otc, quotes, table, transactions
-from .registry import query
+from .registry import SQL, query
 from .rule_queries import ASSETS, assets
 
 query("income_by_type_share", "select type, total, round(total / sum(total) over (), 6) as share from (select type, cast(sum(value) as double) as total from income group by type)", INCOME)(lambda s, d: reports.shares(income(s, d), "type", "value"))
@@ -21,7 +21,8 @@ query("filter_options", """select 'bank' as field, bank as value from tx union s
 query("kind_subdivision", "select source, lang, count(*) as n, case when count(*) >= 10 then 'subdivide' else 'straggler' end as verdict from documents group by source, lang")(lambda s, d: reports.subdivision(table(s, d, "documents")))
 query("cross_currency_best", """select fund, seq, score from (select a.seq as fund, b.seq, case when b.description like '%URGENT%' then 100 else 0 end + case when abs(cast(b.amount as double) / cast(a.amount as double)) between 3 and 8 then 10 else 0 end as score,
 row_number() over (partition by a.seq order by case when b.description like '%URGENT%' then 100 else 0 end + case when abs(cast(b.amount as double) / cast(a.amount as double)) between 3 and 8 then 10 else 0 end desc, b.seq) as r
-from tx a join tx b on a.date = b.date and a.bank <> b.bank and a.currency <> b.currency and b.amount < 0 where a.amount > 0 and a.seq % 20 = 0) where r = 1""", TX)(lambda s, d: reports.cross_currency(transactions(s, d)))
+from tx a join tx b on a.date = b.date and a.bank <> b.bank and a.currency <> b.currency and b.amount < 0 where a.amount > 0 and a.seq % 20 = 0) where r = 1""", TX)(lambda s, d: reports.cross_currency(transactions(s, d)).where("fund % 20 = 0"))
+query("cross_currency_best_all", SQL["cross_currency_best"].replace(" and a.seq % 20 = 0", ""))(lambda s, d: reports.cross_currency(transactions(s, d)))
 
 NAMES = [("small ring", "Ring (S)"), ("Red Widget", "Widget, red"), ("BLUE BOLT", "Bolt"), ("hot gear", "Gear")]
 query("name_map_lookup", f"""select p_partkey as id, coalesce(a.c, b.c) as canonical, case when a.c is not null then 'exact' when b.c is not null then 'folded' else 'unknown' end as how from part

@@ -1,12 +1,13 @@
 """Worked examples of single operators."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar
-from larkspur.operators import corpus, graph, invest, joins, ledger, spend
+from larkspur.operators import corpus, graph, invest, joins, ledger, reports, spend
 from larkspur.sources import tables
 
 
@@ -64,6 +65,18 @@ def test_tolerance(spark):
     assert {r["seq"]: (r["matches"], r["exact"]) for r in joins.tolerance_match(a, b, ["k"], "v", 1.0).collect()} == {1: (2, 1), 2: (0, 0), 3: (0, 0)}
 
 
+def test_cross_currency_serves_every_funding_row(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["d", "e"]), r.choice(["1-URGENT", "b", "c"]), r.choice(["USD", "EUR", "BRL"]), r.choice([-1, 1]) * r.choice([1.0, 2.0, 3.0, 8.0, 24.0, r.uniform(1, 30)])) for i in range(300)]
+    tx = spark.createDataFrame([(i, d, b, c, v, b) for i, d, b, c, v in rows], "seq long, date string, bank string, currency string, amount double, description string")
+    want = {}
+    for f, d, b, c, v in rows:
+        met = [(-(100 * (bb == "1-URGENT") + 10 * (3 <= abs(vv / v) <= 8)), i) for i, dd, bb, cc, vv in rows if v > 0 > vv and dd == d and bb != b and cc != c]
+        if met:
+            want[f] = (min(met)[1], -min(met)[0])
+    assert {x["fund"]: (x["seq"], x["score"]) for x in reports.cross_currency(tx).collect()} == want and any(f % 20 for f in want)
+
+
 def test_spikes_look_at_the_calendar_month_before(spark):
     t = spark.createDataFrame([("2024-01", "a", 150.0), ("2023-12", "a", 100.0), ("2024-03", "b", 900.0), ("2024-01", "b", 100.0), ("2024-02", "c", 120.0), ("2024-01", "c", 100.0)], "month string, supplier string, spend double")
     assert [(r["month"], r["supplier"], r["pct"]) for r in spend.spend_spikes(t).collect()] == [("2024-01", "a", 0.5)]
