@@ -8,7 +8,7 @@ from ..functions import scalar
 from ..operators import corpus, graph
 from ..sources.adapters import TX, table, transactions
 from ..sources.tables import upsert
-from .registry import query
+from .registry import SQL, query
 
 
 def documents(s, d):
@@ -71,6 +71,10 @@ from documents l join documents r on r.doc_id = l.doc_id + 1)""")(
     lambda s, d: corpus.token_overlap(documents(s, d).select(F.col("id").alias("i"), F.left("text", F.lit(200)).alias("a")).join(documents(s, d).select((F.col("id") - 1).alias("i"), F.left("text", F.lit(200)).alias("b")), "i"))
     .select(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "shared", "fires"))
 
+query("token_overlap_whole", SQL["token_overlap"].replace("left(l.text, 200)", "l.text").replace("left(r.text, 200)", "r.text"))(
+    lambda s, d: corpus.token_overlap(documents(s, d).select(F.col("id").alias("i"), F.col("text").alias("a")).join(documents(s, d).select((F.col("id") - 1).alias("i"), F.col("text").alias("b")), "i"))
+    .select(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "shared", "fires"))
+
 query("span_coalesce", """select id, min(a) as a, max(e) as e from (select *, sum(new) over (partition by id order by a, e) as g from (
 select *, case when max(e) over (partition by id order by a, e rows between unbounded preceding and 1 preceding) >= a then 0 else 1 end as new from sp)) group by id, g""",
       "sp as (select user_id as id, event_id % 1000 as a, event_id % 1000 + cast(floor(value) as bigint) % 20 as e from events)")(

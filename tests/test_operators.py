@@ -77,6 +77,17 @@ def test_cross_currency_serves_every_funding_row(spark):
     assert {x["fund"]: (x["seq"], x["score"]) for x in reports.cross_currency(tx).collect()} == want and any(f % 20 for f in want)
 
 
+def test_token_overlap_reads_whole_texts(spark, tmp_path):
+    from larkspur.plans.catalog import QUERIES
+
+    long = [("ab " * 100 + "late words", "cd " * 100 + "words late"), ("ab " * 100, "cd " * 100)]
+    texts = [t for pair in long for t in pair] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' lang", "'y' source").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [{w for w in (t or "").split() if w not in corpus.STOP} for t in texts]
+    got = {r["a"]: (r["shared"], r["fires"]) for r in QUERIES["token_overlap_whole"](spark, str(tmp_path)).collect() if texts[r["a"]] is not None and texts[r["b"]] is not None}
+    assert got == {a: (len(words[a] & words[a + 1]), len(words[a] & words[a + 1]) >= 2) for a in (0, 1, 2)} and got[0] == (2, True)
+
+
 def test_spikes_look_at_the_calendar_month_before(spark):
     t = spark.createDataFrame([("2024-01", "a", 150.0), ("2023-12", "a", 100.0), ("2024-03", "b", 900.0), ("2024-01", "b", 100.0), ("2024-02", "c", 120.0), ("2024-01", "c", 100.0)], "month string, supplier string, spend double")
     assert [(r["month"], r["supplier"], r["pct"]) for r in spend.spend_spikes(t).collect()] == [("2024-01", "a", 0.5)]
