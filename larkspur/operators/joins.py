@@ -109,11 +109,13 @@ def snapshot_delta(now: DataFrame, before: DataFrame, key: str, value: str, move
 
 
 def near_misses(requests: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs that share the date or the amount, but not both, as a union of two equi-joins; counted per request."""
-    a = requests.select(F.col("rid"), F.col("date").alias("rdate"), F.col("amount").alias("ramount"))
-    by_date = a.join(rows, F.col("rdate") == F.col("date")).where("ramount <> amount").select("rid", "seq")
-    by_amount = a.join(rows, F.col("ramount") == F.col("amount")).where("rdate <> date").select("rid", "seq")
-    return by_date.unionByName(by_amount).groupBy("rid").agg(F.count(F.lit(1)).alias("near"))
+    """Number of rows that share a request's date or its amount, but not both; requests without any are left out. Rows
+    are counted by date, by amount and by both first, so no pair is built."""
+    known = rows.where("date is not null and amount is not null")
+    n = F.count(F.lit(1))
+    counts = [known.groupBy(*k).agg(n.alias(c)) for k, c in ((["date"], "_d"), (["amount"], "_a"), (["date", "amount"], "_b"))]
+    met = requests.where("date is not null and amount is not null").select("rid", "date", "amount").join(counts[0], "date", "left").join(counts[1], "amount", "left").join(counts[2], ["date", "amount"], "left").fillna(0, ["_d", "_a", "_b"])
+    return met.groupBy("rid").agg(F.sum(F.col("_d") + F.col("_a") - 2 * F.col("_b")).alias("near")).where("near > 0")
 
 
 def path_diff(stored: DataFrame, current: DataFrame) -> DataFrame:

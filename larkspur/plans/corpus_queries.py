@@ -65,6 +65,9 @@ query("unlinked_mentions", f"""select id, target, count(*) as n from (select doc
 where id <> target and not exists (select 1 from e where src = id and dst = target) group by id, target""", EDGES)(
     lambda s, d: corpus.mentions(documents(s, d), documents(s, d).where("id % 40 = 0").select("id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name")).where("name <> ''"), corpus.edges(documents(s, d))))
 
+query("unlinked_mentions_all", SQL["unlinked_mentions"].replace(" where doc_id % 40 = 0", ""))(
+    lambda s, d: corpus.mentions(documents(s, d), documents(s, d).select("id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name")).where("name <> ''"), corpus.edges(documents(s, d))))
+
 query("token_overlap", f"""select a, b, len(list_intersect(x, y)) as shared, len(list_intersect(x, y)) >= 2 as fires from (
 select l.doc_id as a, r.doc_id as b, list_filter({TOK.format('left(l.text, 200)')}, lambda t: t not in ({STOPS})) as x, list_filter({TOK.format('left(r.text, 200)')}, lambda t: t not in ({STOPS})) as y
 from documents l join documents r on r.doc_id = l.doc_id + 1)""")(

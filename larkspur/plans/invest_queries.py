@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import invest, joins
 from ..sources.adapters import FX, INCOME, OTC, QUOTES, TRADES, TX, fx_rates, income, otc, quotes, table, trades, transactions
-from .registry import query
+from .registry import SQL, query
 
 query("fx_asof_join", """select seq, coalesce(cast((select rate from fx r where r.currency = tx.currency and r.date <= tx.date order by r.date desc limit 1) as double),
 cast((select rate from fx r where r.currency = tx.currency order by r.date limit 1) as double)) as rate from tx where currency <> 'BRL'""", TX, FX)(
@@ -43,6 +43,9 @@ query("tolerance_match", """select a.seq, count(b.amount) as matches, count(*) f
 on a.currency = b.currency and a.bank = b.bank and (a.x = b.amount or abs(a.x - b.amount) <= 0.001 * greatest(abs(a.x), abs(b.amount))) group by a.seq""", TX)(
     lambda s, d: joins.tolerance_match(*(transactions(s, d).where(w).select("seq", "currency", "bank", F.col("amount").cast("double").alias("amount")) for w in ("seq % 50 = 0", "seq % 2 = 1")), ["currency", "bank"], "amount", 0.1).select("seq", "matches", "exact"))
 
+query("tolerance_match_all", SQL["tolerance_match"].replace(" from tx where seq % 2 = 1) b", " from tx) b"))(
+    lambda s, d: joins.tolerance_match(*(transactions(s, d).where(w).select("seq", "currency", "bank", F.col("amount").cast("double").alias("amount")) for w in ("seq % 50 = 0", "true")), ["currency", "bank"], "amount", 0.1).select("seq", "matches", "exact"))
+
 query("bag_difference", """select operation, product, n, coalesce(m, 0) as known, greatest(n - coalesce(m, 0), 0) as surplus from (select operation, product, count(*) as n from otc where source = 'b3' group by all)
 left join (select operation, product, count(*) as m from otc where source = 'broker' group by all) using (operation, product)""", OTC)(
     lambda s, d: joins.bag_difference(otc(s, d).where("source = 'b3'"), otc(s, d).where("source = 'broker'"), ["operation", "product"]))
@@ -57,6 +60,9 @@ from n full join b using (ticker)) where kind is not null""", TRADES,
 query("near_misses", """select a.seq as rid, count(*) as near from tx a join tx b on (a.date = b.date) <> (a.amount = b.amount) and (a.date = b.date or a.amount = b.amount) where a.seq % 500 = 0 group by a.seq""", TX)(
     lambda s, d: joins.near_misses(transactions(s, d).where("seq % 500 = 0").select(F.col("seq").alias("rid"), "date", "amount"), transactions(s, d).select("seq", "date", "amount")))
 
+query("near_misses_all", SQL["near_misses"].replace("a.seq % 500 = 0", "a.seq % 50 = 0"))(
+    lambda s, d: joins.near_misses(transactions(s, d).where("seq % 50 = 0").select(F.col("seq").alias("rid"), "date", "amount"), transactions(s, d).select("seq", "date", "amount")))
+
 query("path_diff", """select path, kind from (select path, case when a.h is null then 'added' when b.h is null then 'removed' when a.h <> b.h then 'changed' end as kind from
 (select doc_id as path, sha256(text) as h from documents where doc_id % 5 <> 0) a full join (select doc_id as path, sha256(case when doc_id % 7 = 0 then text || '!' else text end) as h from documents where doc_id % 3 <> 0) b using (path)) where kind is not null""")(
     lambda s, d: joins.path_diff(table(s, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hash")),

@@ -12,6 +12,7 @@ from .rule_queries import ASSETS, assets
 
 query("income_by_type_share", "select type, total, round(total / sum(total) over (), 6) as share from (select type, cast(sum(value) as double) as total from income group by type)", INCOME)(lambda s, d: reports.shares(income(s, d), "type", "value"))
 query("maturity_ladder", "select year(maturity) as year, count(*) as n, count(*) filter (where active) as n_active from assets group by 1", ASSETS)(lambda s, d: reports.maturity_ladder(assets(s, d)))
+query("maturity_ladder_all", SQL["maturity_ladder"].replace(" where p_partkey < 600", ""))(lambda s, d: reports.maturity_ladder(assets(s, d, "true")))
 query("latest_filed_fact", """select metric, period, arg_max(value, (filed, value)) as value, cast(max(filed) as varchar) as filed from (select event_type as metric, user_id % 20 as period, cast(ts as date) as filed, value from events) group by metric, period""")(
     lambda s, d: reports.latest_filed(table(s, d, "events").select(F.col("event_type").alias("metric"), (F.col("user_id") % 20).alias("period"), F.to_date("ts").alias("filed"), "value")))
 query("market_indicators", """select ticker, close, round(close / before - 1, 6) as change from (select ticker, close, lag(close) over (partition by ticker order by date) as before, row_number() over (partition by ticker order by date desc) as r from quotes) where r = 1 and before is not null""", TRADES, QUOTES)(

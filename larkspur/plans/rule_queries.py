@@ -11,7 +11,7 @@ from ..operators import quality, rules
 from ..sources.adapters import INCOME, OTC, TX, income, otc, table, transactions
 from ..sources.tables import shared_dir
 from ..streaming import events as streaming
-from .registry import query
+from .registry import SQL, query
 
 SUPPLIERS = "select 'S' || k as supplier, case when k % 3 = 0 then 'housing' when k % 3 = 1 then 'transport' end as default_category from range(50) r(k)"
 
@@ -64,8 +64,8 @@ query("large_untagged", "select seq, cast(amount as double) as amount from tx wh
 ASSETS = "assets as (select 'P' || (p_partkey % 300) as product, max(date '1998-01-01' + cast(p_size * 30 as int)) as maturity, bool_or(p_size % 2 = 0) as active from part where p_partkey < 600 group by 1)"
 
 
-def assets(s, d):
-    p = table(s, d, "part").where("p_partkey < 600")
+def assets(s, d, rows="p_partkey < 600"):
+    p = table(s, d, "part").where(rows)
     return p.groupBy(F.concat(F.lit("P"), (F.col("p_partkey") % 300).cast("string")).alias("product")).agg(F.max(F.date_add(F.lit("1998-01-01").cast("date"), F.col("p_size") * 30)).alias("maturity"), F.bool_or(F.col("p_size") % 2 == 0).alias("active"))
 
 
@@ -75,6 +75,10 @@ query("stale_assets", """select * from (select product, case when active and mat
 query("misfiled_income", "select ticker, count(*) as n, cast(sum(value) as double) as value from income where ticker in (select 'T' || (p_partkey % 200) from part where p_type = 'SMALL' and p_partkey < 200) group by ticker", INCOME)(
     lambda s, d: quality.misfiled(income(s, d), table(s, d, "part").where("p_type = 'SMALL' and p_partkey < 200").select(F.concat(F.lit("T"), (F.col("p_partkey") % 200).cast("string")).alias("ticker"))))
 
+query("stale_assets_all", SQL["stale_assets"].replace(" where p_partkey < 600", ""))(lambda s, d: quality.stale_assets(assets(s, d, "true"), otc(s, d), "2000-06-30"))
+query("misfiled_income_all", SQL["misfiled_income"].replace(" and p_partkey < 200", ""))(
+    lambda s, d: quality.misfiled(income(s, d), table(s, d, "part").where("p_type = 'SMALL'").select(F.concat(F.lit("T"), (F.col("p_partkey") % 200).cast("string")).alias("ticker"))))
+
 query("upsert_validation", """select why, count(*) as n from (select case when coalesce(id, '') = '' then 'empty' when count(*) over (partition by id) > 1 then 'repeated' when kind not in ('SMALL', 'LARGE', 'ECONOMY') then 'unknown_kind' end as why
 from (select case when p_partkey % 50 = 0 then '' else p_brand || '/' || p_size || '/' || (p_partkey % 3) end as id, p_type as kind from part)) where why is not null group by why""")(
     lambda s, d: quality.invalid_inputs(table(s, d, "part").select(F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.concat_ws("/", "p_brand", F.col("p_size").cast("string"), (F.col("p_partkey") % 3).cast("string"))).alias("id"), F.col("p_type").alias("kind")), ["SMALL", "LARGE", "ECONOMY"]))

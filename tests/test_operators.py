@@ -88,6 +88,22 @@ def test_token_overlap_reads_whole_texts(spark, tmp_path):
     assert got == {a: (len(words[a] & words[a + 1]), len(words[a] & words[a + 1]) >= 2) for a in (0, 1, 2)} and got[0] == (2, True)
 
 
+@pytest.mark.parametrize("name", ["near_misses", "tolerance_match", "unlinked_mentions", "stale_assets", "misfiled_income", "maturity_ladder"])
+def test_whole_jobs_have_no_cut(name):
+    from larkspur.plans.catalog import QUERIES, SQL
+
+    assert f"{name}_all" in QUERIES and not any(x in SQL[f"{name}_all"] for x in ("% 500 = 0", "% 2 = 1", "% 40 = 0", "p_partkey <"))
+
+
+def test_near_misses(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([1.0, 2.0, 3.0, None])) for i in range(60)]
+    t = spark.createDataFrame(rows, "seq long, date string, amount double")
+    got = joins.near_misses(t.withColumnRenamed("seq", "rid"), t)
+    want = {i: sum((d == dd) != (a == aa) for _, dd, aa in rows if dd and aa) for i, d, a in rows if d and a}
+    assert {x["rid"]: x["near"] for x in got.collect()} == {i: n for i, n in want.items() if n}
+
+
 def test_spikes_look_at_the_calendar_month_before(spark):
     t = spark.createDataFrame([("2024-01", "a", 150.0), ("2023-12", "a", 100.0), ("2024-03", "b", 900.0), ("2024-01", "b", 100.0), ("2024-02", "c", 120.0), ("2024-01", "c", 100.0)], "month string, supplier string, spend double")
     assert [(r["month"], r["supplier"], r["pct"]) for r in spend.spend_spikes(t).collect()] == [("2024-01", "a", 0.5)]
