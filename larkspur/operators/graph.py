@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def waves(nodes: DataFrame, deps: DataFrame, most: int = 200) -> DataFrame:
+def waves(nodes: DataFrame, deps: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes (id) by the wave in which all they depend on (id, needs) is done; those in or behind a cycle, or behind an
-    unknown node, have none. Each round is a join and an aggregate over the edges still open."""
+    unknown node, have none. Each round is a join and an aggregate over the edges still open; rounds end when no node is
+    ready, so there are as many as waves; more than a stated most raise."""
     from ..sources.tables import cut
 
     done = None
     left = cut(nodes.select("id").distinct())
     edges = cut(deps.select("id", "needs").distinct())
-    for wave in range(most):
+    for wave in count():
         open_ = edges.join(left, "id").select("id").distinct()
         ready = cut(left.join(open_, "id", "left_anti").withColumn("wave", F.lit(wave).cast("long")))
         if ready.isEmpty():
             break
+        if wave == most:
+            raise RuntimeError("waves did not settle")
         done = ready if done is None else done.unionByName(ready)
+        if wave % 50 == 49:
+            done = cut(done)
         left = cut(left.join(ready.select("id"), "id", "left_anti"))
         edges = cut(edges.join(ready.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"))
     rest = left.withColumn("wave", F.lit(None).cast("long"))

@@ -162,6 +162,14 @@ def test_boost(spark, scores, first):
     assert corpus.reranked(ranked, kinds, ["concept"]).where("position = 1").join(kinds, "id").first()["kind"] == first
 
 
+def test_waves_beyond_a_bound_are_not_nulls(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(3)], "id int")
+    deps = spark.createDataFrame([(1, 0), (2, 1)], "id int, needs int")
+    with pytest.raises(RuntimeError):
+        graph.waves(nodes, deps, most=2)
+    assert {r["id"]: r["wave"] for r in graph.waves(nodes, deps, most=3).collect()} == {0: 0, 1: 1, 2: 2}
+
+
 def test_waves_and_cycles(spark):
     nodes = spark.createDataFrame([(i,) for i in range(7)], "id int")
     deps = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 4), (4, 3), (5, 4), (6, 99)], "id int, needs int")
