@@ -1,12 +1,16 @@
 """Operator 4, LM scoring: a hashed maximum-entropy model with class-factored softmax.
 
-    P(word | history) = P(class(word) | history) * P(word | class(word))
+    P(word | history) = product over a path of P(turn | node, history) * P(word | leaf)
 
-Classes are a hash of a word's last bytes (the end token has its own). P(class | history) is a softmax over hashed
-features: the word before (bigram), the word before that (skip) and both (trigram). Each task makes AdaGrad updates on
-mini-batches of its documents; Spark averages the tasks' weights, weighted by tokens, and hands the mean back for the
-next round. The model's size is fixed (FEATURES x CLASSES), so it can be sent to every task. P(word | class) is the
-smoothed unigram within the class, from counts over the whole training part.
+A word's class is a leaf of a tree of DEPTH two-way softmaxes: ENDING bits are a hash of its last two bytes, the others
+of the whole word, so what n-grams learn first is shared by words of one ending, and then tells words of it apart. Each softmax has hashed features: the word before (bigram), the word before that (skip)
+and both (trigram), each crossed with the node; its bias is the node's share in all training tokens, so a model without
+features is the base. P(word | leaf) is the smoothed unigram within the leaf.
+
+Training: each task makes AdaGrad updates on mini-batches of its documents, Spark averages the tasks' weights entry by
+entry, weighted by how much each task saw of an entry, in a tree of partial means, and hands the mean back for the next
+round. The table of weights grows with the square root of the number of tokens (2 MB at 0.5 GB of text, 16 MB at 30 GB),
+and the number of training tasks is lowered where all their tables together would exceed the texts.
 
 Counts meet texts by chunk, a bounded group of documents: a chunk sends each distinct token once with its own count
 and gets back only totals that differ. No list of a token's documents is ever built, and the vocabulary, which grows
@@ -18,82 +22,107 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key, written
 from .near import _SPACE, _mix, word_hashes
 
-FEATURES, CLASSES = 1 << 14, 32
+DEPTH, ENDING = 8, 4
+LEAVES = 1 << DEPTH
 _U = np.uint64
+_I = np.uint32
 END, NONE = _U(0x6C62272E07BB0142), _U(0x27D4EB2F165667C5)
-BATCH, STEP = 1 << 15, 1 << 13
+#: Entries of a block of weights on its way, and tokens scored at once.
+BLOCK, BATCH = 1 << 14, 1 << 15
+
+
+def bits_for(tokens: int) -> int:
+    """log2 of the number of weights: one more for each fourfold number of tokens."""
+    return max(14, 19 + int(np.floor(np.log2(max(tokens, 1) / 2**26) / 2)))
 
 
 def encoded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and class of each token of a text, the end included."""
+    """Hash and leaf of each token of a text, the end included."""
     low = text.lower()
     h = np.append(word_hashes(low), END)
     b = np.frombuffer(low, np.uint8)
     space = _SPACE[b]
     last = np.flatnonzero(~space & np.append(space[1:], True))
-    k = np.zeros(len(h), np.uint8)
+    k = np.zeros(len(h), _I)
     if len(last):
-        one = b[last].astype(np.uint32)
-        two = np.where((last > 0) & ~space[last - 1], b[last - 1], 0).astype(np.uint32)
-        k[:-1] = 1 + ((one * np.uint32(2654435761) ^ two * np.uint32(40503 * 65537 & 0xFFFFFFFF)) >> np.uint32(11)) % np.uint32(CLASSES - 1)
-    return h, k
+        two = np.where((last > 0) & ~space[last - 1], b[last - 1], 0).astype(_I)
+        k[:-1] = ((b[last] + (two << _I(8)) + _I(1)) * _I(2654435761)) >> _I(32 - ENDING)
+    return h, (k << _I(DEPTH - ENDING) | (h >> _U(64 - DEPTH + ENDING)).astype(_I)).astype(np.uint8)
 
 
 def features(h: np.ndarray) -> np.ndarray:
     """Hashed features (3, tokens) of each token's history within its document."""
     one = np.append(NONE, h[:-1])
     two = np.append(NONE, one[:-1])
-    m = _U(FEATURES - 1)
-    return np.stack([(_mix(one + _U(1)) & m), (_mix(two + _U(2)) & m), (_mix(one * _U(3) + _mix(two)) & m)]).astype(np.uint16)
-
-
-def log_p(weights: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Natural log of the class distribution after each history."""
-    z = weights[f[0]] + weights[f[1]]
-    z += weights[f[2]]
-    z += weights[FEATURES]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def update(weights: np.ndarray, squares: np.ndarray, f: np.ndarray, k: np.ndarray, rate: float) -> None:
-    g = np.exp(log_p(weights, f))
-    g[np.arange(len(k)), k] -= 1
-    total = g.sum(axis=0)
-    squares[FEATURES] += (total / len(k)) ** 2
-    weights[FEATURES] -= 0.1 * rate * (total / len(k)) / np.sqrt(squares[FEATURES] + 1e-6)
-    for x in f:
-        order = np.argsort(x, kind="stable")
-        s = x[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        d = np.add.reduceat(g[order], first, axis=0)
-        i = s[first]
-        squares[i] += d * d
-        weights[i] -= rate * d / np.sqrt(squares[i] + 1)
-
-
-def _trained(start: bytes | None, rate: float):
+    return np.stack([one >> _U(32), (two * _U(0x9E3779B97F4A7C15)) >> _U(32), (one * _U(3) + _mix(two)) >> _U(32)]).astype(_I)
+
+
+def indices(f: np.ndarray, leaf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per level of the tree: nodes (DEPTH, tokens), turns taken there, and places of the weights (DEPTH, 3, tokens)."""
+    leaf = leaf.astype(_I)
+    node = np.stack([(leaf >> _I(DEPTH - d)) | _I(1 << d) for d in range(DEPTH)])
+    turn = np.stack([(leaf >> _I(DEPTH - 1 - d)) & _I(1) for d in range(DEPTH)])
+    x = f[None, :, :] ^ (node * _I(0x9E3779B1))[:, None, :]
+    x *= _I(0x85EBCA6B)
+    x ^= x >> _I(15)
+    x *= _I(0xC2B2AE35)
+    x >>= _I(32 - bits)
+    return node, turn, x
+
+
+def log_p(w: np.ndarray, bias: np.ndarray, f: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log of P(leaf | history) for each token."""
+    node, turn, at = indices(f, leaf, len(w).bit_length() - 1)
+    z = bias[node]
+    z += w[at].sum(axis=1)
+    z *= 1 - 2 * turn.astype(np.float32)
+    return -np.logaddexp(0, z).sum(axis=0, dtype=np.float64)
+
+
+def update(w: np.ndarray, sq: np.ndarray, bias: np.ndarray, f: np.ndarray, leaf: np.ndarray, rate: float) -> None:
+    node, turn, at = indices(f, leaf, len(w).bit_length() - 1)
+    z = bias[node]
+    z += w[at].sum(axis=1)
+    off = 1 / (1 + np.exp(-z)) - turn
+    g = np.bincount(at.ravel(), np.repeat(off[:, None, :], 3, axis=1).ravel(), minlength=len(w)).astype(np.float32)
+    sq += g * g
+    g /= np.sqrt(sq + np.float32(1))
+    w -= np.float32(rate) * g
+
+
+def biases(leaves: np.ndarray) -> np.ndarray:
+    """Log odds of each node's second turn, from smoothed shares of the leaves."""
+    share = np.asarray(leaves, np.float64)
+    out = np.zeros(LEAVES, np.float32)
+    for d in range(DEPTH - 1, -1, -1):
+        both = share.reshape(-1, 2)
+        out[1 << d : 2 << d] = np.log(both[:, 1] / both[:, 0])
+        share = both.sum(axis=1)
+    return out
+
+
+def _trained(start: bytes | None, bias: np.ndarray, bits: int, rate: float, groups: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        w = np.zeros((FEATURES + 1, CLASSES), np.float32) if start is None else np.frombuffer(start, np.float32).reshape(FEATURES + 1, CLASSES).copy()
-        sq = np.zeros_like(w)
-        n, fs, ks, held = 0, [], [], 0
+        size, step = 1 << bits, 1 << (bits - 6)
+        both = np.zeros((2, size), np.float32) if start is None else np.frombuffer(start, np.float32).reshape(2, size).copy()
+        w, sq = both
+        before = sq.copy()
+        fs, ks, held, n = [], [], 0, 0
 
-        def step() -> None:
+        def go() -> None:
             nonlocal fs, ks, held
             f, k = np.concatenate(fs, axis=1), np.concatenate(ks)
-            if start is None and n == len(k):  # the task's first tokens give the bias to start from
-                w[FEATURES] = np.log((np.bincount(k, minlength=CLASSES) + 1.0) / (n + CLASSES))
-            for i in range(0, len(k), STEP):
-                update(w, sq, f[:, i : i + STEP], k[i : i + STEP], rate)
+            for i in range(0, len(k), step):
+                update(w, sq, bias, f[:, i : i + step], k[i : i + step], rate)
             fs, ks, held = [], [], 0
 
         for b in batches:
@@ -101,48 +130,62 @@ def _trained(start: bytes | None, rate: float):
                 h, k = encoded(t.as_py() or b"")
                 fs.append(features(h))
                 ks.append(k)
-                n += len(k)
                 held += len(k)
-                if held >= BATCH:
-                    step()
+                n += len(k)
+                if held >= max(BATCH, step):
+                    go()
         if held:
-            step()
+            go()
         if n:
-            rows = [w[i : i + 1024] for i in range(0, FEATURES + 1, 1024)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([n] * len(rows), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["block", "n", "w"])
+            seen = sq - before + np.float32(1e-6)  # how much this task saw of each entry
+            group = TaskContext.get().partitionId() % groups
+            for i in range(0, size, BLOCK):
+                z = slice(i, i + BLOCK)
+                row = np.stack([w[z] * seen[z], seen[z], sq[z]]).astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32()), pa.array([group], pa.int32()), pa.array([1], pa.int64()), pa.array([row], pa.binary())], names=["block", "part", "n", "w"])
 
     return run
 
 
-def _averaged(batches: Iterator) -> Iterator:
-    """Sums of weights as they stream by; a few arrays a task, however many tasks trained."""
+def _summed(batches: Iterator) -> Iterator:
+    """Sums of blocks as they stream by; one array a block and part."""
     import pyarrow as pa
 
-    total: dict[int, list] = {}
+    total: dict[tuple, list] = {}
     for b in batches:
-        for block, n, w in zip(b.column("block").to_pylist(), b.column("n").to_pylist(), b.column("w")):
-            x = np.frombuffer(w.as_py(), np.float32).astype(np.float64) * n
-            if block in total:
-                total[block][0] += n
-                total[block][1] += x
+        for key in zip(b.column("block").to_pylist(), b.column("part").to_pylist(), b.column("n").to_pylist(), b.column("w")):
+            block, part, n, w = key
+            x = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            if (block, part) in total:
+                total[block, part][0] += n
+                total[block, part][1] += x
             else:
-                total[block] = [n, x]
-    if total:
-        ids = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([total[i][0] for i in ids], pa.int64()), pa.array([(total[i][1] / total[i][0]).astype(np.float32).tobytes() for i in ids], pa.binary())], names=["block", "n", "w"])
-
-
-def train(docs: DataFrame, rounds: int = 1, rate: float = 0.3) -> bytes:
-    """Weights as bytes of float32, (FEATURES + 1) x CLASSES; zeros (all classes alike) where there are no documents."""
-    w: bytes | None = None
+                total[block, part] = [n, x]
+    for (block, part), (n, x) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "part", "n", "w"])
+
+
+def train(docs: DataFrame, leaves: np.ndarray, tokens: int, bytes_: int, rounds: int = 2, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, biases) from the documents, given smoothed counts of the leaves, the number of tokens and of bytes."""
+    bits, bias = bits_for(tokens), biases(leaves)
+    size = 1 << bits
+    texts = docs.select("text")
+    tasks = texts.rdd.getNumPartitions()
+    most = max(1, bytes_ // (12 * size))  # all tasks' tables together are no larger than the texts
+    if tasks > most:
+        tasks, texts = most, texts.coalesce(most)
+    groups, blocks = max(1, int(tasks**0.5)), size // BLOCK
+    kind = "block int, part int, n long, w binary"
+    state: bytes | None = None
     for _ in range(rounds):
-        blocks = -(-(FEATURES + 1) // 1024)
-        parts = docs.select("text").mapInArrow(_trained(w, rate), "block int, n long, w binary").repartition(blocks, "block")
-        rows = sorted(parts.mapInArrow(_averaged, "block int, n long, w binary").collect(), key=lambda r: r["block"])
+        parts = texts.mapInArrow(_trained(state, bias, bits, rate, groups), kind)
+        some = parts.repartition(blocks * groups, "block", "part").mapInArrow(_summed, kind).withColumn("part", F.lit(0))
+        rows = sorted(some.repartition(blocks, "block").mapInArrow(_summed, kind).collect(), key=lambda r: r["block"])
         if not rows:
-            return np.zeros((FEATURES + 1, CLASSES), np.float32).tobytes()
-        w = b"".join(bytes(r["w"]) for r in rows)
-    return w
+            return np.zeros(size, np.float32), bias
+        x = np.concatenate([np.frombuffer(bytes(r["w"]), np.float32).reshape(3, -1) for r in rows], axis=1)
+        state = np.stack([x[0] / x[1], x[2] / rows[0]["n"]]).astype(np.float32).tobytes()
+    return np.frombuffer(state, np.float32)[:size], bias
 
 
 def _packed(batches: Iterator) -> Iterator:
@@ -163,7 +206,7 @@ def _unpacked(table) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def _local(hs: list[np.ndarray], ks: list[np.ndarray], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of a chunk, their classes, their counts in training documents, and each token's index."""
+    """Distinct tokens of a chunk, their leaves, their counts in training documents, and each token's index."""
     h = np.concatenate(hs)
     u, first, back = np.unique(h, return_index=True, return_inverse=True)
     train = np.repeat(~held, [len(x) for x in hs])
@@ -178,7 +221,7 @@ def _vocabulary(key, table):
     return pa.table([pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["chunk", "h", "k", "n"])
 
 
-def score(docs: DataFrame, held_out, rounds: int = 1, chunk_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a Boolean column expression.
 
     Null and empty texts are one token, the end. Rows are independent, repeated rows count as often as they stand. An
@@ -186,28 +229,26 @@ def score(docs: DataFrame, held_out, rounds: int = 1, chunk_bytes: int = 24_000_
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    weights = train(rows.where("not held_out"), rounds)
+    chunks = int(max(1, -(-size // chunk_bytes)))
     chunk = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(chunks)).cast("int")
-    packed = rows.select("doc_id", "held_out", chunk.alias("chunk"), "text").mapInArrow(_packed, f"doc_id {kind}, held_out boolean, chunk int, z binary")
-    vocabulary = packed.groupBy("chunk").applyInArrow(_vocabulary, "chunk int, h long, k int, n long")
-    by = Window.partitionBy("h")
-    totals = written(
-        vocabulary.withColumn("c", F.sum("n").over(by)).withColumn("first", F.col("chunk") == F.min("chunk").over(by))
-        .where("first or c <> n"), "lm-counts",
-    )
-    sums = {r["k"]: (r["n"], r["v"]) for r in totals.where("first and c > 0").groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n_all, v_all = sum(n for n, _ in sums.values()), sum(v for _, v in sums.values())
-    # from the smoothed share of a class's words to that of all words
-    gain = np.array([np.log10((n_all + v_all + 1) / (sum(sums.get(k, (0, 0))) + 1)) for k in range(CLASSES)])
+    packed = rows.select("doc_id", "held_out", chunk.alias("chunk"), "text").mapInArrow(_packed, f"doc_id {kind}, held_out boolean, chunk int, z binary").repartition(chunks, "chunk")
+    vocabulary = written(packed.groupBy("chunk").applyInArrow(_vocabulary, "chunk int, h long, k int, n long"), "lm-vocabulary")
+    totals = written(vocabulary.groupBy("h").agg(F.first("k").alias("k"), F.sum("n").alias("c"), F.count(F.lit(1)).alias("m")), "lm-counts")
+    known = totals.where("c > 0").groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    n_all, v_all = sum(r["n"] for r in known), sum(r["v"] for r in known)
+    smooth = np.ones(LEAVES)
+    for r in known:
+        smooth[r["k"]] += r["n"] + r["v"]
+    weights, bias = train(rows.where("not held_out"), smooth, n_all, size, rounds)
+    # from the smoothed share of a leaf's words to that of all words
+    gain = np.log10((n_all + v_all + 1) / smooth)
 
     def scored(key, texts, counts):
         import pyarrow as pa
 
-        w = np.frombuffer(weights, np.float32).reshape(FEATURES + 1, CLASSES)
         hs, ks = _unpacked(texts)
         if not hs:
-            ids, c, back = texts.column("doc_id"), np.empty(0), np.empty(0, int)
+            c, back = np.empty(0), np.empty(0, int)
         else:
             u, _, own, back = _local(hs, ks, texts.column("held_out").to_numpy())
             c = own.astype(np.int64)
@@ -219,17 +260,16 @@ def score(docs: DataFrame, held_out, rounds: int = 1, chunk_bytes: int = 24_000_
             at += len(h)
             base = float(np.log10(mine + 1.0).sum() - len(h) * np.log10(n_all + v_all + 1.0))
             f = features(h)
-            better = 0.0
+            better = float(gain[k].sum())
             for i in range(0, len(k), BATCH):
-                p = log_p(w, f[:, i : i + BATCH])
-                kk = k[i : i + BATCH]
-                better += float(p[np.arange(len(kk)), kk].astype(np.float64).sum()) / np.log(10) + float(gain[kk].sum())
+                better += float(log_p(weights, bias, f[:, i : i + BATCH], k[i : i + BATCH]).sum()) / np.log(10)
             out.append((len(h), int((mine > 0).sum()), n_all, base, base + better))
         cols = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    back = totals.where("c <> n").select("chunk", "h", "c")
+    # a token that every chunk holds has a row a chunk here, never one a document
+    back = vocabulary.join(totals.where("m > 1").select("h", "c"), "h").where("c <> n").select("chunk", "h", "c").repartition(chunks, "chunk")
     return packed.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
