@@ -305,9 +305,17 @@ def test_pii_base(spark, none):
     r = random.Random(6)
     bits = ["a@b.c", "_d@e.f-g.h", "@", ".", "1.2.3.4", "256.1.1.1", "01.002.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (988) 555-2485", "+12", "+1234567890123456", " ", "é", "\x01", "\x02", "x", "7", "-", "+", "\n", "(", "user@host"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 14)))) for i in range(400)] + [(400, None), (401, "a" * 50_000), (402, "1" * 50_000), (403, "a." * 20_000 + "@" + "b." * 20_000), (7, "a@b.c"), (7, "a@b.c")]
-    got = pii.op7_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = sorted((i, sha(",".join(f"{k}:{m.start()}:{m.end()}" for k, p in FORMS.items() for m in re.finditer(p, t or "") if valid(k, m[0])))) for i, t in rows)
-    assert sorted((r["doc_id"], r["base_sha256"]) for r in got) == want
+    clash = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as th", "2 as kind", "3 as start", "4 as f", "5 as m", "'x' as pattern", "7 as score")
+    got = pii.op7_pii(clash).collect()
+
+    def expect(t):
+        found = {k: [m.span() for m in re.finditer(p, t or "") if valid(k, m[0])] for k, p in FORMS.items()}
+        return (*(len(v) for v in found.values()), sha(",".join(f"{k}:{a}:{z}" for k, v in found.items() for a, z in v)))
+
+    want = sorted((i, *expect(t)) for i, t in rows)
+    assert sorted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == want
+    assert all(len({w[k] for w in want}) > 1 for k in (1, 2, 3, 4)) and len({w[1:5] for w in want}) > 10
+    assert all(r["has_pii"] == (r["spans"] != "") for r in got)
     assert pii.op7_pii(none).count() == 0
 
 
@@ -317,6 +325,31 @@ def test_pii_patterns_find_near_misses(spark):
     assert got[50] == "email:16:32" and got[51] == "" and got[3].startswith("email:16:")
 
 
+def test_pii_recall_on_planted_words(spark):
+    """Half of the identifiers have their kind's form; of the others each stands once, in a context of its kind."""
+    r = random.Random(4)
+    card = lambda: next(c for x in [f"4{r.randrange(10**13, 10**14)}"] for k in range(100) if valid("card", c := f"{x}{k}"))
+    say = {"email": "mail goes to {} at once", "ip": "the host sits at {} for now", "card": "charged my card {} last week", "phone": "do call me on {} after nine"}
+    whole = {"email": lambda: f"u{r.randrange(10**6)}@ex{r.randrange(99)}.org", "ip": lambda: ".".join(str(r.randrange(256)) for _ in range(4)), "card": card, "phone": lambda: f"+1 {r.randrange(200, 999)} 555 {r.randrange(1000, 9999)}"}
+    odd = {"email": lambda: f"u{r.randrange(10**6)}(at)corp", "ip": lambda: f"fe80::{r.randrange(1000, 9999)}:1", "card": lambda: f"4{r.randrange(10**14, 10**15 - 1)}", "phone": lambda: f"{r.randrange(200, 999)}-555-{r.randrange(1000, 9999)}"}
+    rows, planted = [], {}
+    for k in say:
+        for i in range(40):
+            rows.append((len(rows), f"well, {say[k].format(whole[k]())} or so"))
+        for i in range(20):
+            x = odd[k]()
+            t = f"well, {say[k].format(x)} or so"
+            if not any(valid(kind, m[0]) for kind, p in FORMS.items() for m in re.finditer(p, t)):
+                planted[len(rows)] = f"{k}:{t.index(x)}:{t.index(x) + len(x)}"
+            rows.append((len(rows), t))
+    clean = range(len(rows), len(rows) + 40)
+    rows += [(i, f"chapter {i} has part no. {r.randrange(10**7)} in its {i}th row") for i in clean]
+    got = {r["doc_id"]: r["spans"] for r in pii.op7_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(got[i] == s for i, s in planted.items())
+    assert len(planted) > 60 and hit >= 0.9 * len(planted), (hit, len(planted))
+    assert not any(got[i] for i in clean)
+
+
 def test_tokens(docs, none, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
