@@ -363,6 +363,31 @@ def test_tokens(docs, none, texts):
     assert tokens.op8_token_counts(none).count() == 0
 
 
+def test_merges_as_a_transducer():
+    """Random words of letters, of whole and of broken tokens against the library; forgetting states changes nothing."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter, r = Tokenizer.from_file(path), tokens.Counter(path), random.Random(3)
+    names = [k.removesuffix("</w>") for k in sorted(library.get_vocab()) if k.isascii() and k.removesuffix("</w>").isalpha()]
+    words = ["".join(r.choice("aeinrst") for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    words += [(r.choice(names) + r.choice(names)[: r.randint(0, 4)]).lower() for _ in range(3000)] + ["a" * 700, "é" * 40, "日本語" * 9]
+    want = [len(library.encode(w, add_special_tokens=False)) for w in words]
+    assert counter.counts(words) == want
+    small = tokens.Merges([tuple(m) for m in __import__("json").load(open(path))["model"]["merges"]], most=50)
+    plain = [(w, n) for w, n in zip(words, want) if w.isalpha() and w.isascii()]
+    assert [small.count(w.encode()) for w, _ in plain] == [n for _, n in plain]
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    import numpy as np
+
+    code = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4, 1, 2], np.uint32)
+    a, z = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    assert tokens._differ(code, a, z, np.zeros(4, int), np.full(4, 3)).tolist() == [False, False, True, True]
+
+
 def test_piece_scan_in_small_chunks():
     import numpy as np
 
