@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
-
+from .tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+MONEY = "decimal(18,2)"
 
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:

@@ -10,27 +10,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where it names none."""
+    """The folder that the cluster names for checkpoints. Where it names none, one of our own in local mode (tests); on a
+    cluster that is an error, as a folder of the driver's machine would scatter tables over the executors' disks."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not known:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(known)
     return known
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a written table, so that loops don't pile up their lineage."""
+def cut(df: DataFrame, name: str = "cut", instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a compressed table in the shared folder, read again, so that loops don't pile up their lineage. It goes when
+    the session ends; instead_of (a table that cut gave before) goes as soon as df is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    old = getattr(instead_of, "_cut_at", None)
+    if old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
