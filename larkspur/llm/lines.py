@@ -3,7 +3,7 @@ threshold and reassemble by position.
 
 Only hashes and positions are shuffled for counting; the texts move once, to meet the positions that they lose.
 The pairs (hash, doc_id) are made distinct before documents are counted, so the count for a line that a third of
-all documents hold is summed map-side and no task gets a hot line's documents.
+all documents hold is summed map-side; where such a line meets its count, its rows are dealt over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, ascii_lower, text_key
+from .common import WS, ascii_lower, spread, text_key, written
 
 
 def marked_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -22,19 +22,20 @@ def marked_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     keeps all its copies of a line. An empty table gives an empty table. Extra columns ride along inside ``row``.
     """
     bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = (
+    lines = written(
         bare.select("doc_id", text_key(F.col("text")).alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .withColumn("key", ascii_lower(F.btrim("line", F.lit(WS))))
         .where(F.length("key") >= min_chars)
-        .select("doc_id", "th", "pos", F.unhex(F.md5("key")).alias("h"))
+        .select("doc_id", "th", "pos", F.unhex(F.md5("key")).alias("h")), "lines",
     )
-    common = (
+    common = written(
         lines.select("h", "doc_id").distinct()
         .groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-        .where(F.col("n") >= min_docs)
+        .where(F.col("n") >= min_docs), "lines-common",
     )
+    many, few, on = spread(lines, common, ["h"], "n", ["doc_id", "th"])
     lost = (
-        lines.join(common, "h").where(~F.col("doc_id").eqNullSafe(F.col("last")))
+        many.join(few, on).where(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("lost"))
         .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "lost")
     )
