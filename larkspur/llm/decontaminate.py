@@ -5,18 +5,24 @@ must then stand in the passage unchanged. An Aho-Corasick automaton over all pie
 each hit's window is verified with Myers' bit-parallel distance. Case, punctuation and white space don't count: both
 sides are lower-cased and runs of anything but letters and digits become one space.
 
-The items are a stated query set. They go to the workers in blocks of bounded size, one pass over the texts a block.
+An item too short for an edit (fewer than 1 / rate characters) must stand as whole words, so that "a" is not found in "the cat".
+
+The items are a stated query set. They are taken in blocks of bounded size, one pass over the texts a block: the driver
+holds one block at a time, sends it to the workers as a broadcast, and each worker builds a block's automaton once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
+from .common import written
+
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -66,7 +72,8 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.items = [(i, n, budget(n, rate)) for i, t in items if (n := normal(t))]
+        named = ((i, normal(t)) for i, t in items)
+        self.items = [(i, n if budget(n, rate) else f" {n} ", budget(n, rate)) for i, n in named if n]
         where: dict[str, list[tuple[int, int]]] = {}
         for k, (_, n, _) in enumerate(self.items):
             for offset, piece in pieces(n, rate):
@@ -79,9 +86,9 @@ class Matcher:
 
     def find(self, text: str | None) -> list[int]:
         """Ids of the items that the text holds, sorted."""
-        t = normal(text or "")
+        t = f" {normal(text or '')} "
         found, tried = set(), set()
-        if not t or not self.items:
+        if not self.items:
             return []
         for end, (size, at) in self.auto.iter(t):
             for k, offset in at:
@@ -98,29 +105,41 @@ class Matcher:
         return sorted({self.items[k][0] for k in found})
 
 
+#: The matcher of the block that this worker is at.
+_held: dict[str, Matcher] = {}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_bytes: int = 8_000_000) -> DataFrame:
     """``row`` (all columns of docs) and ``items`` (sorted ids of the benchmark items it holds, perhaps none).
 
     Null and empty texts hold nothing; null, empty and all-punctuation items are found nowhere; repeated items and
-    rows each count. Tables may be empty. Extra columns ride along in ``row``."""
+    rows each count; items of a null id are left out. Ids may be of any type. Tables may be empty. Extra columns ride
+    along in ``row``. block_bytes: how many bytes of items are taken at once, on average over a hash of the items."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    items_of = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    now = docs.select(F.struct("*").alias("row"), F.col("text"), F.lit(None).cast("array<long>").alias("items"))
-    kind = StructType([StructField("row", now.schema["row"].dataType), StructField("text", now.schema["text"].dataType), StructField("items", ArrayType(now.schema["items"].dataType.elementType))])
+    items_of = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
+    ids = ArrayType(benchmark.schema["item_id"].dataType)
+    now = docs.select(F.struct("*").alias("row"), F.col("text"), F.lit(None).cast(ids).alias("items"))
+    kind = StructType([StructField("row", now.schema["row"].dataType), StructField("text", now.schema["text"].dataType), StructField("items", ids)])
+    spark = docs.sparkSession
     for k in range(blocks):
         block = items_of.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        items = sorted((r["item_id"], r["text"]) for r in block)
+        sent = spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in block))
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator, items=items) -> Iterator:
+        def run(batches: Iterator, sent=sent, name=name) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(items, rate)
+            if name not in _held:
+                _held.clear()
+                _held[name] = Matcher(sent.value, rate)
+            matcher = _held[name]
             for b in batches:
                 got = [sorted({*(old.as_py() or []), *matcher.find(t.as_py())}) for t, old in zip(b.column("text"), b.column("items"))]
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(got, pa.list_(pa.int64()))], names=["row", "text", "items"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("text"), pa.array(got, b.column("items").type)], names=["row", "text", "items"])
 
-        now = now.mapInArrow(run, kind)
+        done = now.mapInArrow(run, kind)
+        now = written(done, "decontaminated", now) if k < blocks - 1 else done
     return now.select("row", "items")
 
 
