@@ -125,7 +125,7 @@ def format_chats(records: DataFrame) -> DataFrame:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What can be read back from formatted texts and their masks."""
+    """What can be read back from formatted texts and their masks; nulls where nothing was formatted."""
     kind = chats.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -135,10 +135,13 @@ def digests(chats: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for text, mask in zip(b["formatted"], b["mask"]):
+                if text is None:
+                    rows.append((None,) * 5)
+                    continue
                 turns = read_back(text)
                 loss = "".join(unescape(text[a:z]) for a, z in zip(mask[::2], mask[1::2]))
                 rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).assign(conv_id=b["conv_id"].astype(object).to_numpy())[
+            yield pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], dtype=object).assign(conv_id=b["conv_id"].astype(object).to_numpy())[
                 ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             ]
 

@@ -6,12 +6,12 @@ Words are maximal runs of anything but ASCII white space (``[^\\x20\\x09-\\x0D]+
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut as written  # noqa: F401
+from ..sources.tables import table  # noqa: F401
+
 #: ASCII white space, as characters and as a class for regular expressions.
 WS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,10 +19,6 @@ GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -38,33 +34,26 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    sc = spark.sparkContext
-    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not known:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        known = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(known)
-    return known
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a compressed table in the shared folder, read again. It goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have, so that extra columns never clash."""
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: At most so many keys are hot, each with more than one in HOT of all rows.
+HOT = 500
+
+
+def spread(rows: DataFrame, keys: DataFrame, on: list[str], count: str, by: list[str], parts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows, keys and the columns to join them on, so that no task gets a hot key's rows.
+
+    keys has a row a key and in ``count`` at least how many rows it meets; a hot key is one with more than a HOTth of all of
+    them, so there are fewer than HOT, which is what bounds the broadcast. A hot key's rows go to one of ``parts`` tasks by
+    the columns ``by``, and the key stands there so many times. keys should be a written table: it is read thrice."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = keys.where(F.col(count) * HOT > total).select(*on, F.lit(True).alias("_hot"))
+    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    copies = F.explode(F.when(F.col(count) * HOT > total, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    return rows.join(F.broadcast(hot), on, "left").withColumn("_slot", slot).drop("_hot"), keys.withColumn("_slot", copies), [*on, "_slot"]

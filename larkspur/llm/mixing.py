@@ -42,7 +42,8 @@ def water_fill(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1
 
 
 def solve_dual(cells: DataFrame, targets: dict[str, float], totals: dict[str, float], mean: dict[str, float], cap: float, steps: int = 60, close: float = 1e-7) -> dict[str, float]:
-    """lambda by source key. Newton on the dual's gradient, kept inside a bracket; one Spark aggregate a step."""
+    """lambda by source key. Newton on the dual's gradient, kept inside a bracket; one Spark aggregate a step. A dual that
+    is not solved after so many steps is an error, never a result."""
     spark = cells.sparkSession
     lam = {s: 0.0 for s in targets}
     low, high = {s: -math.inf for s in targets}, {s: math.inf for s in targets}
@@ -72,6 +73,8 @@ def solve_dual(cells: DataFrame, targets: dict[str, float], totals: dict[str, fl
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else 2 * lam[s] + (1 if off < 0 else -1)
             lam[s] = step
+    if open_:
+        raise RuntimeError(f"the dual did not settle for {len(open_)} sources")
     return lam
 
 

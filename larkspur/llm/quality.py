@@ -149,8 +149,11 @@ def fit_crf(sequences: list[tuple[np.ndarray, int]], steps: int = 300, rate: flo
     return theta[:-4].reshape(len(FEATURES), 2), theta[-4:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 600) -> tuple[np.ndarray, np.ndarray] | None:
-    """The field, or None where either quality has no labelled document with a text."""
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 600, fit_lines: int = 2_000) -> tuple[np.ndarray, np.ndarray] | None:
+    """The field, or None where either quality has no labelled document with a text.
+
+    The sample to fit on is bounded: fit_docs documents of either quality, and of a longer one fit_lines lines, evenly
+    spread over it."""
     ids = None
     for q in (0, 1):
         some = labels.where(F.col("quality") == q).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
@@ -162,10 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = 600) -> tuple[np.nda
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "f": [lines_of(t.encode())[0].astype(np.float32).tobytes() for t in b["text"]]})
+            found = (lines_of(t.encode())[0].astype(np.float32) for t in b["text"])
+            yield pd.DataFrame({"quality": b["quality"], "f": [x[:: -(-len(x) // fit_lines)].tobytes() for x in found]})
 
-    rows = got.mapInPandas(features, "doc_id long, quality int, f binary").collect()
-    rows = sorted({(r["doc_id"], r["quality"], bytes(r["f"])) for r in rows})
+    rows = got.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInPandas(features, "quality int, f binary").collect()
+    rows = sorted({(0, r["quality"], bytes(r["f"])) for r in rows})
     if {q for _, q, _ in rows} != {0, 1}:
         return None
     return fit_crf([(np.frombuffer(f, np.float32).reshape(-1, len(FEATURES)).astype(np.float64), q) for _, q, f in rows])
