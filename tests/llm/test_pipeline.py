@@ -1,4 +1,5 @@
 import corpus_pipeline
+from larkspur.llm.common import written as written_
 from larkspur.llm.decontaminate import Matcher
 from larkspur.llm.near import shingles
 
@@ -30,3 +31,28 @@ def test_empty(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_odd_rows(spark, sf, tmp_path):
+    """Nulls in every column, repeated rows, ties and clashing extra columns pass all stages."""
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    good = [r["text"] for r in corpus_pipeline.quality_stage(spark, base, sf).orderBy("doc_id").limit(12).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    shared = "This very line of more than forty characters stands in many documents."
+    rows = [(i, f"{t}\n{shared}", "en", f"s{i % 2}", 1, 0.5, "x") for i, t in enumerate(good)]
+    rows += [rows[0], rows[0], (900, rows[1][1], None, None, None, None, None), (901, None, None, None, None, None, None), (902, "", "en", "s1", 0, 0.0, "y")]
+    rows += [(None, good[2] + " and one more end to it", None, None, None, None, None), (903, f"{good[3]}\n{item}", "en", "s0", 5, 0.1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies double, row string").repartition(3)
+    columns, out = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = written_(stage(spark, docs, sf), f"odd-{k}")
+        assert docs.columns == (columns if k < 4 else [*columns, "copies_"]), name
+        out.append(docs.collect())
+    kept, lined, near, clean, mixed = out
+    assert {901, 902}.isdisjoint({r["doc_id"] for r in kept}) and sum(r["doc_id"] == 0 for r in kept) == 3
+    holding = [r["doc_id"] for r in lined if shared in r["text"]]
+    assert set(holding) == {900} and len(lined) == len(kept)
+    assert 900 not in {r["doc_id"] for r in near} and sum(r["doc_id"] == 0 for r in near) == 3 and any(r["doc_id"] is None for r in near)
+    assert {r["doc_id"] for r in near} - {r["doc_id"] for r in clean} == {903} & {r["doc_id"] for r in near}
+    assert len(mixed) == len(clean) and all(0 <= r["copies_"] <= 3 for r in mixed)
+    assert [r["text"] for r in mixed if r["doc_id"] is None] == [good[2] + " and one more end to it"]
