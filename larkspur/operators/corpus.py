@@ -130,7 +130,7 @@ def coalesced_spans(spans: DataFrame) -> DataFrame:
 
 def round_robin(rows: DataFrame, key: str, share: float) -> DataFrame:
     """Rows interleaved across classes in the order of a hash, the first share of each class."""
-    h = F.crc32(F.col("id").cast("string").cast("binary"))
+    h = F.md5(F.col("id").cast("string").cast("binary"))
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(h, "id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     return ranked.where(F.col("r") <= F.ceil(F.col("n") * F.lit(share))).select("id", key, F.col("r").cast("long").alias("r"))
 

@@ -7,13 +7,13 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 
 def waves(nodes: DataFrame, deps: DataFrame, most: int | None = None) -> DataFrame:
     """Nodes (id) by the wave in which all they depend on (id, needs) is done; those in or behind a cycle, or behind an
     unknown node, have none. Each round is a join and an aggregate over the edges still open; rounds end when no node is
     ready, so there are as many as waves; more than a stated most raise."""
-    from ..sources.tables import cut
-
     done = None
     left = cut(nodes.select("id").distinct())
     edges = cut(deps.select("id", "needs").distinct())
@@ -39,30 +39,34 @@ def ready_set(nodes: DataFrame, deps: DataFrame, finished: DataFrame) -> DataFra
     return nodes.select("id").join(finished, "id", "left_anti").join(unmet, "id", "left_anti")
 
 
-def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, component (smallest node reachable) over edges (u, v); labels shrink along edges until none changes."""
-    from ..sources.tables import cut
-
-    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("component").alias("low"))
-        new = cut(label.join(near, label["node"] == near["u"]).select("node", "component", F.least("component", "low").alias("low")))
-        changed = not new.where("low <> component").isEmpty()
-        label = new.select("node", F.col("low").alias("component"))
-        if not changed:
-            return label
-    raise RuntimeError("components did not settle")
-
+def connected(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node reachable) for every node of edges (u, v), by alternating large-star and small-star
+    until nothing changes. A hot node's edges meet its minimum in a join, which adaptive execution can split."""
+    ordered = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = cut(ordered(edges.select("u", "v")), "components")
+    state = None
+    while True:
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(ordered(small.unionByName(low.select("u", F.col("m").alias("v")))), "components", now)
+        new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if new == state:
+            break
+        state = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
-def cycles(deps: DataFrame, most: int = 200) -> DataFrame:
-    """Nodes of edges (id, needs) that lie on a cycle or lead into one only: what peeling from both ends leaves."""
-    from ..sources.tables import cut
 
+def cycles(deps: DataFrame) -> DataFrame:
+    """Nodes of edges (id, needs) that lie on a cycle or between two: what peeling from both ends leaves. A round takes one
+    node off both ends of every path, so there are half as many as the longest has."""
     edges = cut(deps.select("id", "needs").distinct())
-    for _ in range(most):
-        left = cut(edges.join(edges.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(edges.select(F.col("needs").alias("id")).distinct(), "id", "left_semi").select("id", "needs"))
-        if left.count() == edges.count():
+    n = edges.count()
+    while True:
+        left = cut(edges.join(edges.select(F.col("id").alias("needs")).distinct(), "needs", "left_semi").join(edges.select(F.col("needs").alias("id")).distinct(), "id", "left_semi").select("id", "needs"), "cycles", edges)
+        m = left.count()
+        if m == n:
             return left.select("id").distinct()
-        edges = left
-    raise RuntimeError("peeling did not settle")
+        edges, n = left, m

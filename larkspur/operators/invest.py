@@ -148,10 +148,12 @@ def latest_snapshot(otc: DataFrame) -> DataFrame:
 
 
 def order_total_gate(trades: DataFrame, most: float = 0.005) -> DataFrame:
-    """Orders whose total is off what quantity, price and fees give by more than most; per broker."""
-    gross = F.col("total").cast("double")
-    expected = F.when(F.col("side") == "C", gross * (1 + F.col("tax") / 10)).otherwise(gross * (1 - F.col("tax") / 10))
-    bad = (gross != 0) & (F.abs(F.abs(gross) - expected) / F.abs(gross) > most)
+    """Orders (broker, side, quantity, price, fees, total) whose booked total is off quantity x price, plus fees for a buy and
+    less them for a sell, by more than most; per broker. A total of zero is not judged."""
+    total = F.abs(F.col("total").cast("double"))
+    gross, fees = F.col("quantity") * F.col("price"), F.coalesce("fees", F.lit(0.0))
+    expected = F.when(F.col("side") == "C", gross + fees).otherwise(gross - fees)
+    bad = (total != 0) & (F.abs(total - expected) / total > most)
     return trades.groupBy("broker").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(bad, 1)).alias("bad")).withColumn("passed", F.col("bad") == 0)
 
 

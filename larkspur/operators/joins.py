@@ -3,6 +3,10 @@ snapshot comparison. All are equi-joins, windows and aggregates; nothing is pair
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,28 +38,50 @@ def longest_alias(texts: DataFrame, aliases: DataFrame, text: str, words: int =
     """texts with ``alias`` and ``match`` ('exact' or 'partial'): the longest alias (then the first by ``rank``) of up to
     ``words`` words that the text holds, any case. Aliases meet the text's own runs of words in an equi-join."""
     w = F.split(F.lower(text), r"[^\p{L}\p{N}#-]+")
-    keyed = texts.withColumn("_id", F.xxhash64(*texts.columns)).withColumn("_w", w)
+    keyed = texts.withColumn("_id", F.col(text)).withColumn("_w", w)
     runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " ")))))
     best = (
-        keyed.select("_id", F.explode(runs).alias("_a")).join(aliases.select(F.lower("alias").alias("_a"), "alias", "rank"), "_a")
+        keyed.select("_id", "_w").distinct().select("_id", F.explode(runs).alias("_a")).join(aliases.select(F.lower("alias").alias("_a"), "alias", "rank"), "_a")
         .groupBy("_id").agg(F.min_by("alias", F.struct(-F.length("alias"), "rank")).alias("alias"))
     )
     exact = F.when(F.lower("alias") == F.lower(F.trim(text)), "exact").when(F.col("alias").isNotNull(), "partial")
     return keyed.join(best, "_id", "left").drop("_id", "_w").withColumn("match", exact)
 
 
-def offsetting_pairs(tx: DataFrame) -> DataFrame:
-    """Rows of one day and currency that cancel between two banks, paired in order of seq; each row is used once.
+def _greedy_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Scans one group in order; each row takes the first later one of the other sign and another bank that is left. An
+    earlier one can't be left: it would have taken this row itself."""
+    rows = rows.sort_values("seq")
+    waiting: dict[tuple, list[int]] = {}
+    for i, key in reversed(list(enumerate(zip(rows["up"], rows["bank"])))):
+        waiting.setdefault(key, []).append(i)  # the first is at the end
+    seq, taken, out = rows["seq"].tolist(), set(), []
+    for i, (up, bank) in enumerate(zip(rows["up"], rows["bank"])):
+        if i in taken:
+            continue
+        best = None
+        for (other, b), left in waiting.items():
+            if other != up and b != bank:
+                while left and (left[-1] <= i or left[-1] in taken):
+                    left.pop()
+                if left and (best is None or left[-1] < best):
+                    best = left[-1]
+        if best is not None:
+            taken |= {i, best}
+            out.append((seq[i], seq[best]) if up else (seq[best], seq[i]))
+    first = rows.iloc[0]
+    return pd.DataFrame({"date": first["date"], "currency": first["currency"], "size": first["size"], "in_seq": [a for a, _ in out], "out_seq": [b for _, b in out]}, columns=["date", "currency", "size", "in_seq", "out_seq"])
+
 
-    Per (date, currency, size) the k-th incoming row meets the k-th outgoing one of another bank."""
-    size = F.abs("amount")
-    w = Window.partitionBy("date", "currency", size, F.signum("amount")).orderBy("seq")
-    ranked = tx.where("amount <> 0").withColumn("k", F.row_number().over(w)).withColumn("size", size)
-    a, b = ranked.where("amount > 0"), ranked.where("amount < 0")
-    keys = ["date", "currency", "size", "k"]
-    both = a.select(*keys, F.col("seq").alias("in_seq"), F.col("bank").alias("in_bank")).join(b.select(*keys, F.col("seq").alias("out_seq"), F.col("bank").alias("out_bank")), keys)
-    return both.where("in_bank <> out_bank").select(F.col("date").cast("string").alias("date"), "currency", F.col("size").cast("double").alias("size"), "in_seq", "out_seq")
+def offsetting_pairs(tx: DataFrame) -> DataFrame:
+    """Rows of one day and currency that cancel between two banks: in order of seq each row takes the first one left of
+    the opposite amount and another bank, so a row is used once. Only groups (date, currency, size) with both signs and
+    two banks are folded; a fold is serial, as each pair depends on those before it."""
+    keys = ["date", "currency", "size"]
+    sized = tx.where("amount <> 0").select(F.col("date").cast("string").alias("date"), "currency", F.abs("amount").cast("double").alias("size"), "seq", "bank", (F.col("amount") > 0).alias("up"))
+    able = sized.groupBy(*keys).agg(F.bool_or("up").alias("a"), F.bool_or(~F.col("up")).alias("b"), F.min("bank").alias("c"), F.max("bank").alias("d")).where("a and b and c <> d").select(*keys)
+    return sized.join(able, keys, "left_semi").groupBy(*keys).applyInPandas(_greedy_pairs, "date string, currency string, size double, in_seq long, out_seq long")
 
 
 def cross_source_dedup(rows: DataFrame, preferred: str = "broker", dropped: tuple[str, ...] = ("b3",)) -> DataFrame:
@@ -80,15 +106,49 @@ def close_within(a: Column, b: Column, percent: float) -> Column:
     return (a == b) | (F.abs(a - b) <= F.lit(percent / 100) * F.greatest(F.abs(a), F.abs(b)))
 
 
+def _bin(number: str, percent: float) -> tuple[Column, float]:
+    """Logarithmic bins: numbers within percent of the larger one differ by at most one bin."""
+    if not 0 <= percent < 100:
+        raise ValueError("percent must be at least 0 and below 100")
+    width = max(-math.log1p(-percent / 100), 1e-9) * (1 + 1e-9)
+    return F.floor(F.log(F.greatest(F.abs(number), F.lit(1e-9))) / F.lit(width)), width
+
+
 def tolerance_match(source: DataFrame, ledger: DataFrame, exact: list[str], number: str, percent: float) -> DataFrame:
     """For each source row the number of ledger rows of equal exact fields whose number lies within percent. Numbers meet
-    in logarithmic bins (own and both neighbours), so one hot group of exact fields is not joined with itself."""
-    width = max(percent / 100, 1e-6)
-    bin_ = F.floor(F.log(F.greatest(F.abs(number), F.lit(1e-9))) / F.lit(width * 1.02))
-    left = source.withColumn("_id", F.xxhash64(*source.columns)).withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: bin_ + o)))
+    in logarithmic bins (own and both neighbours), so one hot group of exact fields is not joined with itself. Rows alike
+    in all columns are counted once and get the same."""
+    bin_, _ = _bin(number, percent)
+    row = F.struct(*source.columns).alias("_row")
+    left = source.distinct().select("*", row).withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: bin_ + o)))
     right = ledger.select(*exact, F.col(number).alias("_n"), bin_.alias("_b"))
-    hits = left.join(right, [*exact, "_b"]).where(close_within(F.col(number), F.col("_n"), percent)).groupBy("_id").agg(F.count(F.lit(1)).alias("matches"), F.count(F.when(F.col(number) == F.col("_n"), 1)).alias("exact"))
-    return source.withColumn("_id", F.xxhash64(*source.columns)).join(hits, "_id", "left").drop("_id").fillna(0, ["matches", "exact"])
+    hits = left.join(right, [*exact, "_b"]).where(close_within(F.col(number), F.col("_n"), percent)).groupBy("_row").agg(F.count(F.lit(1)).alias("matches"), F.count(F.when(F.col(number) == F.col("_n"), 1)).alias("exact")).withColumnRenamed("_row", "_hit")
+    return source.select("*", row).join(hits, F.col("_row").eqNullSafe(F.col("_hit")), "left").drop("_row", "_hit").fillna(0, ["matches", "exact"])
+
+
+def consumed_matches(source: DataFrame, ledger: DataFrame, exact: list[str], number: str, percent: float) -> DataFrame:
+    """Source rows (seq, exact fields, number) with the ledger row (match: its seq, how: exact or fuzzy) that each takes, in
+    order of seq: the first one left of equal exact fields within percent; a ledger row is taken at most once. What finds
+    none is an insert. A fold per group of exact fields, as each match depends on those before it."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_side", "seq"])
+        mine, theirs = rows[rows["_side"] == 1], rows[rows["_side"] == 0]
+        left = sorted(zip(theirs[number].tolist(), theirs["seq"].tolist()))
+        numbers = [n for n, _ in left]
+        used, out = set(), []
+        for seq, x in zip(mine["seq"].tolist(), mine[number].tolist()):
+            reach = abs(x) * percent / (100 - percent) + 1e-12
+            near = range(bisect_left(numbers, x - reach), bisect_right(numbers, x + reach))
+            fits = [i for i in near if i not in used and (numbers[i] == x or abs(numbers[i] - x) <= percent / 100 * max(abs(numbers[i]), abs(x)))]
+            best = min(fits, key=lambda i: left[i][1], default=None)
+            if best is not None:
+                used.add(best)
+            out.append((seq, None if best is None else left[best][1], "insert" if best is None else "exact" if numbers[best] == x else "fuzzy"))
+        return pd.DataFrame(out, columns=["seq", "match", "how"]).astype({"match": "Int64"})
+
+    both = source.select("seq", *exact, number, F.lit(1).alias("_side")).unionByName(ledger.select("seq", *exact, number, F.lit(0).alias("_side")))
+    return both.groupBy(*exact).applyInPandas(fold, "seq long, match long, how string")
 
 
 def bag_difference(source: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def duplicate_aliases(aliases: DataFrame) -> DataFrame:
     """Aliases (slug, alias) that stand under several slugs, any case."""
-    return aliases.groupBy(F.lower("alias").alias("alias")).agg(F.count_distinct("slug").alias("n"), F.array_join(F.slice(F.sort_array(F.collect_set("slug")), 1, 5), ",").alias("first")).where("n > 1")
+    return aliases.groupBy(F.lower("alias").alias("alias")).agg(F.count_distinct("slug").alias("n"), F.array_join(F.sort_array(F.collect_set("slug")), ",").alias("slugs")).where("n > 1")
 
 
 def large_untagged(tx: DataFrame, acknowledged: DataFrame, least: float) -> DataFrame:

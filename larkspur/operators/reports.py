@@ -77,8 +77,12 @@ def name_lookup(rows: DataFrame, names: DataFrame) -> DataFrame:
     return exact.withColumn("_k", F.lower("name")).join(loose, "_k", "left").select("id", F.coalesce("a", "b").alias("canonical"), F.when(F.col("a").isNotNull(), "exact").when(F.col("b").isNotNull(), "folded").otherwise("unknown").alias("how"))
 
 
-def asset_class(kind: Column) -> Column:
-    return F.when(kind.isin("ECONOMY", "STANDARD"), "rv_br").when(kind.isin("LARGE", "PROMO"), "rv_eua").when(kind == "SMALL", "fundos").otherwise("other")
+def asset_class(kind: Column, classes: dict[str, tuple[str, ...]]) -> Column:
+    """The class (name: kinds) that lists the kind, else other."""
+    out = F.lit(None).cast("string")
+    for name, kinds in classes.items():
+        out = F.coalesce(out, F.when(kind.isin(*kinds), name))
+    return F.coalesce(out, F.lit("other"))
 
 
 def rate_form(indexer: Column, rate: Column, percent: Column) -> Column:
@@ -98,10 +102,10 @@ def duration_kind(days: Column) -> Column:
     return F.when(days.between(80, 100), "quarterly").when(days.between(350, 380), "annual")
 
 
-def institution(name: Column) -> Column:
-    """The first known fragment of a name decides."""
+def institution(name: Column, known: list[tuple[str, str]]) -> Column:
+    """The first known fragment (fragment, label) of a name decides."""
     out = F.lit(None).cast("string")
-    for part, label in (("0001", "alpha"), ("01", "beta"), ("5", "gamma")):
+    for part, label in known:
         out = F.coalesce(out, F.when(name.contains(part), label))
     return F.coalesce(out, F.lit("outros"))
 
@@ -114,10 +118,10 @@ def footnote_order(docs: DataFrame, pattern: str) -> DataFrame:
 
 
 def rename_collisions(docs: DataFrame) -> DataFrame:
-    """New names that several documents would get."""
+    """New names that several documents (title) would get."""
     from ..functions.scalar import slug
 
-    return docs.select(slug(F.left("text", F.lit(14))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and name <> ''")
+    return docs.select(slug(F.col("title")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and name <> ''")
 
 
 def lead_sentence(text: Column, most: int = 80) -> Column:

@@ -17,7 +17,7 @@ def documents(s, d):
 
 TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: x <> '')"
 STOPS = ", ".join(f"'{w}'" for w in corpus.STOP)
-BENCH = "q as (select item_id as qid, text from benchmark where item_id % 10 = 0)"
+BENCH = "q as (select item_id as qid, text from benchmark)"
 BM25 = f"""w as (select doc_id as id, {TOK.format('text')} as ts from documents), ql as (select qid, unnest(list_distinct({TOK.format('text')})) as term from q),
 tf as (select term, id, len, cast(count(*) as double) as tf from (select id, len(ts) as len, unnest(ts) as term from w) where term in (select term from ql) group by all),
 st as (select cast(count(*) as double) as n, avg(len(ts)) as av from w), df as (select term, cast(count(*) as double) as df from tf group by term),
@@ -26,7 +26,7 @@ bm as (select * from (select qid, id, score, row_number() over (partition by qid
 
 
 def bm25_ranking(s, d):
-    return corpus.bm25(documents(s, d), table(s, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("qid"), "text"))
+    return corpus.bm25(documents(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
 
 
 query("bm25_topk", "select * from bm", BENCH, BM25)(bm25_ranking)
@@ -51,39 +51,34 @@ query("chunk_lines", """select id, row_number() over (partition by id order by s
 select id, s, cast(floor(coalesce(sum(length(s) + 1) over (partition by id order by line rows between unbounded preceding and 1 preceding), 0) / 1000) as bigint) as slot
 from (select doc_id as id, unnest(string_split(text, chr(10))) as s, unnest(range(len(string_split(text, chr(10))))) as line from documents)) group by id, slot)""")(lambda s, d: corpus.chunks(documents(s, d)))
 
-DUPS = """dd as (select doc_id as id, sha256(coalesce(text, '')) as content, source || '/' || (doc_id % 97) as url, lower(trim(left(text, 12))) as title from documents),
+DUPS = """dd as (select doc_id as id, sha256(coalesce(text, '')) as content, source || '/' || (doc_id % 97) as url, lower(trim(string_split(text, chr(10))[1])) as title from documents),
 k as (select 0 as r, 'content' as signal, id, min(id) over (partition by content) as first from dd union all select 1, 'url', id, min(id) over (partition by url) from dd where url <> '' union all select 2, 'title', id, min(id) over (partition by title) from dd where title <> '')"""
 query("duplicate_documents", "select id, arg_min(signal, r) as signal, arg_min(first, r) as first from k where id <> first group by id", DUPS)(
-    lambda s, d: corpus.duplicate_documents(documents(s, d).select("id", "text", F.concat(F.lit("https://www."), "source", F.lit("/"), (F.col("id") % 97).cast("string"), F.lit("/?q=1")).alias("url"), F.left("text", F.lit(12)).alias("title"))))
+    lambda s, d: corpus.duplicate_documents(documents(s, d).select("id", "text", F.concat(F.lit("https://www."), "source", F.lit("/"), (F.col("id") % 97).cast("string"), F.lit("/?q=1")).alias("url"), F.split("text", "\n").getItem(0).alias("title"))))
 
 EDGES = "e as (select distinct doc_id as src, (doc_id * 7 + k * 13) % 1100 as dst from documents, (values (1), (2), (3)) v(k) where doc_id <> (doc_id * 7 + k * 13) % 1100)"
 query("broken_links", "select dst, count(*) as n, min(src) as first from e where dst not in (select doc_id from documents) group by dst", EDGES)(lambda s, d: corpus.broken_links(corpus.edges(documents(s, d)), documents(s, d)))
 query("orphans", "select doc_id as id from documents where doc_id not in (select dst from e)", EDGES)(lambda s, d: corpus.orphans(corpus.edges(documents(s, d)), documents(s, d)))
 query("link_df_relevance", "select src, dst as rarest, df, df >= 5 as weak from (select src, dst, df, row_number() over (partition by src order by df, dst) as r from e join (select dst, count(*) as df from e group by dst) using (dst)) where r = 1", EDGES)(
     lambda s, d: corpus.link_relevance(corpus.edges(documents(s, d))))
-query("unlinked_mentions", f"""select id, target, count(*) as n from (select doc_id as id, unnest({TOK.format('text')}) as w from documents) join (select doc_id as target, lower(regexp_extract(text, '[A-Za-z]+')) as name from documents where doc_id % 40 = 0) on w = name
+query("unlinked_mentions", f"""select id, target, count(*) as n from (select doc_id as id, unnest({TOK.format('text')}) as w from documents) join (select min(doc_id) as target, lower(regexp_extract(text, '[A-Za-z]+')) as name from documents group by 2) on w = name
 where id <> target and not exists (select 1 from e where src = id and dst = target) group by id, target""", EDGES)(
-    lambda s, d: corpus.mentions(documents(s, d), documents(s, d).where("id % 40 = 0").select("id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name")).where("name <> ''"), corpus.edges(documents(s, d))))
+    lambda s, d: corpus.mentions(documents(s, d), documents(s, d).groupBy(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("name")).agg(F.min("id").alias("id")).where("name <> ''"), corpus.edges(documents(s, d))))
 
-query("unlinked_mentions_all", SQL["unlinked_mentions"].replace(" where doc_id % 40 = 0", ""))(
-    lambda s, d: corpus.mentions(documents(s, d), documents(s, d).select("id", F.regexp_extract("text", "[A-Za-z]+", 0).alias("name")).where("name <> ''"), corpus.edges(documents(s, d))))
 
 query("token_overlap", f"""select a, b, len(list_intersect(x, y)) as shared, len(list_intersect(x, y)) >= 2 as fires from (
-select l.doc_id as a, r.doc_id as b, list_filter({TOK.format('left(l.text, 200)')}, lambda t: t not in ({STOPS})) as x, list_filter({TOK.format('left(r.text, 200)')}, lambda t: t not in ({STOPS})) as y
+select l.doc_id as a, r.doc_id as b, list_filter({TOK.format('l.text')}, lambda t: t not in ({STOPS})) as x, list_filter({TOK.format('r.text')}, lambda t: t not in ({STOPS})) as y
 from documents l join documents r on r.doc_id = l.doc_id + 1)""")(
-    lambda s, d: corpus.token_overlap(documents(s, d).select(F.col("id").alias("i"), F.left("text", F.lit(200)).alias("a")).join(documents(s, d).select((F.col("id") - 1).alias("i"), F.left("text", F.lit(200)).alias("b")), "i"))
-    .select(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "shared", "fires"))
-
-query("token_overlap_whole", SQL["token_overlap"].replace("left(l.text, 200)", "l.text").replace("left(r.text, 200)", "r.text"))(
     lambda s, d: corpus.token_overlap(documents(s, d).select(F.col("id").alias("i"), F.col("text").alias("a")).join(documents(s, d).select((F.col("id") - 1).alias("i"), F.col("text").alias("b")), "i"))
     .select(F.col("i").alias("a"), (F.col("i") + 1).alias("b"), "shared", "fires"))
 
+
 query("span_coalesce", """select id, min(a) as a, max(e) as e from (select *, sum(new) over (partition by id order by a, e) as g from (
 select *, case when max(e) over (partition by id order by a, e rows between unbounded preceding and 1 preceding) >= a then 0 else 1 end as new from sp)) group by id, g""",
       "sp as (select user_id as id, event_id % 1000 as a, event_id % 1000 + cast(floor(value) as bigint) % 20 as e from events)")(
     lambda s, d: corpus.coalesced_spans(table(s, d, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 1000).alias("a"), (F.col("event_id") % 1000 + F.floor("value") % 20).alias("e"))).select("id", "a", "e"))
 
-query("round_robin_sample")(lambda s, d: corpus.round_robin(documents(s, d).select("id", "source"), "source", 0.25))
+query("round_robin_sample", """select id, source, r from (select doc_id as id, source, row_number() over (partition by source order by md5(cast(doc_id as varchar)), doc_id) as r, count(*) over (partition by source) as n from documents) where r <= ceil(n * 0.25)""")(lambda s, d: corpus.round_robin(documents(s, d).select("id", "source"), "source", 0.25))
 
 query("thin_pages", """select id, lines, share, lines >= 3 and share < 0.5 as thin, quality from (select doc_id as id, len(string_split(text, chr(10))) as lines, round(len(list_filter(w, lambda x: length(x) > 3)) / len(w), 6) as share
 from (select *, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') as w from documents) where len(w) > 0) left join labels on doc_id = id""")(

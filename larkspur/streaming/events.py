@@ -17,7 +17,9 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Events and value by type and hour; what is later than the watermark is dropped."""
+    """Events and value by type and hour. In append mode a window comes out when the watermark (``late`` behind the latest
+    event) has passed its end: later events of it are dropped, and windows still open at the end of the input stay in
+    the state."""
     return (
         events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))

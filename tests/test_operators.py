@@ -84,15 +84,60 @@ def test_token_overlap_reads_whole_texts(spark, tmp_path):
     texts = [t for pair in long for t in pair] + [None, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' lang", "'y' source").write.parquet(f"{tmp_path}/documents.parquet")
     words = [{w for w in (t or "").split() if w not in corpus.STOP} for t in texts]
-    got = {r["a"]: (r["shared"], r["fires"]) for r in QUERIES["token_overlap_whole"](spark, str(tmp_path)).collect() if texts[r["a"]] is not None and texts[r["b"]] is not None}
+    got = {r["a"]: (r["shared"], r["fires"]) for r in QUERIES["token_overlap"](spark, str(tmp_path)).collect() if texts[r["a"]] is not None and texts[r["b"]] is not None}
     assert got == {a: (len(words[a] & words[a + 1]), len(words[a] & words[a + 1]) >= 2) for a in (0, 1, 2)} and got[0] == (2, True)
 
 
-@pytest.mark.parametrize("name", ["near_misses", "tolerance_match", "unlinked_mentions", "stale_assets", "misfiled_income", "maturity_ladder"])
+@pytest.mark.parametrize("name", ["near_misses", "tolerance_match", "unlinked_mentions", "stale_assets", "misfiled_income", "maturity_ladder", "cross_currency_best", "bm25_topk", "rename_collisions", "null_last_page"])
 def test_whole_jobs_have_no_cut(name):
-    from larkspur.plans.catalog import QUERIES, SQL
-
-    assert f"{name}_all" in QUERIES and not any(x in SQL[f"{name}_all"] for x in ("% 500 = 0", "% 2 = 1", "% 40 = 0", "p_partkey <"))
+    from larkspur.plans.catalog import SQL
+
+    assert not any(x in SQL[name] for x in ("% 500 = 0", "% 20 = 0", "% 2 = 1", "% 40 = 0", "% 10 = 0", "p_partkey <", "left(text", "c_nationkey = 3"))
+
+
+def test_pairs_are_greedy_in_order(spark):
+    """Two banks in, the same two out, all of one amount: both pairs are found although the k-th ones share a bank."""
+    kind = "seq long, date string, currency string, bank string, amount double"
+    rows = [(1, "d", "USD", "A", 10.0), (2, "d", "USD", "B", 10.0), (3, "d", "USD", "A", -10.0), (4, "d", "USD", "B", -10.0), (5, "e", "USD", "A", -10.0), (6, "d", "EUR", "C", -10.0)]
+    assert sorted((r["in_seq"], r["out_seq"]) for r in joins.offsetting_pairs(spark.createDataFrame(rows, kind)).collect()) == [(1, 4), (2, 3)]
+    r = random.Random(1)
+    rows = [(i, r.choice("de"), r.choice(["USD", "EUR"]), r.choice("ABC"), r.choice([-2.0, -1.0, 0.0, 1.0, 2.0])) for i in range(200)]
+    used, want = set(), []
+    for i, d, c, b, v in rows:
+        if v and i not in used:
+            j = next((x[0] for x in rows if x[0] not in used and x[0] != i and x[1] == d and x[2] == c and x[3] != b and x[4] == -v), None)
+            if j is not None:
+                used |= {i, j}
+                want.append((i, j) if v > 0 else (j, i))
+    assert sorted((x["in_seq"], x["out_seq"]) for x in joins.offsetting_pairs(spark.createDataFrame(rows, kind)).collect()) == sorted(want)
+
+
+def test_tolerance_at_all_widths(spark):
+    r = random.Random(5)
+    a, b = [[(i, "x", round(r.uniform(-1, 1) * 10 ** r.randint(0, 3), 2)) for i in range(300)] for _ in "ab"]
+    left, right = (spark.createDataFrame(x, "seq int, k string, v double") for x in (a, b))
+    for percent in (0.0, 1.0, 5.0, 30.0):
+        want = {i: sum(x == y or abs(x - y) <= percent / 100 * max(abs(x), abs(y)) for _, _, y in b) for i, _, x in a}
+        assert {r["seq"]: r["matches"] for r in joins.tolerance_match(left, right, ["k"], "v", percent).collect()} == want
+
+
+def test_ledger_rows_are_consumed_once(spark):
+    a = spark.createDataFrame([(1, "x", 100.0), (2, "x", 100.0), (3, "x", 100.0), (4, "y", 5.0)], "seq long, k string, v double")
+    b = spark.createDataFrame([(10, "x", 100.4), (11, "x", 100.0), (12, "x", 150.0)], "seq long, k string, v double")
+    assert sorted((r["seq"], r["match"], r["how"]) for r in joins.consumed_matches(a, b, ["k"], "v", 1.0).collect()) == [(1, 10, "fuzzy"), (2, 11, "exact"), (3, None, "insert"), (4, None, "insert")]
+
+
+def test_totals_are_checked_against_price_and_fees(spark):
+    rows = [("B1", "C", 10.0, 5.0, 1.0, 51.0), ("B1", "V", 10.0, 5.0, 1.0, 49.0), ("B1", "C", 10.0, 5.0, 0.0, 1_000_000.0), ("B1", "V", 10.0, 5.0, 1.0, 51.0), ("B1", "C", 10.0, 5.0, 0.0, 0.0), ("B2", "C", 10.0, 5.0, None, 50.2)]
+    got = invest.order_total_gate(spark.createDataFrame(rows, "broker string, side string, quantity double, price double, fees double, total double")).collect()
+    assert {r["broker"]: (r["n"], r["bad"], r["passed"]) for r in got} == {"B1": (5, 2, False), "B2": (1, 0, True)}
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(500)]
+    edges = spark.createDataFrame(chain + [(1000, 1000)], "u long, v long").union(spark.range(100_000).selectExpr("500000 + id as u", "400000 as v"))
+    got = graph.connected(edges).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {0: 501, 400000: 100_001}
 
 
 def test_near_misses(spark):
