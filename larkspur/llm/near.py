@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected as components
 from .common import written
 
 WIDTH, ROWS, BANDS = 5, 4, 20
@@ -118,25 +119,6 @@ def _sets(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in s], pa.int64()), pa.array(s, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for every node of edges (u, v), by alternating large-star and
-    small-star, until nothing changes. A hot node's edges meet its minimum in a join, which adaptive execution can split."""
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    state = None
-    while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc", now)
-        new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if new == state:
-            break
-        state = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v and the sizes of intersection and union, on full sets."""
     a = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
