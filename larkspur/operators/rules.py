@@ -53,10 +53,3 @@ def routed(movements: DataFrame) -> DataFrame:
         F.when(ledger == "orders", F.when(op == "Compra", "C").otherwise("V")).when((ledger == "otc") & (op == "Compra"), "aplicacao").when((ledger == "otc") & (op == "Venda"), "resgate").otherwise(F.lower(op))
     )
     return movements.select("key", ledger.alias("ledger"), kind.alias("kind"), F.when(kind.isin("aplicacao", "C"), -v).otherwise(v).cast("double").alias("value"))
-
-
-def tag_rules(tx: DataFrame) -> DataFrame:
-    """Tags with those that rules add: refunds of a supplier, and a list of suppliers within a category."""
-    a = F.when((F.col("supplier") == "S7") & (F.col("amount") > 0), F.array(F.lit("refund"))).otherwise(F.array().cast("array<string>"))
-    b = F.when(F.col("supplier").isin("S1", "S2", "S3") & (F.col("category") == "building"), F.array(F.lit("project"))).otherwise(F.array().cast("array<string>"))
-    return tx.select("seq", F.array_join(F.sort_array(F.array_union(F.array_union("tags", a), b)), "|").alias("tags"))

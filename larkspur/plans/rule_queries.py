@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import quality, rules
+from ..operators import categorise, quality, rules
 from ..sources.adapters import INCOME, OTC, TX, income, otc, table, transactions
 from ..sources.tables import shared_dir
 from ..streaming import events as streaming
@@ -53,7 +53,7 @@ from (select cast(l_extendedprice as decimal(18,2)) as value, [{', '.join(f"'{o}
     .groupBy("ledger", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")))
 
 query("tag_rules", """select seq, array_to_string(list_sort(list_distinct(list_concat(list_concat(tags, case when supplier = 'S7' and amount > 0 then ['refund'] else [] end), case when supplier in ('S1', 'S2', 'S3') and category = 'building' then ['project'] else [] end))), '|') as tags from tx""", TX)(
-    lambda s, d: rules.tag_rules(transactions(s, d)))
+    lambda s, d: categorise.tagged(transactions(s, d), {"S7": "refund"}, [(("S1", "S2", "S3"), "building", "project")]))
 
 query("dup_aliases", "select lower(p_name) as alias, count(distinct p_brand) as n, array_to_string(list_sort(list(distinct p_brand)), ',') as slugs from part group by lower(p_name) having count(distinct p_brand) > 1")(
     lambda s, d: quality.duplicate_aliases(table(s, d, "part").select(F.col("p_brand").alias("slug"), F.col("p_name").alias("alias"))))
