@@ -3,6 +3,8 @@ foreign-currency accounts. A fold runs per group of tickers that actions connect
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def _fold_positions(events: pd.DataFrame) -> pd.DataFrame:
         elif kind == "V":
             cost = cost * (1 - min(n / held, 1.0)) if held > 0 else cost
             held -= n
-        elif kind == "expiracao":
+        elif kind in ("expiracao", "ajuste"):
             held = cost = 0.0
         elif pd.isna(ratio):
             pass  # an action whose ratio is not filled in yet
@@ -31,54 +33,158 @@ def _fold_positions(events: pd.DataFrame) -> pd.DataFrame:
         elif kind in ("conversao", "incorporacao", "fusao"):
             q[target], c[target] = q.get(target, 0.0) + held * ratio, c.get(target, 0.0) + cost
             held = cost = 0.0
+        elif kind == "cisao":
+            part = cost * ratio / (1 + ratio)
+            q[target], c[target] = held * ratio, part
+            cost -= part
         q[t], c[t] = held, cost
     return pd.DataFrame({"ticker": list(q), "quantity": list(q.values()), "cost": list(c.values())})
 
 
 def positions(events: DataFrame) -> DataFrame:
-    """Quantity and average cost per ticker after trades (C, V) and corporate actions, in order of seq. Tickers that a
-    conversion connects are folded together."""
+    """Quantity and average cost per ticker after trades (C, V) and corporate actions, in order of seq. Tickers that an action
+    connects are folded together. ratio: new per old; an action whose ratio is not filled in yet does nothing, but an
+    expiry or an adjustment clears quantity and cost. A demerger sets the new ticker's quantity and
+    gives it ratio / (1 + ratio) of the cost."""
     moves = events.where("target is not null").select(F.col("ticker").alias("u"), F.col("target").alias("v")).distinct()
     group = connected(moves)
     keyed = events.join(group, events["ticker"] == group["node"], "left").withColumn("g", F.coalesce("component", "ticker")).select(*events.columns, "g")
     return keyed.groupBy("g").applyInPandas(_fold_positions, "ticker string, quantity double, cost double")
 
 
+#: The order of events within a day.
+TIERS = ("in", "income", "sell", "buy", "out")
+
+
+def _consume(lots: deque, amount: float) -> None:
+    """Takes amount from the oldest lots [quantity, rate]; what they lack is lost."""
+    while lots and amount > 0:
+        if lots[0][0] <= amount:
+            amount -= lots.popleft()[0]
+        else:
+            lots[0][0] -= amount
+            amount = 0.0
+
+
+def _mean_rate(lots: deque) -> tuple[float, float]:
+    held = sum(n for n, _ in lots)
+    return held, sum(n * r for n, r in lots) / held if held > 0 else 0.0
+
+
 def _fold_account(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
     balance = average = last = 0.0
-    lots: list[list[float]] = []
-    for kind, amount, rate in events.sort_values("seq")[["kind", "amount", "rate"]].itertuples(index=False):
+    tranches: deque = deque()
+    tickers: dict[str, deque] = {}
+    costs: dict[str, float] = {}
+    income: list[tuple] = []
+    tier = {k: i for i, k in enumerate(TIERS)}
+    rows = events.assign(tier=events["kind"].map(tier)).sort_values(["date", "tier", "seq"])
+
+    def joined(amount: float, rate: float) -> float:
+        """The average once amount has come in at a rate."""
+        new = balance + amount
+        return average if new <= 0 else rate if balance <= 0 else (balance * average + amount * rate) / new
+
+    for seq, kind, ticker, amount, rate, quantity in rows[["seq", "kind", "ticker", "amount", "rate", "quantity"]].itertuples(index=False):
         if kind == "in":
-            average = rate if balance <= 0 else (balance * average + amount * rate) / (balance + amount)
-            balance += amount
-            lots.append([amount, rate])
+            if balance <= 0 and balance + amount > 0:
+                tranches.clear()
+            average, balance = joined(amount, rate), balance + amount
+            if amount > 0:
+                tranches.append([amount, rate])
         elif kind == "out":
-            left = amount
-            while left > 1e-9 and lots:
-                used = min(left, lots[0][0])
-                lots[0][0] -= used
-                left -= used
-                if lots[0][0] <= 1e-9:
-                    lots.pop(0)
             balance -= amount
-            held = sum(n for n, _ in lots)
+            _consume(tranches, amount)
+            held, mean = _mean_rate(tranches)
             if held > 0:
-                average = sum(n * r for n, r in lots) / held
-        elif kind == "income":  # at the account's own rate, which it leaves as it is
-            used = average or last
-            if balance <= 0:
-                average = used
-            balance += amount
-            lots.append([amount, used])
+                average = mean
+            elif balance <= 0:
+                last, average = (average if average > 0 else last), 0.0
+        elif kind == "income":
+            used = _mean_rate(tickers.get(ticker, deque()))[1] or average or last
+            income.append((ticker, seq, amount, used))
+            average, balance = joined(amount, used), balance + amount
         elif kind == "buy":
+            tickers.setdefault(ticker, deque()).append([quantity, average or last])
+            costs[ticker] = costs.get(ticker, 0.0) + amount * (average or last)
             balance -= amount
         elif kind == "sell":
+            lots = tickers.get(ticker, deque())
+            held = sum(n for n, _ in lots)
+            if held > 0:
+                costs[ticker] *= max(0.0, 1 - quantity / held)
+            _consume(lots, quantity)
             balance += amount
-        last = average or last
-    return pd.DataFrame({"account": [key[0]], "balance": [balance], "average": [average], "last": [last]})
+    out = [("account", None, None, balance, average, last, None)]
+    for t in sorted(tickers):
+        held, mean = _mean_rate(tickers[t])
+        out.append(("ticker", t, None, held, mean or average or last, None, costs[t]))
+    out += [("income", t, seq, amount, used, None, amount * used) for t, seq, amount, used in income]
+    return pd.DataFrame(out, columns=["what", "ticker", "seq", "amount", "rate", "last", "brl"]).astype({"seq": "Int64"}).assign(account=key[0])
+
+
+def fx_engine(events: DataFrame) -> DataFrame:
+    """Foreign-currency accounts from events (account, date, seq, kind, ticker, amount, rate, quantity), folded by day, then in,
+    income, sell, buy, out, then seq. One account is one ordered fold; its tranches and lots are taken oldest first.
+
+    Rows by what: account (amount: the balance; rate: its average, 0 once all has gone home; last: the average before that),
+    ticker (quantity held, mean rate of its lots or else the account's, cost in home currency), income (seq, amount, rate used,
+    value in home currency). A transfer into an account that is not above zero replaces the average and its tranches; one out
+    leaves the average of the tranches that remain; income counts at its ticker's rate, else the account's, else the last."""
+    kind = "account string, what string, ticker string, seq long, amount double, rate double, last double, brl double"
+    fold = lambda key, rows: _fold_account(key, rows)[["account", "what", "ticker", "seq", "amount", "rate", "last", "brl"]]
+    return events.groupBy("account").applyInPandas(fold, kind)
 
 
 def fx_accounts(events: DataFrame) -> DataFrame:
-    """Balance, average rate and last rate that was not zero per account, events (in, out, income, buy, sell) in order of seq:
-    transfers in weigh into the average, transfers out use the oldest tranches and leave the average of the rest."""
-    return events.groupBy("account").applyInPandas(_fold_account, "account string, balance double, average double, last double")
+    """Balance, average rate and last rate that was not zero per account. Columns that events lack are filled in: one day, no
+    ticker, the amount as quantity."""
+    for name, value in (("date", F.lit("").cast("string")), ("ticker", F.lit("").cast("string")), ("quantity", F.col("amount"))):
+        events = events if name in events.columns else events.withColumn(name, value)
+    return fx_engine(events).where("what = 'account'").select("account", F.col("amount").alias("balance"), F.col("rate").alias("average"), "last")
+
+
+def spot_rate(accounts: DataFrame, fallback: float = 5.0) -> DataFrame:
+    """The rate to value an account's holdings at: its average, else its last, else a fixed one."""
+    return accounts.select("account", F.coalesce(F.nullif("average", F.lit(0.0)), F.nullif("last", F.lit(0.0)), F.lit(fallback)).alias("rate"))
+
+
+def bridged_flows(flows: DataFrame, actions: DataFrame) -> DataFrame:
+    """flows (ticker, date, flow) under the ticker that each belongs to in the end. actions (seq, date, kind, ticker, target,
+    share): a conversion, merger or fusion hands all flows of its ticker on; a demerger those up to its day by its share (none
+    where that is not known yet). Actions run in order of date and seq, so chains of renames are followed to their end.
+    Tickers that actions connect are folded together; a fold works on one row a ticker and day, however many flows it has."""
+    daily = flows.groupBy("ticker", "date").agg(F.sum("flow").cast("double").alias("flow"))
+    group = connected(actions.where("target is not null").select(F.col("ticker").alias("u"), F.col("target").alias("v")))
+    keyed = lambda rows: rows.join(group, rows["ticker"] == group["node"]).select(F.col("component").alias("g"), *rows.columns)
+
+    def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        held = left[["ticker", "date", "flow"]]
+        for _, day, kind, old, new, share in right.sort_values(["date", "seq"])[["seq", "date", "kind", "ticker", "target", "share"]].itertuples(index=False):
+            mine = held["ticker"] == old
+            if new is None or not mine.any():
+                continue
+            if kind in ("conversao", "incorporacao", "fusao"):
+                held = held.assign(ticker=held["ticker"].where(~mine, new))
+            elif kind == "cisao" and share == share and 0 < share < 1:
+                moved = held[mine & (held["date"] <= day)]
+                held = held.assign(flow=held["flow"].where(~(mine & (held["date"] <= day)), held["flow"] * (1 - share)))
+                held = pd.concat([held, moved.assign(ticker=new, flow=moved["flow"] * share)])
+        return held[["ticker", "date", "flow"]]
+
+    touched = keyed(daily).groupBy("g").cogroup(keyed(actions).groupBy("g")).applyInPandas(fold, "ticker string, date date, flow double")
+    alone = daily.join(group.select(F.col("node").alias("ticker")), "ticker", "left_anti")
+    return alone.unionByName(touched).groupBy("ticker", "date").agg(F.sum("flow").alias("flow"))
+
+
+def crypto_positions(trades: DataFrame) -> DataFrame:
+    """Quantity and average cost per asset and exchange. A trade (seq, date, exchange, buy_asset, buy_quantity, sell_asset,
+    sell_quantity, price_brl) is a buy of what it gains and a sell of what it gives; the home currency is no asset."""
+    from .invest import average_cost
+
+    legs = [
+        trades.where(f"{s}_asset is not null and {s}_asset <> 'BRL'").select(
+            F.concat_ws("@", f"{s}_asset", "exchange").alias("ticker"), "date", F.struct("seq").alias("ord"), F.lit(side).alias("side"), F.col(f"{s}_quantity").alias("quantity"), F.coalesce("price_brl", F.lit(0.0)).alias("total"))
+        for s, side in (("buy", "C"), ("sell", "V"))
+    ]
+    return average_cost(legs[0].unionByName(legs[1]))

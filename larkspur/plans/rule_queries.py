@@ -136,9 +136,4 @@ case when t.side = 'C' then f.c + abs(cast(t.total as double)) when f.q > 0 then
 z as (select *, cast(ticker[2:] as int) as k from (select *, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1)""")(
     lambda s, d: ledger.positions(actions(s, d)).select("ticker", F.round("quantity", 3).alias("quantity"), F.round("cost", 2).alias("cost")))
 
-query("fx_accounts")(lambda s, d: ledger.fx_accounts(table(s, d, "events").select(
-    F.col("user_id").cast("string").alias("account"), F.col("event_id").alias("seq"),
-    F.element_at(F.array(*map(F.lit, ["in", "in", "out", "income", "buy", "sell"])), (F.col("event_id") % 6 + 1).cast("int")).alias("kind"), F.col("value").alias("amount"), (5 + F.col("event_id") % 10 / 10).alias("rate"))
-).select("account", F.round("balance", 4).alias("balance"), F.round("average", 6).alias("average"), F.round("last", 6).alias("last")))
-
 query("dependency_cycles", "select doc_id as id from documents where doc_id % 500 >= 498")(lambda s, d: graph.cycles(dependencies(s, d)))

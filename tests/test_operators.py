@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar
-from larkspur.operators import corpus, graph, invest, joins, ledger, reports, spend
+from larkspur.operators import categorise, corpus, graph, invest, joins, ledger, reports, spend, upserts
 from larkspur.sources import tables
 
 
@@ -194,6 +194,62 @@ def test_fx_account(spark, events, balance, average):
     assert got["balance"] == balance and got["average"] == pytest.approx(average, abs=1e-4)
 
 
+FX_KIND = "account string, date string, seq long, kind string, ticker string, amount double, rate double, quantity double"
+
+
+def test_fx_lots_and_income(spark):
+    """Income counts at the rate of its ticker's lots, transfers and income come before trades of their day."""
+    rows = [("a", "d1", 9, "in", None, 1000.0, 5.0, None), ("a", "d1", 1, "buy", "X", 500.0, None, 10.0), ("a", "d2", 2, "in", None, 500.0, 7.0, None), ("a", "d3", 3, "buy", "X", 300.0, None, 5.0),
+            ("a", "d4", 4, "sell", "X", 600.0, None, 12.0), ("a", "d5", 5, "income", "X", 90.0, None, None), ("a", "d5", 6, "income", "Y", 10.0, None, None)]
+    got = {(r["what"], r["ticker"], r["seq"]): r for r in ledger.fx_engine(spark.createDataFrame(rows, FX_KIND)).collect()}
+    assert got["ticker", "X", None]["amount"] == 3.0 and got["ticker", "X", None]["rate"] == pytest.approx(6.0)
+    assert got["income", "X", 5]["rate"] == pytest.approx(6.0) and got["income", "Y", 6]["rate"] == pytest.approx(got["account", None, None]["rate"])
+    assert got["account", None, None]["amount"] == pytest.approx(1000 - 500 + 500 - 300 + 600 + 100)
+    home = [("b", "d1", 1, "in", None, 100.0, 5.0, None), ("b", "d2", 2, "out", None, 100.0, None, None), ("b", "d3", 3, "income", "Z", 10.0, None, None)]
+    end = ledger.fx_accounts(spark.createDataFrame(home, FX_KIND))
+    assert tuple(end.first())[1:] == (10.0, 5.0, 5.0)
+    gone = ledger.fx_accounts(spark.createDataFrame(home[:2], FX_KIND))
+    assert tuple(gone.first())[1:] == (0.0, 0.0, 5.0) and ledger.spot_rate(gone).first()["rate"] == 5.0
+
+
+def test_demerger_and_adjustment(spark):
+    rows = [("A", 1, "C", 10.0, 90.0, None, None), ("A", 2, "cisao", None, None, 0.5, "B"), ("C", 1, "V", 5.0, 10.0, None, None), ("C", 2, "ajuste", None, None, None, None), ("D", 1, "C", 1.0, 1.0, None, None), ("D", 2, "cisao", None, None, None, "E")]
+    got = {r["ticker"]: (r["quantity"], r["cost"]) for r in ledger.positions(spark.createDataFrame(rows, "ticker string, seq long, kind string, quantity double, total double, ratio double, target string")).collect()}
+    assert got == {"A": (10.0, 60.0), "B": (5.0, 30.0), "C": (0.0, 0.0), "D": (1.0, 1.0)}
+
+
+def test_flows_follow_chains_of_renames(spark):
+    d = dt.date
+    flows = [("A", d(2020, 1, 1), -100.0), ("B", d(2021, 1, 1), -10.0), ("C", d(2022, 1, 1), 5.0), ("P", d(2020, 1, 1), -100.0), ("P", d(2023, 1, 1), -7.0), ("Z", d(2020, 1, 1), 1.0)]
+    moves = [(2, d(2021, 6, 1), "fusao", "B", "C", None), (1, d(2020, 6, 1), "conversao", "A", "B", None), (3, d(2022, 1, 1), "cisao", "P", "Q", 0.25)]
+    got = ledger.bridged_flows(spark.createDataFrame(flows, "ticker string, date date, flow double"), spark.createDataFrame(moves, "seq int, date date, kind string, ticker string, target string, share double")).collect()
+    want = {("C", d(2020, 1, 1)): -100.0, ("C", d(2021, 1, 1)): -10.0, ("C", d(2022, 1, 1)): 5.0, ("P", d(2020, 1, 1)): -75.0, ("Q", d(2020, 1, 1)): -25.0, ("P", d(2023, 1, 1)): -7.0, ("Z", d(2020, 1, 1)): 1.0}
+    assert {(r["ticker"], r["date"]): r["flow"] for r in got} == want
+
+
+def test_upserts(spark):
+    k = spark.createDataFrame([("1", "a", "x"), ("2", "b", "y")], "id string, name string, kind string")
+    n = spark.createDataFrame([("1", "A", "z"), ("2", " ", "y"), ("3", "c", "w")], "id string, name string, kind string")
+    diff = {r["id"]: (r["action"], r["changed"], r["blocked"]) for r in upserts.row_diff(k, n, "id", ["name"]).collect()}
+    assert diff == {"1": ("update", "name", "kind"), "2": ("noop", "", ""), "3": ("insert", "", "")}
+    assert sorted(map(tuple, upserts.owned_upsert(k, n, "id", ["name"]).collect())) == [("1", "A", "x"), ("2", "b", "y"), ("3", "c", "w")]
+    o = spark.createDataFrame([("1", 1.0, "m2"), ("2", 1.0, "m1"), ("3", 1.0, "m1")], "id string, value double, method string")
+    i = spark.createDataFrame([("1", 1.0, "m1"), ("2", 1.0, "m2"), ("3", 2.0, "m1"), ("4", 1.0, "m1")], "id string, value double, method string")
+    assert {r["id"]: r["action"] for r in upserts.method_upsert(o, i, ["id"], ["m1", "m2"]).collect()} == {"1": "upgrade", "2": "skip", "3": "conflict", "4": "insert"}
+
+
+@pytest.mark.parametrize("accrual,fails", [("2024-02-01", False), ("soon", True)])
+def test_overrides(spark, accrual, fails):
+    tx = spark.createDataFrame([(1, dt.date(2024, 1, 1), " shop ", 10.0, "food", dt.date(2024, 1, 1)), (2, dt.date(2024, 1, 1), "shop", 11.0, "food", dt.date(2024, 1, 1))], "seq int, date date, description string, amount double, category string, accrual date")
+    o = spark.createDataFrame([("2024-01-01", "shop", "10.00", "fun", accrual)], "date string, description string, amount string, category string, accrual string")
+    run = lambda: {r["seq"]: (r["category"], r["accrual"], r["manual"]) for r in categorise.overridden(tx, o).collect()}
+    if fails:
+        with pytest.raises(Exception, match="no date"):
+            run()
+    else:
+        assert run() == {1: ("fun", dt.date(2024, 2, 1), True), 2: ("food", dt.date(2024, 1, 1), False)}
+
+
 def test_fusion(spark):
     a, b = (spark.createDataFrame([(1, i, r) for r, i in enumerate(x, 1)], "qid int, id int, rank int") for x in ([1, 2, 3], [2, 9]))
     top = corpus.fuse(a, b).where("rank = 1").first()
