@@ -87,8 +87,9 @@ def duplicate_documents(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, fan: int = 3) -> DataFrame:
-    """Links between documents, derived from ids: src, dst (some name no document)."""
-    return docs.select(F.col("id").alias("src"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(fan)), lambda k: (F.col("id") * 7 + k * 13) % F.lit(1100))).alias("dst")).where("src <> dst").distinct()
+    """Links between documents, derived from ids: src, dst. Of the last ninth some name no document."""
+    targets = F.transform(F.sequence(F.lit(1), F.lit(fan)), lambda k: F.floor((F.col("id") * 9 + k * 13) / 8))
+    return docs.select(F.col("id").alias("src"), F.explode(targets).alias("dst")).where("src <> dst").distinct()
 
 
 def broken_links(links: DataFrame, docs: DataFrame) -> DataFrame:

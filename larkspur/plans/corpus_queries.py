@@ -56,7 +56,7 @@ k as (select 0 as r, 'content' as signal, id, min(id) over (partition by content
 query("duplicate_documents", "select id, arg_min(signal, r) as signal, arg_min(first, r) as first from k where id <> first group by id", DUPS)(
     lambda s, d: corpus.duplicate_documents(documents(s, d).select("id", "text", F.concat(F.lit("https://www."), "source", F.lit("/"), (F.col("id") % 97).cast("string"), F.lit("/?q=1")).alias("url"), F.split("text", "\n").getItem(0).alias("title"))))
 
-EDGES = "e as (select distinct doc_id as src, (doc_id * 7 + k * 13) % 1100 as dst from documents, (values (1), (2), (3)) v(k) where doc_id <> (doc_id * 7 + k * 13) % 1100)"
+EDGES = "e as (select distinct doc_id as src, (doc_id * 9 + k * 13) // 8 as dst from documents, (values (1), (2), (3)) v(k) where doc_id <> (doc_id * 9 + k * 13) // 8)"
 query("broken_links", "select dst, count(*) as n, min(src) as first from e where dst not in (select doc_id from documents) group by dst", EDGES)(lambda s, d: corpus.broken_links(corpus.edges(documents(s, d)), documents(s, d)))
 query("orphans", "select doc_id as id from documents where doc_id not in (select dst from e)", EDGES)(lambda s, d: corpus.orphans(corpus.edges(documents(s, d)), documents(s, d)))
 query("link_df_relevance", "select src, dst as rarest, df, df >= 5 as weak from (select src, dst, df, row_number() over (partition by src order by df, dst) as r from e join (select dst, count(*) as df from e group by dst) using (dst)) where r = 1", EDGES)(

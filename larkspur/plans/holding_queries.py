@@ -95,7 +95,7 @@ left join (select ticker, cast(sum(value) as double) as v from income group by t
 e0 as (select h.*, n % 5 = 0 as usd, p.price, round(quantity * coalesce(p.price, 0), 2) as value from h left join (select ticker, arg_max(close, date) as price from quotes where cast(ticker[2:] as int) % 7 <> 0 group by ticker) p on p.ticker = h.id),
 e1 as (select *, case when not usd then cost when n % 3 = 0 and cost > 0 then round(cost * 4.5119::double, 2) else round(cost * 5.2137::double, 2) end as cost_home, case when usd then round(value * 5.2137::double, 2) else value end as value_home from e0),
 en as (select id, case when usd then 'USD' else 'BRL' end as currency, quantity, cost as cost_basis, value, round(value - cost, 2) as pnl, case when cost > 0 then round((value - cost) / cost, 4) else 0 end as pnl_share, case when cost > 0 then round(dividends / cost, 4) else 0 end as yield_on_cost,
-cost_home, value_home, round(value_home - cost_home, 2) as pnl_home, case when usd and coalesce(price, 0) <> 0 then round(value - cost, 2) end as return_usd, case when usd and coalesce(price, 0) <> 0 then round(cost * 5.2137::double - cost_home, 2) end as return_fx_brl from e1)"""
+cost_home, value_home, round(value_home - cost_home, 2) as pnl_home, case when usd and coalesce(price, 0) <> 0 then round(value - cost, 2) end as return_usd, case when usd and coalesce(price, 0) <> 0 then round(cost * 5.2137::double - cost_home, 2) + 0.0 end as return_fx_brl from e1)"""
 ALL = (TRADES, INCOME, QUOTES, AVERAGE, ENTRIES)
 query("position_entries", "select * from en", *ALL)(priced)
 query("portfolio_totals", """select n, cast(v as double) as value, cast(c as double) as cost, cast(v - c as double) as pnl, case when c > 0 then round(cast(v - c as double) / cast(c as double), 4) else 0 end as pnl_share
