@@ -42,7 +42,7 @@ from (select f.account, ev.k, bal, avg, last, tr, lots, inc, ev.kind, ev.amount,
 final as (select * from (select *, row_number() over (partition by account order by k desc) as r from fold) where r = 1)"""
 query("fx_accounts", "select account, round(bal, 4) as balance, round(avg, 6) as average, round(last, 6) as last from final", FX_FOLD)(
     lambda s, d: ledger.fx_accounts(fx_events(s, d)).select("account", F.round("balance", 4).alias("balance"), F.round("average", 6).alias("average"), F.round("last", 6).alias("last")))
-query("fx_ticker_rates", """select account, l.t as ticker, round(sum(l.q), 4) as quantity, round(sum(l.q * l.r) / sum(l.q), 6) as rate from (select account, unnest(lots) as l from final) group by account, l.t""", FX_FOLD)(
+query("fx_ticker_rates", """select account, l.t as ticker, round(sum(l.q), 4) as quantity, round(coalesce(nullif(sum(l.q * l.r) / sum(l.q), 0), nullif(any_value(avg), 0), any_value(last)), 6) as rate from (select account, avg, last, unnest(lots) as l from final) group by account, l.t""", FX_FOLD)(
     lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'ticker' and amount > 1e-9").select("account", "ticker", F.round("amount", 4).alias("quantity"), F.round("rate", 6).alias("rate")))
 query("fx_income_home", "select account, i.t as ticker, count(*) as n, round(sum(i.a * i.r), 4) as brl from (select account, unnest(inc) as i from final) group by account, i.t", FX_FOLD)(
     lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'income'").groupBy("account", "ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("brl"), 4).alias("brl")))
