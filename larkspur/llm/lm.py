@@ -221,7 +221,7 @@ def _vocabulary(key, table):
     return pa.table([pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["chunk", "h", "k", "n"])
 
 
-def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_000) -> DataFrame:
+def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 16_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a Boolean column expression.
 
     Null and empty texts are one token, the end. Rows are independent, repeated rows count as often as they stand. An
