@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, deal
 
 
 def waves(nodes: DataFrame, deps: DataFrame, most: int | None = None) -> DataFrame:
@@ -41,21 +41,23 @@ def ready_set(nodes: DataFrame, deps: DataFrame, finished: DataFrame) -> DataFra
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges (u, v), by alternating large-star and small-star
-    until nothing changes. A hot node's edges meet its minimum in a join, which adaptive execution can split."""
+    until nothing changes. Where a hot node's edges meet its minimum they are dealt over many tasks."""
     ordered = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(ordered(edges.select("u", "v")), "components")
-    state = None
+    state, n = None, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        many, few, on = deal(both, low, ["u"], ["v"], 2 * n)
+        large = many.join(few, on).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        many, few, on = deal(large, low, ["u"], ["v"], 2 * n)
+        small = many.join(few, on).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(ordered(small.unionByName(low.select("u", F.col("m").alias("v")))), "components", now)
         new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if new == state:
             break
-        state = new
+        state, n = new, new[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -47,6 +47,23 @@ def cut(df: DataFrame, name: str = "cut", instead_of: DataFrame | None = None) -
     return out
 
 
+#: At most so many keys are hot, each with more than one in HOT of all rows.
+HOT = 500
+
+
+def deal(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], total: int | None = None, parts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows, keys and the columns to join them on, so that no task gets a hot key's rows.
+
+    A key with more than a HOTth of all rows is hot: there are fewer than HOT, which bounds the broadcast. Its rows go to one
+    of ``parts`` tasks by the columns ``by``, and it stands so many times in keys. rows should be a written table (it is read
+    twice, and counted where no total is given)."""
+    total = rows.count() if total is None else total
+    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(*on, F.lit(True).alias("_hot")))
+    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    return rows.join(hot, on, "left").withColumn("_slot", slot).drop("_hot"), keys.join(hot, on, "left").withColumn("_slot", copies).drop("_hot"), [*on, "_slot"]
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """A ledger with a header; a missing path is an empty relation."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
