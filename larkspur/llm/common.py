@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import HOT, deal, table  # noqa: F401
 from ..sources.tables import cut as written  # noqa: F401
-from ..sources.tables import table  # noqa: F401
 
 #: ASCII white space, as characters and as a class for regular expressions.
 WS = " \t\n\x0b\f\r"
@@ -42,10 +42,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-#: At most so many keys are hot, each with more than one in HOT of all rows.
-HOT = 500
-
-
 def spread(rows: DataFrame, keys: DataFrame, on: list[str], count: str, by: list[str], parts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
     """rows, keys and the columns to join them on, so that no task gets a hot key's rows.
 

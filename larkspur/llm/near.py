@@ -1,7 +1,7 @@
 """Operator 5, MinHash near-dedup: universal hash minima with banding, signature verification, confirmation on full
 shingle sets, and connected components by alternating large-star and small-star.
 
-Equal sets collapse to one node first. In a bucket every node is compared with a pivot only, twice with different
+Equal sets collapse to one node first, by an aggregate. In a bucket every node is compared with a pivot only, twice with different
 pivots; components of what that confirms are found; then nodes of one bucket in *different* components are paired,
 but only where exact bounds leave a link possible (sizes, the shingles shared with anything at all, the triangle
 inequality of the Jaccard distance over the pivot, what each lacks of the pivot). The bounds are exact, so a bucket loses no link;
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected as components
-from .common import written
+from .common import deal, spread, written
 
 WIDTH, ROWS, BANDS = 5, 4, 20
 _U = np.uint64
@@ -120,36 +120,51 @@ def _sets(batches: Iterator) -> Iterator:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and the sizes of intersection and union, on full sets."""
+    """u, v and the sizes of intersection and union, on full sets. pairs is a written table; v may be a pivot of very many."""
     a = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
     b = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("s").alias("sv"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("i", F.size(F.array_intersect("su", "sv")).cast("long"))
+    many, few, on = deal(pairs, b, ["v"], ["u"])
+    both = many.join(a, "u").join(few, on).withColumn("i", F.size(F.array_intersect("su", "sv")).cast("long"))
     return both.select("u", "v", "i", (F.col("nu") + F.col("nv") - F.col("i")).alias("o"))
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Signature verification: pairs of which at least so many minima agree."""
+    """Signature verification: pairs (a written table) of which at least so many minima agree."""
     a, b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}")) for x in "uv")
     same = F.aggregate(F.zip_with("su", "sv", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    return pairs.join(a, "u").join(b, "v").where(same >= least).select("u", "v")
+    many, few, on = deal(pairs, b, ["v"], ["u"])
+    return many.join(a, "u").join(few, on).where(same >= least).select("u", "v")
+
+
+def _checked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    found = written(_alike(written(pairs, "near-pairs"), sigs, least), "near-alike")
+    return _confirmed(found, sets)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), one row per row of docs.
 
     Links: 100 * intersection >= percent * union. Null and empty texts have no shingles and are linked with nothing.
-    Rows that share a doc_id are one document when linked; a null doc_id is linked with nothing. Repeated rows give
+    Rows with words that share a doc_id are one document when linked; a null doc_id is linked with nothing. Repeated rows give
     repeated rows, an empty table an empty one. Extra columns are left out."""
     signed = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h binary, sig array<int>"), "near-sig")
     named = signed.where("h is not null and doc_id is not null")
-    members = named.groupBy("h").agg(F.min("doc_id").alias("node"))
-    of = named.join(members, "h").select("doc_id", "node", "n", "sig")
-    same = of.where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    sigs = of.where("doc_id = node").select("node", "n", "sig")
+    nodes = written(
+        named.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sig"), "doc_id").alias("x"))
+        .select("h", "k", "node", "x.n", "x.sig"), "near-nodes",
+    )
+    sigs = nodes.select("node", "n", "sig")
+    # a document that stands there with several texts links their nodes
+    mark = F.xxhash64("h")
+    several = named.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("doc_id")
+    several = written(named.select("doc_id", "h").join(several, "doc_id", "left_semi"), "near-several")
+    many, few, on = deal(several, nodes.select("h", "node"), ["h"], ["doc_id"])
+    same = many.join(few, on).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
     buckets = sigs.select("node", "n", F.explode(bands).alias("b")).distinct()
-    shared = buckets.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1")
-    m1 = written(buckets.join(shared, "b").select("b", "node", "n", "m", "pivot"), "near-buckets")
+    shared = written(buckets.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("pivot")).where("m > 1"), "near-shared")
+    many, few, on = spread(buckets, shared, ["b"], "m", ["node"])
+    m1 = written(many.join(few, on).select("b", "node", "n", "m", "pivot"), "near-buckets")
     wanted = m1.select("node").distinct()
     packed = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
     texts = packed.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
@@ -159,20 +174,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     close = percent - 25  # percent of the minima that a candidate has in common at least
     least = ROWS * BANDS * close // 100
     pairs1 = m1.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    far1 = written(_confirmed(_alike(pairs1, held, least), sets), "near-star")
+    far1 = written(_checked(pairs1, held, sets, least), "near-star")
     linked = F.col("i") * 100 >= F.col("o") * percent
     done = far1.where(linked).select(F.col("u").alias("node"), F.col("v").alias("pivot"))
-    rest = m1.where("node <> pivot and m > 2").join(done, ["node", "pivot"], "left_anti").select("b", "node", "n")
+    rest = written(m1.where("node <> pivot and m > 2").join(done, ["node", "pivot"], "left_anti").select("b", "node", "n"), "near-rest")
     second = rest.groupBy("b").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", F.xxhash64("node")).alias("pivot")).where("m > 1")
-    pairs2 = rest.join(second, "b").where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    far2 = _confirmed(_alike(pairs2, held, least), sets)
+    many, few, on = deal(rest, second, ["b"], ["node"])
+    pairs2 = many.join(few, on).where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
+    far2 = _checked(pairs2, held, sets, least)
     links = written(far1.where(linked).select("u", "v").unionByName(far2.where(linked).select("u", "v")), "near-links")
     comp = written(components(links), "near-comp")
 
     # members of one bucket that are still in different components: exact bounds, then the sets themselves
-    mine = m1.where("m > 2").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    mine = written(m1.where("m > 2").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "near-mine")
     home = mine.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("c", F.struct("k", "c")).alias("home"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = written(mine.join(home, "b").join(far1.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("i") / F.col("o")).alias("d")), ["node", "pivot"], "left")
+    many, few, on = deal(mine, home, ["b"], ["node"])
+    mixed = written(many.join(few, on).join(far1.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("i") / F.col("o")).alias("d")), ["node", "pivot"], "left")
                     .select("b", "node", "pivot", "n", "c", "home", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "near-mixed")
     token = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("t"))
     common = token.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t")
@@ -202,12 +219,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         & (both >= (F.col("nu") + F.col("nv")) * per - 1e-6)
     )
     cross = x.join(y, ["b", "bin"]).where(possible).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    more = _confirmed(_alike(cross, held, least), sets).where(linked).select("u", "v")
+    more = _checked(cross, held, sets, least).where(linked).select("u", "v")
     final = components(links.unionByName(more).unionByName(same))
-    return (
-        signed.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    classes = written(nodes.join(final, "node", "left").select("h", "k", F.coalesce("component", "node").alias("component")), "near-classes")
+    many, few, on = spread(named.select("doc_id", "n", "h"), classes, ["h"], "k", ["doc_id"])
+    alone = signed.where("h is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return many.join(few, on).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(alone)
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
