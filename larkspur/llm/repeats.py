@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import spread, text_key, written
 from .induced import CAP, sort_suffixes
 
 LENGTH, GRAM = 200, 50
@@ -207,15 +207,17 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("th"), "text")
     seg = written(keyed.mapInArrow(_segment_rows, f"doc_id {kind}, th long, s int, m int, o int, h long, c long"), "seg")
-    again = seg.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = written(seg.join(again, "h", "left_semi"), "seg-shared")
+    again = written(seg.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "seg-grams")
+    many, few, on = spread(seg, again, ["h"], "n", ["doc_id", "th", "s"])
+    shared = written(many.join(few, on, "left_semi").drop("_slot"), "seg-shared")
     groups = written(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "s", "m", "o")).alias("at")), "seg-groups")
-    differ = groups.groupBy("h").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("low")).where("v > 1 and low = 1").select("h", "v")
-    wanted = groups.join(differ, "h").select("at.doc_id", "at.th", F.struct("h", F.col("at.s").alias("s"), F.col("at.m").alias("m"), F.col("at.o").alias("o"), (F.col("n") == 1).alias("once"), (F.col("v") > MANY).alias("split")).alias("w"))
+    differ = written(groups.groupBy("h").agg(F.count(F.lit(1)).alias("v"), F.min("n").alias("low")).where("v > 1 and low = 1").select("h", "v"), "seg-differ")
+    many, few, on = spread(groups, differ, ["h"], "v", ["c"])
+    wanted = many.join(few, on).select("at.doc_id", "at.th", F.struct("h", F.col("at.s").alias("s"), F.col("at.m").alias("m"), F.col("at.o").alias("o"), (F.col("n") == 1).alias("once"), (F.col("v") > MANY).alias("split")).alias("w"))
     wanted = written(wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("want"), F.sum(F.when(~F.col("w.split"), F.col("w.m") + LENGTH)).alias("bytes")), "seg-wanted")
     shards = max(1, -(-(wanted.agg(F.sum("bytes")).first()[0] or 0) // shard_bytes))
-    whole = groups.where("n > 1").select("h", "c")
-    full = shared.join(whole, ["h", "c"], "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + LENGTH).alias("e"))
+    many, few, on = spread(shared, groups.where("n > 1").select("h", "c", "n"), ["h", "c"], "n", ["doc_id", "th", "s"])
+    full = many.join(few, on, "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("m") - 1 + LENGTH).alias("e"))
     # one text a (doc_id, th): rows alike in both are one row here, and repeat as a whole anyway
     texts = keyed.mapInArrow(_packed, f"doc_id {kind}, th long, z binary")
     need = wanted.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "want")
@@ -226,8 +228,9 @@ def repeated_spans(docs: DataFrame, shard_bytes: int = 3_000_000) -> DataFrame:
     if not differ.where(F.col("v") > MANY).isEmpty():
         strings = written(strings, "seg-strings")
         hashed = strings.where("k is not null").select("doc_id", "th", "h", "once", "s", "k")
-        twice = hashed.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "k")
-        full = full.unionByName(hashed.where("once").join(twice, ["h", "k"], "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("e")))
+        twice = written(hashed.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "seg-twice")
+        many, few, on = spread(hashed.where("once"), twice, ["h", "k"], "n", ["doc_id", "th", "s"])
+        full = full.unionByName(many.join(few, on, "left_semi").select("doc_id", "th", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("e")))
         strings = strings.where("x is not null")
     part = strings.select("doc_id", "th", "h", "once", "s", "x").repartition(int(shards), "h").mapInArrow(_repeats, f"doc_id {kind}, th long, a int, e int")
     return full.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
