@@ -137,7 +137,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    found = written(_alike(written(pairs, "near-pairs"), sigs, least), "near-alike")
+    pairs = written(pairs, "near-pairs")
+    found = written(_alike(pairs, sigs, least), "near-alike", pairs)
     return _confirmed(found, sets)
 
 
@@ -153,6 +154,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         named.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sig"), "doc_id").alias("x"))
         .select("h", "k", "node", "x.n", "x.sig"), "near-nodes",
     )
+    signed = written(signed.select("doc_id", "n", "h"), "near-ids", signed)
+    named = signed.where("h is not null and doc_id is not null")
     sigs = nodes.select("node", "n", "sig")
     # a document that stands there with several texts links their nodes
     mark = F.xxhash64("h")
@@ -169,7 +172,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     packed = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
     texts = packed.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets, f"node {docs.schema['doc_id'].dataType.simpleString()}, n long, s array<long>").dropDuplicates(["node", "s"]), "near-sets")
-    held = sigs.join(wanted, "node", "left_semi")
+    held = sigs.join(sets.select("node"), "node", "left_semi")
 
     close = percent - 25  # percent of the minima that a candidate has in common at least
     least = ROWS * BANDS * close // 100
@@ -186,11 +189,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     comp = written(components(links), "near-comp")
 
     # members of one bucket that are still in different components: exact bounds, then the sets themselves
-    mine = written(m1.where("m > 2").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "near-mine")
+    mine = written(m1.where("m > 2").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "near-mine", m1)
     home = mine.groupBy("b", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("c", F.struct("k", "c")).alias("home"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     many, few, on = deal(mine, home, ["b"], ["node"])
     mixed = written(many.join(few, on).join(far1.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("i") / F.col("o")).alias("d")), ["node", "pivot"], "left")
-                    .select("b", "node", "pivot", "n", "c", "home", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "near-mixed")
+                    .select("b", "node", "pivot", "n", "c", "home", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")).alias("d")), "near-mixed", mine)
     token = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", F.explode("s").alias("t"))
     common = token.groupBy("t").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("t")
     known = token.join(common, "t", "left_semi").groupBy("node").agg(F.collect_list("t").alias("cs"))
@@ -201,7 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .withColumn("miss", F.array_except("ps", "cs")).withColumn("extra", F.array_except("cs", "ps"))
         .select("node", "pivot", F.size("ps").alias("np"), F.size("cs").alias("w"), F.size("miss").alias("gone"), F.concat(groups(F.col("miss")), groups(F.col("extra"))).alias("g"))
     )
-    bound = written(mixed.join(lost, ["node", "pivot"]).where(F.col("w") * 100 >= F.col("n") * percent), "near-bound")
+    bound = written(mixed.join(lost, ["node", "pivot"]).where(F.col("w") * 100 >= F.col("n") * percent), "near-bound", mixed)
     per = percent / (100 + percent)
     bin_ = lambda x: F.floor(F.log(x) * 25)
     of = lambda x: [F.col(k).alias(k + x) for k in ("n", "c", "w", "d", "gone", "g")]
