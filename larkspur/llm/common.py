@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import HOT, deal, table  # noqa: F401
+from ..sources.tables import HOT, configured, deal, table  # noqa: F401
 from ..sources.tables import cut as written  # noqa: F401
 
 #: ASCII white space, as characters and as a class for regular expressions.

@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected as components
-from .common import deal, spread, written
+from .common import configured, deal, spread, written
 
 WIDTH, ROWS, BANDS = 5, 4, 20
+#: Bytes of a batch that goes to Python (a longer text goes alone), so that workers stay small.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _U = np.uint64
 _rng = np.random.default_rng(5)
 #: Random odd multipliers and offsets of the multiply-shift family, and a random word for each byte.
@@ -148,7 +150,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Links: 100 * intersection >= percent * union. Null and empty texts have no shingles and are linked with nothing.
     Rows with words that share a doc_id are one document when linked; a null doc_id is linked with nothing. Repeated rows give
     repeated rows, an empty table an empty one. Extra columns are left out."""
-    signed = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h binary, sig array<int>"), "near-sig")
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    with configured(spark, BATCH):
+        signed = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, n long, h binary, sig array<int>"), "near-sig")
     named = signed.where("h is not null and doc_id is not null")
     nodes = written(
         named.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("node"), F.min_by(F.struct("n", "sig"), "doc_id").alias("x"))
@@ -169,9 +173,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     many, few, on = spread(buckets, shared, ["b"], "m", ["node"])
     m1 = written(many.join(few, on).select("b", "node", "n", "m", "pivot"), "near-buckets")
     wanted = m1.select("node").distinct()
-    packed = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, z binary")
+    packed = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, z binary")
     texts = packed.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, f"node {docs.schema['doc_id'].dataType.simpleString()}, n long, s array<long>").dropDuplicates(["node", "s"]), "near-sets")
+    with configured(spark, BATCH):
+        sets = written(texts.mapInArrow(_sets, f"node {kind}, n long, s array<long>").dropDuplicates(["node", "s"]), "near-sets")
     held = sigs.join(sets.select("node"), "node", "left_semi")
 
     close = percent - 25  # percent of the minima that a candidate has in common at least
