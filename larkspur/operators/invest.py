@@ -5,20 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
+
+class _Month:
+    """A month of a ticker's trades as a line through the cost at its start: cost at the end = a * cost at the start + b."""
+
+    def __init__(self, ticker: str, month: str) -> None:
+        self.key, self.a, self.b, self.held = (ticker, month), 1.0, 0.0, None
+
+    def add(self, before: float, buy: bool, quantity: float, cost: float) -> tuple:
+        held = before if self.held is None else self.held
+        if buy:
+            self.b += cost
+        elif held > 0:
+            left = 1.0 - min(quantity / held, 1.0)
+            self.a, self.b = self.a * left, self.b * left
+        self.held = held + quantity if buy else held - quantity
+        return ()
+
+    def end(self) -> list[tuple]:
+        return [(*self.key, self.a, self.b, self.held)]
+
+
+class _Months:
+    """The months of a ticker, each a line, one after the other."""
+
+    def __init__(self, ticker: str) -> None:
+        self.ticker, self.cost, self.held = ticker, 0.0, 0.0
+
+    def add(self, a: float, b: float, held: float) -> tuple:
+        self.cost, self.held = a * self.cost + b, held
+        return ()
+
+    def end(self) -> list[tuple]:
+        return [(self.ticker, self.held, self.cost)]
+
 
 def average_cost(trades: DataFrame) -> DataFrame:
-    """Quantity and average cost per ticker. A buy adds its cost; a sell takes cost in proportion while something is
-    held, and the quantity may go below zero. The order of a ticker's trades matters, so a ticker is one fold over its
-    sorted trades; tickers run apart."""
-    step = F.struct("date", "ord", (F.col("side") == "C").alias("buy"), "quantity", F.abs("total").cast("double").alias("cost"))
-
-    def add(s: Column, t: Column) -> Column:
-        q, c = s["q"], s["c"]
-        sold = F.when(q > 0, c * (F.lit(1.0) - F.least(t["quantity"] / q, F.lit(1.0)))).otherwise(c)
-        return F.struct(F.when(t["buy"], q + t["quantity"]).otherwise(q - t["quantity"]).alias("q"), F.when(t["buy"], c + t["cost"]).otherwise(sold).alias("c"))
-
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("c"))
-    return trades.groupBy("ticker").agg(F.aggregate(F.array_sort(F.collect_list(step)), start, add).alias("s")).select("ticker", F.round("s.q", 4).alias("quantity"), F.round("s.c", 2).alias("cost"))
+    """Quantity and average cost per ticker. A buy adds its cost; a sell takes cost in proportion while something is held, and
+    the quantity may go below zero.
+
+    What is held before a trade is a running sum, so it is known for each month from a table of months; given that, a trade maps
+    the cost by a line (a * cost + b), and lines compose. So each month of a ticker is a stream of its own, and a ticker that
+    holds a third of all trades still spreads over its months. Sums of quantities that carry over are rounded to 9 places."""
+    buy = F.col("side") == "C"
+    rows = trades.select("ticker", F.date_format("date", "yyyy-MM").alias("month"), "date", "ord", buy.alias("buy"), "quantity", F.abs("total").cast("double").alias("cost"))
+    before = F.round(F.sum("moved").over(Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), 9)
+    months = rows.groupBy("ticker", "month").agg(F.sum(F.when(F.col("buy"), F.col("quantity")).otherwise(-F.col("quantity"))).alias("moved")).select("ticker", "month", F.coalesce(before, F.lit(0.0)).alias("before"))
+    lines = streamed(rows.join(months, ["ticker", "month"]), ["ticker", "month"], ["date", "ord"], ["before", "buy", "quantity", "cost"], _Month, "ticker string, month string, a double, b double, held double")
+    return streamed(lines, ["ticker"], ["month"], ["a", "b", "held"], _Months, "ticker string, quantity double, cost double").select("ticker", F.round("quantity", 4).alias("quantity"), F.round("cost", 2).alias("cost"))
 
 
 def fifo_cost(trades: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import streamed
+
 BUCKET = "yyyy-MM"
 
 
@@ -49,39 +52,38 @@ def longest_alias(texts: DataFrame, aliases: DataFrame, text: str, words: int =
     return keyed.join(best, "_id", "left").drop("_id", "_w").withColumn("match", exact)
 
 
-def _greedy_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Scans one group in order; each row takes the first later one of the other sign and another bank that is left. An
-    earlier one can't be left: it would have taken this row itself."""
-    rows = rows.sort_values("seq")
-    waiting: dict[tuple, list[int]] = {}
-    for i, key in reversed(list(enumerate(zip(rows["up"], rows["bank"])))):
-        waiting.setdefault(key, []).append(i)  # the first is at the end
-    seq, taken, out = rows["seq"].tolist(), set(), []
-    for i, (up, bank) in enumerate(zip(rows["up"], rows["bank"])):
-        if i in taken:
-            continue
-        best = None
-        for (other, b), left in waiting.items():
-            if other != up and b != bank:
-                while left and (left[-1] <= i or left[-1] in taken):
-                    left.pop()
-                if left and (best is None or left[-1] < best):
-                    best = left[-1]
-        if best is not None:
-            taken |= {i, best}
-            out.append((seq[i], seq[best]) if up else (seq[best], seq[i]))
-    first = rows.iloc[0]
-    return pd.DataFrame({"date": first["date"], "currency": first["currency"], "size": first["size"], "in_seq": [a for a, _ in out], "out_seq": [b for _, b in out]}, columns=["date", "currency", "size", "in_seq", "out_seq"])
+class _Pairs:
+    """Rows of one day, currency and size as they come: each is taken by the first row that waits for one of the other sign and
+    another bank, or waits itself. That is what a scan does in which each row takes the first later one that is left: of all
+    that wait for a row, the first one's turn comes first. A missing bank is a bank of its own."""
+
+    def __init__(self, *key) -> None:
+        self.key, self.waiting = key, {}
+
+    def add(self, seq: int, bank: str | None, up: bool) -> list[tuple]:
+        able = [q for (other, b), q in self.waiting.items() if other != up and b != bank and q]
+        if not able:
+            self.waiting.setdefault((up, bank), deque()).append(seq)
+            return []
+        first = min(able, key=lambda q: q[0]).popleft()
+        return [(*self.key, seq, first) if up else (*self.key, first, seq)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def offsetting_pairs(tx: DataFrame) -> DataFrame:
-    """Rows of one day and currency that cancel between two banks: in order of seq each row takes the first one left of
-    the opposite amount and another bank, so a row is used once. Only groups (date, currency, size) with both signs and
-    two banks are folded; a fold is serial, as each pair depends on those before it."""
+    """Rows of one day and currency that cancel between two banks: in order of seq (no two rows share one) each row takes the
+    first one left of the opposite amount and another bank, so a row is used once; a missing bank is a bank of its own. Groups
+    (date, currency, size) of two rows, which most are, need an aggregate only; larger ones with both signs and two banks
+    stream through a fold, as each pair depends on those before it."""
     keys = ["date", "currency", "size"]
     sized = tx.where("amount <> 0").select(F.col("date").cast("string").alias("date"), "currency", F.abs("amount").cast("double").alias("size"), "seq", "bank", (F.col("amount") > 0).alias("up"))
-    able = sized.groupBy(*keys).agg(F.bool_or("up").alias("a"), F.bool_or(~F.col("up")).alias("b"), F.min("bank").alias("c"), F.max("bank").alias("d")).where("a and b and c <> d").select(*keys)
-    return sized.join(able, keys, "left_semi").groupBy(*keys).applyInPandas(_greedy_pairs, "date string, currency string, size double, in_seq long, out_seq long")
+    row, known = F.struct("seq", "bank", "up"), F.count("bank")
+    groups = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("a"), F.max(row).alias("b"), ((F.min("bank") != F.max("bank")) | ((known > 0) & (known < F.count(F.lit(1))))).alias("banks"), (F.bool_or("up") & F.bool_or(~F.col("up"))).alias("signs")).where("banks and signs")
+    two = groups.where("n = 2").select(*keys, F.when(F.col("a.up"), F.col("a.seq")).otherwise(F.col("b.seq")).alias("in_seq"), F.when(F.col("a.up"), F.col("b.seq")).otherwise(F.col("a.seq")).alias("out_seq"))
+    more = sized.join(groups.where("n > 2").select(*keys), keys, "left_semi")
+    return two.unionByName(streamed(more, keys, ["seq"], ["seq", "bank", "up"], _Pairs, "date string, currency string, size double, in_seq long, out_seq long"))
 
 
 def cross_source_dedup(rows: DataFrame, preferred: str = "broker", dropped: tuple[str, ...] = ("b3",)) -> DataFrame:

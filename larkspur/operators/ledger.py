@@ -9,47 +9,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import streamed
 from .graph import connected
 
 
-def _fold_positions(events: pd.DataFrame) -> pd.DataFrame:
-    q: dict[str, float] = {}
-    c: dict[str, float] = {}
-    for t, kind, n, total, ratio, target in events.sort_values("seq")[["ticker", "kind", "quantity", "total", "ratio", "target"]].itertuples(index=False):
-        held, cost = q.get(t, 0.0), c.get(t, 0.0)
-        if kind == "C":
-            held, cost = held + n, cost + abs(total)
-        elif kind == "V":
-            cost = cost * (1 - min(n / held, 1.0)) if held > 0 else cost
-            held -= n
-        elif kind in ("expiracao", "ajuste"):
-            held = cost = 0.0
-        elif pd.isna(ratio):
+#: Kinds of assets that are held in whole units.
+WHOLE = ("acao", "opcao", "direito_subscricao", "bdr", "fii")
+
+
+class _Positions:
+    """The tickers of one group: quantity and cost of each, known from its first trade or from what an action gave it."""
+
+    def __init__(self, group: str) -> None:
+        self.held: dict[str, list[float]] = {}
+
+    def add(self, ticker: str, kind: str, n: float, total: float, ratio: float | None, target: str | None, whole: bool, target_whole: bool) -> tuple:
+        if kind in ("C", "V"):
+            p = self.held.setdefault(ticker, [0.0, 0.0])
+            if kind == "C":
+                p[0], p[1] = p[0] + n, p[1] + abs(total)
+            else:
+                p[1] = p[1] * (1 - min(n / p[0], 1.0)) if p[0] > 0 else p[1]
+                p[0] -= n
+            return ()
+        p = self.held.get(ticker)
+        if p is None:
+            return ()
+        if kind == "expiracao":
+            p[0] = 0.0
+        elif kind == "ajuste":
+            p[0] = p[1] = 0.0
+        elif ratio is None or ratio != ratio or ratio == 0:
             pass  # an action whose ratio is not filled in yet
-        elif kind in ("grupamento", "desdobramento"):
-            held *= ratio
-        elif kind == "bonificacao":
-            held *= 1 + ratio
-        elif kind in ("conversao", "incorporacao", "fusao"):
-            q[target], c[target] = q.get(target, 0.0) + held * ratio, c.get(target, 0.0) + cost
-            held = cost = 0.0
-        elif kind == "cisao":
-            part = cost * ratio / (1 + ratio)
-            q[target], c[target] = held * ratio, part
-            cost -= part
-        q[t], c[t] = held, cost
-    return pd.DataFrame({"ticker": list(q), "quantity": list(q.values()), "cost": list(c.values())})
-
-
-def positions(events: DataFrame) -> DataFrame:
+        elif kind in ("grupamento", "desdobramento", "bonificacao"):
+            p[0] *= ratio + (kind == "bonificacao")
+            p[0] = float(int(p[0])) if whole else p[0]
+        elif target is not None and kind in ("conversao", "incorporacao", "fusao", "cisao"):
+            q = self.held.setdefault(target, [0.0, 0.0])
+            if kind == "cisao":
+                part = p[1] * ratio / (1 + ratio)
+                q[0], q[1] = p[0] * ratio, part
+                p[1] -= part
+            else:
+                q[0], q[1] = q[0] + p[0] * ratio, q[1] + p[1]
+                p[0] = p[1] = 0.0
+            q[0] = float(int(q[0])) if target_whole else q[0]
+        return ()
+
+    def end(self) -> list[tuple]:
+        return [(t, q, c) for t, (q, c) in self.held.items()]
+
+
+def positions(events: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """Quantity and average cost per ticker after trades (C, V) and corporate actions, in order of seq. Tickers that an action
-    connects are folded together. ratio: new per old; an action whose ratio is not filled in yet does nothing, but an
-    expiry or an adjustment clears quantity and cost. A demerger sets the new ticker's quantity and
-    gives it ratio / (1 + ratio) of the cost."""
+    connects are folded together, as one stream. ratio: new per old; an action whose ratio is not filled in yet, or whose ticker
+    is not known yet, does nothing. An expiry clears the quantity and keeps the cost, an adjustment clears both. A demerger sets
+    the new ticker's quantity and gives it ratio / (1 + ratio) of the cost. types (ticker, type): what actions leave of kinds
+    that come in whole units is cut to whole units."""
     moves = events.where("target is not null").select(F.col("ticker").alias("u"), F.col("target").alias("v")).distinct()
     group = connected(moves)
     keyed = events.join(group, events["ticker"] == group["node"], "left").withColumn("g", F.coalesce("component", "ticker")).select(*events.columns, "g")
-    return keyed.groupBy("g").applyInPandas(_fold_positions, "ticker string, quantity double, cost double")
+    for column, name in (("ticker", "whole"), ("target", "target_whole")):
+        if types is None:
+            keyed = keyed.withColumn(name, F.lit(False))
+        else:
+            kinds = types.groupBy("ticker").agg(F.max(F.lower(F.trim("type")).isin(*WHOLE)).alias(name)).withColumnRenamed("ticker", "_t")
+            keyed = keyed.join(kinds, F.col(column) == F.col("_t"), "left").drop("_t").withColumn(name, F.coalesce(name, F.lit(False)))
+    return streamed(keyed, ["g"], ["seq"], ["ticker", "kind", "quantity", "total", "ratio", "target", "whole", "target_whole"], _Positions, "ticker string, quantity double, cost double")
 
 
 #: The order of events within a day.
@@ -57,7 +83,7 @@ TIERS = ("in", "income", "sell", "buy", "out")
 
 
 def _consume(lots: deque, amount: float) -> None:
-    """Takes amount from the oldest lots [quantity, rate]; what they lack is lost."""
+    """Takes amount from the oldest lots [quantity, rate, ...]; what they lack is lost."""
     while lots and amount > 0:
         if lots[0][0] <= amount:
             amount -= lots.popleft()[0]
@@ -67,73 +93,74 @@ def _consume(lots: deque, amount: float) -> None:
 
 
 def _mean_rate(lots: deque) -> tuple[float, float]:
-    held = sum(n for n, _ in lots)
-    return held, sum(n * r for n, r in lots) / held if held > 0 else 0.0
+    held = sum(x[0] for x in lots)
+    return held, sum(x[0] * x[1] for x in lots) / held if held > 0 else 0.0
+
 
+class _Account:
+    """One foreign-currency account: its balance and average, tranches [amount, rate] and lots [quantity, rate, price]."""
 
-def _fold_account(key: tuple, events: pd.DataFrame) -> pd.DataFrame:
-    balance = average = last = 0.0
-    tranches: deque = deque()
-    tickers: dict[str, deque] = {}
-    costs: dict[str, float] = {}
-    income: list[tuple] = []
-    tier = {k: i for i, k in enumerate(TIERS)}
-    rows = events.assign(tier=events["kind"].map(tier)).sort_values(["date", "tier", "seq"])
+    def __init__(self, account: str) -> None:
+        self.account, self.balance, self.average, self.last = account, 0.0, 0.0, 0.0
+        self.tranches: deque = deque()
+        self.tickers: dict[str, deque] = {}
 
-    def joined(amount: float, rate: float) -> float:
+    def joined(self, amount: float, rate: float) -> float:
         """The average once amount has come in at a rate."""
-        new = balance + amount
-        return average if new <= 0 else rate if balance <= 0 else (balance * average + amount * rate) / new
+        new = self.balance + amount
+        return self.average if new <= 0 else rate if self.balance <= 0 else (self.balance * self.average + amount * rate) / new
+
+    def rate(self, ticker: str) -> float:
+        held, mean = _mean_rate(self.tickers.get(ticker, ()))
+        return mean if held > 0 else self.average or self.last
 
-    for seq, kind, ticker, amount, rate, quantity in rows[["seq", "kind", "ticker", "amount", "rate", "quantity"]].itertuples(index=False):
+    def add(self, seq: int, kind: str, ticker: str, amount: float, rate: float, quantity: float) -> list[tuple]:
         if kind == "in":
-            if balance <= 0 and balance + amount > 0:
-                tranches.clear()
-            average, balance = joined(amount, rate), balance + amount
+            if self.balance <= 0 and self.balance + amount > 0:
+                self.tranches.clear()
+            self.average, self.balance = self.joined(amount, rate), self.balance + amount
             if amount > 0:
-                tranches.append([amount, rate])
+                self.tranches.append([amount, rate])
         elif kind == "out":
-            balance -= amount
-            _consume(tranches, amount)
-            held, mean = _mean_rate(tranches)
+            self.balance -= amount
+            _consume(self.tranches, amount)
+            held, mean = _mean_rate(self.tranches)
             if held > 0:
-                average = mean
-            elif balance <= 0:
-                last, average = (average if average > 0 else last), 0.0
+                self.average = mean
+            elif self.balance <= 0:
+                self.last, self.average = self.average if self.average > 0 else self.last, 0.0
         elif kind == "income":
-            used = _mean_rate(tickers.get(ticker, deque()))[1] or average or last
-            income.append((ticker, seq, amount, used))
-            average, balance = joined(amount, used), balance + amount
+            used = self.rate(ticker)
+            self.average, self.balance = self.joined(amount, used), self.balance + amount
+            return [(self.account, "income", ticker, seq, amount, used, None, amount * used)]
         elif kind == "buy":
-            tickers.setdefault(ticker, deque()).append([quantity, average or last])
-            costs[ticker] = costs.get(ticker, 0.0) + amount * (average or last)
-            balance -= amount
+            self.tickers.setdefault(ticker, deque()).append([quantity, self.average, amount / quantity if quantity else 0.0])
+            self.balance -= amount
         elif kind == "sell":
-            lots = tickers.get(ticker, deque())
-            held = sum(n for n, _ in lots)
-            if held > 0:
-                costs[ticker] *= max(0.0, 1 - quantity / held)
-            _consume(lots, quantity)
-            balance += amount
-    out = [("account", None, None, balance, average, last, None)]
-    for t in sorted(tickers):
-        held, mean = _mean_rate(tickers[t])
-        out.append(("ticker", t, None, held, mean or average or last, None, costs[t]))
-    out += [("income", t, seq, amount, used, None, amount * used) for t, seq, amount, used in income]
-    return pd.DataFrame(out, columns=["what", "ticker", "seq", "amount", "rate", "last", "brl"]).astype({"seq": "Int64"}).assign(account=key[0])
+            _consume(self.tickers.get(ticker, deque()), quantity)
+            self.balance += amount
+        return []
+
+    def end(self) -> list[tuple]:
+        out = [(self.account, "account", None, None, self.balance, self.average, self.last, None)]
+        for t in sorted(self.tickers, key=lambda t: (t is not None, t)):
+            lots = self.tickers[t]
+            out.append((self.account, "ticker", t, None, _mean_rate(lots)[0], self.rate(t), None, sum(n * rate * price for n, rate, price in lots)))
+        return out
 
 
 def fx_engine(events: DataFrame) -> DataFrame:
     """Foreign-currency accounts from events (account, date, seq, kind, ticker, amount, rate, quantity), folded by day, then in,
-    income, sell, buy, out, then seq. One account is one ordered fold; its tranches and lots are taken oldest first.
+    income, sell, buy, out, then seq. One account is one ordered stream; its tranches and lots are taken oldest first.
 
     Rows by what: account (amount: the balance; rate: its average, 0 once all has gone home; last: the average before that),
-    ticker (quantity held, mean rate of its lots or else the account's, cost in home currency), income (seq, amount, rate used,
-    value in home currency). A transfer into an account that is not above zero replaces the average and its tranches; one out
-    leaves the average of the tranches that remain; income counts at its ticker's rate, else the account's, else the last."""
+    ticker (quantity held, mean rate of its lots or else the account's, cost in home currency of the lots that are open, each at
+    its own price and rate), income (seq, amount, rate used, value in home currency). A transfer into an account that is not
+    above zero replaces the average and its tranches; one out leaves the average of the tranches that remain; income counts at
+    its ticker's rate, else the account's, else the last. A lot bought while the average is 0 has the rate 0."""
     kind = "account string, what string, ticker string, seq long, amount double, rate double, last double, brl double"
-    fold = lambda key, rows: _fold_account(key, rows)[["account", "what", "ticker", "seq", "amount", "rate", "last", "brl"]]
-    return events.groupBy("account").applyInPandas(fold, kind)
+    tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("kind"))
+    return streamed(events.withColumn("_tier", tier), ["account"], ["date", "_tier", "seq"], ["seq", "kind", "ticker", "amount", "rate", "quantity"], _Account, kind)
 
 
 def fx_accounts(events: DataFrame) -> DataFrame:

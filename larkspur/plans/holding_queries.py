@@ -13,37 +13,37 @@ KINDS = ["in", "in", "out", "income", "buy", "sell"]
 
 
 def fx_events(s, d):
-    """An account per user: transfers, income and trades of three tickers, at a price of 10."""
+    """An account per user: transfers, income and trades of three tickers, at prices of 5 to 11."""
     k = F.col("event_id")
     return table(s, d, "events").select(
         F.col("user_id").cast("string").alias("account"), F.to_date("ts").alias("date"), k.alias("seq"), F.element_at(F.array(*map(F.lit, KINDS)), (k % 6 + 1).cast("int")).alias("kind"),
-        F.concat(F.lit("K"), (F.floor(k / 6) % 3).cast("string")).alias("ticker"), F.col("value").alias("amount"), (5 + k % 10 / 10).alias("rate"), (F.col("value") / 10).alias("quantity"))
+        F.concat(F.lit("K"), (F.floor(k / 6) % 3).cast("string")).alias("ticker"), F.col("value").alias("amount"), (5 + k % 10 / 10).alias("rate"), (F.col("value") / (5 + k % 7)).alias("quantity"))
 
 
 #: The fold as a recursion over an account's events: tranches and lots are lists; what is taken from the oldest is what a
 #: running total of them covers.
-FX_FOLD = """ev as (select cast(user_id as varchar) as account, event_id as seq, ['in', 'in', 'out', 'income', 'buy', 'sell'][cast(event_id % 6 as int) + 1] as kind, 'K' || (event_id // 6 % 3) as ticker, value as amount, 5 + event_id % 10 / 10.0::double as rate, value / 10 as qty,
+FX_FOLD = """ev as (select cast(user_id as varchar) as account, event_id as seq, ['in', 'in', 'out', 'income', 'buy', 'sell'][cast(event_id % 6 as int) + 1] as kind, 'K' || (event_id // 6 % 3) as ticker, value as amount, 5 + event_id % 10 / 10.0::double as rate, value / (5 + event_id % 7) as qty,
 row_number() over (partition by user_id order by cast(ts as date), [1, 1, 5, 2, 4, 3][cast(event_id % 6 as int) + 1], event_id) as k from events),
 fold(account, k, bal, avg, last, tr, lots, inc) as (
-select distinct account, cast(0 as bigint), 0.0::double, 0.0::double, 0.0::double, cast([] as struct(q double, r double)[]), cast([] as struct(t varchar, q double, r double)[]), cast([] as struct(t varchar, seq bigint, a double, r double)[]) from ev union all
+select distinct account, cast(0 as bigint), 0.0::double, 0.0::double, 0.0::double, cast([] as struct(q double, r double)[]), cast([] as struct(t varchar, q double, r double, p double)[]), cast([] as struct(t varchar, seq bigint, a double, r double)[]) from ev union all
 select account, k, case kind when 'in' then bal + amount when 'income' then bal + amount when 'sell' then bal + amount else bal - amount end,
 case kind when 'in' then case when bal + amount <= 0 then avg when bal <= 0 then rate else (bal * avg + amount * rate) / (bal + amount) end
   when 'income' then case when bal + amount <= 0 then avg when bal <= 0 then used else (bal * avg + amount * used) / (bal + amount) end
   when 'out' then case when len(tr2) > 0 then list_sum(list_transform(tr2, lambda x: x.q * x.r)) / list_sum(list_transform(tr2, lambda x: x.q)) when bal - amount <= 0 then 0 else avg end else avg end,
 case when kind = 'out' and len(tr2) = 0 and bal - amount <= 0 and avg > 0 then avg else last end,
 case kind when 'in' then list_append(case when bal <= 0 and bal + amount > 0 then [] else tr end, {'q': amount, 'r': rate}) when 'out' then tr2 else tr end,
-case kind when 'buy' then list_append(lots, {'t': ticker, 'q': qty, 'r': case when avg <> 0 then avg else last end}) when 'sell' then
-  list_filter(list_transform(range(1, len(lots) + 1), lambda i: case when lots[i].t <> ticker then lots[i] else {'t': ticker, 'q': greatest(0, least(lots[i].q, list_sum(list_transform(list_filter(lots[1:i], lambda y: y.t = ticker), lambda y: y.q)) - qty)), 'r': lots[i].r} end), lambda y: y.q > 1e-12) else lots end,
+case kind when 'buy' then list_append(lots, {'t': ticker, 'q': qty, 'r': avg, 'p': amount / qty}) when 'sell' then
+  list_filter(list_transform(range(1, len(lots) + 1), lambda i: case when lots[i].t <> ticker then lots[i] else {'t': ticker, 'q': greatest(0, least(lots[i].q, list_sum(list_transform(list_filter(lots[1:i], lambda y: y.t = ticker), lambda y: y.q)) - qty)), 'r': lots[i].r, 'p': lots[i].p} end), lambda y: y.q > 1e-12) else lots end,
 case kind when 'income' then list_append(inc, {'t': ticker, 'seq': seq, 'a': amount, 'r': used}) else inc end
 from (select f.account, ev.k, bal, avg, last, tr, lots, inc, ev.kind, ev.amount, ev.rate, ev.qty, ev.ticker, ev.seq,
   list_filter(list_transform(range(1, len(tr) + 1), lambda i: {'q': greatest(0, least(tr[i].q, list_sum(list_transform(tr[1:i], lambda y: y.q)) - ev.amount)), 'r': tr[i].r}), lambda y: y.q > 1e-12) as tr2,
-  coalesce(nullif(list_sum(list_transform(list_filter(lots, lambda y: y.t = ev.ticker), lambda y: y.q * y.r)) / list_sum(list_transform(list_filter(lots, lambda y: y.t = ev.ticker), lambda y: y.q)), 0), case when avg <> 0 then avg else last end) as used
+  coalesce(list_sum(list_transform(list_filter(lots, lambda y: y.t = ev.ticker), lambda y: y.q * y.r)) / list_sum(list_transform(list_filter(lots, lambda y: y.t = ev.ticker), lambda y: y.q)), case when avg <> 0 then avg else last end) as used
   from fold f join ev on ev.account = f.account and ev.k = f.k + 1)),
 final as (select * from (select *, row_number() over (partition by account order by k desc) as r from fold) where r = 1)"""
 query("fx_accounts", "select account, round(bal, 4) as balance, round(avg, 6) as average, round(last, 6) as last from final", FX_FOLD)(
     lambda s, d: ledger.fx_accounts(fx_events(s, d)).select("account", F.round("balance", 4).alias("balance"), F.round("average", 6).alias("average"), F.round("last", 6).alias("last")))
-query("fx_ticker_rates", """select account, l.t as ticker, round(sum(l.q), 4) as quantity, round(coalesce(nullif(sum(l.q * l.r) / sum(l.q), 0), nullif(any_value(avg), 0), any_value(last)), 6) as rate from (select account, avg, last, unnest(lots) as l from final) group by account, l.t""", FX_FOLD)(
-    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'ticker' and amount > 1e-9").select("account", "ticker", F.round("amount", 4).alias("quantity"), F.round("rate", 6).alias("rate")))
+query("fx_ticker_rates", """select account, l.t as ticker, round(sum(l.q), 6) as quantity, round(sum(l.q * l.r) / sum(l.q), 6) as rate, round(sum(l.q * l.r * l.p), 4) as cost from (select account, avg, last, unnest(lots) as l from final) group by account, l.t""", FX_FOLD)(
+    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'ticker' and amount > 1e-9").select("account", "ticker", F.round("amount", 6).alias("quantity"), F.round("rate", 6).alias("rate"), F.round("brl", 4).alias("cost")))
 query("fx_income_home", "select account, i.t as ticker, count(*) as n, round(sum(i.a * i.r), 4) as brl from (select account, unnest(inc) as i from final) group by account, i.t", FX_FOLD)(
     lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'income'").groupBy("account", "ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("brl"), 4).alias("brl")))
 query("fx_spot_rates", "select account, round(case when avg <> 0 then avg when last <> 0 then last else 5.0 end, 6) as rate from final", FX_FOLD)(

@@ -124,16 +124,27 @@ def actions(s, d):
     names = t.select("ticker").distinct()
     k = F.substring("ticker", 2, 9).cast("int")
     act = lambda where, kind, ratio, target: names.where(where).select("ticker", F.lit(1000000).cast("int").alias("seq"), F.lit(kind).alias("kind"), F.lit(None).cast("double").alias("quantity"), F.lit(None).cast("double").alias("total"), F.lit(ratio).alias("ratio"), target.cast("string").alias("target"))
-    return t.unionByName(act(k % 10 == 1, "desdobramento", 2.0, F.lit(None))).unionByName(act(k % 10 == 2, "bonificacao", 0.1, F.lit(None))).unionByName(act(k % 10 == 3, "conversao", 0.5, F.concat(F.lit("N"), k.cast("string"))))
+    none, unknown = F.lit(None), s.createDataFrame([("ZZ", 1, "bonificacao", None, None, 1.0, None)], t.schema)
+    done = [act(k % 10 == 1, "desdobramento", 2.0, none), act(k % 10 == 2, "bonificacao", 0.1, none), act(k % 10 == 3, "conversao", 0.3, F.concat(F.lit("N"), k.cast("string"))), act(k % 10 == 4, "expiracao", None, none),
+            act(k % 10 == 5, "ajuste", None, none), act(k % 10 == 6, "cisao", 0.25, F.concat(F.lit("D"), k.cast("string"))), act(k % 10 == 7, "grupamento", None, none), unknown]
+    for more in done:
+        t = t.unionByName(more.withColumn("ratio", F.col("ratio").cast("double")))
+    return t
+
+
+def listed(s, d):
+    """Tickers with a bonus are shares, what tickers are converted into are funds: whole units."""
+    k = F.substring("ticker", 2, 9).cast("int")
+    return trades(s, d).select("ticker").distinct().select(F.when(k % 10 == 3, F.concat(F.lit("N"), k.cast("string"))).otherwise(F.col("ticker")).alias("ticker"), F.when(k % 10 == 2, "Acao ").when(k % 10 == 3, "fii").otherwise("etf").alias("type"))
 
 
 query("corporate_action_positions", """select ticker, round(quantity, 3) as quantity, round(cost, 2) as cost from (
-select case when k % 10 = 3 then 'N' || k else ticker end as ticker, case k % 10 when 1 then q * 2 when 2 then q * 1.1::double when 3 then q * 0.5::double else q end as quantity, c as cost from z
-union all select ticker, 0.0::double, 0.0::double from z where k % 10 = 3)""", TRADES, """
+select case when k % 10 = 3 then 'N' || k else ticker end as ticker, case k % 10 when 1 then q * 2 when 2 then trunc(q * 1.1::double) when 3 then trunc(q * 0.3::double) when 4 then 0 when 5 then 0 else q end as quantity, case k % 10 when 5 then 0 when 6 then c - c * 0.25::double / 1.25::double else c end as cost from z
+union all select ticker, 0.0::double, 0.0::double from z where k % 10 = 3 union all select 'D' || k, q * 0.25::double, c * 0.25::double / 1.25::double from z where k % 10 = 6)""", TRADES, """
 f as (select ticker, cast(0 as bigint) as seq, cast(0 as double) as q, cast(0 as double) as c from (select distinct ticker from trades) union all
 select f.ticker, t.seq, case when t.side = 'C' then f.q + t.quantity else f.q - t.quantity end,
 case when t.side = 'C' then f.c + abs(cast(t.total as double)) when f.q > 0 then f.c * (1.0::double - least(t.quantity / f.q, 1.0::double)) else f.c end from f join trades t on t.ticker = f.ticker and t.seq = f.seq + 1),
 z as (select *, cast(ticker[2:] as int) as k from (select *, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1)""")(
-    lambda s, d: ledger.positions(actions(s, d)).select("ticker", F.round("quantity", 3).alias("quantity"), F.round("cost", 2).alias("cost")))
+    lambda s, d: ledger.positions(actions(s, d), listed(s, d)).select("ticker", F.round("quantity", 3).alias("quantity"), F.round("cost", 2).alias("cost")))
 
 query("dependency_cycles", "select doc_id as id from documents where doc_id % 500 >= 498")(lambda s, d: graph.cycles(dependencies(s, d)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar
-from larkspur.operators import categorise, corpus, graph, invest, joins, ledger, reports, spend, upserts
+from larkspur.operators import categorise, corpus, folds, graph, invest, joins, ledger, reports, spend, upserts
 from larkspur.sources import tables
 
 
@@ -179,7 +179,7 @@ def test_xirr(spark):
 def test_corporate_actions(spark):
     rows = [("A", 1, "C", 10.0, 100.0, None, None), ("A", 2, "desdobramento", None, None, 2.0, None), ("A", 3, "V", 5.0, 60.0, None, None), ("A", 4, "conversao", None, None, 0.5, "B"), ("B", 5, "C", 1.0, 10.0, None, None), ("B", 6, "bonificacao", None, None, 0.1, None), ("C", 7, "C", 4.0, 40.0, None, None), ("C", 8, "expiracao", None, None, None, None)]
     got = {r["ticker"]: (r["quantity"], r["cost"]) for r in ledger.positions(spark.createDataFrame(rows, "ticker string, seq long, kind string, quantity double, total double, ratio double, target string")).collect()}
-    assert got == {"A": (0.0, 0.0), "B": (pytest.approx(9.35), pytest.approx(85.0)), "C": (0.0, 0.0)}
+    assert got == {"A": (0.0, 0.0), "B": (pytest.approx(9.35), pytest.approx(85.0)), "C": (0.0, 40.0)}
 
 
 @pytest.mark.parametrize("events,balance,average", [
@@ -302,3 +302,66 @@ def spend_tx(spark, sf):
     from larkspur.sources.adapters import transactions
 
     return transactions(spark, sf)
+
+
+ACTION = "ticker string, seq long, kind string, quantity double, total double, ratio double, target string"
+
+
+def test_actions_on_whole_units_and_on_unknown_tickers(spark):
+    rows = [("A", 1, "C", 1727.0, 100.0, None, None), ("A", 2, "grupamento", None, None, 0.02, None), ("Z", 1, "conversao", None, None, 1.0, "Y"), ("B", 1, "C", 7.0, 70.0, None, None), ("B", 2, "conversao", None, None, 0.5, "F"),
+            ("E", 1, "C", 1727.0, 100.0, None, None), ("E", 2, "grupamento", None, None, 0.02, None), ("X", 1, "C", 3.0, 9.0, None, None), ("X", 2, "expiracao", None, None, 0.0, None), ("W", 1, "C", 3.0, 9.0, None, None), ("W", 2, "fusao", None, None, 1.0, None)]
+    types = spark.createDataFrame([("A", " Acao"), ("F", "fii"), ("E", "etf")], "ticker string, type string")
+    got = {r["ticker"]: (r["quantity"], r["cost"]) for r in ledger.positions(spark.createDataFrame(rows, ACTION), types).collect()}
+    assert got == {"A": (34.0, 100.0), "B": (0.0, 0.0), "F": (3.0, 70.0), "E": (pytest.approx(34.54), 100.0), "X": (0.0, 9.0), "W": (3.0, 9.0)}
+
+
+def test_cost_left_is_that_of_the_lots_left(spark):
+    """The oldest lots go with their own cost; a lot bought while the average is 0 has the rate 0."""
+    rows = [("a", "d1", 1, "in", None, 1000.0, 5.0, None), ("a", "d2", 2, "buy", "X", 100.0, None, 10.0), ("a", "d3", 3, "buy", "X", 300.0, None, 10.0), ("a", "d4", 4, "sell", "X", 50.0, None, 10.0), ("b", "d1", 5, "buy", "X", 100.0, None, 10.0), ("b", "d2", 6, "income", "X", 7.0, None, None)]
+    got = {(r["account"], r["what"]): r for r in ledger.fx_engine(spark.createDataFrame(rows, FX_KIND)).where("what = 'ticker'").collect()}
+    assert (got["a", "ticker"]["amount"], got["a", "ticker"]["brl"], got["a", "ticker"]["rate"]) == (10.0, 1500.0, 5.0)
+    assert (got["b", "ticker"]["rate"], got["b", "ticker"]["brl"]) == (0.0, 0.0)
+
+
+def test_pairs_with_missing_banks(spark):
+    kind = "seq long, date string, currency string, bank string, amount double"
+    rows = [(1, "d", "USD", None, 10.0), (2, "d", "USD", "A", -10.0), (3, "e", "USD", None, 10.0), (4, "e", "USD", None, -10.0), (5, "f", "USD", None, 5.0), (6, "f", "USD", None, -5.0), (7, "f", "USD", "B", -5.0)]
+    assert sorted((r["in_seq"], r["out_seq"]) for r in joins.offsetting_pairs(spark.createDataFrame(rows, kind)).collect()) == [(1, 2), (5, 7)]
+
+
+def test_streamed_average_cost_is_the_fold(spark):
+    """Months that are lines give what a fold over all trades gives, short positions and sells of more than all included."""
+    r = random.Random(9)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=r.randrange(900)), r.choice("TU"), r.choice("CCV"), float(r.randint(1, 40)), r.uniform(1, 900), 0.0, "B", k) for k in range(3000)]
+    want = {}
+    for day, t, side, n, total, *_ in sorted(rows, key=lambda x: (x[0], x[7])):
+        q, c = want.get(t, (0.0, 0.0))
+        want[t] = (q + n, c + total) if side == "C" else (q - n, c * (1 - min(n / q, 1)) if q > 0 else c)
+    got = invest.average_cost(spark.createDataFrame(rows, "date date, ticker string, side string, quantity double, total double, tax double, broker string, ord int").repartition(3)).collect()
+    assert {x["ticker"]: (x["quantity"], x["cost"]) for x in got} == {t: (pytest.approx(q), pytest.approx(c, abs=0.02)) for t, (q, c) in want.items()}
+
+
+def test_streamed_folds_cross_batches(spark):
+    """States live over the ends of Arrow batches; rows come in order whatever the input's order; null keys are keys."""
+
+    class Sum:
+        def __init__(self, k):
+            self.k, self.seen, self.sum = k, -1, 0
+
+        def add(self, v):
+            assert v > self.seen
+            self.seen, self.sum = v, self.sum + v
+            return [(self.k, "half", self.sum)] if v == 500 else ()
+
+        def end(self):
+            return [(self.k, "all", self.sum)]
+
+    rows = [(k, v) for k in ("a", "b", None) for v in range(1001)]
+    random.Random(3).shuffle(rows)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = folds.streamed(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"], ["v"], Sum, "k string, what string, s long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(map(tuple, got), key=str) == sorted([(k, w, s) for k in ("a", "b", None) for w, s in (("half", 125250), ("all", 500500))], key=str)
