@@ -48,14 +48,15 @@ def unique_within(requests: DataFrame, tx: DataFrame, cents: float = 0.5) -> Dat
     return hit.select("rid", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several rows for "), F.col("rid").cast("string")))).otherwise(F.col("seq")).alias("seq"))
 
 
-def recurrences(tx: DataFrame, vendors: DataFrame, defaults: dict[str, str], fallback: str = "one_off", words: int = 3) -> DataFrame:
+def recurrences(tx: DataFrame, vendors: DataFrame, defaults: dict[str, str], fallback: str = "one_off") -> DataFrame:
     """seq, recurrence: none for transfers; else the longest vendor override (vendor, recurrence) that the description
-    holds; installments; the category's default."""
-    from .joins import longest_alias
+    contains, any case, of equally long ones the first by ``rank`` where vendors has one (a vendor that stands twice has the
+    first recurrence by name); installments; the category's default."""
+    from .containment import longest_alias
     from .rules import recurrence
 
-    named = longest_alias(tx.select("seq", "description", "category", "n", "m"), vendors.select(F.col("vendor").alias("alias"), F.lit(0).alias("rank")), "description", words)
-    both = named.join(vendors.select(F.col("vendor").alias("alias"), F.col("recurrence").alias("own")), "alias", "left")
+    named = longest_alias(tx.select("seq", "description", "category", "n", "m"), vendors.select(F.col("vendor").alias("alias"), F.col("rank") if "rank" in vendors.columns else F.lit(0).alias("rank")).distinct(), "description")
+    both = named.join(vendors.groupBy(F.col("vendor").alias("alias")).agg(F.min("recurrence").alias("own")), "alias", "left")
     base = recurrence(F.col("n"), F.col("m"), F.col("category"), defaults, fallback)
     return both.select("seq", F.when(F.col("category") == "intercontas", F.lit(None)).otherwise(F.coalesce("own", base)).alias("recurrence"))
 

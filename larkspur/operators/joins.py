@@ -1,4 +1,4 @@
-"""Join patterns that Spark has no operator for: as-of, longest alias, tolerance, offsetting pairs, bag difference,
+"""Join patterns that Spark has no operator for: as-of, tolerance, offsetting pairs, bag difference,
 snapshot comparison. All are equi-joins, windows and aggregates; nothing is paired with everything."""
 
 from __future__ import annotations
@@ -37,21 +37,6 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, on: str, value: str,
     return seen.join(carried, [key, "_m"]).withColumn(value, F.coalesce("_seen", "_carry", *fallback)).select(*left.columns, value)
 
 
-def longest_alias(texts: DataFrame, aliases: DataFrame, text: str, words: int = 3) -> DataFrame:
-    """texts with ``alias`` and ``match`` ('exact' or 'partial'): the longest alias (then the first by ``rank``) of up to
-    ``words`` words that the text holds, any case. Aliases meet the text's own runs of words in an equi-join."""
-    w = F.split(F.lower(text), r"[^\p{L}\p{N}#-]+")
-    keyed = texts.withColumn("_id", F.col(text)).withColumn("_w", w)
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " ")))))
-    best = (
-        keyed.select("_id", "_w").distinct().select("_id", F.explode(runs).alias("_a")).join(aliases.select(F.lower("alias").alias("_a"), "alias", "rank"), "_a")
-        .groupBy("_id").agg(F.min_by("alias", F.struct(-F.length("alias"), "rank")).alias("alias"))
-    )
-    exact = F.when(F.lower("alias") == F.lower(F.trim(text)), "exact").when(F.col("alias").isNotNull(), "partial")
-    return keyed.join(best, "_id", "left").drop("_id", "_w").withColumn("match", exact)
-
-
 class _Pairs:
     """Rows of one day, currency and size as they come: each is taken by the first row that waits for one of the other sign and
     another bank, or waits itself. That is what a scan does in which each row takes the first later one that is left: of all

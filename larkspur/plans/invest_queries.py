@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import invest, joins
+from ..operators import containment, invest, joins
 from ..sources.adapters import FX, INCOME, OTC, QUOTES, TRADES, TX, fx_rates, income, otc, quotes, table, trades, transactions
 from .registry import SQL, query
 
@@ -12,10 +12,20 @@ query("fx_asof_join", """select seq, coalesce(cast((select rate from fx r where
 cast((select rate from fx r where r.currency = tx.currency order by r.date limit 1) as double)) as rate from tx where currency <> 'BRL'""", TX, FX)(
     lambda s, d: joins.asof_join(transactions(s, d).where("currency <> 'BRL'").select("seq", "currency", "date"), fx_rates(s, d), "currency", "date", "rate").select("seq", F.col("rate").cast("double").alias("rate")))
 
-ALIASES = [("ring", 1), ("small ring", 2), ("widget", 3), ("red", 4), ("blue bolt", 5), ("bolt", 6), ("hot", 7), ("gear", 8)]
-query("part_longest_alias", f"""select p_partkey, alias, case when lower(alias) = lower(trim(p_name)) then 'exact' when alias is not null then 'partial' end as match from (
-select p_partkey, p_name, (select a from (values {', '.join(f"('{a}', {r})" for a, r in ALIASES)}) v(a, r) where list_contains(string_split(p_name, ' '), a) or p_name = a order by length(a) desc, r limit 1) as alias from part)""")(
-    lambda s, d: joins.longest_alias(table(s, d, "part").select("p_partkey", "p_name"), s.createDataFrame(ALIASES, "alias string, rank int"), "p_name").select("p_partkey", "alias", "match"))
+ALIASES = [("ring", 1), ("small ring", 2), ("widget", 3), ("red", 4), ("blue bolt", 5), ("bolt", 6), ("hot", 7), ("gear", 8), ("idge", 9), ("l", 10), ("old Ge", 11), ("all r", 12), ("hot small ring gear bolt", 13)]
+query("part_longest_alias", f"""select p_partkey, alias, case when upper(alias) = upper(p_name) then 'exact' when alias is not null then 'partial' end as match from (
+select p_partkey, p_name, (select a from (values {', '.join(f"('{a}', {r})" for a, r in ALIASES)}) v(a, r) where contains(upper(p_name), upper(a)) order by length(a) desc, r limit 1) as alias from part)""")(
+    lambda s, d: containment.longest_alias(table(s, d, "part").select("p_partkey", "p_name"), s.createDataFrame(ALIASES, "alias string, rank int"), "p_name").select("p_partkey", "alias", "match"))
+
+# every customer's name in every order's description, patterns as many as customers
+query("names_in_descriptions", "select seq, c_custkey as customer from tx join customer on contains(description, c_name)", TX)(
+    lambda s, d: containment.contained(transactions(s, d).select(F.col("description").alias("text")), table(s, d, "customer").select(F.col("c_name").alias("pattern")))
+    .join(transactions(s, d).select("seq", F.col("description").alias("text")), "text").join(table(s, d, "customer").select("c_custkey", F.col("c_name").alias("pattern")), "pattern").select("seq", F.col("c_custkey").alias("customer")))
+
+REGISTRY = [("colours", "red"), ("colours", "BLUE"), ("rings", "small-ring"), ("rings", "1 urgent"), ("gears", "customer 00000001"), ("refunds", "refund PARC"), ("bolts", "olt"), ("none", "--")]
+query("registry_overlaps", f"""select seq as id, entry from tx, (select distinct entry, ' ' || trim(regexp_replace(lower(signal), '[^a-z0-9]+', ' ', 'g')) || ' ' as p from (values {', '.join(f"('{a}', '{b}')" for a, b in REGISTRY)}) v(entry, signal))
+where trim(p) <> '' and contains(' ' || trim(regexp_replace(lower(concat_ws(' ', description, bank, category)), '[^a-z0-9]+', ' ', 'g')) || ' ', p) group by all""", TX)(
+    lambda s, d: containment.overlapping_entries(transactions(s, d).select(F.col("seq").alias("id"), F.array("description", "bank", "category").alias("terms")), s.createDataFrame(REGISTRY, "entry string, signal string")))
 
 TWINS = """twins as (select seq, date, amount, bank, currency from tx union all
 select seq + 1000000000, date, cast(-amount as decimal(18,2)), 'OTHER', currency from tx where seq % 7 = 0)"""

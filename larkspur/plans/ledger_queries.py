@@ -37,7 +37,7 @@ query("unique_within_half_a_cent", "select a.seq as rid, min(b.seq) as seq from
 
 query("vendor_recurrence", """select recurrence, count(*) as n from (select case when category = 'intercontas' then null when regexp_matches(lower(description), '(^| )refund( |$)') then 'irregular' when regexp_matches(lower(description), '(^| )2-high( |$)') then 'weekly'
 when description like '%PARC %' and (seq % 12 + 1) <= (seq % 5 + 8) then 'installment' when category = 'household' then 'monthly' else 'one_off' end as recurrence from tx) group by 1""", TX)(
-    lambda s, d: categorise.recurrences(with_parts(s, d), s.createDataFrame([("refund", "irregular"), ("2-HIGH", "weekly")], "vendor string, recurrence string"), {"household": "monthly"}).groupBy("recurrence").agg(F.count(F.lit(1)).alias("n")))
+    lambda s, d: categorise.recurrences(with_parts(s, d), s.createDataFrame([("refund", "irregular", 0), ("2-HIGH", "weekly", 1)], "vendor string, recurrence string, rank int"), {"household": "monthly"}).groupBy("recurrence").agg(F.count(F.lit(1)).alias("n")))
 
 
 def invoices(s, d):

@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that go when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 @contextmanager
 def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Session settings for what runs inside; afterwards they are as before."""
@@ -88,13 +96,6 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
     return spark.read.csv(path, schema=schema, header=True, sep=sep, encoding=encoding, mode="PERMISSIVE").withColumn("_source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
-def read_statement(spark: SparkSession, path: str, header: str, schema: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """Statements with a preamble: each file's rows after the line that starts with ``header``, parsed as delimited text."""
-    body = F.element_at(F.split("value", rf"(?m)^{header}[^\n]*\n", 2), -1)
-    lines = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("value")).select(F.explode(F.split(body, r"\r?\n")).alias("line"))
-    return lines.where(F.length(F.trim("line")) > 0).select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
-
-
 def upsert(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """table with rows of the same key replaced and others added; the last of equal keys in rows wins by column order."""
     fresh = rows.groupBy(*key).agg(*(F.max_by(c, F.struct(*rows.columns)).alias(c) for c in rows.columns if c not in key)).select(*rows.columns)

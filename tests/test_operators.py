@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalar
-from larkspur.operators import categorise, corpus, folds, graph, invest, joins, ledger, reports, spend, upserts
-from larkspur.sources import tables
+from larkspur.operators import categorise, containment, corpus, folds, graph, invest, joins, ledger, reports, spend, upserts
+from larkspur.sources import sinks, tables, texts
 
 
 def one(spark, column, value, kind="string"):
@@ -49,7 +49,7 @@ def test_asof(spark):
 def test_longest_alias(spark):
     texts = spark.createDataFrame([(1, "IFD*Pizza Hut store"), (2, "pizza"), (3, "nothing")], "id int, t string")
     aliases = spark.createDataFrame([("pizza", 1), ("pizza hut", 2)], "alias string, rank int")
-    got = {r["id"]: (r["alias"], r["match"]) for r in joins.longest_alias(texts, aliases, "t").collect()}
+    got = {r["id"]: (r["alias"], r["match"]) for r in containment.longest_alias(texts, aliases, "t").collect()}
     assert got == {1: ("pizza hut", "partial"), 2: ("pizza", "exact"), 3: (None, None)}
 
 
@@ -283,7 +283,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r["amount"], r["_source_file"]) for r in got] == [(1.5, "a.csv"), (None, "a.csv")]
     assert tables.read_csv(spark, f"{tmp_path}/none/*.csv", "date date, amount double").count() == 0
     (tmp_path / "s.txt").write_bytes("Conta: 1\nExtrato\nData;Valor\n01/02/2024;1,5\n\n02/02/2024;ção\n".encode("latin-1"))
-    got = tables.read_statement(spark, f"{tmp_path}/s.txt", "Data;", "d string, v string", encoding="ISO-8859-1").collect()
+    got = texts.read_statement(spark, f"{tmp_path}/s.txt", "Data;", "d string, v string").collect()
     assert [tuple(r) for r in got] == [("01/02/2024", "1,5"), ("02/02/2024", "ção")]
     table, rows = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a"), (2, "b")], [(2, "c"), (2, "d"), (3, "e")]))
     assert sorted(map(tuple, tables.upsert(table, rows, ["k"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
@@ -365,3 +365,36 @@ def test_streamed_folds_cross_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert sorted(map(tuple, got), key=str) == sorted([(k, w, s) for k in ("a", "b", None) for w, s in (("half", 125250), ("all", 500500))], key=str)
+
+
+def test_containment_against_brute_force(spark):
+    """Patterns of one to many characters and words, inside words too, repeated, null and empty ones."""
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("ab c#é") for _ in range(n))
+    texts = [say(r.randint(0, 40)) for _ in range(120)] + [None, "", "one two three four five six seven eight nine", "xxone two three four five six seven eightxx", "a" * 5000 + "b"]
+    patterns = [say(r.randint(1, 9)) for _ in range(80)] + [None, "", "a", "#", "one two three four five six seven eight", "two", "zzz", "aab", "é", "a" * 4999]
+    got = containment.contained(spark.createDataFrame([(x,) for x in texts * 2], "text string"), spark.createDataFrame([(x,) for x in patterns * 2], "pattern string")).collect()
+    assert sorted(map(tuple, got)) == sorted({(t, p) for t in texts for p in patterns if t is not None and p and p in t})
+    none = spark.createDataFrame([], "pattern string")
+    assert containment.contained(spark.createDataFrame([("x",)], "text string"), none).count() == 0
+
+
+def test_aliases_of_any_length(spark):
+    words = "one two three four five six seven eight".split()
+    aliases = [(" ".join(words[:n]), n) for n in range(1, 9)] + [("ONE TWO", 0), ("nine", 1), (None, 1), ("", 1)]
+    texts = [(n, "xx" + " ".join(words[:n]).upper() + "yy") for n in range(1, 9)] + [(9, "one"), (10, None), (11, ""), (12, "canines")]
+    got = {x["id"]: (x["alias"], x["match"]) for x in containment.longest_alias(spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(aliases, "alias string, rank int"), "t").collect()}
+    want = {n: (" ".join(words[:n]), "partial") for n in range(1, 9)} | {2: ("ONE TWO", "partial"), 9: ("one", "exact"), 10: (None, None), 11: (None, None), 12: ("nine", "partial")}
+    assert got == want
+
+
+def test_registry_overlaps_by_runs_of_words(spark):
+    concepts = spark.createDataFrame([(1, ["a new vendor->category dict", None]), (2, ["Value_Based rules"]), (3, ["vendors category"]), (4, [])], "id int, terms array<string>")
+    registry = spark.createDataFrame([("map", "Vendor / Category"), ("rules", "value-based"), ("rules", "rules"), ("odd", "--")], "entry string, signal string")
+    assert sorted(map(tuple, containment.overlapping_entries(concepts, registry).collect())) == [(1, "map"), (2, "rules")]
+
+
+def test_a_vendor_that_stands_twice_does_not_double_rows(spark):
+    tx = spark.createDataFrame([(1, "Gym of four words plus", "sport", None, None), (2, "x", "intercontas", None, None)], "seq int, description string, category string, n int, m int")
+    vendors = spark.createDataFrame([("gym of four words", "weekly"), ("gym of four words", "monthly"), ("gym", "yearly")], "vendor string, recurrence string")
+    assert sorted(map(tuple, categorise.recurrences(tx, vendors, {}).collect())) == [(1, "monthly"), (2, None)]
