@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +39,32 @@ def installment(c: Column) -> tuple[Column, Column]:
     return F.when(good, n), F.when(good, m)
 
 
+@cache
+def _foldings() -> tuple[str, str, str, dict[str, str]]:
+    """What compatibility decomposition, without its marks, and case folding make of characters beyond ASCII: those that
+    become one letter or digit, what they become, marks (which go), and those that become several characters."""
+    one, to, marks, several = [], [], [], {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if not folded:
+            marks.append(c)
+        elif len(folded) == 1 and folded.isascii() and folded.isalnum():
+            one.append(c)
+            to.append(folded)
+        elif len(folded) > 1 and any(x.isascii() and x.isalnum() for x in folded):
+            several[c] = folded
+    return "".join(one), "".join(to), "".join(marks), several
+
+
 def fold_key(c: Column) -> Column:
-    """Names that differ in case, separators or punctuation alone have one key."""
-    return F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "")
+    """Names that differ in case, accents, kinds of quotes and dashes, separators or a .md at the end alone have one key: letters
+    and digits of ASCII with a hyphen for each run of others. A name without any has the empty key."""
+    one, to, marks, several = _foldings()
+    plain = F.translate(F.lower(c), one + marks, to)
+    table = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(table[x], x)), "")  # only where there are such
+    text = F.when(plain.rlike(f"[{''.join(several)}]"), spelled).otherwise(plain)
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"\.md$", ""), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def slug(c: Column) -> Column:

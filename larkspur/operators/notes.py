@@ -48,20 +48,38 @@ def section_body(docs: DataFrame, heading: str) -> DataFrame:
 
 
 def chunked(docs: DataFrame, most: int = 6000) -> DataFrame:
-    """Sections as chunks: id, pos, chunk, text (title, anchor, content). A section longer than most is cut at blank lines into
-    runs of paragraphs of at most so many characters; a longer paragraph is a chunk of its own."""
+    """Pages as chunks: id, pos (over the whole page, from 0), anchor (heading of level 2, empty before the first), text: title and
+    anchor, an empty line, content. The title is the first H1, which is no content, or else the id; a first block between lines
+    of --- is metadata and goes. A section longer than most is cut at empty lines: a paragraph longer than most gives pieces of
+    that length at once, what is left of it and shorter ones are put together while they fit, and come after such pieces."""
+    begin, end = "\ufdd0", "\ufdd1"  # no characters, by Unicode's word, so they are in no text
+    bare = lambda c: F.btrim(c, F.lit(" \t\r\n\x0b\f"))
+    body = F.regexp_replace("text", r"(?s)\A---\s*\n.*?\n---\s*\n", "")
+    h1 = F.regexp_extract(body, r"(?dm)^#\s+(.+?)\s*$", 1)
+    rest = F.regexp_replace(F.regexp_replace(body, r"(?dm)\A([\s\S]*?)^#\s+(.+?)\s*$", "$1"), r"(?dm)^##\s+(.+?)\s*$", f"{begin}$1{end}")
 
     def pack(state: Column, p: Column) -> Column:
-        open_ = F.element_at(state, -1)
-        fits = (F.size(state) > 0) & (F.length(open_) + 2 + F.length(p) <= most)
-        return F.when(fits, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.concat(open_, F.lit("\n\n"), p)))).otherwise(F.concat(state, F.array(p)))
-
-    bare = lambda c: F.btrim(c, F.lit(" \t\r\n"))
-    paragraphs = F.filter(F.transform(F.split("body", r"\n[ \t]*\n"), bare), lambda p: p != "")
-    runs = F.when(F.length("body") <= most, F.array(bare(F.col("body")))).otherwise(F.aggregate(paragraphs, F.array().cast("array<string>"), pack))
-    cut = sections(docs).where(bare(F.col("body")) != "").select("id", "pos", "title", "anchor", F.posexplode(runs).alias("chunk", "content"))
-    head = F.when(F.col("anchor") != "", F.concat_ws(" — ", "title", "anchor")).otherwise(F.col("title"))
-    return cut.select("id", "pos", F.col("chunk").cast("long").alias("chunk"), F.concat(head, F.lit("\n"), "content").alias("text"))
+        pieces = F.greatest(F.ceil(F.length(p) / most).cast("int") - 1, F.lit(0))
+        cut = F.transform(F.filter(F.sequence(F.lit(0), pieces), lambda i: i < pieces), lambda i: F.substr(p, i * most + 1, F.lit(most)))
+        left = F.substr(p, pieces * most + 1, F.lit(most))
+        full = (state["open"] != "") & (F.length(state["open"]) + F.length(left) + 2 > most)
+        return F.struct(
+            F.concat(state["done"], cut, F.when(full, F.array(state["open"])).otherwise(F.array().cast("array<string>"))).alias("done"),
+            F.when(full | (state["open"] == ""), left).otherwise(F.concat(state["open"], F.lit("\n\n"), left)).alias("open"))
+
+    def parts(content: Column) -> Column:
+        last = lambda s: F.concat(s["done"], F.when(bare(s["open"]) != "", F.array(s["open"])).otherwise(F.array().cast("array<string>")))
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+        return F.when(F.length(content) <= most, F.array(content)).otherwise(F.aggregate(F.split(content, "\n\n"), start, pack, last))
+
+    def section(text: Column, i: Column) -> Column:
+        anchor = F.when(i == 0, "").otherwise(bare(F.substring_index(text, end, 1)))
+        content = bare(F.when(i == 0, text).otherwise(F.substring_index(text, end, -1)))
+        return F.transform(F.when(content == "", F.array().cast("array<string>")).otherwise(parts(content)), lambda p: F.struct(anchor.alias("anchor"), bare(p).alias("content")))
+
+    cut = docs.select("id", F.when(h1 != "", bare(h1)).otherwise(F.col("id").cast("string")).alias("title"), F.posexplode(F.flatten(F.transform(F.split(rest, begin), section))).alias("pos", "c"))
+    head = F.when(F.col("c.anchor") != "", F.concat_ws(" — ", "title", "c.anchor")).otherwise(F.col("title"))
+    return cut.select("id", F.col("pos").cast("long").alias("pos"), "c.anchor", F.concat(head, F.lit("\n\n"), "c.content").alias("text"))
 
 
 def table_rows(docs: DataFrame) -> DataFrame:

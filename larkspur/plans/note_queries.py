@@ -25,10 +25,17 @@ sec as (select id, 'Note ' || id as title, pos, case when pos = 0 then '' else s
 BARE = "trim({0}, ' ' || chr(9) || chr(13) || chr(10))"
 query("note_sections", "select id, title, pos, anchor, length(body) as n, sha256(body) as hash from sec", MD)(lambda s, d: notes.sections(markdown(s, d)).select("id", "title", "pos", "anchor", F.length("body").cast("long").alias("n"), F.sha2("body", 256).alias("hash")))
 query("section_by_name", "select id, pos, length(body) as n from sec where pos > 0 and lower(trim(anchor)) = 'part 3'", MD)(lambda s, d: notes.section_body(markdown(s, d), "Part 3").select("id", "pos", F.length("body").cast("long").alias("n")))
-query("heading_chunks", f"""select id, pos, unnest(range(len(runs))) as chunk, sha256(title || case when anchor <> '' then ' — ' || anchor else '' end || chr(10) || unnest(runs)) as hash from (
-select *, case when length(body) <= 600 then [{BARE.format('body')}] else list_reduce(list_transform(list_filter(list_transform(regexp_split_to_array(body, '\\n[ \\t]*\\n'), lambda x: {BARE.format('x')}), lambda x: x <> ''), lambda x: [x]),
-lambda s, p: case when length(s[-1]) + 2 + length(p[1]) <= 600 then list_concat(s[1:-2], [s[-1] || chr(10) || chr(10) || p[1]]) else list_concat(s, p) end) end as runs from sec where {BARE.format('body')} <> '')""", MD)(
-    lambda s, d: notes.chunked(markdown(s, d), 600).select("id", "pos", "chunk", F.sha2("text", 256).alias("hash")))
+EMPTY = "cast([] as varchar[])"
+query("heading_chunks", f"""select id, row_number() over (partition by id order by pos, k) - 1 as pos, anchor, sha256(title || case when anchor <> '' then ' — ' || anchor else '' end || chr(10) || chr(10) || {BARE.format('run')}) as hash from (
+select *, unnest(runs) as run, unnest(range(len(runs))) as k from (
+select *, case when length(content) <= 600 then [content] else list_concat(f.done, case when trim(f.open, ' ' || chr(10)) <> '' then [f.open] else {EMPTY} end) end as runs from (
+select *, list_reduce(list_concat([{{'done': {EMPTY}, 'open': ''}}], list_transform(string_split(content, chr(10) || chr(10)), lambda x: {{'done': {EMPTY}, 'open': x}})), lambda s, p: {{
+'done': list_concat(list_concat(s.done, list_transform(range(greatest(cast(ceil(length(p.open) / 600.0) as bigint) - 1, 0)), lambda i: p.open[i * 600 + 1:i * 600 + 600])),
+  case when s.open <> '' and length(s.open) + length(p.open[greatest(cast(ceil(length(p.open) / 600.0) as bigint) - 1, 0) * 600 + 1:]) + 2 > 600 then [s.open] else {EMPTY} end),
+'open': case when s.open = '' or length(s.open) + length(p.open[greatest(cast(ceil(length(p.open) / 600.0) as bigint) - 1, 0) * 600 + 1:]) + 2 > 600 then p.open[greatest(cast(ceil(length(p.open) / 600.0) as bigint) - 1, 0) * 600 + 1:]
+  else s.open || chr(10) || chr(10) || p.open[greatest(cast(ceil(length(p.open) / 600.0) as bigint) - 1, 0) * 600 + 1:] end}}) as f from (
+select id, title, pos, trim(anchor) as anchor, {BARE.format("case when pos = 0 then regexp_replace(body, '^# [^\\n]*', '') else body end")} as content from sec) where content <> '')))""", MD)(
+    lambda s, d: notes.chunked(markdown(s, d), 600).select("id", "pos", "anchor", F.sha2("text", 256).alias("hash")))
 query("log_blocks", "select id, count(*) as n, cast(min(try_cast(part[2:11] as date)) as varchar) as first, min(trim(string_split(part[13:], chr(10))[1])) as kind from sec0 where pos > 0 and part[1] = '[' group by id", MD)(
     lambda s, d: notes.log_blocks(markdown(s, d)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("date").cast("string").alias("first"), F.min("kind").alias("kind")))
 
@@ -38,8 +45,8 @@ query("markdown_tables", f"""select id, count(*) as n, sum(len(string_split(rege
     lambda s, d: notes.table_rows(documents(s, d).select("id", F.concat(F.lit("| a | b |\n|---|---|\n| "), F.replace(F.replace("text", F.lit("|"), F.lit(" ")), F.lit("\n"), F.lit(" |\n| ")), F.lit(" |")).alias("text")))
     .groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("cells")))
 
-LINKS = """ln as (select distinct page_id as src, regexp_replace(lower(string_split(h, '/')[-1]), '[^a-z0-9]+', '', 'g') as name from (select page_id, unnest(regexp_extract_all(html, '<a[^>]*\\shref="([^"#?]*)', 1)) as h from pages) where name <> ''),
-tt as (select page_id as id, regexp_replace(lower(regexp_extract(html, '<title>\\s*([^\\s<]+)', 1)), '[^a-z0-9]+', '', 'g') as name from pages where name <> ''),
+LINKS = """ln as (select distinct page_id as src, trim(regexp_replace(regexp_replace(replace(replace(lower(strip_accents(string_split(h, '/')[-1])), 'ß', 'ss'), 'ﬁ', 'fi'), '\\.md$', ''), '[^a-z0-9]+', '-', 'g'), '-') as name from (select page_id, unnest(regexp_extract_all(html, '<a[^>]*\\shref="([^"#?]*)', 1)) as h from pages) where name <> ''),
+tt as (select page_id as id, trim(regexp_replace(regexp_replace(replace(replace(lower(strip_accents(regexp_extract(html, '<title>\\s*([^\\s<]+)', 1))), 'ß', 'ss'), 'ﬁ', 'fi'), '\\.md$', ''), '[^a-z0-9]+', '-', 'g'), '-') as name from pages where name <> ''),
 nm as (select name, min(id) as dst, count(*) as n from tt group by name),
 rs as (select src, ln.name, dst, case when n is null then 'unresolved' when n > 1 then 'ambiguous' else 'unique' end as verdict from ln left join nm using (name))"""
 found = lambda s, d: notes.resolved(notes.hrefs(table(s, d, "pages")), notes.titles(table(s, d, "pages")))

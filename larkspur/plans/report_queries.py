@@ -56,5 +56,8 @@ query("null_last_page", "select id, value from (select c_custkey as id, case whe
     lambda s, d: reports.sorted_nulls_last(table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("value"))))
 query("top_products_by_source", "select source, product, r, cast(v as double) as v from (select *, row_number() over (partition by source order by v desc, product) as r from (select source, product, sum(abs(amount)) as v from otc group by all)) where r <= 2", OTC)(lambda s, d: reports.concentration(otc(s, d)))
 query("snippets", "select page_id, left(trim(regexp_replace(html, '[ \\t\\r\\n]+', ' ', 'g')), 240) as snippet from pages")(lambda s, d: table(s, d, "pages").select("page_id", scalar.snippet(F.col("html")).alias("snippet")))
-query("fold_keys", "select key, count(*) as n from (select regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') as key from customer union all select regexp_replace(lower(s_name), '[^a-z0-9]+', '', 'g') from supplier) group by key")(
-    lambda s, d: table(s, d, "customer").select(scalar.fold_key(F.col("c_name")).alias("key")).unionAll(table(s, d, "supplier").select(scalar.fold_key(F.col("s_name")))).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+FOLDED = "trim(regexp_replace(regexp_replace(replace(lower(strip_accents({0})), 'ß', 'ss'), '\\.md$', ''), '[^a-z0-9]+', '-', 'g'), '-')"
+query("fold_keys", f"""select key, count(*) as n from (select {FOLDED.format("c_name || '.MD'")} as key from customer union all select {FOLDED.format("s_name || ' Ação—Café'")} from supplier
+union all select {FOLDED.format("regexp_extract(html, '<title>([^<]*)', 1)")} from pages) group by key""")(
+    lambda s, d: table(s, d, "customer").select(scalar.fold_key(F.concat("c_name", F.lit(".MD"))).alias("key")).unionAll(table(s, d, "supplier").select(scalar.fold_key(F.concat("s_name", F.lit(" Ação—Café")))))
+    .unionAll(table(s, d, "pages").select(scalar.fold_key(F.regexp_extract("html", "<title>([^<]*)", 1)))).groupBy("key").agg(F.count(F.lit(1)).alias("n")))
