@@ -39,17 +39,3 @@ def date_bases(tx: DataFrame) -> DataFrame:
     """Cash and accrual dates: card rows are paid on the 10th of the month after, all else on its own day."""
     paid = F.date_add(F.last_day("date"), 10)
     return tx.select("seq", F.when(F.col("source_type") == "fatura", paid).otherwise(F.col("date")).cast("string").alias("cash"), F.col("date").cast("string").alias("accrual"))
-
-
-def routed(movements: DataFrame) -> DataFrame:
-    """Ledger and signed value of broker movements (operation, fixed_income, credit, value): see the table in the plan."""
-    op, rf = F.col("operation"), F.col("fixed_income")
-    v = F.abs("value")
-    ledger = (
-        F.when(op.isin("Compra", "Venda"), F.when(rf, "otc").otherwise("orders")).when(op.isin("Dividendo", "JCP", "Rendimento"), "income")
-        .when(op == "Juros", F.when(rf, "otc").otherwise("income")).when(op.isin("Grupamento", "Desdobramento"), "corporate").otherwise("unclassified")
-    )
-    kind = (
-        F.when(ledger == "orders", F.when(op == "Compra", "C").otherwise("V")).when((ledger == "otc") & (op == "Compra"), "aplicacao").when((ledger == "otc") & (op == "Venda"), "resgate").otherwise(F.lower(op))
-    )
-    return movements.select("key", ledger.alias("ledger"), kind.alias("kind"), F.when(kind.isin("aplicacao", "C"), -v).otherwise(v).cast("double").alias("value"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import categorise, quality, rules
+from ..operators import categorise, quality, routing, rules
 from ..sources.adapters import INCOME, OTC, TX, income, otc, table, transactions
 from ..sources.tables import shared_dir
 from ..streaming import events as streaming
@@ -43,14 +43,35 @@ when category = 'household' then 'monthly' when category = 'building' then 'year
 
 query("basis_dates", "select seq, cast(case when source_type = 'fatura' then last_day(tx.date) + 10 else tx.date end as varchar) as cash, cast(tx.date as varchar) as accrual from tx", TX)(lambda s, d: rules.date_bases(transactions(s, d)))
 
-OPS = ["Compra", "Venda", "Dividendo", "JCP", "Juros", "Desdobramento", "Aluguel"]
-query("router", f"""select ledger, kind, count(*) as n, cast(sum(cast(case when kind in ('aplicacao', 'C') then -abs(value) else abs(value) end as decimal(18,2))) as double) as value from (
-select *, case when ledger = 'orders' then case when op = 'Compra' then 'C' else 'V' end when ledger = 'otc' and op = 'Compra' then 'aplicacao' when ledger = 'otc' and op = 'Venda' then 'resgate' else lower(op) end as kind from (
-select value, op, case when op in ('Compra', 'Venda') then case when rf then 'otc' else 'orders' end when op in ('Dividendo', 'JCP', 'Rendimento') then 'income'
-when op = 'Juros' then case when rf then 'otc' else 'income' end when op in ('Grupamento', 'Desdobramento') then 'corporate' else 'unclassified' end as ledger
-from (select cast(l_extendedprice as decimal(18,2)) as value, [{', '.join(f"'{o}'" for o in OPS)}][cast(l_orderkey % 7 as int) + 1] as op, l_partkey % 4 = 0 as rf from lineitem))) group by ledger, kind""")(
-    lambda s, d: rules.routed(table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.element_at(F.array(*map(F.lit, OPS)), (F.col("l_orderkey") % 7 + 1).cast("int")).alias("operation"), (F.col("l_partkey") % 4 == 0).alias("fixed_income"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value")))
-    .groupBy("ledger", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")))
+OPS = ["Compra", "Venda/", "Dividendo", "Juros Sobre Capital Próprio", "Juros", "Desdobramento", "Empréstimo/Aluguel de Ativos", "Transferência - Liquidação", "Atualização", "AMORTIZACAO PROGRAMADA", "PAGAMENTO DE JUROS", "Restituição de Capital", "APLICAÇÃO", "RESGATE ANTECIPADO/",
+       "Cessão de Direitos", "COMPRA / VENDA", "Leilão de Fração", " Rendimento Líquido ", "AMORTIZAÇÃO", "VENCIMENTO", "Bonificação em Dinheiro", "Sobras de Subscrição", "Fusão", "Something else", ""]
+
+
+def movements(s, d):
+    li, k = table(s, d, "lineitem"), F.col("l_orderkey") + F.col("l_linenumber")
+    units = k % 4 == 0
+    return li.select(
+        k.alias("key"), F.element_at(F.array(*map(F.lit, OPS)), (k % len(OPS) + 1).cast("int")).alias("operation"), F.when(F.col("l_partkey") % 3 == 0, " CDB").when(F.col("l_partkey") % 3 == 1, "acao").alias("asset_type"),
+        F.when(F.col("l_suppkey") % 3 == 0, "Credito").when(F.col("l_suppkey") % 3 == 1, "Debito").alias("direction"), F.col("l_quantity").alias("quantity"), F.when(~units, F.col("l_extendedprice")).alias("price"), F.when(~units, F.col("l_extendedprice").cast("decimal(18,2)")).alias("value"),
+        F.when(F.col("l_partkey") % 50 == 0, False).alias("known"))
+
+
+query("router", f"""select ledger, kind, coalesce(reason, '') as reason, count(*) as n, cast(sum(cast(value as decimal(18,2))) as double) as value from (
+select case when ign or op = '' then 'ignored' when flag then 'flagged' when unknown then 'unknown' when r is null then 'flagged' else r.l end as ledger, case when ign or unknown and not flag or r is null and not flag then '' when flag then 'manual' else r.k end as kind,
+case when ign then null when flag then 'manual: ' || op when unknown then 'unknown product or institution' when r is null then 'unclassified: ' || op end as reason, case when ign or flag or unknown or r is null or r.l = 'corporate' then null when r.s = '-' then -abs(v) when r.s = '+' then abs(v) else v end as value from (
+select *, op = 'Atualização' or op in ('AMORTIZACAO PROGRAMADA', 'PAGAMENTO DE JUROS') and dir = 'Debito' as ign, op = 'Empréstimo/Aluguel de Ativos' as flag,
+case when op in ('Compra', 'Venda', 'Cessão de Direitos', 'Transferência - Liquidação', 'COMPRA / VENDA') then case when op = 'Compra' or op not in ('Venda', 'Cessão de Direitos') and dir = 'Credito' then {{'l': case when rf then 'otc' else 'orders' end, 'k': case when rf then 'aplicacao' else 'C' end, 's': '-'}}
+  else {{'l': case when rf then 'otc' else 'orders' end, 'k': case when rf then 'resgate' else 'V' end, 's': '+'}} end
+when op = 'Sobras de Subscrição' then {{'l': 'orders', 'k': 'C', 's': '-'}}
+when op in ('Dividendo', 'Juros Sobre Capital Próprio', 'Leilão de Fração', 'Rendimento Líquido', 'Bonificação em Dinheiro') then {{'l': 'income', 'k': case op when 'Dividendo' then 'dividendo' when 'Juros Sobre Capital Próprio' then 'jcp' when 'Leilão de Fração' then 'fracao' when 'Rendimento Líquido' then 'rendimento' else 'bonificacao_dinheiro' end, 's': ''}}
+when op in ('Juros', 'PAGAMENTO DE JUROS') then case when rf then {{'l': 'otc', 'k': 'juros', 's': '+'}} else {{'l': 'income', 'k': 'juros', 's': ''}} end
+when op in ('AMORTIZAÇÃO', 'AMORTIZACAO PROGRAMADA') then {{'l': case when rf then 'otc' else 'income' end, 'k': 'amortizacao', 's': ''}}
+when op = 'Restituição de Capital' then {{'l': case when v = 0 then 'corporate' else 'income' end, 'k': 'restituicao_capital', 's': ''}}
+when op in ('APLICAÇÃO', 'RESGATE ANTECIPADO', 'VENCIMENTO') then {{'l': 'otc', 'k': case op when 'APLICAÇÃO' then 'aplicacao' when 'VENCIMENTO' then 'vencimento' else 'resgate' end, 's': case op when 'APLICAÇÃO' then '-' else '+' end}}
+when op in ('Desdobramento', 'Fusão') then {{'l': 'corporate', 'k': lower(replace(op, 'ã', 'a')), 's': ''}} end as r
+from (select rtrim(trim([{', '.join(f"'{o}'" for o in OPS)}][cast((l_orderkey + l_linenumber) % {len(OPS)} as int) + 1]), '/') as op, l_partkey % 3 = 0 as rf, case l_suppkey % 3 when 0 then 'Credito' when 1 then 'Debito' end as dir, l_partkey % 50 = 0 as unknown,
+  case when (l_orderkey + l_linenumber) % 4 = 0 then 0 else cast(l_extendedprice as decimal(18,2)) end as v from lineitem) where op <> '')) group by all""")(
+    lambda s, d: routing.routed(movements(s, d)).groupBy("ledger", "kind", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value")))
 
 query("tag_rules", """select seq, array_to_string(list_sort(list_distinct(list_concat(list_concat(tags, case when supplier = 'S7' and amount > 0 then ['refund'] else [] end), case when supplier in ('S1', 'S2', 'S3') and category = 'building' then ['project'] else [] end))), '|') as tags from tx""", TX)(
     lambda s, d: categorise.tagged(transactions(s, d), {"S7": "refund"}, [(("S1", "S2", "S3"), "building", "project")]))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import incremental, order, overlaps
+from larkspur.operators import incremental, order, overlaps, routing
 from larkspur.sources import sinks, texts
 
 SMALL = {"spark.sql.files.maxPartitionBytes": "64", "spark.sql.files.openCostInBytes": "1"}
@@ -197,3 +197,50 @@ def test_set_overlaps(spark, least):
     rows = lambda s: spark.createDataFrame([(i, m) for i, x in s.items() for m in x] * 2 + [(None, 1), (1, None)], "id int, member int")
     got = {(x["a"], x["b"]): x["n"] for x in overlaps.set_overlaps(rows(a), rows(b), least).collect()}
     assert got == {(i, j): len(x & y) for i, x in a.items() for j, y in b.items() if len(x & y) >= least}
+
+
+def test_every_operation_is_routed(spark):
+    """Each operation with each kind of asset, direction and shape, against plain conditions."""
+    side = {"Compra": "C", "Venda": "V", "Cessão de Direitos": "V"}
+    by_direction = ("Transferência - Liquidação", "COMPRA/VENDA", "COMPRA / VENDA", "COMPRA/VENDA DEFINITIVA/CESSAO")
+    income = {"Leilão de Fração": "fracao", "Fração em Ativos": "fracao", "Dividendo": "dividendo", "Juros Sobre Capital Próprio": "jcp", "Rendimento": "rendimento", "Rendimento Líquido": "rendimento", "Bonificação em Dinheiro": "bonificacao_dinheiro"}
+    corporate = {"Grupamento": "grupamento", "Desdobramento": "desdobramento", "Cisão": "cisao", "Bonificação em Ativos": "bonificacao", "Incorporação": "incorporacao", "Conversão de Ativos": "conversao", "Fusão": "fusao"}
+    ignored = ["Atualização", "TRANSFERENCIA SEM FINANCEIRO", "TRANSFERÊNCIA SEM FINANCEIRO", "RETIRADA DE CUSTÓDIA", "Recibo de Subscrição", "Solicitação de Subscrição", "Direitos de Subscrição - Não Exercido", "Cessão de Direitos - Solicitada", "Direito de Subscrição", "Transferência", "Juros Sobre Capital Próprio - Transferido"]
+
+    def want(op, rf, way, n, price, v, known):
+        op = op.strip().rstrip("/")
+        if op in ignored or op in ("AMORTIZACAO PROGRAMADA", "PAGAMENTO DE JUROS") and way == "Debito":
+            return "ignored", "", None
+        if op == "Empréstimo/Aluguel de Ativos":
+            return "flagged", "manual", None
+        if not known:
+            return "unknown", "", None
+        if op in side or op in by_direction:
+            s = side.get(op, "C" if way == "Credito" else "V")
+            return "otc" if rf else "orders", (("aplicacao" if s == "C" else "resgate") if rf else s), -abs(v) if s == "C" else abs(v)
+        if op in ("Direitos de Subscrição - Exercido", "Sobras de Subscrição"):
+            return "orders", "C", -abs(v)
+        if op in income:
+            return "income", income[op], v
+        if op in ("PAGAMENTO DE JUROS", "Juros"):
+            return ("otc", "juros", abs(v)) if rf else ("income", "juros", v)
+        if op in ("AMORTIZAÇÃO", "AMORTIZACAO PROGRAMADA"):
+            return "otc" if rf else "income", "amortizacao", v
+        if op == "Restituição de Capital":
+            return ("corporate", "restituicao_capital", None) if n > 0 and price == v == 0 else ("income", "restituicao_capital", v)
+        if op in ("APLICAÇÃO", "RESGATE ANTECIPADO", "VENCIMENTO"):
+            return "otc", {"APLICAÇÃO": "aplicacao", "VENCIMENTO": "vencimento"}.get(op, "resgate"), -abs(v) if op == "APLICAÇÃO" else abs(v)
+        return ("corporate", corporate[op], None) if op in corporate else ("flagged", "", None)
+
+    ops = [*side, *by_direction, *income, *corporate, *ignored, "Empréstimo/Aluguel de Ativos", "Direitos de Subscrição - Exercido", "Sobras de Subscrição", "PAGAMENTO DE JUROS", "Juros", "AMORTIZAÇÃO", "AMORTIZACAO PROGRAMADA", "Restituição de Capital", "APLICAÇÃO", "RESGATE ANTECIPADO/", "VENCIMENTO", "Nova operação", " Venda// "]
+    rows = [(op, t, way, 2.0, p, v, known) for op in ops for t in ("acao", " CDB ", None) for way in ("Credito", "Debito", None) for p, v in ((0.0, 0.0), (5.0, -10.0), (5.0, 10.0)) for known in (True, False)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)] + [(-1, " ", "acao", "Credito", 1.0, 1.0, 1.0, True), (-2, None, None, None, None, None, None, None), (-3, "Compra", None, None, None, None, None, None)],
+                               "key int, operation string, asset_type string, direction string, quantity double, price double, value double, known boolean")
+    got = {x["key"]: (x["ledger"], x["kind"], x["value"]) for x in routing.routed(df).collect()}
+    assert got.pop(-3) == ("orders", "C", 0.0)
+    assert got == {k: want(op, t == " CDB ", way, n, p, v, known) for k, (op, t, way, n, p, v, known) in enumerate(rows)}
+
+
+def test_two_rows_that_fit_alike_are_an_error():
+    with pytest.raises(ValueError, match="two rows"):
+        routing.decided("A | rf | | | x | y | +\nA | | Credito | | x | z | +")
