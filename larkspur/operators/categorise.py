@@ -48,27 +48,37 @@ def unique_within(requests: DataFrame, tx: DataFrame, cents: float = 0.5) -> Dat
     return hit.select("rid", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several rows for "), F.col("rid").cast("string")))).otherwise(F.col("seq")).alias("seq"))
 
 
-def recurrences(tx: DataFrame, vendors: DataFrame, defaults: dict[str, str], fallback: str = "one_off") -> DataFrame:
-    """seq, recurrence: none for transfers; else the longest vendor override (vendor, recurrence) that the description
+def recurring(tx: DataFrame, vendors: DataFrame, defaults: dict[str, str], fallback: str = "one_off") -> DataFrame:
+    """tx with recurrence: none for transfers; else the longest vendor override (vendor, recurrence) that the description
     contains, any case, of equally long ones the first by ``rank`` where vendors has one (a vendor that stands twice has the
     first recurrence by name); installments; the category's default."""
     from .containment import longest_alias
     from .rules import recurrence
 
-    named = longest_alias(tx.select("seq", "description", "category", "n", "m"), vendors.select(F.col("vendor").alias("alias"), F.col("rank") if "rank" in vendors.columns else F.lit(0).alias("rank")).distinct(), "description")
+    named = longest_alias(tx, vendors.select(F.col("vendor").alias("alias"), F.col("rank") if "rank" in vendors.columns else F.lit(0).alias("rank")).distinct(), "description")
     both = named.join(vendors.groupBy(F.col("vendor").alias("alias")).agg(F.min("recurrence").alias("own")), "alias", "left")
     base = recurrence(F.col("n"), F.col("m"), F.col("category"), defaults, fallback)
-    return both.select("seq", F.when(F.col("category") == "intercontas", F.lit(None)).otherwise(F.coalesce("own", base)).alias("recurrence"))
+    return both.select(*tx.columns, F.when(F.col("category") == "intercontas", F.lit(None)).otherwise(F.coalesce("own", base)).alias("recurrence"))
 
 
-def basis_dates(tx: DataFrame, invoices: DataFrame) -> DataFrame:
-    """seq, cash, accrual: a card row is paid with its bank's invoice of its month (bank, month, payment_date) and accrues on
+def recurrences(tx: DataFrame, vendors: DataFrame, defaults: dict[str, str], fallback: str = "one_off") -> DataFrame:
+    """seq and recurrence of each row."""
+    return recurring(tx.select("seq", "description", "category", "n", "m"), vendors, defaults, fallback).select("seq", "recurrence")
+
+
+def dated(tx: DataFrame, invoices: DataFrame) -> DataFrame:
+    """tx with cash and accrual: a card row is paid with its bank's invoice of its month (bank, month, payment_date) and accrues on
     its own day, or where an override (accrual) says so; a card row without an invoice is an error."""
     month = F.date_format("date", "yyyy-MM")
     both = tx.withColumn("month", month).join(invoices, ["bank", "month"], "left")
     card = F.col("source_type") == "fatura"
     paid = F.when(card & F.col("payment_date").isNull(), F.raise_error(F.concat(F.lit("no invoice of "), F.col("bank"), F.lit(" "), F.col("month")))).when(card, F.col("payment_date")).otherwise(F.col("date"))
-    return both.select("seq", paid.cast("string").alias("cash"), F.coalesce("accrual", "date").cast("string").alias("accrual"))
+    return both.select(*(c for c in tx.columns if c != "accrual"), paid.cast("string").alias("cash"), F.coalesce("accrual", "date").cast("string").alias("accrual"))
+
+
+def basis_dates(tx: DataFrame, invoices: DataFrame) -> DataFrame:
+    """seq, cash and accrual of each row."""
+    return dated(tx, invoices).select("seq", "cash", "accrual")
 
 
 def canonical_name(c: Column, exceptions: DataFrame | None = None) -> Column:
@@ -83,16 +93,21 @@ def canonicalised(rows: DataFrame, name: str, exceptions: DataFrame) -> DataFram
     return rows.withColumn("_k", F.lower(name)).join(e, "_k", "left").withColumn(name, F.coalesce("_c", canonical_name(F.col(name)))).drop("_k", "_c")
 
 
-def tagged(tx: DataFrame, refunds: dict[str, str], projects: list[tuple[tuple[str, ...], str, str]]) -> DataFrame:
-    """Tags with those that rules add: of a supplier's incoming rows (supplier: tag), and of suppliers within a category
-    (suppliers, category, tag)."""
+def rule_tags(refunds: dict[str, str], projects: list[tuple[tuple[str, ...], str, str]]) -> Column:
+    """A row's tags and those that rules add, sorted: of a supplier's incoming rows (supplier: tag), and of suppliers within a
+    category (suppliers, category, tag)."""
     none = F.array().cast("array<string>")
     out = F.col("tags")
     for supplier, tag in refunds.items():
         out = F.array_union(out, F.when((F.col("supplier") == supplier) & (F.col("amount") > 0), F.array(F.lit(tag))).otherwise(none))
     for suppliers, category, tag in projects:
         out = F.array_union(out, F.when(F.col("supplier").isin(*suppliers) & (F.col("category") == category), F.array(F.lit(tag))).otherwise(none))
-    return tx.select("seq", F.array_join(F.sort_array(out), "|").alias("tags"))
+    return F.array_join(F.sort_array(out), "|")
+
+
+def tagged(tx: DataFrame, refunds: dict[str, str], projects: list[tuple[tuple[str, ...], str, str]]) -> DataFrame:
+    """seq and tags of each row."""
+    return tx.select("seq", rule_tags(refunds, projects).alias("tags"))
 
 
 def movable(tx: DataFrame, suppliers: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def classified(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str, str], values: list[tuple[str, float, str]], suppliers: DataFrame) -> DataFrame:
-    """Category and confidence of each row by the first layer that matches: transfers to oneself (unless the row is a
+def layered(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str, str], values: list[tuple[str, float, str]]) -> DataFrame:
+    """tx (with default_category, its supplier's) with layer, category and confidence of each row by the first layer that matches: transfers to oneself (unless the row is a
     reimbursement), reimbursements, amounts within 5 % of a vendor's reference, the supplier's default, none."""
     text = F.lower("description")
     own = F.lit(False)
@@ -20,11 +20,16 @@ def classified(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str,
     for vendor, amount, c in values:
         near = F.abs(F.abs(F.col("amount").cast("double")) - amount) <= 0.05 * amount
         value = F.coalesce(value, F.when(text.contains(vendor.lower()) & near, c))
-    both = tx.join(suppliers.select("supplier", "default_category"), "supplier", "left")
     layer = F.when(own & refund.isNull(), F.lit(1)).when(refund.isNotNull(), 2).when(value.isNotNull(), 3).when(F.col("default_category").isNotNull(), 4).otherwise(5)
     name = F.when(layer == 1, "intercontas").when(layer == 2, refund).when(layer == 3, value).when(layer == 4, F.col("default_category")).otherwise("a_identificar")
     sure = F.when(layer <= 3, "high").when(layer == 4, "medium").otherwise("low")
-    return both.select("seq", layer.cast("long").alias("layer"), name.alias("category"), sure.alias("confidence"))
+    return tx.select(*(c for c in tx.columns if c not in ("layer", "category", "confidence")), layer.cast("long").alias("layer"), name.alias("category"), sure.alias("confidence"))
+
+
+def classified(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str, str], values: list[tuple[str, float, str]], suppliers: DataFrame) -> DataFrame:
+    """seq, layer, category and confidence of each row; suppliers (supplier, default_category) has a row a supplier."""
+    both = tx.join(suppliers.select("supplier", "default_category"), "supplier", "left")
+    return layered(both, self_patterns, refunds, values).select("seq", "layer", "category", "confidence")
 
 
 def recurrence(n: Column, m: Column, category: Column, defaults: dict[str, str], fallback: str = "one_off") -> Column:

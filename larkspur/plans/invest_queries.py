@@ -36,13 +36,14 @@ def with_transfers(s, d):
     return t.unionByName(t.where("seq % 7 = 0").select((F.col("seq") + 1000000000).alias("seq"), "date", (-F.col("amount")).cast("decimal(18,2)").alias("amount"), F.lit("OTHER").alias("bank"), "currency"))
 
 
-query("transfer_pairs", """select cast(date as varchar) as date, currency, cast(size as double) as size, p.a as in_seq, p.b as out_seq from (
-select date, currency, size, unnest(pairs) as p from (select *, row_number() over (partition by date, currency, size order by k desc) as r from step) where r = 1)""", TX, TWINS, """
-grp as (select date, currency, abs(amount) as size, list({'seq': seq, 'up': amount > 0, 'bank': bank} order by seq) as l from twins where amount <> 0 group by date, currency, abs(amount) having count(*) > 1),
+#: Pairs of the rows of twins, in order.
+PAIRED = """grp as (select date, currency, abs(amount) as size, list({'seq': seq, 'up': amount > 0, 'bank': bank} order by seq) as l from twins where amount <> 0 group by date, currency, abs(amount) having count(*) > 1),
 step(date, currency, size, l, k, used, pairs) as (select date, currency, size, l, cast(1 as bigint), cast([] as bigint[]), cast([] as struct(a bigint, b bigint)[]) from grp union all
 select date, currency, size, l, k + 1, case when y is null then used else list_append(list_append(used, x.seq), y.seq) end,
 case when y is null then pairs else list_append(pairs, case when x.up then {'a': x.seq, 'b': y.seq} else {'a': y.seq, 'b': x.seq} end) end from (
-select *, case when list_contains(used, l[k].seq) then null else list_filter(l, lambda z: z.up <> l[k].up and z.bank <> l[k].bank and not list_contains(used, z.seq))[1] end as y, l[k] as x from step where k <= len(l)))""")(
+select *, case when list_contains(used, l[k].seq) then null else list_filter(l, lambda z: z.up <> l[k].up and z.bank <> l[k].bank and not list_contains(used, z.seq))[1] end as y, l[k] as x from step where k <= len(l)))"""
+query("transfer_pairs", """select cast(date as varchar) as date, currency, cast(size as double) as size, p.a as in_seq, p.b as out_seq from (
+select date, currency, size, unnest(pairs) as p from (select *, row_number() over (partition by date, currency, size order by k desc) as r from step) where r = 1)""", TX, TWINS, PAIRED)(
     lambda s, d: joins.offsetting_pairs(with_transfers(s, d)))
 
 query("cross_source_dedup", """select source, count(*) as n, cast(sum(amount) as double) as total from otc o where source <> 'b3' or not exists (
