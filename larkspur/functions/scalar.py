@@ -115,3 +115,31 @@ def due_bucket(due: Column, today: Column) -> Column:
 
 def close_to(a: Column, b: Column, rel: float = 1e-6) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-12)) < rel
+
+
+#: Kinds of assets as spreadsheets name them.
+ASSET_TYPES = {"ação": "acao", "acao": "acao", "fii": "fii", "etf": "etf"}
+
+
+def asset_type(c: Column) -> Column:
+    """One name for each kind of asset; others are lower-cased."""
+    bare = F.lower(F.trim(c))
+    return F.coalesce(*(F.when(bare == k, v) for k, v in ASSET_TYPES.items()), bare)
+
+
+def broker(c: Column) -> Column:
+    return F.lower(F.trim(c))
+
+
+def crypto_exchange(c: Column) -> Column:
+    """Two exchanges are known; all but the one are the other."""
+    return F.when(F.lower(F.trim(c)) == "bipa", "bipa").otherwise("mercado_bitcoin")
+
+
+def crypto_operation(bought: Column, sold: Column) -> Column:
+    """What a trade of two assets is, seen from the home currency."""
+    return F.when(sold == "BRL", "compra").when(bought == "BRL", "venda").otherwise("swap")
+
+
+def digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^0-9]+", "")

@@ -13,11 +13,18 @@ def insert_absent(existing: DataFrame, new: DataFrame, key: list[str]) -> DataFr
     return existing.unionByName(one.join(existing.select(*key), key, "left_anti").select(*existing.columns))
 
 
+def _least(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key: the smallest by its other columns."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else rows.select(*key).distinct()
+
+
 def seeded(existing: DataFrame, new: DataFrame, seeds: DataFrame, key: list[str], product: str = "product") -> DataFrame:
-    """existing, then new rows of unknown key, then seeds of unknown key whose product has no flow before the seed's day."""
-    flows = existing.unionByName(new.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(*existing.columns))
+    """existing, then new rows of unknown key, then seeds of unknown key whose product has no flow before the seed's day. Of several
+    rows of one key the smallest by its other columns counts, so that runs agree."""
+    flows = existing.unionByName(_least(new, key).join(existing.select(*key), key, "left_anti").select(*existing.columns))
     first = flows.groupBy(product).agg(F.min("date").alias("_first"))
-    keep = seeds.dropDuplicates(key).join(flows.select(*key), key, "left_anti").join(first, product, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("date")))
+    keep = _least(seeds, key).join(flows.select(*key), key, "left_anti").join(first, product, "left").where(F.col("_first").isNull() | (F.col("_first") >= F.col("date")))
     return flows.unionByName(keep.select(*existing.columns))
 
 
@@ -106,3 +113,24 @@ def migration_seeds(migrations: DataFrame) -> DataFrame:
 def earliest_real(moves: DataFrame) -> DataFrame:
     """First day of each product, seeds not counted."""
     return moves.groupBy("product").agg(F.min(F.when(~F.col("source").endswith("_seed"), F.col("date"))).cast("string").alias("first"))
+
+
+def method_merged(existing: DataFrame, incoming: DataFrame, key: list[str], methods: list[str], order: str = "n") -> tuple[DataFrame, DataFrame]:
+    """The table after incoming rows (key, value, method, n) were taken in order, and what became of each row: inserted, skipped,
+    upgraded or a conflict.
+
+    A key's value is the table's, or else that of its first incoming row; it is never overwritten. Rows of the same value may
+    better the method (methods: best first; unknown ones are worst), so of several each is compared with the best before it.
+    existing (key, value, method) has a key once. All is windows over a key's rows: no row is looked up in a loop."""
+    rank = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, methods)), c), F.lit(0)), F.lit(len(methods) + 1))
+    stored = existing.select(*key, "value", "method", F.lit(None).cast(incoming.schema[order].dataType).alias(order), F.lit(True).alias("_old"))
+    rows = stored.unionByName(incoming.select(*key, "value", "method", order, F.lit(False).alias("_old")))
+    w = Window.partitionBy(*key).orderBy(F.desc("_old"), order, "value", "method")
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = F.col("value").eqNullSafe(F.col("_base"))
+    best = F.min(F.when(same, rank(F.col("method")))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_base", F.first("value").over(first)).withColumn("_at", F.row_number().over(w)).withColumn("_best", best)
+    action = F.when(F.col("_old"), F.lit(None).cast("string")).when(F.col("_at") == 1, "inserted").when(~same, "conflict").when(rank(F.col("method")) < F.col("_best"), "upgraded").otherwise("skipped")
+    told = marked.withColumn("action", action)
+    merged = told.where(same).groupBy(*key).agg(F.first("_base").alias("value"), F.min_by("method", F.struct(rank(F.col("method")), "_at")).alias("method"))
+    return merged, told.where("not _old").select(*key, order, F.col("_base").alias("kept"), F.col("value").alias("sent"), "action")

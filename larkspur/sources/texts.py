@@ -52,3 +52,20 @@ def read_blocks(spark: SparkSession, path: str, header: str, schema: str, sep: s
     ruled = ruled.where(~F.col("line").rlike(skip)) if skip else ruled
     place = ["file", "start", "at"] if keep_place else []
     return ruled.withColumnRenamed("block", "start").select(*place, F.col("ruling").alias("block"), F.from_csv("line", schema, {"sep": sep}).alias("r")).select(*place, "block", "r.*")
+
+
+def heads(spark: SparkSession, path: str, count: int = 5, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """(file, name, head): the first ``count`` lines of each file, and its name without folders. Files whose first split ends before
+    that many lines give those that start in it."""
+    first = lines(spark, path, encodings).where("block = 0").withColumn("_r", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("_r") <= count)
+    said = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("_r", "line"))).alias("l"))
+    return said.select("file", F.element_at(F.split("file", "/"), -1).alias("name"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("head"))
+
+
+def read_card_invoices(spark: SparkSession, path: str) -> DataFrame:
+    """Card invoices (date; place; holder; amount in the bank's way, purchases above zero), with or without a byte order mark and a
+    header: (file, date, description, amount), purchases below zero. Lines without a date go."""
+    from ..functions.scalar import any_date, ptbr_decimal
+
+    cut = lines(spark, path).select("file", F.split(F.regexp_replace("line", "^\ufeff", ""), ";").alias("c")).where(F.size("c") >= 4)
+    return cut.select("file", any_date(F.get("c", F.lit(0))).alias("date"), F.trim(F.get("c", F.lit(1))).alias("description"), (-ptbr_decimal(F.get("c", F.lit(3)))).cast("decimal(18,2)").alias("amount")).where("date is not null")
