@@ -60,15 +60,16 @@ class _Pairs:
 def offsetting_pairs(tx: DataFrame) -> DataFrame:
     """Rows of one day and currency that cancel between two banks: in order of seq (no two rows share one) each row takes the
     first one left of the opposite amount and another bank, so a row is used once; a missing bank is a bank of its own. Groups
-    (date, currency, size) of two rows, which most are, need an aggregate only; larger ones with both signs and two banks
-    stream through a fold, as each pair depends on those before it."""
+    (date, currency, size) of two rows, which most are, need the group's aggregates only; larger ones with both signs and two
+    banks stream through a fold, as each pair depends on those before it. Both parts read one and the same shuffle."""
     keys = ["date", "currency", "size"]
     sized = tx.where("amount <> 0").select(F.col("date").cast("string").alias("date"), "currency", F.abs("amount").cast("double").alias("size"), "seq", "bank", (F.col("amount") > 0).alias("up"))
-    row, known = F.struct("seq", "bank", "up"), F.count("bank")
-    groups = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("a"), F.max(row).alias("b"), ((F.min("bank") != F.max("bank")) | ((known > 0) & (known < F.count(F.lit(1))))).alias("banks"), (F.bool_or("up") & F.bool_or(~F.col("up"))).alias("signs")).where("banks and signs")
-    two = groups.where("n = 2").select(*keys, F.when(F.col("a.up"), F.col("a.seq")).otherwise(F.col("b.seq")).alias("in_seq"), F.when(F.col("a.up"), F.col("b.seq")).otherwise(F.col("a.seq")).alias("out_seq"))
-    more = sized.join(groups.where("n > 2").select(*keys), keys, "left_semi")
-    return two.unionByName(streamed(more, keys, ["seq"], ["seq", "bank", "up"], _Pairs, "date string, currency string, size double, in_seq long, out_seq long"))
+    w, row = Window.partitionBy(*keys), F.struct("seq", "bank", "up")
+    n, known = F.count(F.lit(1)).over(w), F.count("bank").over(w)
+    banks = (F.min("bank").over(w) != F.max("bank").over(w)) | ((known > 0) & (known < n))
+    able = sized.withColumn("_n", n).withColumn("_able", banks & F.bool_or("up").over(w) & F.bool_or(~F.col("up")).over(w)).withColumn("_a", F.min(row).over(w)).withColumn("_b", F.max(row).over(w)).where("_able")
+    two = able.where((F.col("_n") == 2) & F.col("up")).select(*keys, F.col("seq").alias("in_seq"), F.when(F.col("_a.up"), F.col("_b.seq")).otherwise(F.col("_a.seq")).alias("out_seq"))
+    return two.unionByName(streamed(able.where("_n > 2"), keys, ["seq"], ["seq", "bank", "up"], _Pairs, "date string, currency string, size double, in_seq long, out_seq long"))
 
 
 def cross_source_dedup(rows: DataFrame, preferred: str = "broker", dropped: tuple[str, ...] = ("b3",)) -> DataFrame:
