@@ -41,15 +41,15 @@ def top_k(scored: DataFrame, key: str, k: int, slices: int = 64) -> DataFrame:
     return few.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50) -> DataFrame:
-    """Exact best k of vectors (id, v) for each of a stated set of queries (qid, v) by cosine; in blocks of the
-    vectors, as the queries go to every task (their number is the caller's)."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, blocks: int = 64) -> DataFrame:
+    """Exact best k of vectors (id, v) for each of a stated set of queries (qid, v) by cosine. Vectors stand in blocks by a hash,
+    and the queries go to each block, so neither side is ever held as a whole."""
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
     v = vectors.select("id", d(F.col("v")).alias("v")).withColumn("nv", norm(F.col("v")))
     q = queries.select("qid", d(F.col("v")).alias("q")).withColumn("nq", norm(F.col("q")))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top_k(v.crossJoin(F.broadcast(q)).select("qid", "id", F.round(dot / (F.col("nv") * F.col("nq")), 6).alias("score")), "qid", k)
+    return top_k(v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block").select("qid", "id", F.round(dot / (F.col("nv") * F.col("nq")), 6).alias("score")), "qid", k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = 25, c: int = 60) -> DataFrame:

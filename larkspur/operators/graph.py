@@ -27,8 +27,8 @@ def waves(nodes: DataFrame, deps: DataFrame, most: int | None = None) -> DataFra
         done = ready if done is None else done.unionByName(ready)
         if wave % 50 == 49:
             done = cut(done)
-        left = cut(left.join(ready.select("id"), "id", "left_anti"))
-        edges = cut(edges.join(ready.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"))
+        left = cut(left.join(ready.select("id"), "id", "left_anti"), "waves", left)
+        edges = cut(edges.join(ready.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", "needs"), "waves", edges)
     rest = left.withColumn("wave", F.lit(None).cast("long"))
     return rest if done is None else done.unionByName(rest)
 

@@ -74,7 +74,7 @@ def fifo_cost(trades: DataFrame) -> DataFrame:
     start = F.greatest("e0", "b0")
     met = met.where((F.least("e", "b") > start) & (F.floor(start / width) == F.col("bin")))
     part = F.least("e", "b") - start
-    return met.groupBy("ticker").agg(F.round(F.sum(part), 4).alias("sold"), F.round(F.sum(part * F.col("price")), 0).alias("cost"))
+    return met.groupBy("ticker").agg(F.round(F.sum(part), 4).alias("sold"), F.round(F.sum((part * F.col("price")).cast("decimal(28,6)")), 4).cast("double").alias("cost"))
 
 
 def flows(trades: DataFrame) -> DataFrame:

@@ -43,17 +43,27 @@ def subdivision(docs: DataFrame, least: int = 10) -> DataFrame:
     return per.withColumn("verdict", F.when(F.col("n") >= least, "subdivide").otherwise("straggler"))
 
 
-def cross_currency(tx: DataFrame) -> DataFrame:
-    """Best counterpart of each funding row on its day: other bank and currency, opposite signs; a plausible rate scores
-    more; ties to the smallest seq.
+def cross_currency(tx: DataFrame, vendors: tuple[str, ...] = ("URGENT",), funding: tuple[str, ...] = (), noise: tuple[str, ...] = (), matched: DataFrame | None = None) -> DataFrame:
+    """Best counterpart of each funding row on its day: other bank and currency, opposite signs; a vendor's name in the counterpart's
+    description scores 100, a plausible rate 10; ties to the smallest seq. Only rows whose description holds a word of
+    ``funding`` are served (all without words), counterparts with a word of ``noise`` don't count, any case; rows of ``matched``
+    (seq) are out on both sides.
 
     A funding row meets the smallest seq of each kind of counterpart, and for the rate that of each logarithmic bin of
     amounts between 3 and 8 times its own; only in the bins at both ends do amounts meet one by one."""
+
+    def holds(words: tuple[str, ...]) -> Column:
+        out = F.lit(False)
+        for x in words:
+            out = out | F.contains(F.upper(F.coalesce("description", F.lit(""))), F.lit(x.upper()))
+        return out
+
+    tx = tx.join(matched.select("seq"), "seq", "left_anti") if matched is not None else tx
     width = 0.05
     bin_ = lambda x: F.floor(F.log(x) / width)
-    a = tx.where("amount > 0").select(F.col("seq").alias("fund"), "date", F.col("bank").alias("ba"), F.col("currency").alias("ca"), F.col("amount").cast("double").alias("aa"))
-    urgent = F.when(F.col("description").contains("URGENT"), 100).otherwise(0).alias("score")
-    b = tx.where("amount < 0").select("seq", "date", "bank", "currency", urgent, F.col("amount").cast("double").alias("amount")).withColumn("bin", bin_(F.abs("amount")))
+    a = tx.where((F.col("amount") > 0) & (holds(funding) if funding else F.lit(True))).select(F.col("seq").alias("fund"), "date", F.col("bank").alias("ba"), F.col("currency").alias("ca"), F.col("amount").cast("double").alias("aa"))
+    named = F.when(holds(vendors), 100).otherwise(0).alias("score")
+    b = tx.where((F.col("amount") < 0) & ~holds(noise)).select("seq", "date", "bank", "currency", named, F.col("amount").cast("double").alias("amount")).withColumn("bin", bin_(F.abs("amount")))
     least = F.min("seq").alias("seq")
     kind = ["date", "bank", "currency", "score"]
     low, high = bin_(F.col("aa") * 3), bin_(F.col("aa") * 8)

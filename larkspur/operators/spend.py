@@ -86,7 +86,7 @@ def evolution(tx: DataFrame, keep: int = 3) -> DataFrame:
     spend = tx.where(is_expense()).groupBy("category", month().alias("month")).agg(F.sum(-F.col("amount")).alias("v"))
     rank = spend.groupBy("category").agg(F.sum("v").alias("t")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("t"), "category")))
     slot = F.when(F.col("rank") <= keep, F.concat(F.lit("top"), F.col("rank").cast("string"))).otherwise("other")
-    wide = spend.join(F.broadcast(rank.select("category", "rank")), "category").withColumn("slot", slot).groupBy("month").pivot("slot", [*(f"top{i}" for i in range(1, keep + 1)), "other"])
+    wide = spend.join(rank.select("category", "rank"), "category").withColumn("slot", slot).groupBy("month").pivot("slot", [*(f"top{i}" for i in range(1, keep + 1)), "other"])
     wide = wide.agg(F.sum("v"))
     cols = [*(f"top{i}" for i in range(1, keep + 1)), "other"]
     total = sum((F.coalesce(F.col(c), F.lit(0)) for c in cols[1:]), F.coalesce(F.col(cols[0]), F.lit(0)))
@@ -142,7 +142,7 @@ def transaction_count_gate(tx: DataFrame, most_outside: float = 0.1) -> DataFram
     mode = per.groupBy("bank").agg(F.min_by("m", F.struct(-F.col("k"), "m")).alias("expected"))
     first = F.to_date(F.concat("expected", F.lit("-01")))
     out = ~F.col("date").between(F.date_sub(first, 5), F.date_add(F.last_day(first), 5))
-    return tx.join(F.broadcast(mode), "bank").groupBy("bank", "expected").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(out.cast("double")), 6).alias("outside")).withColumn("passed", F.col("outside") <= most_outside)
+    return tx.join(mode, "bank").groupBy("bank", "expected").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(out.cast("double")), 6).alias("outside")).withColumn("passed", F.col("outside") <= most_outside)
 
 
 def boundary_days(tx: DataFrame) -> DataFrame:

@@ -86,11 +86,12 @@ case when t.side = 'C' then f.c + abs(cast(t.total as double)) when f.q > 0 then
 query("average_cost_positions", "select ticker, round(q, 4) as quantity, round(c, 2) as cost from (select ticker, q, c, row_number() over (partition by ticker order by seq desc) as r from f) where r = 1", TRADES, AVERAGE)(
     lambda s, d: invest.average_cost(trades(s, d)))
 
-query("fifo_cost", """select s.ticker, round(sum(least(e, b) - greatest(e0, b0)), 4) as sold, round(sum((least(e, b) - greatest(e0, b0)) * price), 0) as cost
+# whole cents, cut off just above them, as lots often cost whole or half cents and the last bits of sums differ
+query("fifo_cost", """select s.ticker, round(sum(least(e, b) - greatest(e0, b0)), 4) as sold, floor(cast(sum(cast((least(e, b) - greatest(e0, b0)) * price as decimal(28,6))) as double) * 100 + 0.013) / 100 as cost
 from (select ticker, e, coalesce(lag(e) over (partition by ticker order by seq), 0) as e0 from r where side <> 'C') s
 join (select ticker, b - quantity as b0, b, cast(total as double) / quantity as price from r where side = 'C') l on s.ticker = l.ticker and least(e, b) > greatest(e0, b0) group by s.ticker""", TRADES, """
 q as (select *, sum(case when side = 'C' then quantity else 0 end) over w as b, sum(case when side = 'C' then 0 else quantity end) over w as s from trades window w as (partition by ticker order by seq)),
-r as (select *, s - greatest(0, -min(b - s) over (partition by ticker order by seq)) as e from q)""")(lambda s, d: invest.fifo_cost(trades(s, d)))
+r as (select *, s - greatest(0, -min(b - s) over (partition by ticker order by seq)) as e from q)""")(lambda s, d: invest.fifo_cost(trades(s, d)).withColumn("cost", F.floor(F.col("cost") * 100 + 0.013) / 100))
 
 FLOWS = "flows as (select ticker, date, sum(case when side = 'C' then -total else total end) as flow from trades group by all)"
 query("running_flow", "select ticker, cast(date as varchar) as date, cast(flow as double) as flow, cast(sum(flow) over (partition by ticker order by date) as double) as running from flows", TRADES, FLOWS)(lambda s, d: invest.running_flow(trades(s, d)))

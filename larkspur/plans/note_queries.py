@@ -99,8 +99,8 @@ query("number_tokens", "select o_orderkey as id, round(floor(o_totalprice) + 0.5
     .select("id", notes.number_tokens(F.col("t"))[0].alias("v"), F.size(notes.number_tokens(F.col("t"))).alias("n"), notes.currency_of(F.col("t")).alias("currency")))
 query("doi_extraction", "select doc_id as id, '10.1000/abc' || doc_id as first, 2 as n from documents")(
     lambda s, d: documents(s, d).select("id", notes.dois(F.concat(F.lit("See https://doi.org/10.1000/ABC"), F.col("id"), F.lit(", again 10.1000/abc"), F.col("id"), F.lit(". Also (10.99999/x_y).\nEnd"))).alias("d")).select("id", F.col("d")[0].alias("first"), F.size("d").alias("n")))
-query("displayed_numbers", """select l_linenumber as k, count(*) as n, sum(length(case when l_quantity >= 10 then format('{:.0f}', l_quantity) else format('{:.0f}', l_quantity) end))::bigint as chars, sum(case when l_discount = 0 then 3 else length(printf('%+.1f%%', round(l_discount * 1000) / 10)) end)::bigint as deltas from lineitem group by 1""")(
-    lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(notes.display(F.col("l_quantity")))).alias("chars"), F.sum(F.when(F.col("l_discount") == 0, 3).otherwise(F.length(notes.delta(F.lit(1.0), 1 + F.col("l_discount"))))).alias("deltas")))
+query("displayed_numbers", """select l_linenumber as k, count(*) as n, sum(length(case when abs(l_quantity / 4) >= 10 then format('{:.0f}', round(l_quantity / 4)) else regexp_replace(format('{:.1f}', round(l_quantity / 4, 1)), '[.]0$', '') end))::bigint as chars, cast(sum(cast(case when abs(l_quantity / 4) >= 10 then round(cast(l_quantity / 4 as decimal(18,4))) else round(cast(l_quantity / 4 as decimal(18,4)), 1) end as decimal(18,1))) as double) as shown, sum(case when l_discount = 0 then 3 else length(printf('%+.1f%%', round(l_discount * 1000) / 10)) end)::bigint as deltas from lineitem group by 1""")(
+    lambda s, d: table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(notes.display(F.col("l_quantity") / 4))).alias("chars"), F.sum(notes.display(F.col("l_quantity") / 4).cast("decimal(18,1)")).cast("double").alias("shown"), F.sum(F.when(F.col("l_discount") == 0, 3).otherwise(F.length(notes.delta(F.lit(1.0), 1 + F.col("l_discount"))))).alias("deltas")))
 query("published_dates", """select cast(p as varchar) as day, count(*) as n from (select case o_orderkey % 5 when 0 then cast(o_orderdate as date) when 1 then date_trunc('month', cast(o_orderdate as date))::date when 2 then date_trunc('year', cast(o_orderdate as date))::date end as p from orders) group by p""")(
     lambda s, d: (lambda k, t: table(s, d, "orders").select(notes.published(F.when(k % 5 == 0, F.date_format(t, "yyyy-MM-dd'T'HH")).when(k % 5 == 1, F.date_format(t, "yyyy-MM")).when(k % 5 == 2, F.date_format(t, " yyyy")).when(k % 5 == 3, F.lit("1750-01-01")).otherwise("soon")).alias("p")).groupBy(F.col("p").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n")))(F.col("o_orderkey"), F.col("o_orderdate")))
 query("filings_from_arrays", "select l_orderkey as id, cast(cast(l_shipdate as date) as varchar) as date, l_returnflag as form, l_quantity as value from lineitem where l_returnflag in ('A', 'R')")(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import reports
+from ..operators import joins, reports
 from ..sources.adapters import INCOME, OTC, QUOTES, TRADES, TX, income, otc, quotes, table, transactions
+from .invest_queries import PAIRED
+from .pipeline_queries import raw_rows
 from .registry import SQL, query
 from .rule_queries import ASSETS, assets
 
@@ -23,6 +25,15 @@ query("cross_currency_best", """select fund, seq, score from (select a.seq as fu
 row_number() over (partition by a.seq order by case when b.description like '%URGENT%' then 100 else 0 end + case when abs(cast(b.amount as double) / cast(a.amount as double)) between 3 and 8 then 10 else 0 end desc, b.seq) as r
 from tx a join tx b on a.date = b.date and a.bank <> b.bank and a.currency <> b.currency and b.amount < 0 where a.amount > 0) where r = 1""", TX)(lambda s, d: reports.cross_currency(transactions(s, d)))
 
+#: Unpaired rows only, with words for funding rows, for vendors and for noise; twins as in the pairs.
+query("cross_currency_review", """select fund, seq, score from (select fund, seq, score, row_number() over (partition by fund order by score desc, seq) as r from (
+select a.seq as fund, b.seq, case when contains(upper(b.description), 'URGENT') or contains(upper(b.description), 'LOW') then 100 else 0 end + case when abs(cast(b.amount as double) / cast(a.amount as double)) between 3 and 8 then 10 else 0 end as score
+from twins a join twins b on a.date = b.date and a.bank <> b.bank and a.currency <> b.currency and b.amount < 0 and not contains(upper(b.description), 'PARC')
+where a.amount > 0 and contains(upper(a.description), 'REFUND') and a.seq not in (select seq from paired) and b.seq not in (select seq from paired))) where r = 1""", TX,
+      "twins as (select seq, date, amount, bank, currency, description from tx union all select seq + 1000000000, date, cast(-amount as decimal(18,2)), 'OTHER', currency, description || ' back' from tx where seq % 7 = 0)", PAIRED,
+      "paired as (select distinct unnest([x.a, x.b]) as seq from (select unnest(pairs) as x from (select *, row_number() over (partition by date, currency, size order by k desc) as r from step) where r = 1))")(
+    lambda s, d: (lambda raw, pairs: reports.cross_currency(raw, ("urgent", "Low"), ("refund",), ("parc",), pairs.select(F.col("in_seq").alias("seq")).union(pairs.select(F.col("out_seq").alias("seq")))))(raw_rows(s, d), joins.offsetting_pairs(raw_rows(s, d))))
+
 NAMES = [("small ring", "Ring (S)"), ("Red Widget", "Widget, red"), ("BLUE BOLT", "Bolt"), ("hot gear", "Gear")]
 query("name_map_lookup", f"""select p_partkey as id, coalesce(a.c, b.c) as canonical, case when a.c is not null then 'exact' when b.c is not null then 'folded' else 'unknown' end as how from part
 left join n a on a.r = p_name left join (select lower(r) as r, min(c) as c from n group by 1) b on b.r = lower(p_name)""", f"n(r, c) as (values {', '.join(f'({a!r}, {b!r})' for a, b in NAMES)})")(

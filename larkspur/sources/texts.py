@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Files up to which a table with a row a file is broadcast: the driver has listed their names anyway.
+FEW = 100_000
+
+
+def _told(rows: DataFrame, per_file: DataFrame) -> DataFrame:
+    """rows with what is known of their file. Shuffled by file, a long file would be one task; so a row a file is broadcast while
+    the files are few, and with more of them no file is most of the rows for long and Spark decides."""
+    return rows.join(F.broadcast(per_file) if len(rows.inputFiles()) <= FEW else per_file, "file")
+
+
 def lines(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
     """(file, block, at, line) of every line of the files at path: block is where its split starts, at orders the lines of a
     split. Each file is read in the first encoding that fits all of its bytes; only UTF-8 can fail to fit, so what comes after
@@ -19,7 +29,7 @@ def lines(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8",
     if not others:
         return raw
     fits = raw.groupBy("file").agg(F.bool_and(F.is_valid_utf8("line")).alias("fits"))
-    return raw.join(fits, "file").withColumn("line", F.when(F.col("fits"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), others[0]))).drop("fits")
+    return _told(raw, fits).withColumn("line", F.when(F.col("fits"), F.col("line")).otherwise(F.decode(F.col("line").cast("binary"), others[0]))).drop("fits")
 
 
 def read_statement(spark: SparkSession, path: str, header: str, schema: str, sep: str = ";", encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), keep_file: bool = False) -> DataFrame:
@@ -28,7 +38,7 @@ def read_statement(spark: SparkSession, path: str, header: str, schema: str, sep
     all_ = lines(spark, path, encodings)
     place = F.struct("block", "at")
     starts = all_.where(F.startswith(F.col("line"), F.lit(header))).groupBy("file").agg(F.min(place).alias("start"))
-    body = all_.join(starts, "file").where((place > F.col("start")) & (F.trim("line") != ""))
+    body = _told(all_, starts).where((place > F.col("start")) & (F.trim("line") != ""))
     return body.select(*(["file"] if keep_file else []), F.from_csv("line", schema, {"sep": sep}).alias("r")).select(*(["file"] if keep_file else []), "r.*")
 
 
