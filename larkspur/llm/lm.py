@@ -9,8 +9,10 @@ features is the base. P(word | leaf) is the smoothed unigram within the leaf.
 
 Training: each task makes AdaGrad updates on mini-batches of its documents, Spark averages the tasks' weights entry by
 entry, weighted by how much each task saw of an entry, in a tree of partial means, and hands the mean back for the next
-round. The table of weights grows with the square root of the number of tokens (2 MB at 0.5 GB of text, 16 MB at 30 GB),
-and the number of training tasks is lowered where all their tables together would exceed the texts.
+round. The table of weights has 2^20 entries for up to 2^28 tokens, so that few features of a small corpus share an entry,
+and then grows with the square root of their number (2^22 at 30 GB) up to 2^26 entries at 2^40 tokens, as the driver collects
+12 bytes an entry; the counts grow with the vocabulary without bound. The number of training tasks is lowered where all
+their tables together would exceed the texts.
 
 Counts meet texts by chunk, a bounded group of documents: a chunk sends each distinct token once with its own count
 and gets back only totals that differ. No list of a token's documents is ever built, and the vocabulary, which grows
@@ -35,11 +37,13 @@ _I = np.uint32
 END, NONE = _U(0x6C62272E07BB0142), _U(0x27D4EB2F165667C5)
 #: Entries of a block of weights on its way, and tokens scored at once.
 BLOCK, BATCH = 1 << 14, 1 << 15
+#: Bounds of bits_for.
+FEWEST, MOST = 20, 26
 
 
 def bits_for(tokens: int) -> int:
-    """log2 of the number of weights: one more for each fourfold number of tokens."""
-    return max(14, 19 + int(np.floor(np.log2(max(tokens, 1) / 2**26) / 2)))
+    """log2 of the number of weights: one more for each fourfold number of tokens, between FEWEST and MOST."""
+    return min(MOST, max(FEWEST, 19 + int(np.floor(np.log2(max(tokens, 1) / 2**26) / 2))))
 
 
 def encoded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +111,12 @@ def biases(leaves: np.ndarray) -> np.ndarray:
     return out
 
 
-def _trained(start: bytes | None, bias: np.ndarray, bits: int, rate: float, groups: int):
+def _trained(start: bytes | None, bias: np.ndarray, bits: int, rate: float, groups: int, step: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        size, step = 1 << bits, 1 << (bits - 6)
+        size = 1 << bits
         both = np.zeros((2, size), np.float32) if start is None else np.frombuffer(start, np.float32).reshape(2, size).copy()
         w, sq = both
         before = sq.copy()
@@ -175,10 +179,12 @@ def train(docs: DataFrame, leaves: np.ndarray, tokens: int, bytes_: int, rounds:
     if tasks > most:
         tasks, texts = most, texts.coalesce(most)
     groups, blocks = max(1, int(tasks**0.5)), size // BLOCK
+    # a batch costs a pass over the table, so batches grow with it; a small corpus still gets 64 of them a task
+    step = max(256, min(size >> 6, tokens // (64 * max(1, tasks))))
     kind = "block int, part int, n long, w binary"
     state: bytes | None = None
     for _ in range(rounds):
-        parts = texts.mapInArrow(_trained(state, bias, bits, rate, groups), kind)
+        parts = texts.mapInArrow(_trained(state, bias, bits, rate, groups, step), kind)
         some = parts.repartition(blocks * groups, "block", "part").mapInArrow(_summed, kind).withColumn("part", F.lit(0))
         rows = sorted(some.repartition(blocks, "block").mapInArrow(_summed, kind).collect(), key=lambda r: r["block"])
         if not rows:

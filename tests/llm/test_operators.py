@@ -180,6 +180,47 @@ def test_lm(docs, none, texts):
     assert lm.op4_lm_scoring(none).count() == 0
 
 
+def test_lm_score_is_a_plain_sum_over_paths(docs, texts, monkeypatch):
+    """The score of every document, from the trained weights, by loops over tokens and nodes; the leaves' chances sum to 1."""
+    from math import exp, log
+
+    import numpy as np
+
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: kept.setdefault("w", train(*a, **k)))
+    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm.op4_lm_scoring(docs).collect()}
+    w, bias = kept["w"]
+    bits = len(w).bit_length() - 1
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    seq = [(i, *(x.tolist() for x in lm.encoded((t or "").encode()))) for i, t in texts]
+    c = Counter(x for i, h, _ in seq if not held(i) for x in h)
+    leaf_of = {x: k for _, hs, ks in seq for x, k in zip(hs, ks)}
+    n, v = sum(c.values()), len(c)
+    in_leaf = Counter()
+    for x, m in c.items():
+        in_leaf[leaf_of[x]] += m + 1
+
+    def chance(f, leaf):
+        p = 0.0
+        for d in range(lm.DEPTH):
+            node, turn = (leaf >> (lm.DEPTH - d)) | 1 << d, leaf >> (lm.DEPTH - 1 - d) & 1
+            z = float(bias[node])
+            for x in f:
+                x = (x ^ node * 0x9E3779B1 & 0xFFFFFFFF) * 0x85EBCA6B & 0xFFFFFFFF
+                z += float(w[((x ^ x >> 15) * 0xC2B2AE35 & 0xFFFFFFFF) >> 32 - bits])
+            p -= log(1 + exp(-z if turn else z))
+        return p
+
+    assert np.any(w)
+    for i, hs, ks in sorted(seq, key=lambda x: len(x[1]))[-40:]:
+        f = lm.features(np.array(hs, np.uint64)).T.tolist()
+        want = sum(chance(a, k) / log(10) + log10((c[x] + 1) / (in_leaf[k] + 1)) for a, k, x in zip(f, ks, hs))
+        base = round(sum(log10((c[x] + 1) / (n + v + 1)) for x in hs), 6)
+        assert abs(got[i, len(hs), base] - want) < 1e-3 * max(1, len(hs) / 100)
+    assert abs(sum(exp(chance(f[-1], k)) for k in range(lm.LEAVES)) - 1) < 1e-6
+
+
 def test_lm_beats_the_base_on_held_out_text(spark):
     """Words whose class follows from the word before."""
     import numpy as np
