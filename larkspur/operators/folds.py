@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -54,4 +55,6 @@ def streamed(rows: DataFrame, key: list[str], order: list, columns: list[str], m
         if out:
             yield full()
 
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).select(*key, *columns).mapInArrow(each, schema)
+    # by a hash of its own: Spark drops a repartition that a join before it already gave, and may then turn that join into a
+    # broadcast whose rows are read where they lie, so that keys fall apart over tasks
+    return rows.repartition(F.xxhash64(*key)).sortWithinPartitions(*key, *order).select(*key, *columns).mapInArrow(each, schema)
