@@ -82,19 +82,28 @@ def positions(events: DataFrame, types: DataFrame | None = None) -> DataFrame:
 TIERS = ("in", "income", "sell", "buy", "out")
 
 
+#: What is less than this is nothing: a remainder of rounding, no lot.
+NIL = 1e-12
+
+
 def _consume(lots: deque, amount: float) -> None:
-    """Takes amount from the oldest lots [quantity, rate, ...]; what they lack is lost."""
-    while lots and amount > 0:
-        if lots[0][0] <= amount:
-            amount -= lots.popleft()[0]
-        else:
-            lots[0][0] -= amount
-            amount = 0.0
+    """Takes amount from the oldest lots [quantity, rate, ...]; what they lack is lost. What is left of a lot is what the running
+    total of the lots exceeds the amount by."""
+    total = 0.0
+    while lots:
+        total += lots[0][0]
+        left = min(lots[0][0], total - amount)
+        if left > NIL:
+            lots[0][0] = left
+            return
+        lots.popleft()
 
 
 def _mean_rate(lots: deque) -> tuple[float, float]:
-    held = sum(x[0] for x in lots)
-    return held, sum(x[0] * x[1] for x in lots) / held if held > 0 else 0.0
+    held = worth = 0.0  # added up one by one: sum() of floats corrects its rounding, other engines' sums don't
+    for x in lots:
+        held, worth = held + x[0], worth + x[0] * x[1]
+    return held, worth / held if held > 0 else 0.0
 
 
 class _Account:
