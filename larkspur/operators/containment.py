@@ -1,15 +1,17 @@
 """Which of many patterns a text contains, patterns of any length, anywhere in the text, by anchors.
 
-Every pattern is filed under its rarest run of three characters (a shorter pattern under itself); a text meets only the
-patterns whose anchor it holds, in an equi-join, and each meeting is verified on the whole pattern."""
+Every pattern is filed under its rarest run of characters, as long as the largest power of two that it holds; a text meets only
+the patterns whose anchor it holds, in an equi-join, and each meeting is verified on the whole pattern."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of an anchor, and tasks over which the texts of one anchor are dealt.
-Q, PARTS = 3, 16
+#: Lengths of anchors, and tasks over which the texts of one anchor are dealt.
+SIZES, PARTS = (1, 2, 4, 8, 16, 32), 16
+#: Up to so many runs are broadcast.
+FEW = 200_000
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -22,23 +24,31 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     no part and an empty pattern is in no text; characters are compared as they are.
 
     Only anchors are joined: the rarest run of each pattern by the number of texts that hold it, so what meets is near what
-    matches. Texts are exploded and joined as hashes and come back for the verification, which also settles equal hashes. The
-    texts of an anchor are dealt over PARTS tasks, as a short pattern's anchor may be in all of them."""
+    matches. Runs are nearly as long as the patterns: of three characters, a thousand numbers share each, and what meets grows
+    with the square of the input. Runs and texts are joined as hashes; texts come back for the verification, which also settles
+    equal hashes. The texts of an anchor are dealt over PARTS tasks, as a short pattern's anchor may be in all of them."""
     t = texts.select("text").where("text is not null").distinct().select(F.xxhash64("text").alias("h"), "text")
+    return t.join(_met(t, patterns), "h").where(F.contains("text", "pattern")).select("text", "pattern")
+
+
+def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(h, pattern) for texts (h, text) and the patterns whose anchors they hold."""
     p = patterns.select("pattern").where("pattern <> ''").distinct()
-    sized = p.withColumn("q", F.least(F.length("pattern"), F.lit(Q)))
-    runs = F.coalesce(*(F.when(F.col("q") == n, _grams(F.col("pattern"), n)) for n in range(1, Q + 1)))
-    wanted = sized.select("pattern", F.explode(runs).alias("gram"))
-    lengths = {r["q"] for r in sized.select("q").distinct().collect()}  # at most Q numbers
+    size = F.greatest(*(F.when(F.length("pattern") >= n, F.lit(n)) for n in SIZES), F.lit(1))
+    runs = F.coalesce(*(F.when(F.col("q") == n, _grams(F.col("pattern"), n)) for n in SIZES))
+    wanted = p.withColumn("q", size).select("pattern", "q", F.explode(runs).alias("gram")).select("pattern", "q", F.xxhash64("gram").alias("gram"))
+    lengths = {r["q"]: r["n"] for r in wanted.groupBy("q").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a length
     if not lengths:
-        return t.select("text", F.col("text").alias("pattern")).limit(0)
-    held = t.select("h", F.explode(F.concat(*(_grams(F.col("text"), n) for n in sorted(lengths)))).alias("gram"))
-    counts = held.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        return t.select("h", F.col("text").alias("pattern")).limit(0)
+    asked = wanted.select("gram").distinct()
+    if sum(lengths.values()) <= FEW:
+        asked = F.broadcast(asked)  # bounded; other runs of a text go before they are shuffled
+    held = t.select("h", F.explode(F.concat(*(_grams(F.col("text"), n) for n in sorted(lengths)))).alias("gram")).select("h", F.xxhash64("gram").alias("gram")).join(asked, "gram", "left_semi")
+    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a run that no text holds has no count: its pattern is in no text, and it must not be filed under another run
     filed = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).where("a.n > 0")
     anchors = filed.select("pattern", F.col("a.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("slot"))
-    met = held.withColumn("slot", F.pmod("h", F.lit(PARTS)).cast("int")).join(anchors, ["gram", "slot"]).select("h", "pattern").distinct()
-    return t.join(met, "h").where(F.contains("text", "pattern")).select("text", "pattern")
+    return held.withColumn("slot", F.pmod("h", F.lit(PARTS)).cast("int")).join(anchors, ["gram", "slot"]).select("h", "pattern").distinct()
 
 
 def longest_alias(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
