@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold_key
-from .containment import contained
+from .containment import FEW
 from .notes import prose_only
 
 #: Types of log entries that wait for a page or a decision, and types that are no longer in use.
@@ -23,19 +23,36 @@ def _apart(c: Column) -> Column:
 
 
 def name_mentions(docs: DataFrame, names: DataFrame, links: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(id, target, term, n, hub) where the prose of a document (id, text) names another (id, name) as whole words, whatever
-    separates them, n times, without linking it (src, dst) and without the pair being rejected (term, target). hub: the name is
-    one word, so it tells little. Names without ASCII letters or digits, and null texts, mention nothing.
-
-    Names meet documents through their rarest three characters, never all with all; only what meets is counted."""
-    prose = docs.select("id", _apart(prose_only(F.col("text"))).alias("text"))
-    named = names.select(F.col("id").alias("target"), _apart(F.col("name")).alias("pattern")).where("trim(pattern) <> ''").distinct()
-    n = (F.length("text") - F.length(F.replace("text", F.col("pattern"), F.lit("")))) / F.length("pattern")
-    key = F.sha2("text", 256)  # from here on no text moves
-    met = contained(prose, named).select(key.alias("key"), "pattern", n.cast("long").alias("n")).join(named, "pattern").join(prose.select("id", key.alias("key")), "key").where("id <> target")
-    term = F.replace(F.trim("pattern"), F.lit("  "), F.lit(" "))
-    counted = met.select("id", "target", term.alias("term"), "n", (F.instr(term, " ") == 0).alias("hub"))
-    return counted.join(links.select(F.col("src").alias("id"), F.col("dst").alias("target")), ["id", "target"], "left_anti").join(rejected.select("term", "target"), ["term", "target"], "left_anti").select("id", "target", "term", "n", "hub")
+    """(id, target, term, n, hub) where the prose of a document (id, text; ids are unique) names another (id, name) as whole
+    words, whatever separates them, n times, without linking it (src, dst) and without the pair being rejected (term, target).
+    hub: the name is one word, so it tells little. Names without ASCII letters or digits, and null texts, mention nothing.
+
+    A document's runs of as many words as names have meet the names in an equi-join, so no text moves. Mentions don't overlap:
+    only where a name begins as it ends ('so and so'), which its runs can't tell, are they counted in the text."""
+    words = lambda c: F.filter(F.split(F.trim(_apart(c)), " +"), lambda w: w != "")
+    prose = docs.where("text is not null").select("id", words(prose_only(F.col("text"))).alias("ws"))
+    w, k = F.col("ws"), F.size("ws")
+    named = names.select(F.col("id").alias("target"), words(F.col("name")).alias("ws")).where(k > 0).distinct()
+    again = (k > 1) & F.exists(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.slice(w, F.lit(1), i) == F.slice(w, k - i + 1, i))
+    named = named.select("target", F.array_join("ws", " ").alias("term"), (k == 1).alias("hub"), again.alias("again"), k.alias("k"))
+    kinds = named.groupBy("k", "again").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a number of words
+
+    def run(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), k - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        return w if n == 1 else F.when(k >= n, at).otherwise(F.array().cast("array<string>"))
+
+    runs = [run(n) for n in sorted({r["k"] for r in kinds})]
+    terms = named.select("term").distinct()
+    if sum(r["n"] for r in kinds) <= FEW:
+        terms = F.broadcast(terms)  # bounded; what names nothing goes before it is shuffled
+    said = prose.select("id", F.explode(F.concat(F.array().cast("array<string>"), *runs)).alias("term")).join(terms, "term", "left_semi")
+    met = said.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n")).join(named.drop("k"), "term").where("id <> target")
+    if any(r["again"] for r in kinds):
+        pattern = _apart(F.col("term"))
+        n = (F.length("text") - F.length(F.replace("text", pattern, F.lit("")))) / F.length(pattern)
+        texts = docs.select("id", _apart(prose_only(F.col("text"))).alias("text"))
+        met = met.where("not again").unionByName(met.where("again").join(texts, "id").withColumn("n", n.cast("long")).select(*met.columns))
+    return met.join(links.select(F.col("src").alias("id"), F.col("dst").alias("target")), ["id", "target"], "left_anti").join(rejected.select("term", "target"), ["term", "target"], "left_anti").select("id", "target", "term", "n", "hub")
 
 
 def broken_targets(links: DataFrame, files: DataFrame) -> DataFrame:

@@ -59,3 +59,14 @@ def test_log_plan(spark):
     assert (got[0]["page"], got[1]["age"], got[5]["page"]) == ("deep-learning.md", 9, "a-thesis.md")
     out = {r["id"]: r["text"] for r in links.pruned(docs, plan).collect()}
     assert out == {1: "before\n# log\n" + "".join(b for k, b in blocks if k not in ("spent", "retired")), 2: "no block", 3: None, 4: ""}
+
+
+def test_mentions_move_no_texts(spark):
+    """Names meet a text's runs of words: no text is joined or searched for each name; a name that ends as it begins is counted apart."""
+    docs = spark.createDataFrame([(1, "La la la la: red fox, red fox"), (2, "fox")], "id int, text string")
+    none = spark.createDataFrame([], "src int, dst int"), spark.createDataFrame([], "term string, target int")
+    plain = links.name_mentions(docs, spark.createDataFrame([(9, "red fox"), (8, "Fox")], "id int, name string"), *none)
+    assert sorted(tuple(r) for r in plain.collect()) == [(1, 8, "fox", 2, True), (1, 9, "red fox", 2, False), (2, 8, "fox", 1, True)]
+    assert "Contains(" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    same = links.name_mentions(docs, spark.createDataFrame([(7, "la la")], "id int, name string"), *none)
+    assert [tuple(r) for r in same.collect()] == [(1, 7, "la la", 2, False)]
