@@ -5,7 +5,7 @@ the patterns whose anchor it holds, in an equi-join, and each meeting is verifie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lengths of anchors, and tasks over which the texts of one anchor are dealt.
@@ -31,6 +31,16 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return t.join(_met(t, patterns), "h").where(F.contains("text", "pattern")).select("text", "pattern")
 
 
+def naming(texts: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
+    """(key, pattern) for every row of texts (key, text; keys unique) and distinct pattern (patterns.pattern) that its text contains.
+    As ``contained``, but equal texts are told once by the least key, and what leaves the verification is narrow."""
+    first = Window.partitionBy("text")
+    mapped = texts.where("text is not null").select(key, "text", F.min(key).over(first).alias("h"))
+    t = mapped.where(F.col(key) == F.col("h")).select("h", "text")
+    hit = t.join(_met(t, patterns), "h").where(F.contains("text", "pattern")).select("h", "pattern")
+    return hit.join(mapped.select(key, "h"), "h").select(key, "pattern")
+
+
 def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
     """(h, pattern) for texts (h, text) and the patterns whose anchors they hold."""
     p = patterns.select("pattern").where("pattern <> ''").distinct()
@@ -48,7 +58,7 @@ def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
     # a run that no text holds has no count: its pattern is in no text, and it must not be filed under another run
     filed = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).where("a.n > 0")
     anchors = filed.select("pattern", F.col("a.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("slot"))
-    return held.withColumn("slot", F.pmod("h", F.lit(PARTS)).cast("int")).join(anchors, ["gram", "slot"]).select("h", "pattern").distinct()
+    return held.withColumn("slot", F.pmod(F.xxhash64("h"), F.lit(PARTS)).cast("int")).join(anchors, ["gram", "slot"]).select("h", "pattern").distinct()
 
 
 def longest_alias(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:

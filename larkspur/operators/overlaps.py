@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .containment import contained
+from .containment import naming
 
 
-def set_overlaps(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
+def set_overlaps(left: DataFrame, right: DataFrame, least: int = 1, ranks: DataFrame | None = None) -> DataFrame:
     """(a, b, n): pairs of a set of left and one of right, each (id, member) by rows, that share n >= least members.
 
     Members are put in order of rarity over both sides. Of two sets that share ``least`` members, one is among the first
     size - least + 1 of each, so only these prefixes are joined; sets of fewer members than that are in no pair. The prefix
-    pairs are made distinct and verified on whole sets, gathered once a set. Repeated members count once, nulls not at all."""
+    pairs are made distinct and verified on whole sets, gathered once a set. Repeated members count once, nulls not at all. With
+    ranks (member, df; a row a member) there is also ``rarest``: the least (df, member) that both hold."""
     if least < 1:
         raise ValueError("least must be at least 1")
+    if ranks is not None and least == 1:  # whole sets are their prefixes, so the pairs are counted, and ranked, as they meet
+        a, b = (d.where("id is not null and member is not null").select(F.col("id").alias(x), "member").distinct() for d, x in ((left, "a"), (right, "b")))
+        return a.join(b.join(ranks, "member"), "member").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("df", "member")).alias("rarest"))
+    if ranks is not None:
+        pairs = set_overlaps(left, right, least)
+        both = pairs.join(left.select(F.col("id").alias("a"), "member").distinct(), "a").join(right.select(F.col("id").alias("b"), "member").distinct().join(ranks, "member"), ["b", "member"])
+        return both.groupBy("a", "b").agg(F.first("n").alias("n"), F.min(F.struct("df", "member")).alias("rarest"))
     a, b = (d.where("id is not null and member is not null").select("id", "member").distinct() for d in (left, right))
     rare = a.unionByName(b).groupBy("member").agg(F.count(F.lit(1)).alias("df"))
     both = a.select("member").distinct().join(b.select("member").distinct(), "member", "left_semi")  # others are in no pair
@@ -43,15 +51,17 @@ def backfill(sources: DataFrame, links: DataFrame, topics: DataFrame, key_links:
     links). match: the common link of the key section that stands in the fewest sources (then the first by name), rarest:
     in how many; weak: in ``weak`` or more. A pair without common key links has neither and is not weak."""
     lower: Column = F.lower(F.concat_ws("\n", "title", "body"))
-    texts, slugs = sources.select(F.col("id").alias("source"), lower.alias("text")), topics.where("slug <> ''").select(F.col("id").alias("topic"), F.lower("slug").alias("pattern"))
-    named = contained(texts, slugs).join(texts, "text").join(slugs, "pattern").select("source", "topic", F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"))
-    met = [set_overlaps(links, right, least).select(F.col("a").alias("source"), F.col("b").alias("topic"), F.lit(k).alias("k"), "n") for k, right in ((1, key_links), (2, related))]
+    slugs = topics.where("slug <> ''").select(F.col("id").alias("topic"), F.lower("slug").alias("pattern"))
+    rank = F.struct(F.lit(None).cast("long").alias("df"), F.lit(None).cast(links.schema["member"].dataType).alias("member"))
+    named = naming(sources.select(F.col("id").alias("source"), lower.alias("text")), slugs, "source").join(slugs, "pattern").select("source", "topic", F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), rank.alias("r"))
+    df = links.distinct().groupBy("member").agg(F.count(F.lit(1)).alias("df"))
+    met = [
+        set_overlaps(links, key_links, least, df).select(F.col("a").alias("source"), F.col("b").alias("topic"), F.lit(1).alias("k"), "n", F.col("rarest").alias("r")),
+        set_overlaps(links, related, least).select(F.col("a").alias("source"), F.col("b").alias("topic"), F.lit(2).alias("k"), "n", rank.alias("r")),
+    ]
     names = F.array(*map(F.lit, ("slug-match", "key-concept-overlap", "related-overlap")))
-    pairs = named.unionByName(met[0]).unionByName(met[1]).groupBy("source", "topic").agg(F.array_join(F.transform(F.sort_array(F.collect_set("k")), lambda i: F.get(names, i)), ",").alias("signals"), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("overlap"))
-    open_ = pairs.join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti")
-    df = links.distinct().withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("member")))
-    rarest = (
-        open_.where("overlap > 0").select("source", "topic").join(df.select(F.col("id").alias("source"), "member", "df"), "source")
-        .join(key_links.distinct().select(F.col("id").alias("topic"), "member"), ["topic", "member"]).groupBy("source", "topic").agg(F.min(F.struct("df", "member")).alias("r"))
-    )
-    return open_.join(rarest, ["source", "topic"], "left").select("source", "topic", "signals", "overlap", F.col("r.member").alias("match"), F.col("r.df").alias("rarest"), F.coalesce(F.col("r.df") >= weak, F.lit(False)).alias("weak"))
+    both = named.unionByName(met[0]).unionByName(met[1]).join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti")
+    has = lambda k: F.max(F.col("k") == k)
+    pairs = both.groupBy("source", "topic").agg(*(has(k).alias(f"k{k}") for k in range(3)), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("overlap"), F.max(F.when(F.col("k") == 1, F.col("r"))).alias("r"))
+    signals = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"k{k}"), names[k]) for k in range(3)))), ",")
+    return pairs.select("source", "topic", signals.alias("signals"), "overlap", F.col("r.member").alias("match"), F.col("r.df").alias("rarest"), F.coalesce(F.col("r.df") >= weak, F.lit(False)).alias("weak"))

@@ -70,3 +70,18 @@ def test_mentions_move_no_texts(spark):
     assert "Contains(" not in plain._jdf.queryExecution().optimizedPlan().toString()
     same = links.name_mentions(docs, spark.createDataFrame([(7, "la la")], "id int, name string"), *none)
     assert [tuple(r) for r in same.collect()] == [(1, 7, "la la", 2, False)]
+
+
+def test_rarest_common_members(spark):
+    from larkspur.operators import overlaps
+    from larkspur.operators.containment import naming
+
+    left, right = [(1, "x"), (1, "y"), (1, "z"), (2, "x"), (2, None), (3, "q")], [(7, "x"), (7, "y"), (7, "y"), (8, "z"), (8, "q")]
+    df = lambda rows: spark.createDataFrame(rows, "id long, member string")
+    ranks = spark.createDataFrame([("x", 5), ("y", 2), ("z", 2), ("q", 9)], "member string, df long")
+    got = lambda least: sorted((r["a"], r["b"], r["n"], *r["rarest"]) for r in overlaps.set_overlaps(df(left), df(right), least, ranks).collect())
+    assert got(1) == [(1, 7, 2, 2, "y"), (1, 8, 1, 2, "z"), (2, 7, 1, 5, "x"), (3, 8, 1, 9, "q")]
+    assert got(2) == [(1, 7, 2, 2, "y")]
+    texts = spark.createDataFrame([(4, "a b"), (5, "a b"), (6, None), (7, "c")], "id long, text string")
+    names = spark.createDataFrame([("b",), ("a b",), ("",), ("d",)], "pattern string")
+    assert sorted(map(tuple, naming(texts, names, "id").collect())) == [(4, "a b"), (4, "b"), (5, "a b"), (5, "b")]
