@@ -109,14 +109,16 @@ def resolved(links: DataFrame, names: DataFrame) -> DataFrame:
 
 def source_matches(queue: DataFrame, pages: DataFrame) -> DataFrame:
     """The page of each queued source (id, url, doi, title): by url, or one's url going on from the other's at a slash; else by
-    a common DOI; else by title. Addresses meet at their own prefixes, cut at slashes, so the join is one of equals."""
+    a common DOI; else by title. Addresses meet at their own prefixes, cut at slashes, so the join is one of equals. Of the pages that
+    share an address, DOI or title only the first can win, so a source meets one page for each, however many share it."""
     key = url_key(F.col("url"))
     steps = F.transform(F.sequence(F.lit(1), F.size(F.split("key", "/"))), lambda i: F.array_join(F.slice(F.split("key", "/"), 1, i), "/"))
     q, p = (d.select(F.col("id").alias(n), key.alias("key"), F.lower("doi").alias("doi"), F.lower(F.trim("title")).alias("title")) for d, n in ((queue, "q"), (pages, "p")))
     up = lambda d: d.where("key <> ''").select("*", F.explode(steps).alias("step"))
-    url = p.join(up(q).select("q", "step"), F.col("key") == F.col("step")).select("q", "p").unionByName(q.join(up(p).select("p", "step"), F.col("key") == F.col("step")).select("q", "p"))
-    doi = q.where("doi <> ''").select("q", "doi").join(p.select("p", "doi"), "doi").select("q", "p")
-    title = q.where("title <> ''").select("q", "title").join(p.select("p", "title"), "title").select("q", "p")
+    least = lambda d, c: d.where(F.col(c) != "").groupBy(c).agg(F.min("p").alias("p"))
+    url = up(q).select("q", F.col("step").alias("key")).join(least(p, "key"), "key").select("q", "p")
+    url = url.unionByName(q.join(least(up(p), "step").withColumnRenamed("step", "key"), "key").select("q", "p"))
+    doi, title = (q.join(least(p, c), c).select("q", "p") for c in ("doi", "title"))
     hits = url.select("q", "p", F.lit(1).alias("r")).unionByName(doi.select("q", "p", F.lit(2).alias("r"))).unionByName(title.select("q", "p", F.lit(3).alias("r")))
     return hits.groupBy("q").agg(F.min(F.struct("r", "p")).alias("b")).select(F.col("q").alias("id"), F.col("b.p").alias("page"), F.element_at(F.array(F.lit("url"), F.lit("doi"), F.lit("title")), F.col("b.r")).alias("how"))
 
