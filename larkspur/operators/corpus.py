@@ -2,54 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tokens, url_key
 
+#: Up to so many terms of queries are broadcast.
+FEW = 200_000
 STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "to")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 50, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Best k documents (id, text) for each query (qid, text): qid, id, score (larger is better), ties by id.
 
-    Only the queries' terms are counted in the documents; document lengths and frequencies cover all of them. The k
-    best are first taken in slices of the documents, so a term that a third of them hold is no single task's sort."""
+    Only the queries' terms are counted in the documents; document lengths and frequencies cover all of them. The texts are shuffled
+    once, by id, and then stay: words are counted and scores summed where the text is (FEW terms at most are broadcast)."""
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    words = docs.select("id", tokens(F.col("text")).alias("ts"))
+    small = F.broadcast if terms.count() <= FEW else lambda d: d
+    words = docs.select("id", "text").repartition("id").select("id", tokens(F.col("text")).alias("ts"))
     size = words.select("id", F.size("ts").alias("len"))
     total = size.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg"))
-    tf = words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(wanted, "term").groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    tf = words.select("id", F.size("ts").alias("len"), F.explode("ts").alias("term")).join(small(wanted), "term").groupBy("term", "id", "len").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     scored = (
-        tf.join(df.crossJoin(F.broadcast(total)).withColumn("idf", idf), "term").join(terms, "term")
+        tf.join(small(df.crossJoin(F.broadcast(total)).withColumn("idf", idf)), "term").join(small(terms), "term")
         .groupBy("qid", "id").agg(F.round(F.sum(F.col("idf") * weight), 6).alias("score"))
     )
     return top_k(scored, "qid", k)
 
 
-def top_k(scored: DataFrame, key: str, k: int, slices: int = 64) -> DataFrame:
-    """The k rows of highest score per key, ties by id; slices first, so that a key's rows are sorted apart."""
-    first = Window.partitionBy(key, F.pmod(F.xxhash64("id"), F.lit(slices))).orderBy(F.desc("score"), "id")
-    few = scored.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows of highest score per key, ties by id. Each task keeps the k best of its own before the shuffle (Spark's limit of
+    window groups), so no task sorts all rows of a key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "id"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    """Rounded as Spark rounds: halves of the shortest decimal form go up."""
+    at, back = np.unique(x, return_inverse=True)
+    return np.array([float(Decimal(repr(v)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) if np.isfinite(v) else v for v in at.tolist()])[back]
+
+
+def _best(v: pd.DataFrame, q: pd.DataFrame, k: int) -> Iterator[tuple]:
+    """(qid, id, score) of a block's k best for each query. Products of matrices find who may be among them, to 1e-9; their scores
+    are then summed component by component. A vector that is null, holds nulls or has another length scores null, below all."""
+    ids, found = v["id"].to_numpy(), [np.array([np.nan] if x is None else x, np.float64) for x in v["v"]]
+    lengths = np.array([len(x) for x in found])
+    place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    for n in {len(x) if x is not None else 1 for x in q["q"]}:
+        mine = q[[(len(x) if x is not None else 1) == n for x in q["q"]]]
+        fit = np.flatnonzero(lengths == n)
+        m = np.stack([found[i] for i in fit]) if len(fit) else np.empty((0, n))
+        norm = np.sqrt(_summed(m, m))
+        step = max(1, (1 << 22) // max(1, len(ids)))
+        for i in range(0, len(mine), step):
+            some = mine.iloc[i : i + step]
+            w = np.stack([np.full(n, np.nan) if x is None else np.array(x, np.float64) for x in some["q"]])
+            long = np.sqrt(_summed(w, w))
+            rough = np.full((len(w), len(ids)), -np.inf)
+            with np.errstate(all="ignore"):
+                rough[:, fit] = np.nan_to_num((w @ m.T) / (long[:, None] * norm), nan=-np.inf)
+            for j, qid in enumerate(some["qid"]):
+                r = rough[j]
+                least = np.partition(r, len(r) - k)[len(r) - k] - 2e-6 if len(r) > k else -np.inf
+                at = np.flatnonzero(r >= least)
+                s = np.full(len(at), -np.inf)
+                known = r[at] > -np.inf
+                if known.any():
+                    x = np.searchsorted(fit, at[known])
+                    s[known] = _six(_summed(m[x], w[j]) / (norm[x] * long[j]))
+                for y in np.lexsort((place[at], -s))[:k]:
+                    yield qid, ids[at[y]], s[y] if s[y] > -np.inf else None
+
+
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the order of the components."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * (b[i] if b.ndim == 1 else b[:, i])
+    return out
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 50, blocks: int = 64) -> DataFrame:
     """Exact best k of vectors (id, v) for each of a stated set of queries (qid, v) by cosine. Vectors stand in blocks by a hash,
-    and the queries go to each block, so neither side is ever held as a whole."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    v = vectors.select("id", d(F.col("v")).alias("v")).withColumn("nv", norm(F.col("v")))
-    q = queries.select("qid", d(F.col("v")).alias("q")).withColumn("nq", norm(F.col("q")))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top_k(v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).join(q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), "block").select("qid", "id", F.round(dot / (F.col("nv") * F.col("nq")), 6).alias("score")), "qid", k)
+    and the queries go to each block, so neither side is ever held as a whole; only k rows a query leave a block."""
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    v = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    q = queries.select("qid", F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(blocks, "block")
+
+    def met(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_best(v, q, k)) if len(v) and len(q) else [], columns=["qid", "id", "score"])
+
+    return top_k(v.groupBy("block").cogroup(q.groupBy("block")).applyInPandas(met, kinds), "qid", k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int = 25, c: int = 60) -> DataFrame:

@@ -85,3 +85,42 @@ def test_rarest_common_members(spark):
     texts = spark.createDataFrame([(4, "a b"), (5, "a b"), (6, None), (7, "c")], "id long, text string")
     names = spark.createDataFrame([("b",), ("a b",), ("",), ("d",)], "pattern string")
     assert sorted(map(tuple, naming(texts, names, "id").collect())) == [(4, "a b"), (4, "b"), (5, "a b"), (5, "b")]
+
+
+def test_a_queued_source_meets_one_page_a_signal(spark):
+    from larkspur.operators import notes
+
+    page = spark.range(300).selectExpr("id", "concat('x.org/a/', id) as url", "'10.1/a' as doi", "'T' as title")
+    queue = spark.createDataFrame([(1, "x.org/a", "10.1/a", "t"), (2, "o", "10.1/A", "t"), (3, "o", "", " t"), (4, "o", "", ""), (5, "x.org/a/7/b", "", "")], "id long, url string, doi string, title string")
+    got = notes.source_matches(queue, page)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "url"), (2, 0, "doi"), (3, 0, "title"), (5, 7, "url")]
+    seen, nodes = 0, [got._jdf.queryExecution().optimizedPlan()]
+    while nodes:  # each join has one row a key on its right: an aggregate
+        n = nodes.pop()
+        if n.nodeName() == "Join":
+            assert n.right().nodeName() == "Aggregate" or n.left().nodeName() == "Aggregate"
+            seen += 1
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    assert seen == 4
+
+
+def test_blocks_send_only_their_best(spark):
+    from larkspur.operators import corpus
+
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(400)] + [(900, None), (901, [1.0, None, 2.0])]
+    v = spark.createDataFrame(rows, "id long, v array<float>")
+    q = v.where("id in (0, 5, 901)").withColumnRenamed("id", "qid")
+    got = {}
+    for r in corpus.cosine_top_k(v, q, k=4, blocks=3).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"], r["score"]))
+
+    def score(a, b):
+        if a is None or None in a or None in b:
+            return None
+        dot = lambda x, y: sum(s * t for s, t in zip(x, y))
+        return round(dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5), 6)
+
+    for qid, w in ((0, rows[0][1]), (5, rows[5][1]), (901, rows[401][1])):
+        ranked = sorted(((score(x, w), i) for i, x in rows), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))[:4]
+        assert sorted(got[qid]) == [(k + 1, i, s) for k, (s, i) in enumerate(ranked)]
+    assert "FlatMapCoGroups" in corpus.cosine_top_k(v, q)._jdf.queryExecution().optimizedPlan().toString()
