@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import HOT, configured, deal, table  # noqa: F401
+from ..sources.tables import HOT, configured, deal, listed, slot_of, slots_of, table  # noqa: F401
 from ..sources.tables import cut as written  # noqa: F401
 
 #: ASCII white space, as characters and as a class for regular expressions.
@@ -46,10 +46,8 @@ def spread(rows: DataFrame, keys: DataFrame, on: list[str], count: str, by: list
     """rows, keys and the columns to join them on, so that no task gets a hot key's rows.
 
     keys has a row a key and in ``count`` at least how many rows it meets; a hot key is one with more than a HOTth of all of
-    them, so there are fewer than HOT, which is what bounds the broadcast. A hot key's rows go to one of ``parts`` tasks by
+    them, so there are fewer than HOT, which are listed in the plan. A hot key's rows go to one of ``parts`` tasks by
     the columns ``by``, and the key stands there so many times. keys should be a written table: it is read thrice."""
     total = keys.agg(F.sum(count)).first()[0] or 0
-    hot = keys.where(F.col(count) * HOT > total).select(*on, F.lit(True).alias("_hot"))
-    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    copies = F.explode(F.when(F.col(count) * HOT > total, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
-    return rows.join(F.broadcast(hot), on, "left").withColumn("_slot", slot).drop("_hot"), keys.withColumn("_slot", copies), [*on, "_slot"]
+    hot = listed(keys.where(F.col(count) * HOT > total), on)
+    return rows.withColumn("_slot", slot_of(hot, by, parts)), keys.withColumn("_slot", slots_of(hot, parts)), [*on, "_slot"]

@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -78,14 +80,31 @@ HOT = 500
 def deal(rows: DataFrame, keys: DataFrame, on: list[str], by: list[str], total: int | None = None, parts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
     """rows, keys and the columns to join them on, so that no task gets a hot key's rows.
 
-    A key with more than a HOTth of all rows is hot: there are fewer than HOT, which bounds the broadcast. Its rows go to one
-    of ``parts`` tasks by the columns ``by``, and it stands so many times in keys. rows should be a written table (it is read
-    twice, and counted where no total is given)."""
+    A key with more than a HOTth of all rows is hot: there are fewer than HOT, so they are listed in the plan, and neither side meets
+    a table of them. A hot key's rows go to one of ``parts`` tasks by the columns ``by``, and it stands so many times in keys. rows
+    should be a written table (it is read twice, and counted where no total is given)."""
     total = rows.count() if total is None else total
-    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total).select(*on, F.lit(True).alias("_hot")))
-    slot = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
-    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
-    return rows.join(hot, on, "left").withColumn("_slot", slot).drop("_hot"), keys.join(hot, on, "left").withColumn("_slot", copies).drop("_hot"), [*on, "_slot"]
+    hot = listed(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT > total), on)
+    return rows.withColumn("_slot", slot_of(hot, by, parts)), keys.withColumn("_slot", slots_of(hot, parts)), [*on, "_slot"]
+
+
+def listed(keys: DataFrame, on: list[str]) -> Column:
+    """Whether a row's key is one of keys, fewer than HOT rows. Nulls are no key."""
+    known = [r for r in keys.select(*on).collect() if None not in r]
+    if len(on) == 1:
+        return F.coalesce(F.col(on[0]).isin([r[0] for r in known]), F.lit(False)) if known else F.lit(False)
+    out = F.lit(False)
+    for r in known:
+        out = out | F.coalesce(reduce(and_, (F.col(c) == v for c, v in zip(on, r))), F.lit(False))
+    return out
+
+
+def slot_of(hot: Column, by: list[str], parts: int) -> Column:
+    return F.when(hot, F.pmod(F.xxhash64(*by), F.lit(parts))).otherwise(F.lit(0)).cast("int")
+
+
+def slots_of(hot: Column, parts: int) -> Column:
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:

@@ -124,3 +124,15 @@ def test_blocks_send_only_their_best(spark):
         ranked = sorted(((score(x, w), i) for i, x in rows), key=lambda p: (p[0] is None, -(p[0] or 0), p[1]))[:4]
         assert sorted(got[qid]) == [(k + 1, i, s) for k, (s, i) in enumerate(ranked)]
     assert "FlatMapCoGroups" in corpus.cosine_top_k(v, q)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_keys_are_dealt_without_a_join(spark, monkeypatch):
+    from larkspur.sources import tables
+
+    monkeypatch.setattr(tables, "HOT", 4)
+    rows = spark.createDataFrame([(bytearray(b"a"), i) for i in range(40)] + [(bytearray(b"b"), 1), (None, 2)], "h binary, v long")
+    many, few, on = tables.deal(rows, spark.createDataFrame([(bytearray(b"a"),), (bytearray(b"b"),)], "h binary"), ["h"], ["v"])
+    assert few.count() == 65 and {r["_slot"] for r in many.where("h is null or h = X'62'").collect()} == {0}
+    assert many.where("h = X'61'").select("_slot").distinct().count() > 10
+    assert many.join(few, on).count() == 41
+    assert "Join" not in many._jdf.queryExecution().optimizedPlan().toString()
