@@ -42,15 +42,19 @@ def read_statement(spark: SparkSession, path: str, header: str, schema: str, sep
     return body.select(*(["file"] if keep_file else []), F.from_csv("line", schema, {"sep": sep}).alias("r")).select(*(["file"] if keep_file else []), "r.*")
 
 
+#: Lines of a split that are one window, as a power of two.
+PIECE = 17
+
+
 def carried(placed: DataFrame, value: Column, name: str = "ruling") -> DataFrame:
-    """placed (file, block, at, ...) with the last value that is not null at or before each line of its file. The lines of a
-    split are one window; what a split inherits comes from a table with a row a split."""
-    marked = placed.withColumn("_v", value)
-    ends = marked.groupBy("file", "block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("at"))).alias("_last"))
-    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    inherited = ends.select("file", "block", before.alias("_before"))
-    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return marked.withColumn("_in", inside).join(inherited, ["file", "block"]).withColumn(name, F.coalesce("_in", "_before")).drop("_v", "_in", "_before")
+    """placed (file, block, at, ...) with the last value that is not null at or before each line of its file. A piece of a split is one
+    window, so a long split of short lines takes no more memory; what a piece inherits comes from a table with a row a piece."""
+    marked = placed.withColumn("_v", value).withColumn("_piece", F.shiftright("at", PIECE))
+    ends = marked.groupBy("file", "block", "_piece").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("at"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block", "_piece").rowsBetween(Window.unboundedPreceding, -1))
+    inherited = ends.select("file", "block", "_piece", before.alias("_before"))
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy("file", "block", "_piece").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("_in", inside).join(inherited, ["file", "block", "_piece"]).withColumn(name, F.coalesce("_in", "_before")).drop("_v", "_in", "_before", "_piece")
 
 
 def read_blocks(spark: SparkSession, path: str, header: str, schema: str, sep: str = ";", skip: str | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), keep_place: bool = False) -> DataFrame:
