@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 from .containment import naming
 
+#: Sets of up to so many members meet by twos of their members.
+SMALL = 32
+
 
 def set_overlaps(left: DataFrame, right: DataFrame, least: int = 1, ranks: DataFrame | None = None) -> DataFrame:
     """(a, b, n): pairs of a set of left and one of right, each (id, member) by rows, that share n >= least members.
 
     Members are put in order of rarity over both sides. Of two sets that share ``least`` members, one is among the first
     size - least + 1 of each, so only these prefixes are joined; sets of fewer members than that are in no pair. The prefix
-    pairs are made distinct and verified on whole sets, gathered once a set. Repeated members count once, nulls not at all. With
+    pairs are made distinct and verified on whole sets, gathered once a set. For least = 2 sets of at most SMALL members meet by
+    twos of members instead, so that only pairs of the result meet. Repeated members count once, nulls not at all. With
     ranks (member, df; a row a member) there is also ``rarest``: the least (df, member) that both hold."""
     if least < 1:
         raise ValueError("least must be at least 1")
@@ -24,6 +29,29 @@ def set_overlaps(left: DataFrame, right: DataFrame, least: int = 1, ranks: DataF
         pairs = set_overlaps(left, right, least)
         both = pairs.join(left.select(F.col("id").alias("a"), "member").distinct(), "a").join(right.select(F.col("id").alias("b"), "member").distinct().join(ranks, "member"), ["b", "member"])
         return both.groupBy("a", "b").agg(F.first("n").alias("n"), F.min(F.struct("df", "member")).alias("rarest"))
+    return _by_twos(left, right) if least == 2 else _by_prefixes(left, right, least)
+
+
+def _by_twos(left: DataFrame, right: DataFrame) -> DataFrame:
+    """set_overlaps for least = 2. Two sets share n members if and only if they share n (n - 1) / 2 twos of members, so the twos
+    that meet are counted, and no pair meets that is not in the result. Sets of more than SMALL members go by prefixes."""
+    gathered = lambda d: cut(d.where("id is not null and member is not null").groupBy("id").agg(F.array_sort(F.collect_set("member")).alias("s")).where(F.size("s") >= 2), "sets")
+    a = gathered(left)
+    b = a if left is right else gathered(right)
+    small, large = F.size("s") <= SMALL, F.size("s") > SMALL
+    twos = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    met = lambda d, name: d.where(small).select(F.col("id").alias(name), F.explode(twos).alias("m")).select(name, "m.x", "m.y")
+    told = met(a, "a").join(met(b, "b"), ["x", "y"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    out = told.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("long").alias("n"))
+    rows = lambda d, which: d.where(which).select("id", F.explode("s").alias("member"))
+    if not a.where(large).isEmpty():
+        out = out.unionByName(_by_prefixes(rows(a, large), rows(b, F.lit(True)), 2))
+    if not b.where(large).isEmpty():
+        out = out.unionByName(_by_prefixes(rows(a, small), rows(b, large), 2))
+    return out
+
+
+def _by_prefixes(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     a, b = (d.where("id is not null and member is not null").select("id", "member").distinct() for d in (left, right))
     rare = a.unionByName(b).groupBy("member").agg(F.count(F.lit(1)).alias("df"))
     both = a.select("member").distinct().join(b.select("member").distinct(), "member", "left_semi")  # others are in no pair
