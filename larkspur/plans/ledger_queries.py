@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import categorise, joins, rules, upserts
+from ..operators import categorise, joins, order, rules, upserts
 from ..sources.adapters import INCOME, OTC, TX, income, otc, table, transactions
 from .registry import query
 from .rule_queries import SUPPLIERS, VALUES, suppliers, with_parts
@@ -142,7 +142,7 @@ query("fuzzy_gate", "select count(*) as n, cast(0 as bigint) as fuzzy, count(*)
 query("income_first_record", """select a.r as rid, arg_min(b.quantity, b.r) as value from i a left join i b on a.ticker = b.ticker and a.date = b.date and abs(cast(a.value as double) + 0.001 - cast(b.value as double)) < 0.005 where a.r % 50 = 0 group by a.r""", INCOME,
       "i as (select *, row_number() over (order by date, ticker, type, value, quantity) as r from income)")(
     lambda s, d: (lambda i: upserts.first_within(i.where("seq % 50 = 0").select(F.col("seq").alias("rid"), "ticker", "date", (F.col("v") + 0.001).alias("v")), i.withColumn("value", F.col("quantity")), ["ticker", "date"], "v"))(
-        income(s, d).select(F.expr("row_number() over (order by date, ticker, type, value, quantity)").cast("long").alias("seq"), "ticker", "date", double("value").alias("v"), "quantity")))
+        order.dense_index(income(s, d), ["date", "ticker", "type", "value", "quantity"], "place").select((F.col("place") + 1).cast("long").alias("seq"), "ticker", "date", double("value").alias("v"), "quantity")))
 
 query("quantity_corrections", "select seq % 8 = 0 as corrected, count(*) as n, cast(sum(cast(round(case when seq % 8 = 0 then amount * 2 else amount end, 2) as decimal(18,2))) as double) as total from tx group by 1", TX)(
     lambda s, d: upserts.corrected(
