@@ -136,7 +136,8 @@ def config_overlaps(aliases: DataFrame, vendors: DataFrame, patterns: DataFrame)
 
 def category_tag_collisions(categories: DataFrame, tags: DataFrame) -> DataFrame:
     """Names that are a category and a tag; there must be none."""
-    return categories.select(F.lower("name").alias("name")).intersect(tags.select(F.lower("name").alias("name")))
+    once = lambda d: d.select(F.lower("name").alias("name")).distinct()  # noqa: E731  before they meet: a name may be on most rows
+    return once(categories).intersect(once(tags))
 
 
 def rule_fires(classified: DataFrame) -> DataFrame:
