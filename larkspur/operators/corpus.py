@@ -160,11 +160,18 @@ def link_relevance(links: DataFrame, weak: int = 5) -> DataFrame:
     return best.select("src", F.col("m.dst").alias("rarest"), F.col("m.df").alias("df"), (F.col("m.df") >= weak).alias("weak"))
 
 
+def counted_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, target, n): how often each text of words (id, w; a row an occurrence) has a name (target, w). FEW names at most are broadcast,
+    so that only words that are names are shuffled; with more, words are counted per text before they meet."""
+    if names.count() <= FEW:
+        return words.join(F.broadcast(names), "w").where("id <> target").groupBy("id", "target", "w").agg(F.count(F.lit(1)).alias("n")).select("id", "target", "n")
+    return words.groupBy("id", "w").agg(F.count(F.lit(1)).alias("n")).join(names, "w").where("id <> target").select("id", "target", "n")
+
+
 def mentions(docs: DataFrame, names: DataFrame, links: DataFrame) -> DataFrame:
     """Documents that name another (id, name of one word) without linking it: id, target, n. Words meet names in an
-    equi-join after being counted per document."""
-    per = docs.select("id", F.explode(tokens(F.col("text"))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    hit = per.join(names.select(F.col("id").alias("target"), F.lower("name").alias("w")), "w").where("id <> target")
+    equi-join and are counted per document."""
+    hit = counted_names(docs.select("id", F.explode(tokens(F.col("text"))).alias("w")), names.select(F.col("id").alias("target"), F.lower("name").alias("w")))
     return hit.join(links.select(F.col("src").alias("id"), F.col("dst").alias("target")), ["id", "target"], "left_anti").select("id", "target", "n")
 
 
