@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold_key, tokens, url_key
+from .corpus import counted_names
 
 #: Words of scale, and the marks of sentences that caution or give reasons.
 SCALES = (("bn", 9), ("billion", 9), ("mn", 6), ("million", 6), ("k", 3), ("thousand", 3))
@@ -125,8 +126,8 @@ def source_matches(queue: DataFrame, pages: DataFrame) -> DataFrame:
 
 def candidates(sources: DataFrame, topics: DataFrame, cited: DataFrame, rejected: DataFrame) -> DataFrame:
     """Sources (id, words) that name a topic (id, slug), each with how often, less those cited already or rejected (source, topic)."""
-    named = sources.select(F.col("id").alias("source"), F.explode("words").alias("slug")).groupBy("source", "slug").agg(F.count(F.lit(1)).alias("n")).join(topics.select(F.col("id").alias("topic"), "slug"), "slug")
-    return named.where("source <> topic").join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti").select("source", "topic", "n")
+    named = counted_names(sources.select("id", F.explode("words").alias("w")), topics.select(F.col("id").alias("target"), F.col("slug").alias("w"))).select(F.col("id").alias("source"), F.col("target").alias("topic"), "n")
+    return named.join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti").select("source", "topic", "n")
 
 
 def coverage(expected: DataFrame, drafted: DataFrame, cited: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import tokens
 from ..operators import corpus, notes
 from ..sources.adapters import table
+from ..sources.tables import cut
 from .corpus_queries import EDGES, STOPS, TOK, documents
 from .registry import query
 
@@ -77,7 +78,7 @@ TOPICS = f"""tp as (select min(doc_id) as topic, lower(regexp_extract(text, '[A-
 cand as (select source, topic, count(*) as n from (select doc_id as source, unnest({TOK.format('text')}) as slug from documents) join tp using (slug) where source <> topic and not exists (select 1 from e where src = source and dst = topic) group by source, topic)"""
 query("backfill_candidates", "select * from cand", EDGES, TOPICS)(backfill)
 query("backfill_coverage", """select topic, count(*) filter (where source % 3 = 0) as drafted, count(*) filter (where source % 3 <> 0 and source % 5 = 0) as cited, count(*) filter (where source % 3 <> 0 and source % 5 <> 0) as gap, count(*) filter (where source % 3 <> 0 and source % 5 <> 0) = 0 as passed from cand group by topic""", EDGES, TOPICS)(
-    lambda s, d: (lambda c: notes.coverage(c, c.where("source % 3 = 0"), c.where("source % 5 = 0")))(backfill(s, d)))
+    lambda s, d: (lambda c: notes.coverage(c, c.where("source % 3 = 0"), c.where("source % 5 = 0")))(cut(backfill(s, d), "candidates")))
 query("ingested_union", """select doc_id as name, array_to_string(list_filter([case when doc_id % 3 = 0 then 'backlink' end, case when doc_id % 4 = 0 then 'index' end, case when doc_id % 5 = 0 then 'stem' end], lambda x: x is not null), ',') as signals from documents where doc_id % 3 = 0 or doc_id % 4 = 0 or doc_id % 5 = 0""")(
     lambda s, d: (lambda n: notes.ingested(n, n.where("name % 4 = 0"), n.where("name % 3 = 0"), n.where("name % 5 = 0")))(documents(s, d).select(F.col("id").alias("name"))))
 query("manifest_totals", "select source, count(*) as n, count(*) filter (where not coalesce(quality = 1, false)) as missing, cast(sum(n_chars // 4) as bigint) as tokens from documents left join labels using (doc_id) group by source")(
