@@ -56,6 +56,17 @@ def class_counts(found: DataFrame, chosen: DataFrame, grades: tuple[float, ...]
     return all_.join(gone, ["id", "grade", "cls"], "left").na.fill(0, ["deleted"]).select("id", "grade", "cls", "eligible", "deleted")
 
 
+def graded_counts(found: DataFrame, grades: tuple[float, ...] = (0.05, 0.25, 0.5)) -> DataFrame:
+    """class_counts of found and of what ``graded`` takes of it, from the numbers of finds alone: the r-th of a class has before it
+    those of the classes before its own, r of each at most, and r - 1 at most of each other one."""
+    per = found.groupBy("id", "cls").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.collect_list(F.struct("cls", "n")).alias("all"), F.sum("n").alias("_n"))
+    each = per.withColumn("grade", F.explode(F.array(*map(F.lit, grades)))).select("id", "grade", "all", F.ceil(F.round(F.col("grade") * F.col("_n"), 9)).alias("take"), F.explode("all").alias("c")).select("id", "grade", "all", "take", "c.cls", "c.n")
+    zero = F.lit(0).cast("long")
+    place = lambda r: r + F.aggregate("all", zero, lambda s, x: s + F.when(x["cls"] < F.col("cls"), F.least(x["n"], r)).when(x["cls"] > F.col("cls"), F.least(x["n"], r - 1)).otherwise(zero))
+    taken = F.size(F.filter(F.sequence(F.lit(1).cast("long"), "n"), lambda r: place(r) <= F.col("take")))
+    return each.select("id", "grade", "cls", F.col("n").alias("eligible"), taken.cast("long").alias("deleted"))
+
+
 def without(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, grade, text): docs less the chosen spans of each grade. Overlapping and touching spans are one; one that is a whole
     line takes its line break along. Texts without a chosen span have no row."""

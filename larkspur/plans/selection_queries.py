@@ -119,7 +119,7 @@ DAMAGED = ["d as (select doc_id as id, '| a | 12 |' || chr(10) || '| b |' || chr
            """chosen as (select id, cls, start, end_, unnest(list_filter([0.05, 0.25, 0.5], lambda g: place <= ceil(round(cast(g as double) * n, 9)))) as grade from (select *, row_number() over (partition by id order by r, cls) as place, count(*) over (partition by id) as n from (
 select *, row_number() over (partition by id, cls order by md5('|' || id || '|' || cls || '|' || start), start) as r from found)))"""]
 query("ablation_counts", "select id, cast(grade as double) as grade, cls, count(distinct start) as eligible, count(distinct start) filter (where hit) as deleted from (select f.*, g.grade, c.start is not null as hit from found f cross join (select unnest([0.05, 0.25, 0.5]) as grade) g left join chosen c on c.id = f.id and c.cls = f.cls and c.start = f.start and c.grade = g.grade) group by all", *DAMAGED)(
-    lambda s, d: (lambda f: ablation.class_counts(f, ablation.graded(f)))(ablation.spans(marked(s, d))))
+    lambda s, d: ablation.graded_counts(ablation.spans(marked(s, d))))
 query("ablated_texts", """select id, cast(grade as double) as grade, length(text) as n, sha256(text) as hash from (select id, grade, string_agg(text[a + 1:b], '' order by a) as text from (
 select c.id, c.grade, d.text, lag(case when (start = 0 or text[start] = chr(10)) and text[end_ + 1] = chr(10) then end_ + 1 else end_ end, 1, 0) over (partition by c.id, c.grade order by start) as a, start as b from (
   select id, grade, min(start) as start, max(end_) as end_ from (select *, sum(case when start <= b then 0 else 1 end) over (partition by id, grade order by start, end_ rows unbounded preceding) as i from (select *, max(end_) over (partition by id, grade order by start, end_ rows between unbounded preceding and 1 preceding) as b from chosen)) group by id, grade, i
