@@ -227,6 +227,23 @@ def _vocabulary(key, table):
     return pa.table([pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["chunk", "h", "k", "n"])
 
 
+def _log10s(w: np.ndarray, bias: np.ndarray, hs: list[np.ndarray], ks: list[np.ndarray]) -> list[float]:
+    """log10 P(leaves | histories) of each text. Short texts go together, as a call costs more than a text's few tokens."""
+    out: list[float] = []
+    at = 0
+    while at < len(hs):
+        end, held = at, 0
+        while end < len(hs) and held < BATCH:
+            held += len(hs[end])
+            end += 1
+        f, k = np.concatenate([features(h) for h in hs[at:end]], axis=1), np.concatenate(ks[at:end])
+        p = np.concatenate([log_p(w, bias, f[:, i : i + BATCH], k[i : i + BATCH]) for i in range(0, held, BATCH)])
+        starts = np.cumsum([0, *(len(h) for h in hs[at : end - 1])])  # no text is without a token, its end
+        out += (np.add.reduceat(p, starts) / np.log(10)).tolist()
+        at = end
+    return out
+
+
 def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a Boolean column expression.
 
@@ -260,16 +277,12 @@ def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_
             c = own.astype(np.int64)
             if counts.num_rows:
                 c[np.searchsorted(u, counts.column("h").to_numpy().view(_U))] = counts.column("c").to_numpy()
-        out, at = [], 0
+        out, at, model = [], 0, _log10s(weights, bias, hs, ks)
         for h, k in zip(hs, ks):
             mine = c[back[at : at + len(h)]]
             at += len(h)
             base = float(np.log10(mine + 1.0).sum() - len(h) * np.log10(n_all + v_all + 1.0))
-            f = features(h)
-            better = float(gain[k].sum())
-            for i in range(0, len(k), BATCH):
-                better += float(log_p(weights, bias, f[:, i : i + BATCH], k[i : i + BATCH]).sum()) / np.log(10)
-            out.append((len(h), int((mine > 0).sum()), n_all, base, base + better))
+            out.append((len(h), int((mine > 0).sum()), n_all, base, base + float(gain[k].sum()) + model[len(out)]))
         cols = list(zip(*out)) or [[]] * 5
         kinds = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -557,3 +557,13 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.op10_decontamination(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_texts_are_scored_together_as_alone():
+    """op4's CPU: a call of the model for each short text."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    w, bias = r.normal(size=1 << 20).astype(np.float32), r.normal(size=256).astype(np.float32)
+    texts = [b"", b"a b c", b"x " * 40_000, *(b"w%d of %d" % (i, i % 7) for i in range(300))]
+    hs, ks = zip(*map(lm.encoded, texts))
+    alone = [lm.log_p(w, bias, lm.features(h), k).sum() / np.log(10) for h, k in zip(hs, ks)]
+    assert np.allclose(lm._log10s(w, bias, list(hs), list(ks)), alone, rtol=1e-9) and lm._log10s(w, bias, [], []) == []
