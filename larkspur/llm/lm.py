@@ -27,16 +27,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, written
+from .common import configured, text_key, written
 from .near import _SPACE, _mix, word_hashes
+from .near import BATCH as ARROW
 
 DEPTH, ENDING = 8, 4
 LEAVES = 1 << DEPTH
 _U = np.uint64
 _I = np.uint32
 END, NONE = _U(0x6C62272E07BB0142), _U(0x27D4EB2F165667C5)
-#: Entries of a block of weights on its way, and tokens scored at once.
-BLOCK, BATCH = 1 << 14, 1 << 15
+#: Entries of a block of weights on its way, tokens scored at once, and bytes of which texts are split into tokens together.
+BLOCK, BATCH, BYTES = 1 << 14, 1 << 15, 1 << 16
 #: Bounds of bits_for.
 FEWEST, MOST = 20, 26
 
@@ -48,25 +49,46 @@ def bits_for(tokens: int) -> int:
 
 def encoded(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and leaf of each token of a text, the end included."""
-    low = text.lower()
-    h = np.append(word_hashes(low), END)
+    h, k, _ = encoded_all([text])
+    return h, k
+
+
+def encoded_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and leaf of each token of the texts, one after the other, and each text's number of tokens, its end included. Texts
+    go through together, as a call costs more than a short text's few words."""
+    low = b"\n".join(texts).lower()
     b = np.frombuffer(low, np.uint8)
     space = _SPACE[b]
-    last = np.flatnonzero(~space & np.append(space[1:], True))
-    k = np.zeros(len(h), _I)
-    if len(last):
-        two = np.where((last > 0) & ~space[last - 1], b[last - 1], 0).astype(_I)
-        k[:-1] = ((b[last] + (two << _I(8)) + _I(1)) * _I(2654435761)) >> _I(32 - ENDING)
-    return h, (k << _I(DEPTH - ENDING) | (h >> _U(64 - DEPTH + ENDING)).astype(_I)).astype(np.uint8)
+    last = np.flatnonzero(~space & np.append(space[1:], True)) if len(b) else np.empty(0, np.intp)
+    ends = np.searchsorted(last, np.cumsum([len(t) + 1 for t in texts]) - 1)  # words up to each text's end
+    two = np.where((last > 0) & ~space[last - 1], b[last - 1], 0).astype(_I)
+    top = ((b[last] + (two << _I(8)) + _I(1)) * _I(2654435761)) >> _I(32 - ENDING)
+    h, top = np.insert(word_hashes(low), ends, END), np.insert(top, ends, _I(0))
+    return h, (top << _I(DEPTH - ENDING) | (h >> _U(64 - DEPTH + ENDING)).astype(_I)).astype(np.uint8), np.diff(ends, prepend=0) + 1
 
 
-def features(h: np.ndarray) -> np.ndarray:
-    """Hashed features (3, tokens) of each token's history within its document."""
+def features(h: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
+    """Hashed features (3, tokens) of each token's history within its document. starts: where documents start in h."""
     one = np.append(NONE, h[:-1])
+    one[starts] = NONE
     two = np.append(NONE, one[:-1])
+    two[starts] = NONE
     return np.stack([one >> _U(32), (two * _U(0x9E3779B97F4A7C15)) >> _U(32), (one * _U(3) + _mix(two)) >> _U(32)]).astype(_I)
 
 
+def together(texts) -> Iterator[list[bytes]]:
+    """The texts (Arrow's binary values) in groups of BYTES or one more text."""
+    group, held = [], 0
+    for t in texts:
+        group.append(t := t.as_py() or b"")
+        held += len(t)
+        if held >= BYTES:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def indices(f: np.ndarray, leaf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per level of the tree: nodes (DEPTH, tokens), turns taken there, and places of the weights (DEPTH, 3, tokens)."""
     leaf = leaf.astype(_I)
@@ -130,9 +152,9 @@ def _trained(start: bytes | None, bias: np.ndarray, bits: int, rate: float, grou
             fs, ks, held = [], [], 0
 
         for b in batches:
-            for t in b.column("text").cast(pa.binary()):
-                h, k = encoded(t.as_py() or b"")
-                fs.append(features(h))
+            for texts in together(b.column("text").cast(pa.binary())):
+                h, k, tokens = encoded_all(texts)
+                fs.append(features(h, np.cumsum(tokens) - tokens))
                 ks.append(k)
                 held += len(k)
                 n += len(k)
@@ -203,47 +225,71 @@ def _packed(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("chunk"), pa.array([z.compress(t.as_py() or b"") for t in b.column("text").cast(pa.binary())], pa.binary())], names=["doc_id", "held_out", "chunk", "z"])
 
 
-def _unpacked(table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _unpacked(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and leaf of each token of a chunk's texts, and each text's number of tokens."""
     import zstandard
 
     z = zstandard.ZstdDecompressor()
-    both = [encoded(z.decompress(x.as_py())) for x in table.column("z")]
-    return [h for h, _ in both], [k for _, k in both]
-
-
-def _local(hs: list[np.ndarray], ks: list[np.ndarray], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts, group, held = [], [], 0
+    for x in table.column("z"):
+        group.append(z.decompress(x.as_py()))
+        held += len(group[-1])
+        if held >= BYTES:
+            parts.append(encoded_all(group))
+            group, held = [], 0
+    if group:
+        parts.append(encoded_all(group))
+    h, k, tokens = zip(*parts) if parts else ([np.empty(0, _U)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)])
+    return np.concatenate(h), np.concatenate(k), np.concatenate(tokens)
+
+
+def _local(h: np.ndarray, k: np.ndarray, tokens: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct tokens of a chunk, their leaves, their counts in training documents, and each token's index."""
-    h = np.concatenate(hs)
-    u, first, back = np.unique(h, return_index=True, return_inverse=True)
-    train = np.repeat(~held, [len(x) for x in hs])
-    return u, np.concatenate(ks)[first], np.bincount(back[train], minlength=len(u)), back
+    if not len(h):
+        return h, k, np.empty(0, np.int64), np.empty(0, np.int32)
+    order = np.argsort(h)
+    s = h[order]
+    new = np.append(True, s[1:] != s[:-1])
+    u, first = s[new], np.flatnonzero(new)
+    del s  # arrays of a chunk's tokens are large
+    n = np.add.reduceat(np.repeat(~held, tokens)[order], first, dtype=np.int64)
+    back = np.empty(len(h), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return u, k[order[first]], n, back
 
 
 def _vocabulary(key, table):
     import pyarrow as pa
 
-    hs, ks = _unpacked(table)
-    u, k, n, _ = _local(hs, ks, table.column("held_out").to_numpy())
+    u, k, n, _ = _local(*_unpacked(table), table.column("held_out").to_numpy())
     return pa.table([pa.array(np.full(len(u), key[0].as_py(), np.int32)), pa.array(u.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], names=["chunk", "h", "k", "n"])
 
 
+def _grouped(tokens: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Texts that are scored together: the first, the one after the last, and the same of their tokens."""
+    ends = np.cumsum(tokens)
+    at = done = 0
+    while at < len(tokens):
+        end = min(len(tokens), int(np.searchsorted(ends, done + BATCH)) + 1)
+        yield at, end, done, int(ends[end - 1])
+        at, done = end, int(ends[end - 1])
+
+
 def _log10s(w: np.ndarray, bias: np.ndarray, hs: list[np.ndarray], ks: list[np.ndarray]) -> list[float]:
     """log10 P(leaves | histories) of each text. Short texts go together, as a call costs more than a text's few tokens."""
     out: list[float] = []
-    at = 0
-    while at < len(hs):
-        end, held = at, 0
-        while end < len(hs) and held < BATCH:
-            held += len(hs[end])
-            end += 1
-        f, k = np.concatenate([features(h) for h in hs[at:end]], axis=1), np.concatenate(ks[at:end])
-        p = np.concatenate([log_p(w, bias, f[:, i : i + BATCH], k[i : i + BATCH]) for i in range(0, held, BATCH)])
-        starts = np.cumsum([0, *(len(h) for h in hs[at : end - 1])])  # no text is without a token, its end
-        out += (np.add.reduceat(p, starts) / np.log(10)).tolist()
-        at = end
+    for at, end, _, _ in _grouped(np.array([len(h) for h in hs], np.int64)):
+        n = np.array([len(h) for h in hs[at:end]])
+        out += _log10_of(w, bias, np.concatenate(hs[at:end]), np.concatenate(ks[at:end]), np.cumsum(n) - n).tolist()
     return out
 
 
+def _log10_of(w: np.ndarray, bias: np.ndarray, h: np.ndarray, k: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    f = features(h, starts)
+    p = np.concatenate([log_p(w, bias, f[:, i : i + BATCH], k[i : i + BATCH]) for i in range(0, len(k), BATCH)])
+    return np.add.reduceat(p, starts) / np.log(10)  # no text is without a token, its end
+
+
 def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. held_out: a Boolean column expression.
 
@@ -255,37 +301,36 @@ def score(docs: DataFrame, held_out, rounds: int = 2, chunk_bytes: int = 24_000_
     chunks = int(max(1, -(-size // chunk_bytes)))
     chunk = F.pmod(F.xxhash64("doc_id", text_key(F.col("text"))), F.lit(chunks)).cast("int")
     packed = rows.select("doc_id", "held_out", chunk.alias("chunk"), "text").mapInArrow(_packed, f"doc_id {kind}, held_out boolean, chunk int, z binary").repartition(chunks, "chunk")
-    vocabulary = written(packed.groupBy("chunk").applyInArrow(_vocabulary, "chunk int, h long, k int, n long"), "lm-vocabulary")
+    with configured(docs.sparkSession, ARROW):
+        vocabulary = written(packed.groupBy("chunk").applyInArrow(_vocabulary, "chunk int, h long, k int, n long"), "lm-vocabulary")
     totals = written(vocabulary.groupBy("h").agg(F.first("k").alias("k"), F.sum("n").alias("c"), F.count(F.lit(1)).alias("m")), "lm-counts")
     known = totals.where("c > 0").groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     n_all, v_all = sum(r["n"] for r in known), sum(r["v"] for r in known)
     smooth = np.ones(LEAVES)
     for r in known:
         smooth[r["k"]] += r["n"] + r["v"]
-    weights, bias = train(rows.where("not held_out"), smooth, n_all, size, rounds)
+    with configured(docs.sparkSession, ARROW):
+        weights, bias = train(rows.where("not held_out"), smooth, n_all, size, rounds)
     # from the smoothed share of a leaf's words to that of all words
     gain = np.log10((n_all + v_all + 1) / smooth)
 
     def scored(key, texts, counts):
         import pyarrow as pa
 
-        hs, ks = _unpacked(texts)
-        if not hs:
-            c, back = np.empty(0), np.empty(0, int)
-        else:
-            u, _, own, back = _local(hs, ks, texts.column("held_out").to_numpy())
-            c = own.astype(np.int64)
-            if counts.num_rows:
-                c[np.searchsorted(u, counts.column("h").to_numpy().view(_U))] = counts.column("c").to_numpy()
-        out, at, model = [], 0, _log10s(weights, bias, hs, ks)
-        for h, k in zip(hs, ks):
-            mine = c[back[at : at + len(h)]]
-            at += len(h)
-            base = float(np.log10(mine + 1.0).sum() - len(h) * np.log10(n_all + v_all + 1.0))
-            out.append((len(h), int((mine > 0).sum()), n_all, base, base + float(gain[k].sum()) + model[len(out)]))
-        cols = list(zip(*out)) or [[]] * 5
-        kinds = [pa.int64()] * 3 + [pa.float64()] * 2
-        return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        h, k, tokens = _unpacked(texts)
+        u, _, own, back = _local(h, k, tokens, texts.column("held_out").to_numpy())
+        if len(u) and counts.num_rows:
+            own[np.searchsorted(u, counts.column("h").to_numpy().view(_U))] = counts.column("c").to_numpy()
+        log, none = np.log10(own + 1.0), np.empty(0)
+        known, base, score = [none], [none], [none]
+        for at, end, i, j in _grouped(tokens):
+            starts = np.cumsum(tokens[at:end]) - tokens[at:end]
+            mine = back[i:j]
+            known.append(np.add.reduceat(own[mine] > 0, starts, dtype=np.int64))
+            base.append(np.add.reduceat(log[mine], starts) - tokens[at:end] * np.log10(n_all + v_all + 1.0))
+            score.append(base[-1] + np.add.reduceat(gain[k[i:j]], starts) + _log10_of(weights, bias, h[i:j], k[i:j], starts))
+        cols = [tokens, np.concatenate(known).astype(np.int64), np.full(len(tokens), n_all, np.int64), np.concatenate(base), np.concatenate(score)]
+        return pa.table([texts.column("doc_id"), texts.column("held_out"), *(pa.array(x) for x in cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     # a token that every chunk holds has a row a chunk here, never one a document
     back = vocabulary.join(totals.where("m > 1").select("h", "c"), "h").where("c <> n").select("chunk", "h", "c").repartition(chunks, "chunk")

@@ -567,3 +567,28 @@ def test_texts_are_scored_together_as_alone():
     hs, ks = zip(*map(lm.encoded, texts))
     alone = [lm.log_p(w, bias, lm.features(h), k).sum() / np.log(10) for h, k in zip(hs, ks)]
     assert np.allclose(lm._log10s(w, bias, list(hs), list(ks)), alone, rtol=1e-9) and lm._log10s(w, bias, [], []) == []
+
+
+def test_texts_are_split_together_as_alone_in_little_memory():
+    """op4's memory: a chunk's tokens were copied over and over when its distinct ones were found; and its CPU: a call for each short text."""
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [b"", b" \n ", b"A b\xc3\xa9 C", b"", b"x", b"\n", *(b"w%d of\t%d\n" % (i, i % 7) for i in range(50)), b""]
+    h, k, n = lm.encoded_all(texts)
+    alone = [lm.encoded(t) for t in texts]
+    assert n.tolist() == [len(x) for x, _ in alone] == [len(t.split()) + 1 for t in texts]
+    assert np.array_equal(h, np.concatenate([x for x, _ in alone])) and np.array_equal(k, np.concatenate([x for _, x in alone]))
+    assert np.array_equal(lm.features(h, np.cumsum(n) - n), np.concatenate([lm.features(x) for x, _ in alone], axis=1))
+    held = np.arange(len(texts)) % 3 == 0
+    u, leaf, c, back = lm._local(h, k, n, held)
+    assert np.array_equal(u[back], h) and np.array_equal(leaf[back], k)
+    assert dict(zip(u.tolist(), c.tolist())) == {x: sum(y == x for t, out in zip(alone, held) if not out for y in t[0].tolist()) for x in set(h.tolist())}
+    assert [len(x) for x in lm._local(h[:0], k[:0], n[:0], held[:0])] == [0] * 4
+    h = np.random.default_rng(2).integers(0, 1000, 1_000_000).astype(np.uint64)
+    tracemalloc.start()
+    lm._local(h, np.zeros(len(h), np.uint8), np.array([len(h)]), np.array([False]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 * len(h)  # bytes
