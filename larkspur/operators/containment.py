@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Lengths of anchors, and tasks over which the texts of one anchor are dealt.
 SIZES, PARTS = (1, 2, 4, 8, 16, 32), 16
-#: Up to so many runs are broadcast.
-FEW = 200_000
+#: Up to so many runs are broadcast, and up to so many aliases are part of the plan.
+FEW, LISTED = 200_000, 64
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -63,12 +63,23 @@ def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def longest_alias(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
     """texts with ``alias`` and ``match`` ('exact' or 'partial'): the longest alias (then the first by ``rank``, then the first by
-    itself) that the text contains, any case, inside words too. aliases: (alias, rank); empty ones match nothing."""
+    itself) that the text contains, any case, inside words too. aliases: (alias, rank); empty ones match nothing.
+
+    A table of at most LISTED aliases is tried on each text, best alias first, where the text is; texts then are neither cut into
+    runs nor shuffled. More aliases meet the texts by anchors."""
     upper = aliases.select(F.upper("alias").alias("pattern"), "alias", "rank")
+    best_first = [-F.length("pattern"), "rank", "alias"]
+    few = upper.where("pattern <> ''").distinct().orderBy(*best_first).limit(LISTED + 1).collect()
+    if len(few) <= LISTED:
+        named = F.coalesce(F.lit(None).cast("string"), *(F.when(F.contains(F.upper(text), F.lit(r["pattern"])), F.lit(r["alias"])) for r in few))
+        return texts.withColumn("alias", named).withColumn("match", _match(text))
     found = contained(texts.select(F.upper(text).alias("text")), upper)
-    best = found.join(upper, "pattern").groupBy("text").agg(F.min_by("alias", F.struct(-F.length("pattern"), "rank", "alias")).alias("alias")).withColumnRenamed("text", "_text")
-    exact = F.when(F.upper("alias") == F.upper(text), "exact").when(F.col("alias").isNotNull(), "partial")
-    return texts.join(best, F.upper(text) == F.col("_text"), "left").drop("_text").withColumn("match", exact)
+    best = found.join(upper, "pattern").groupBy("text").agg(F.min_by("alias", F.struct(*best_first)).alias("alias")).withColumnRenamed("text", "_text")
+    return texts.join(best, F.upper(text) == F.col("_text"), "left").drop("_text").withColumn("match", _match(text))
+
+
+def _match(text: str) -> Column:
+    return F.when(F.upper("alias") == F.upper(text), "exact").when(F.col("alias").isNotNull(), "partial")
 
 
 def normal_run(c: Column) -> Column:

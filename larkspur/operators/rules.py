@@ -20,10 +20,15 @@ def layered(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str, st
     for vendor, amount, c in values:
         near = F.abs(F.abs(F.col("amount").cast("double")) - amount) <= 0.05 * amount
         value = F.coalesce(value, F.when(text.contains(vendor.lower()) & near, c))
-    layer = F.when(own & refund.isNull(), F.lit(1)).when(refund.isNotNull(), 2).when(value.isNotNull(), 3).when(F.col("default_category").isNotNull(), 4).otherwise(5)
-    name = F.when(layer == 1, "intercontas").when(layer == 2, refund).when(layer == 3, value).when(layer == 4, F.col("default_category")).otherwise("a_identificar")
+    # columns, not expressions within one another: Spark compiles no code that is as long as five layers told in each other's terms
+    cols = [c for c in tx.columns if c not in ("layer", "category", "confidence")]
+    seen = tx.select(*cols, own.alias("_own"), refund.alias("_refund"), value.alias("_value"))
+    layer = F.when(F.col("_own") & F.col("_refund").isNull(), F.lit(1)).when(F.col("_refund").isNotNull(), 2).when(F.col("_value").isNotNull(), 3).when(F.col("default_category").isNotNull(), 4).otherwise(5)
+    told = seen.withColumn("layer", layer.cast("long"))
+    layer = F.col("layer")
+    name = F.when(layer == 1, "intercontas").when(layer == 2, F.col("_refund")).when(layer == 3, F.col("_value")).when(layer == 4, F.col("default_category")).otherwise("a_identificar")
     sure = F.when(layer <= 3, "high").when(layer == 4, "medium").otherwise("low")
-    return tx.select(*(c for c in tx.columns if c not in ("layer", "category", "confidence")), layer.cast("long").alias("layer"), name.alias("category"), sure.alias("confidence"))
+    return told.select(*cols, "layer", name.alias("category"), sure.alias("confidence"))
 
 
 def classified(tx: DataFrame, self_patterns: tuple[str, ...], refunds: dict[str, str], values: list[tuple[str, float, str]], suppliers: DataFrame) -> DataFrame:
