@@ -23,6 +23,12 @@ def intl_decimal(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.trim(c), r"[,$\s]", "").try_cast("decimal(18,4)").cast("double"), F.lit(0.0))
 
 
+def scaled_round(c: Column, places: int) -> Column:
+    """A double to so many places as DuckDB has it: scaled, to a whole number, half away from zero, and back. F.round takes the shortest decimal
+    that stands for the double, so 81.85725, which scales to 818572.4999999999, is 81.8573 to it and 81.8572 here."""
+    return F.round(c * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def any_date(c: Column) -> Column:
     """DD/MM/YYYY, DD-MM-YYYY, D/M/YYYY or ISO; else null."""
     s = F.trim(c)

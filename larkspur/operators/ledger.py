@@ -106,6 +106,13 @@ def _mean_rate(lots: deque) -> tuple[float, float]:
     return held, worth / held if held > 0 else 0.0
 
 
+def _cost(lots: deque) -> float:
+    cost = 0.0  # added up as above
+    for n, rate, price in lots:
+        cost += n * rate * price
+    return cost
+
+
 class _Account:
     """One foreign-currency account: its balance and average, tranches [amount, rate] and lots [quantity, rate, price]."""
 
@@ -154,7 +161,7 @@ class _Account:
         out = [(self.account, "account", None, None, self.balance, self.average, self.last, None)]
         for t in sorted(self.tickers, key=lambda t: (t is not None, t)):
             lots = self.tickers[t]
-            out.append((self.account, "ticker", t, None, _mean_rate(lots)[0], self.rate(t), None, sum(n * rate * price for n, rate, price in lots)))
+            out.append((self.account, "ticker", t, None, _mean_rate(lots)[0], self.rate(t), None, _cost(lots)))
         return out
 
 

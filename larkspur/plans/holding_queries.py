@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import scaled_round
 from ..operators import invest, ledger, valuation
 from ..sources.adapters import INCOME, OTC, QUOTES, TRADES, income, otc, quotes, table, trades
 from .invest_queries import AVERAGE
@@ -41,13 +42,13 @@ from (select f.account, ev.k, bal, avg, last, tr, lots, inc, ev.kind, ev.amount,
   from fold f join ev on ev.account = f.account and ev.k = f.k + 1)),
 final as (select * from (select *, row_number() over (partition by account order by k desc) as r from fold) where r = 1)"""
 query("fx_accounts", "select account, round(bal, 4) as balance, round(avg, 6) as average, round(last, 6) as last from final", FX_FOLD)(
-    lambda s, d: ledger.fx_accounts(fx_events(s, d)).select("account", F.round("balance", 4).alias("balance"), F.round("average", 6).alias("average"), F.round("last", 6).alias("last")))
+    lambda s, d: ledger.fx_accounts(fx_events(s, d)).select("account", scaled_round(F.col("balance"), 4).alias("balance"), scaled_round(F.col("average"), 6).alias("average"), scaled_round(F.col("last"), 6).alias("last")))
 query("fx_ticker_rates", """select account, l.t as ticker, round(sum(l.q), 6) as quantity, round(sum(l.q * l.r) / sum(l.q), 6) as rate, round(sum(l.q * l.r * l.p), 4) as cost from (select account, avg, last, unnest(lots) as l from final) group by account, l.t""", FX_FOLD)(
-    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'ticker' and amount > 0").select("account", "ticker", F.round("amount", 6).alias("quantity"), F.round("rate", 6).alias("rate"), F.round("brl", 4).alias("cost")))
+    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'ticker' and amount > 0").select("account", "ticker", scaled_round(F.col("amount"), 6).alias("quantity"), scaled_round(F.col("rate"), 6).alias("rate"), scaled_round(F.col("brl"), 4).alias("cost")))
 query("fx_income_home", "select account, i.t as ticker, count(*) as n, round(sum(i.a * i.r), 4) as brl from (select account, unnest(inc) as i from final) group by account, i.t", FX_FOLD)(
-    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'income'").groupBy("account", "ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("brl"), 4).alias("brl")))
+    lambda s, d: ledger.fx_engine(fx_events(s, d)).where("what = 'income'").groupBy("account", "ticker").agg(F.count(F.lit(1)).alias("n"), scaled_round(F.sum("brl"), 4).alias("brl")))
 query("fx_spot_rates", "select account, round(case when avg <> 0 then avg when last <> 0 then last else 5.0 end, 6) as rate from final", FX_FOLD)(
-    lambda s, d: ledger.spot_rate(ledger.fx_accounts(fx_events(s, d))).select("account", F.round("rate", 6).alias("rate")))
+    lambda s, d: ledger.spot_rate(ledger.fx_accounts(fx_events(s, d))).select("account", scaled_round(F.col("rate"), 6).alias("rate")))
 
 
 def renames(s, d):
