@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +74,41 @@ def _by_prefixes(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     return met.where(F.col("n") >= least)
 
 
+#: Meetings of a block of sources and a block of topics, on average. More blocks mean more copies of the links, fewer a larger task.
+MEETINGS = 2_000_000
+
+
+def _told(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block of sources (source, k, member) and one of topics (topic, k, member, df): what each pair shares, by k."""
+    alone = {"use_threads": False}
+    keys = right.group_by(["k", "member"], **alone).aggregate([("df", "min")]).sort_by([("df_min", "ascending"), ("member", "ascending")])
+    keys = keys.append_column("at", pa.array(np.arange(len(keys))))
+    coded = lambda rows, name: rows.select([name, "k", "member"]).join(keys.select(["k", "member", "at"]), ["k", "member"], join_type="inner", **alone).select([name, "at"])
+    met = coded(left, "source").join(coded(right, "topic"), "at", join_type="inner", **alone)
+    at = met["at"].to_numpy()
+    k = keys["k"].to_numpy()[at]
+    rows = pa.table([met["source"], met["topic"], pa.array(k == 0), pa.array(at, mask=k != 1), pa.array((k == 2).astype("int64"))], ["source", "topic", "slug", "at", "two"])
+    told = rows.group_by(["source", "topic"], **alone).aggregate([("slug", "any"), ("at", "count"), ("two", "sum"), ("at", "min")])
+    return pa.table([told["source"], told["topic"], told["slug_any"], told["at_count"], told["two_sum"], keys["df_min"].take(told["at_min"]), keys["member"].take(told["at_min"])], ["source", "topic", "slug", "n1", "n2", "df", "member"])
+
+
+def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, topic, slug, n1, n2, df, member) of every pair that shares a member of one k. Sources and topics are dealt into blocks,
+    and each block of one meets each of the other in one task, so links are shuffled in some copies and pairs not at all."""
+    left, right = cut(left, "left"), cut(right, "right")
+    counted = lambda d, n: d.groupBy("k", "member").agg(F.count(F.lit(1)).alias(n))
+    known = cut(counted(left, "l").join(counted(right, "r"), ["k", "member"]), "known")
+    l, r, meetings = known.agg(*(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in ("l", "r")), F.coalesce(F.sum(F.col("l").cast("double") * F.col("r")), F.lit(0.0))).first()
+    blocks = max(1.0, meetings / MEETINGS)
+    across = min(max(1, round(math.sqrt(blocks * r / l))) if l else 1, math.ceil(blocks))
+    down = math.ceil(blocks / across)
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda d, s, t: d.join(known.select("k", "member"), ["k", "member"], "left_semi").withColumn("_s", s).withColumn("_t", t).groupBy("_s", "_t")
+    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for d, n in ((left, "source"), (right, "topic")))
+    return dealt(left, one("source", down), every(across)).cogroup(dealt(right, every(down), one("topic", across))).applyInArrow(_told, f"{kinds}, slug boolean, n1 long, n2 long, df long, member {left.schema['member'].dataType.simpleString()}")
+
+
 def backfill(sources: DataFrame, links: DataFrame, topics: DataFrame, key_links: DataFrame, related: DataFrame, cited: DataFrame, rejected: DataFrame, least: int = 1, weak: int = 25) -> DataFrame:
     """(source, topic, signals, overlap, match, rarest, weak): topics that a source should be cited in.
 
@@ -79,17 +118,15 @@ def backfill(sources: DataFrame, links: DataFrame, topics: DataFrame, key_links:
     links). match: the common link of the key section that stands in the fewest sources (then the first by name), rarest:
     in how many; weak: in ``weak`` or more. A pair without common key links has neither and is not weak."""
     lower: Column = F.lower(F.concat_ws("\n", "title", "body"))
-    slugs = topics.where("slug <> ''").select(F.col("id").alias("topic"), F.lower("slug").alias("pattern"))
-    rank = F.struct(F.lit(None).cast("long").alias("df"), F.lit(None).cast(links.schema["member"].dataType).alias("member"))
-    named = naming(sources.select(F.col("id").alias("source"), lower.alias("text")), slugs, "source").join(slugs, "pattern").select("source", "topic", F.lit(0).alias("k"), F.lit(0).cast("long").alias("n"), rank.alias("r"))
-    df = links.distinct().groupBy("member").agg(F.count(F.lit(1)).alias("df"))
-    met = [
-        set_overlaps(links, key_links, least, df).select(F.col("a").alias("source"), F.col("b").alias("topic"), F.lit(1).alias("k"), "n", F.col("rarest").alias("r")),
-        set_overlaps(links, related, least).select(F.col("a").alias("source"), F.col("b").alias("topic"), F.lit(2).alias("k"), "n", rank.alias("r")),
-    ]
-    names = F.array(*map(F.lit, ("slug-match", "key-concept-overlap", "related-overlap")))
-    both = named.unionByName(met[0]).unionByName(met[1]).join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti")
-    has = lambda k: F.max(F.col("k") == k)
-    pairs = both.groupBy("source", "topic").agg(*(has(k).alias(f"k{k}") for k in range(3)), F.max(F.when(F.col("k") == 1, F.col("n"))).alias("overlap"), F.max(F.when(F.col("k") == 1, F.col("r"))).alias("r"))
-    signals = F.array_join(F.array_compact(F.array(*(F.when(F.col(f"k{k}"), names[k]) for k in range(3)))), ",")
-    return pairs.select("source", "topic", signals.alias("signals"), "overlap", F.col("r.member").alias("match"), F.col("r.df").alias("rarest"), F.coalesce(F.col("r.df") >= weak, F.lit(False)).alias("weak"))
+    slugs = topics.where("slug <> ''").select(F.col("id").alias("topic"), F.lower("slug").alias("member")).distinct()
+    named = naming(sources.select(F.col("id").alias("source"), lower.alias("text")), slugs.select(F.col("member").alias("pattern")), "source")
+    linked = lambda d, name: d.where("id is not null and member is not null").select(F.col("id").alias(name), "member").distinct()
+    of = lambda k, d, name, df=None: d.select(name, F.lit(k).alias("k"), "member", *([] if name == "source" else [F.lit(df).cast("long").alias("df") if df is None else F.col(df)]))
+    own = cut(linked(links, "source"), "links")
+    df = own.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
+    left = of(0, named.withColumnRenamed("pattern", "member"), "source").unionByName(of(1, own, "source")).unionByName(of(2, own, "source"))
+    right = of(0, slugs, "topic").unionByName(of(1, linked(key_links, "topic").join(df, "member"), "topic", "df")).unionByName(of(2, linked(related, "topic"), "topic"))
+    key, meta = F.col("n1") >= least, F.col("n2") >= least
+    pairs = _shared(left, right).where(F.col("slug") | key | meta).join(cited, ["source", "topic"], "left_anti").join(rejected, ["source", "topic"], "left_anti")
+    signals = F.array_join(F.array_compact(F.array(*(F.when(has, F.lit(name)) for has, name in ((F.col("slug"), "slug-match"), (key, "key-concept-overlap"), (meta, "related-overlap"))))), ",")
+    return pairs.select("source", "topic", signals.alias("signals"), *(F.when(key, F.col(c)).alias(name) for c, name in (("n1", "overlap"), ("member", "match"), ("df", "rarest")))).withColumn("weak", F.coalesce(F.col("rarest") >= weak, F.lit(False)))

@@ -1,10 +1,12 @@
 """Mentions by names, broken and resolved targets and pruned logs on small rows, against plain loops."""
 
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from larkspur.operators import links
+from larkspur.operators import links, overlaps
 
 
 def test_name_mentions(spark):
@@ -163,3 +165,31 @@ def test_names_on_most_rows_do_not_meet_row_by_row(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("a",), (None,)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") < plan.index("Aggregate", plan.index("LeftSemi"))
+
+
+@pytest.mark.parametrize("least,meetings", [(1, 2_000_000), (1, 7), (2, 7)])
+def test_pairs_of_sources_and_topics_are_not_shuffled(spark, monkeypatch, least, meetings):
+    """Whatever the number of blocks, the pairs are those of a loop over all, and no shuffle is by source or topic."""
+    monkeypatch.setattr(overlaps, "MEETINGS", meetings, raising=False)
+    r = random.Random(8)
+    some = lambda n: {(i, r.choice("abcdefgh")) for i in range(n) for _ in range(r.randrange(4))}
+    links, key, related = some(12), some(9), some(5)
+    sources = [(i, r.choice([None, "On Foxes", "x"]), r.choice([None, "red fox", "a dog, a fox"])) for i in range(12)]
+    topics = [(i, r.choice(["", "fox", "Dog", "a"])) for i in range(9)]
+    cited, rejected = [(0, 1), (2, 3)], [(4, 4)]
+    df = lambda rows, kind: spark.createDataFrame(sorted(rows, key=str), kind)
+    linked = lambda rows: df([*rows, *rows, (None, "a"), (1, None)], "id int, member string")
+    pair = "source int, topic int"
+    made = overlaps.backfill(df(sources, "id int, title string, body string"), linked(links), df(topics, "id int, slug string"), linked(key), linked(related), F.broadcast(df(cited, pair)), F.broadcast(df(rejected, pair)), least, 3)
+    assert "hashpartitioning(source" not in made._jdf.queryExecution().executedPlan().toString()
+    n = lambda m: len({i for i, x in links if x == m})
+    want = {}
+    for i, title, body in sources:
+        for t, slug in topics:
+            mine = {m for j, m in links if j == i}
+            both, meta = mine & {m for j, m in key if j == t}, mine & {m for j, m in related if j == t}
+            told = [name for name, has in (("slug-match", slug and slug.lower() in "\n".join(x for x in (title, body) if x).lower()), ("key-concept-overlap", len(both) >= least), ("related-overlap", len(meta) >= least)) if has]
+            if told and (i, t) not in cited + rejected:
+                rank = min((n(m), m) for m in both) if len(both) >= least else (None, None)
+                want[i, t] = (",".join(told), len(both) if rank[0] else None, rank[1], rank[0], (rank[0] or 0) >= 3)
+    assert {tuple(x)[:2]: tuple(x)[2:] for x in made.select("source", "topic", "signals", "overlap", "match", "rarest", "weak").collect()} == want
