@@ -9,50 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fold_key
-from .containment import FEW
+from ..sources.tables import cut
 from .notes import prose_only
 
+#: Hashes of up to so many names are broadcast.
+MANY = 2_000_000
+
 #: Types of log entries that wait for a page or a decision, and types that are no longer in use.
 WAITING = ("candidate-topic", "candidate-mention", "proposed-new-thesis", "speculative-thesis-update")
 RETIRED = ("ingest", "concept-created", "entity-created", "topic-created", "topic-updated", "topic-coverage-candidate", "lint")
 
 
-def _apart(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits with a blank on either side of each, so that neighbours share none."""
-    return F.concat(F.lit(" "), F.replace(F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-
-
 def name_mentions(docs: DataFrame, names: DataFrame, links: DataFrame, rejected: DataFrame) -> DataFrame:
     """(id, target, term, n, hub) where the prose of a document (id, text; ids are unique) names another (id, name) as whole
     words, whatever separates them, n times, without linking it (src, dst) and without the pair being rejected (term, target).
     hub: the name is one word, so it tells little. Names without ASCII letters or digits, and null texts, mention nothing.
 
-    A document's runs of as many words as names have meet the names in an equi-join, so no text moves. Mentions don't overlap:
-    only where a name begins as it ends ('so and so'), which its runs can't tell, are they counted in the text."""
-    words = lambda c: F.filter(F.split(F.trim(_apart(c)), " +"), lambda w: w != "")
-    prose = docs.where("text is not null").select("id", words(prose_only(F.col("text"))).alias("ws"))
+    A document's runs of as many words as names have meet the names in an equi-join, so no text moves; runs that no name's hash has
+    go before. Names are written once, less the rejected pairs, so that mentions meet neither. Mentions don't overlap: only a name
+    that begins as it ends ('so and so') could, so its places are kept and those too near the last one taken are left out."""
+    clean = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+    words = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
     w, k = F.col("ws"), F.size("ws")
-    named = names.select(F.col("id").alias("target"), words(F.col("name")).alias("ws")).where(k > 0).distinct()
     again = (k > 1) & F.exists(F.sequence(F.lit(1), F.greatest(k - 1, F.lit(1))), lambda i: F.slice(w, F.lit(1), i) == F.slice(w, k - i + 1, i))
-    named = named.select("target", F.array_join("ws", " ").alias("term"), (k == 1).alias("hub"), again.alias("again"), k.alias("k"))
-    kinds = named.groupBy("k", "again").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows a number of words
-
-    def run(n: int) -> Column:
-        at = F.transform(F.sequence(F.lit(1), k - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-        return w if n == 1 else F.when(k >= n, at).otherwise(F.array().cast("array<string>"))
-
-    runs = [run(n) for n in sorted({r["k"] for r in kinds})]
-    terms = named.select("term").distinct()
-    if sum(r["n"] for r in kinds) <= FEW:
-        terms = F.broadcast(terms)  # bounded; what names nothing goes before it is shuffled
-    said = prose.select("id", F.explode(F.concat(F.array().cast("array<string>"), *runs)).alias("term")).join(terms, "term", "left_semi")
-    met = said.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n")).join(named.drop("k"), "term").where("id <> target")
-    if any(r["again"] for r in kinds):
-        pattern = _apart(F.col("term"))
-        n = (F.length("text") - F.length(F.replace("text", pattern, F.lit("")))) / F.length(pattern)
-        texts = docs.select("id", _apart(prose_only(F.col("text"))).alias("text"))
-        met = met.where("not again").unionByName(met.where("again").join(texts, "id").withColumn("n", n.cast("long")).select(*met.columns))
-    return met.join(links.select(F.col("src").alias("id"), F.col("dst").alias("target")), ["id", "target"], "left_anti").join(rejected.select("term", "target"), ["term", "target"], "left_anti").select("id", "target", "term", "n", "hub")
+    named = names.select(F.col("id").alias("target"), clean(F.col("name")).alias("term")).where("term <> ''").distinct().join(rejected.select("term", "target"), ["term", "target"], "left_anti")
+    named = cut(named.withColumn("ws", words(F.col("term"))).select("target", "term", (k == 1).alias("hub"), again.alias("again"), k.alias("k")), "names")
+    lengths = {r["k"]: r["n"] for r in named.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a number of words
+    hashes = named.groupBy(F.xxhash64("term").alias("h")).agg(F.max("again").alias("again"))
+    if sum(lengths.values()) <= MANY:
+        hashes = F.broadcast(hashes)  # bounded; what names nothing goes before it is shuffled
+    next_ = F.arrays_zip(*(F.slice(w, n + 1, F.greatest(k, F.lit(1))).alias(f"w{n}") for n in range(max(lengths, default=1))))
+    run = lambda n: F.when(F.col(f"z.w{n - 1}").isNotNull(), F.concat_ws(" ", *(f"z.w{i}" for i in range(n))))
+    prose = docs.where("text is not null").select("id", clean(prose_only(F.col("text"))).alias("text")).select("id", words(F.col("text")).alias("ws"))
+    runs = prose.select("id", F.posexplode(next_).alias("at", "z")).select("id", "at", F.explode(F.array(*map(run, sorted(lengths) or [1]))).alias("term")).where("term is not null")
+    said = runs.withColumn("h", F.xxhash64("term")).join(hashes, "h").groupBy("id", "term", F.when(F.col("again"), F.col("at")).alias("at")).agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    long = F.size(F.split("term", " "))
+    taken = F.aggregate(F.array_sort(F.collect_list("at")), F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda s, x: F.when(x >= s["end"], F.struct((s["n"] + 1).alias("n"), (x + F.first("k")).alias("end"))).otherwise(s), lambda s: s["n"])
+    # n is 1 at each place; as both halves ask for it, Spark reads one shuffle for both
+    apart = said.where("again").withColumn("k", long).groupBy("id", "term").agg((taken * F.min("n")).alias("n"))
+    met = said.where("not again").select("id", "term", "n").unionByName(apart).join(named.select("target", "term", "hub"), "term").where("id <> target")
+    return met.join(links.select(F.col("src").alias("id"), F.col("dst").alias("target")), ["id", "target"], "left_anti").select("id", "target", "term", "n", "hub")
 
 
 def broken_targets(links: DataFrame, files: DataFrame) -> DataFrame:

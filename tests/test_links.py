@@ -193,3 +193,21 @@ def test_pairs_of_sources_and_topics_are_not_shuffled(spark, monkeypatch, least,
                 rank = min((n(m), m) for m in both) if len(both) >= least else (None, None)
                 want[i, t] = (",".join(told), len(both) if rank[0] else None, rank[1], rank[0], (rank[0] or 0) >= 3)
     assert {tuple(x)[:2]: tuple(x)[2:] for x in made.select("source", "topic", "signals", "overlap", "match", "rarest", "weak").collect()} == want
+
+
+def test_texts_are_cut_into_runs_once(spark):
+    """Names that end as they begin share the pass, and the shuffle, of all others; their mentions don't overlap."""
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice(["so", "and", "x", "-", "So,"]) for _ in range(r.randrange(60)))) for i in range(30)]
+    names = [(100, "so and so"), (101, "so so"), (102, "x"), (103, "and x"), (104, "so x so x so"), (105, "SO-SO")]
+    got = links.name_mentions(spark.createDataFrame(docs, "id int, text string"), spark.createDataFrame(names, "id int, name string"), spark.createDataFrame([], "src int, dst int"), spark.createDataFrame([("x", 102)], "term string, target int"))
+    want = set()
+    for i, text in docs:
+        for j, name in names:
+            term, text_ = (re.findall("[a-z]+", t.lower()) for t in (name, text))
+            n = len(re.findall("".join(f" {w} " for w in term), "".join(f" {w} " for w in text_)))
+            if n and j != 102:
+                want.add((i, j, " ".join(term), n, len(term) == 1))
+    assert {tuple(x) for x in got.collect()} == want and {j for _, j, *_ in want} == {100, 101, 103, 104, 105}
+    ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ran.count("Generate posexplode") == 1
