@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,22 +76,35 @@ def _by_prefixes(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     return met.where(F.col("n") >= least)
 
 
-#: Meetings of a block of sources and a block of topics, on average. More blocks mean more copies of the links, fewer a larger task.
-MEETINGS = 2_000_000
+#: Meetings of a block of sources and a block of topics, on average, up to so many blocks, and beyond them: more blocks mean more copies of
+#: the links. A block's sources are taken in runs of so many meetings, or of one source.
+MEETINGS, BLOCKS, LARGE, RUN = 2_000_000, 64, 64_000_000, 1_000_000
 
 
-def _told(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block of sources (source, k, member) and one of topics (topic, k, member, df): what each pair shares, by k."""
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each pair of a block of sources and one of topics shares, by k. Rows: source or topic, k, member, df of a topic's."""
+    rows = pa.Table.from_batches(batches)
     alone = {"use_threads": False}
+    left, right = (rows.filter(which) for which in (pc.invert(rows["asked"]), rows["asked"]))
     keys = right.group_by(["k", "member"], **alone).aggregate([("df", "min")]).sort_by([("df_min", "ascending"), ("member", "ascending")])
     keys = keys.append_column("at", pa.array(np.arange(len(keys))))
     coded = lambda rows, name: rows.select([name, "k", "member"]).join(keys.select(["k", "member", "at"]), ["k", "member"], join_type="inner", **alone).select([name, "at"])
-    met = coded(left, "source").join(coded(right, "topic"), "at", join_type="inner", **alone)
-    at = met["at"].to_numpy()
-    k = keys["k"].to_numpy()[at]
-    rows = pa.table([met["source"], met["topic"], pa.array(k == 0), pa.array(at, mask=k != 1), pa.array((k == 2).astype("int64"))], ["source", "topic", "slug", "at", "two"])
-    told = rows.group_by(["source", "topic"], **alone).aggregate([("slug", "any"), ("at", "count"), ("two", "sum"), ("at", "min")])
-    return pa.table([told["source"], told["topic"], told["slug_any"], told["at_count"], told["two_sum"], keys["df_min"].take(told["at_min"]), keys["member"].take(told["at_min"])], ["source", "topic", "slug", "n1", "n2", "df", "member"])
+    sources, topics = coded(left, "source").sort_by("source").combine_chunks(), coded(right, "topic")
+    if not len(sources):
+        return
+    weight = np.bincount(topics["at"].to_numpy(), minlength=len(keys))[sources["at"].to_numpy()]
+    code = sources["source"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    piece = (np.cumsum(weight) - weight)[first] // RUN
+    starts = first[np.r_[True, piece[1:] != piece[:-1]]]
+    kinds = keys["k"].to_numpy()
+    for start, end in zip(starts, [*starts[1:], len(sources)]):
+        met = sources.slice(start, end - start).join(topics, "at", join_type="inner", **alone)
+        at = met["at"].to_numpy()
+        k = kinds[at]
+        one = pa.table([met["source"], met["topic"], pa.array(k == 0), pa.array(at, mask=k != 1), pa.array((k == 2).astype("int64"))], ["source", "topic", "slug", "at", "two"])
+        told = one.group_by(["source", "topic"], **alone).aggregate([("slug", "any"), ("at", "count"), ("two", "sum"), ("at", "min")])
+        yield from pa.table([told["source"], told["topic"], told["slug_any"], told["at_count"], told["two_sum"], keys["df_min"].take(told["at_min"]), keys["member"].take(told["at_min"])], ["source", "topic", "slug", "n1", "n2", "df", "member"]).combine_chunks().to_batches(100_000)
 
 
 def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -99,14 +114,17 @@ def _shared(left: DataFrame, right: DataFrame) -> DataFrame:
     counted = lambda d, n: d.groupBy("k", "member").agg(F.count(F.lit(1)).alias(n))
     known = cut(counted(left, "l").join(counted(right, "r"), ["k", "member"]), "known")
     l, r, meetings = known.agg(*(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in ("l", "r")), F.coalesce(F.sum(F.col("l").cast("double") * F.col("r")), F.lit(0.0))).first()
-    blocks = max(1.0, meetings / MEETINGS)
+    blocks = max(1.0, min(meetings / MEETINGS, BLOCKS), meetings / LARGE)
     across = min(max(1, round(math.sqrt(blocks * r / l))) if l else 1, math.ceil(blocks))
     down = math.ceil(blocks / across)
     one = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda d, s, t: d.join(known.select("k", "member"), ["k", "member"], "left_semi").withColumn("_s", s).withColumn("_t", t).groupBy("_s", "_t")
-    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for d, n in ((left, "source"), (right, "topic")))
-    return dealt(left, one("source", down), every(across)).cogroup(dealt(right, every(down), one("topic", across))).applyInArrow(_told, f"{kinds}, slug boolean, n1 long, n2 long, df long, member {left.schema['member'].dataType.simpleString()}")
+    dealt = lambda d, s, t: d.join(known.select("k", "member"), ["k", "member"], "left_semi").withColumn("_s", s).withColumn("_t", t)
+    null = lambda kind: F.lit(None).cast(kind)
+    asks = dealt(left, one("source", down), every(across)).withColumns({"topic": null(right.schema["topic"].dataType), "df": null("long"), "asked": F.lit(False)})
+    met = asks.unionByName(dealt(right, every(down), one("topic", across)).withColumns({"source": null(left.schema["source"].dataType), "asked": F.lit(True)}))
+    kinds = ", ".join(f"`{n}` {met.schema[n].dataType.simpleString()}" for n in ("source", "topic"))
+    return met.groupBy("_s", "_t").applyInArrow(_told, f"{kinds}, slug boolean, n1 long, n2 long, df long, member {met.schema['member'].dataType.simpleString()}")
 
 
 def backfill(sources: DataFrame, links: DataFrame, topics: DataFrame, key_links: DataFrame, related: DataFrame, cited: DataFrame, rejected: DataFrame, least: int = 1, weak: int = 25) -> DataFrame:

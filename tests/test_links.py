@@ -171,6 +171,7 @@ def test_names_on_most_rows_do_not_meet_row_by_row(spark):
 def test_pairs_of_sources_and_topics_are_not_shuffled(spark, monkeypatch, least, meetings):
     """Whatever the number of blocks, the pairs are those of a loop over all, and no shuffle is by source or topic."""
     monkeypatch.setattr(overlaps, "MEETINGS", meetings, raising=False)
+    monkeypatch.setattr(overlaps, "LARGE", 3 * meetings, raising=False)
     r = random.Random(8)
     some = lambda n: {(i, r.choice("abcdefgh")) for i in range(n) for _ in range(r.randrange(4))}
     links, key, related = some(12), some(9), some(5)
@@ -211,3 +212,31 @@ def test_texts_are_cut_into_runs_once(spark):
     assert {tuple(x) for x in got.collect()} == want and {j for _, j, *_ in want} == {100, 101, 103, 104, 105}
     ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert ran.count("Generate posexplode") == 1
+
+
+def test_a_block_of_sources_is_taken_in_runs(monkeypatch):
+    """Few meetings at once, and all of them: the same pairs as in one run, nulls and sources without a topic included."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    left = {(r.choice([None, *range(9)]), r.randrange(3), r.choice("abcd")) for _ in range(60)} | {(3, 1, "z")}
+    right = {(r.randrange(7), r.randrange(3), r.choice("abcd")) for _ in range(40)}
+    rank = {"a": 5, "b": 2, "c": 2, "d": 9}
+    rows = [{"source": i, "topic": None, "k": k, "member": m, "df": None, "asked": False} for i, k, m in left] + [{"source": None, "topic": t, "k": k, "member": m, "df": rank[m] if k == 1 else None, "asked": True} for t, k, m in right]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema({"source": pa.int64(), "topic": pa.int64(), "k": pa.int32(), "member": pa.string(), "df": pa.int64(), "asked": pa.bool_()}))
+
+    def told(n):
+        monkeypatch.setattr(overlaps, "RUN", n)
+        made = list(overlaps._told(iter([batch.slice(0, 50), batch.slice(50)])))
+        return len(made), sorted((tuple(x.values()) for b in made for x in b.to_pylist()), key=str)
+
+    (few, want), (many, got) = told(10**9), told(4)
+    assert few == 1 and many > 5 and got == want
+    pairs = {}
+    for i, k, m in left:
+        for t, q, x in right:
+            if (k, m) == (q, x):
+                pairs.setdefault((i, t), []).append((k, rank[m], m))
+    of = lambda met, k: [x[1:] for x in met if x[0] == k]
+    assert want == sorted(((*p, bool(of(met, 0)), len(of(met, 1)), len(of(met, 2)), *min(of(met, 1), default=(None, None))) for p, met in pairs.items()), key=str)
+    assert list(overlaps._told(iter([batch.filter(batch["asked"])]))) == []
