@@ -5,9 +5,11 @@ the patterns whose anchor it holds, in an equi-join, and each meeting is verifie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: Lengths of anchors, and tasks over which the texts of one anchor are dealt.
 SIZES, PARTS = (1, 2, 4, 8, 16, 32), 16
 #: Up to so many runs are broadcast, and up to so many aliases are part of the plan.
@@ -33,12 +35,9 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def naming(texts: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
     """(key, pattern) for every row of texts (key, text; keys unique) and distinct pattern (patterns.pattern) that its text contains.
-    As ``contained``, but equal texts are told once by the least key, and what leaves the verification is narrow."""
-    first = Window.partitionBy("text")
-    mapped = texts.where("text is not null").select(key, "text", F.min(key).over(first).alias("h"))
-    t = mapped.where(F.col(key) == F.col("h")).select("h", "text")
-    hit = t.join(_met(t, patterns), "h").where(F.contains("text", "pattern")).select("h", "pattern")
-    return hit.join(mapped.select(key, "h"), "h").select(key, "pattern")
+    As ``contained``, but texts go by their keys: they are shuffled once, to be verified, and what leaves the verification is narrow."""
+    t = texts.where("text is not null").select(F.col(key).alias("h"), "text")
+    return t.join(_met(t, patterns), "h").where(F.contains("text", "pattern")).select(F.col("h").alias(key), "pattern")
 
 
 def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -54,6 +53,7 @@ def _met(t: DataFrame, patterns: DataFrame) -> DataFrame:
     if sum(lengths.values()) <= FEW:
         asked = F.broadcast(asked)  # bounded; other runs of a text go before they are shuffled
     held = t.select("h", F.explode(F.concat(*(_grams(F.col("text"), n) for n in sorted(lengths)))).alias("gram")).select("h", F.xxhash64("gram").alias("gram")).join(asked, "gram", "left_semi")
+    held = cut(held, "held")  # as it is read twice, and cutting texts into runs takes long
     counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a run that no text holds has no count: its pattern is in no text, and it must not be filed under another run
     filed = wanted.join(counts, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a")).where("a.n > 0")

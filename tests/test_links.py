@@ -91,6 +91,17 @@ def test_rarest_common_members(spark):
     assert sorted(map(tuple, naming(texts, names, "id").collect())) == [(4, "a b"), (4, "b"), (5, "a b"), (5, "b")]
 
 
+def test_texts_are_shuffled_by_key_alone(spark):
+    """Texts that are searched for names are cut into runs once, into a table, and are no key of a shuffle."""
+    from larkspur.operators.containment import naming
+
+    texts = spark.createDataFrame([(i, f"text {i % 7} of a fox") for i in range(50)], "id long, text string")
+    got = naming(texts, spark.createDataFrame([("fox",), ("text 3",), ("none",)], "pattern string"), "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text" not in plan and "regexp_extract_all(text" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted([(i, "fox") for i in range(50)] + [(i, "text 3") for i in range(3, 50, 7)])
+
+
 def test_a_queued_source_meets_one_page_a_signal(spark):
     from larkspur.operators import notes
 
